@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licences, mixing, quality, topk, toxicity, warc
+from . import bpe, langid, licences, mixing, near_dup, quality, topk, toxicity, warc
 from .common import shared_dir, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -37,6 +37,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs))
 
 
+def op6_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mixing": op3_source_mixing,
     "op4_license_scan": op4_license_scan,
     "op5_language_id": op5_language_id,
+    "op6_minhash_near_dup": op6_minhash_near_dup,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_toxicity": op8_toxicity,
     "op10_exact_topk": op10_exact_topk,
