@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licences, mixing, near_dup, quality, topk, toxicity, warc
+from . import bpe, langid, licences, maxent_lm, mixing, near_dup, quality, topk, toxicity, warc
 from .common import shared_dir, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -50,6 +50,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_minhash_near_dup": op6_minhash_near_dup,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_toxicity": op8_toxicity,
+    "op9_maxent_lm": op9_maxent_lm,
     "op10_exact_topk": op10_exact_topk,
 }
 
