@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import layers
+from . import layers, models, reports
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "layers"]
+__all__ = ["QUERIES", "SQL", "layers", "models", "reports"]

@@ -88,6 +88,11 @@ def upsert_latest(current: DataFrame, new: DataFrame, key: str, order: tuple[str
     return both.groupBy(key).agg(F.max_by(F.struct(*both.columns), F.struct(*order)).alias("row")).select("row.*")
 
 
+def newest(rows: DataFrame, order: str) -> DataFrame:
+    """The row of largest `order`, by partial aggregation rather than a sort."""
+    return rows.agg(F.max_by(F.struct(*rows.columns), order).alias("row")).where("row IS NOT NULL").select("row.*")
+
+
 def save_model(model: PipelineModel, root: str, version: str, metadata: DataFrame) -> None:
     """Save a model under its version and append its registry row, which is what moves `latest`."""
     model.write().overwrite().save(f"{root}/models/{version}")
