@@ -1,16 +1,18 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
-Features of a text are its words and the first four to six letters of each word,
-lower-cased (stems carry the signal in inflected languages). Counts over all
-labelled documents give each feature's smoothed log odds; the strongest become
+Features of a text are its words and the first four to six bytes of each word,
+lower-cased (stems carry the signal in inflected languages). Counts over the
+sample's documents give each feature's smoothed log odds; the strongest become
 the sparse feature space. Labels say toxic or not; a toxic document's severity
 grade follows from how many of its words are strong toxic features (weak
 supervision), so grades are 0 (clean) to GRADES - 1.
 
 The model is P(grade > k) = sigmoid(w.x - t_k): one weight vector shared by all
 ordered thresholds t_1 < ... < t_K, fitted by gradient descent on a bounded
-sample of labelled rows (documented parameter). Prediction is one pass without
-shuffle and gives the probability of each grade and the expected severity.
+sample of labelled rows: the `sample_rows` of each class whose ids have the
+smallest hashes (documented parameter). Only these labels are broadcast, so no
+text is shuffled. Prediction is one pass without shuffle over all documents and
+gives the probability of each grade and the expected severity.
 
 Defined results: a null or empty text has no features and gets the severity of
 an empty text, which is not toxic; without any toxic label nothing is toxic;
@@ -21,8 +23,9 @@ columns are ignored by `predict` and passed through by `keep`.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +36,8 @@ from .common import byte_slices, settled
 
 #: Features kept, by strength.
 FEATURES = 8192
-#: Labelled rows of either class in the fitting sample, on average.
-SAMPLE_ROWS = 20_000
+#: Labelled rows of either class in the fitting sample, at most.
+SAMPLE_ROWS = 12_000
 #: Severity grades; documents with at least 1, 2, 4 strong words have grades 1, 2, 3.
 GRADES, GRADE_WORDS = 4, (1, 2, 4)
 #: Documents with a feature at least, for it to count.
@@ -52,8 +55,7 @@ def words(text: bytes | None) -> list[bytes]:
 
 def stems(word: bytes) -> list[bytes]:
     """A word's features: itself, and its beginnings, marked by a dash, where it is longer than they are."""
-    letters = word.decode("utf-8", "replace")
-    return [word, *(letters[:n].encode() + b"-" for n in _STEMS if len(letters) > n)]
+    return [word, *(word[:n] + b"-" for n in _STEMS if len(word) > n)]
 
 
 def feature_counts(labelled: DataFrame) -> DataFrame:
@@ -90,30 +92,29 @@ class Scale:
         self.strong = strong
         self.weights = np.zeros(len(features))
         self.thresholds = np.arange(1, GRADES) * 2.0
-        self.memory: dict[bytes, tuple[int, ...]] = {}
-
-    def _of_word(self, word: bytes) -> tuple[int, ...]:
-        found = self.memory.get(word)
-        if found is None:
-            if len(self.memory) > 300_000:
-                self.memory.clear()
-            found = self.memory[word] = tuple(i for f in stems(word) if (i := self.at.get(f)) is not None)
-        return found
-
-    def features(self, text: bytes | None) -> tuple[list[int], list[float], int]:
-        """Features of a text with weights 1 + log(count) / 4, and its number of strong words."""
-        counts: Counter = Counter()
-        strong = 0
-        for w, n in Counter(words(text)).items():
-            own = self._of_word(w)
-            if own:
-                for i in own:
-                    counts[i] += n
-                strong += n * bool(self.strong[list(own)].any())
-        return list(counts), (1 + 0.25 * np.log(list(counts.values()))).tolist(), strong
-
-    def sums(self, rows: list[tuple[list[int], list[float], int]]) -> np.ndarray:
-        return np.array([float(self.weights[at] @ x) if at else 0.0 for at, x, _ in rows])
+
+    def features(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The texts' features as (text, feature, weight 1 + log(count) / 4), by text, and each text's number of strong words."""
+        split = [words(t) for t in texts]
+        number: dict[bytes, int] = defaultdict(count().__next__)
+        n = np.fromiter(map(len, split), np.int64, len(split))
+        ids = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(n.sum()))
+        get = self.at.get
+        own = [[i for f in stems(w) if (i := get(f)) is not None] for w in number]
+        size = np.fromiter(map(len, own), np.int64, len(own))
+        flat = np.fromiter(chain.from_iterable(own), np.int64, int(size.sum()))
+        begin = np.cumsum(size) - size
+        strong_word = np.array([bool(o) and bool(self.strong[o].any()) for o in own], bool)
+        doc = np.repeat(np.arange(len(split)), n)
+        strong = np.bincount(doc[strong_word[ids]], minlength=len(split)) if len(ids) else np.zeros(len(split), np.int64)
+        hit = np.flatnonzero(size[ids] > 0) if len(ids) else np.zeros(0, np.int64)
+        each = size[ids[hit]]
+        place = np.repeat(begin[ids[hit]], each) + np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+        keys, counts = np.unique(np.repeat(doc[hit], each) * max(1, len(self.at)) + flat[place], return_counts=True)
+        return keys // max(1, len(self.at)), keys % max(1, len(self.at)), 1 + 0.25 * np.log(counts), strong
+
+    def sums(self, doc: np.ndarray, at: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
+        return np.bincount(doc, x * self.weights[at], size) if len(at) else np.zeros(size)
 
     def grades(self, z: np.ndarray) -> np.ndarray:
         """Probabilities of the grades (a column each) for sums z."""
@@ -121,18 +122,15 @@ class Scale:
         edges = np.hstack([np.ones((len(z), 1)), above, np.zeros((len(z), 1))])
         return edges[:, :-1] - edges[:, 1:]
 
-    def fit(self, rows: list[tuple[list[int], list[float]]], grade: np.ndarray, weight: np.ndarray, rounds: int = 300, rate: float = 0.1, penalty: float = 5e-4) -> None:
+    def fit(self, doc: np.ndarray, at: np.ndarray, x: np.ndarray, grade: np.ndarray, weight: np.ndarray, rounds: int = 300, rate: float = 0.1, penalty: float = 5e-4) -> None:
         """Adam steps on the weighted log likelihood; thresholds stay ordered, as a first one and positive gaps."""
-        doc = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-        at = np.fromiter((i for r in rows for i in r[0]), np.int64, len(doc))
-        x = np.fromiter((v for r in rows for v in r[1]), np.float64, len(doc))
         cut = np.concatenate([[1.0], np.full(GRADES - 2, 0.5)])  # first threshold, logs of gaps
         both = np.concatenate([self.weights, cut])
         m, v = np.zeros_like(both), np.zeros_like(both)
         for t in range(1, rounds + 1):
             w, cut = both[: len(self.weights)], both[len(self.weights) :]
             thresholds = np.cumsum(np.concatenate([cut[:1], np.exp(cut[1:])]))
-            z = np.bincount(doc, x * w[at], len(rows))
+            z = np.bincount(doc, x * w[at], len(grade))
             above = 1 / (1 + np.exp(-np.clip(z[:, None] - thresholds, -40, 40)))
             edges = np.hstack([np.ones((len(z), 1)), above, np.zeros((len(z), 1))])
             pick = np.arange(len(z))
@@ -150,10 +148,12 @@ class Scale:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_features: int = FEATURES, id_column: str = "doc_id", text_column: str = "text") -> Scale:
-    """Fit on the labelled documents; feature counts cover all of them, the weights a bounded sample."""
+    """Fit features, weights and thresholds on a bounded sample of labelled documents."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
+    first = [own.where(side).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample_rows) for side in (F.col("toxic"), ~F.col("toxic"))]
+    sample = settled(first[0].unionAll(first[1]))  # at most 2 * sample_rows narrow rows
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    labelled = texts.join(own, "doc_id")
+    labelled = texts.join(F.broadcast(sample), "doc_id").select("text", "toxic")
     counts = settled(feature_counts(labelled))
     n = counts.where("feature IS NULL").agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic"), F.coalesce(F.sum("clean"), F.lit(0)).alias("clean")).first()
     if not n["toxic"]:
@@ -164,35 +164,36 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_
     top = top.orderBy(F.desc(strength), "feature").limit(max_features).collect()  # at most max_features rows
     model = Scale([bytes(r["feature"]) for r in top], np.array([r["odds"] > 3.0 for r in top], bool))
 
-    sample = own.withColumn("part", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(5)), 11) / float(1 << 53))
-    sample = sample.where(F.col("part") < F.when(F.col("toxic"), sample_rows / max(1, n["toxic"])).otherwise(sample_rows / max(1, n["clean"])))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, own_texts in byte_slices(batch, "text"):
-                rows = [sent.value.features(t) for t in own_texts]
-                yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float64())), pa.array([r[2] for r in rows], pa.int64())], names=["toxic", "at", "x", "strong"])
-
-    found = texts.join(sample.drop("part"), "doc_id").select("text", "toxic").mapInArrow(extract, "toxic boolean, at array<int>, x array<double>, strong long").toArrow()  # about 2 * sample_rows sparse rows
-    toxic, strong = np.array(found.column("toxic").to_pylist(), bool), np.array(found.column("strong").to_pylist())
-    rows = list(zip(found.column("at").to_pylist(), found.column("x").to_pylist(), strict=True))
+                doc, at, x, strong = sent.value.features(own_texts)
+                edges = pa.array(np.searchsorted(doc, np.arange(len(own_texts) + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.ListArray.from_arrays(edges, pa.array(at.astype(np.int32))), pa.ListArray.from_arrays(edges, pa.array(x)), pa.array(strong, pa.int64())], names=["toxic", "at", "x", "strong"])
+
+    found = labelled.mapInArrow(extract, "toxic boolean, at array<int>, x array<double>, strong long").toArrow().combine_chunks()  # about 2 * sample_rows sparse rows
+    toxic, strong = np.array(found.column("toxic").to_pylist(), bool), np.array(found.column("strong").to_pylist(), np.int64)
+    if not len(toxic) or not model.at:
+        return model
+    at, x = (found.column(c).combine_chunks() for c in ("at", "x"))
+    doc = np.repeat(np.arange(len(toxic)), np.asarray(at.value_lengths()))
     grade = np.where(toxic, np.clip(np.searchsorted(GRADE_WORDS, strong, side="right"), 1, GRADES - 1), 0)
     balance = np.where(toxic, len(toxic) / (2 * max(1, toxic.sum())), len(toxic) / (2 * max(1, (~toxic).sum())))
-    if len(rows) and model.at:
-        model.fit(rows, grade, balance)
+    model.fit(doc, np.asarray(at.flatten(), np.int64), np.asarray(x.flatten(), np.float64), grade, balance)
     return model
 
 
 def _columns(model: Scale, texts: list[bytes | None], threshold: float) -> dict[str, pa.Array]:
-    rows = [model.features(t) for t in texts]
-    p = model.grades(model.sums(rows))
+    doc, at, x, strong = model.features(texts)
+    p = model.grades(model.sums(doc, at, x, len(texts)))
     toxic = 1 - p[:, 0] >= threshold
     return {
         "severity": pa.array(p @ np.arange(GRADES)),
         "grade": pa.array(np.argmax(p, axis=1).astype(np.int32)),
         "toxic_probability": pa.array(1 - p[:, 0]),
-        "n_strong": pa.array([r[2] for r in rows], pa.int64()),
+        "n_strong": pa.array(strong, pa.int64()),
         "toxic": pa.array(toxic),
         "kept": pa.array(~toxic),
     }
