@@ -25,9 +25,9 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def file_stream(rows: DataFrame, path: str, checkpoint: str, layer: str, fmt: str = "parquet", trigger: dict | None = None) -> DataStreamWriter:
-    """Append a stream to partitioned files, by default with all that is there and then stop."""
-    writer = rows.writeStream.format(fmt).option("path", path).option("checkpointLocation", checkpoint).partitionBy(*PARTITIONS[layer])
+def file_stream(rows: DataFrame, path: str, checkpoint: str, layer: str, fmt: str = "parquet", trigger: dict | None = None, keys: tuple[str, ...] | None = None) -> DataStreamWriter:
+    """Append a stream to partitioned files, by default with all that is there and then stop; keys replace the layer's partition columns."""
+    writer = rows.writeStream.format(fmt).option("path", path).option("checkpointLocation", checkpoint).partitionBy(*(keys or PARTITIONS[layer]))
     return writer.outputMode("append").trigger(**(trigger or {"availableNow": True}))
 
 
