@@ -108,7 +108,7 @@ def measure_texts(texts: list[bytes | None], rules: QualityRules) -> dict[str, n
         same = rolled[1:] == rolled[:-1]
         for k in range(n if n == _BASE_WINDOW else 0):  # exact where the count is a contract
             same &= ids[at[1:] + k] == ids[at[:-1] + k]
-        same = np.concatenate([[False], same, [False]])
+        same = np.concatenate([[False], same, [False]])[: len(at) + 1]
         first, later = ~same[:-1] & same[1:], same[:-1]
         if n in rules.top_percent and len(at):
             group = np.cumsum(~same[:-1]) - 1
