@@ -72,6 +72,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d),
+        c AS (SELECT doc_id, p, word, sum(length(word)) OVER (PARTITION BY doc_id ORDER BY p) AS upto, length(word) AS own FROM w),
+        g AS (SELECT d.doc_id, n.n, p.p, array_to_string(d.ws[p.p : p.p + n.n - 1], ' ') AS gram
+              FROM d, (SELECT unnest(range(2, 11)) AS n) n, LATERAL (SELECT unnest(range(1, greatest(len(d.ws) - n.n + 2, 1))) AS p) p),
+        f AS (SELECT *, count(*) OVER (PARTITION BY doc_id, n, gram) AS times, row_number() OVER (PARTITION BY doc_id, n, gram ORDER BY p) AS nth FROM g),
+        covered AS (SELECT DISTINCT doc_id, n, kind, p + unnest(range(0, n)) AS p FROM (
+              SELECT doc_id, n, p, 'later' AS kind FROM f WHERE nth > 1 UNION ALL SELECT doc_id, n, p, 'all' AS kind FROM f WHERE times > 1 AND n = 5)),
+        dup AS (SELECT doc_id, n, sum(own) AS bad FROM covered JOIN c USING (doc_id, p) WHERE kind = 'later' AND n >= 5 GROUP BY ALL),
+        rep AS (SELECT doc_id, count(*) AS n_repeat_words FROM covered WHERE kind = 'all' GROUP BY ALL),
+        top AS (SELECT f.doc_id, f.n, max(times * (e.upto - b.upto + b.own)) AS bad FROM f JOIN c b ON b.doc_id = f.doc_id AND b.p = f.p JOIN c e ON e.doc_id = f.doc_id AND e.p = f.p + f.n - 1
+                WHERE f.n <= 4 AND times > 2 GROUP BY ALL),
+        chars AS (SELECT doc_id, sum(own) AS word_chars FROM c GROUP BY ALL),
+        bad AS (SELECT doc_id, n, bad, word_chars, 100e0 * bad / word_chars AS share, CASE n WHEN 2 THEN 40 WHEN 3 THEN 36 WHEN 4 THEN 32 WHEN 5 THEN 30 WHEN 6 THEN 28 WHEN 7 THEN 26 WHEN 8 THEN 24 WHEN 9 THEN 22 ELSE 20 END AS most
+                FROM (SELECT * FROM dup UNION ALL SELECT * FROM top) JOIN chars USING (doc_id)),
+        worst AS (SELECT doc_id, max(share) AS worst_percent, arg_min(n, (-share, n)) AS worst_ngram, bool_or(100 * bad > most * word_chars) AS failed FROM bad GROUP BY ALL),
+        lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls, t, len(ws) AS n_words FROM d),
+        l AS (SELECT doc_id, n_words, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(list_sum(list_transform(ls, lambda x: strlen(x))), 0) AS all_bytes,
+                     coalesce(list_sum(list_transform(list_distinct(ls), lambda x: strlen(x))), 0) AS one_bytes, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM lines),
+        r AS (SELECT l.doc_id, n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+                     100e0 * (all_bytes - one_bytes) / greatest(all_bytes, 1) AS dup_line_percent, CAST(coalesce(worst_ngram, 0) AS INTEGER) AS worst_ngram, coalesce(worst_percent, 0e0) AS worst_percent,
+                     coalesce(failed, false) OR 100 * (all_bytes - one_bytes) > 40 * all_bytes AS failed
+              FROM l LEFT JOIN chars USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN worst USING (doc_id)),
+        b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM r)
+        SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+               base_failed, dup_line_percent, worst_ngram, worst_percent, NOT base_failed AND NOT failed AS kept FROM b""",
     "op2_warc_salvage": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, strlen(html) AS n, sha256(html) AS digest FROM p),
@@ -80,6 +107,16 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN n >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 100 AND page_id <> first_id THEN first_id END AS refers_to
         FROM g""",
+    "op6_minhash_near_dup": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 2, 1) + 1), lambda i: array_to_string(ws[i : i + 2], ' '))) AS shingle FROM w WHERE len(ws) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY ALL),
+        c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL),
+        k AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+        e AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
+        r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.root AS component_id, d.doc_id = m.root AS kept
+        FROM documents d JOIN (SELECT doc_id, min(root) AS root FROM r GROUP BY ALL) m ON m.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
     "op10_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
