@@ -16,6 +16,7 @@ from ..schemas import CORE_FEATURES
 
 # Model and severity parameters.
 KMEANS = {"k": 3, "maxIter": 20, "seed": 42}
+NO_MODEL_TEXT = "Model not available - check training status"
 ANOMALY_DISTANCE, CRITICAL_DISTANCE, MEDIUM_SHARE, TEXT_SHARE = 1.0, 4.0, 0.5, 0.7
 
 
@@ -138,7 +139,7 @@ def scored_by_model(rows: DataFrame, model: PipelineModel, version: str, time: C
 def scored_without_model(rows: DataFrame, time: Column) -> DataFrame:
     """Score 0 and severity LOW while no model exists."""
     return rows.withColumns(
-        {"anomaly_score": F.lit(0.0), "is_anomaly": F.lit(False), "severity": F.lit("LOW"), "recommendations": F.lit("Model not available - check training status"), "model_version": F.lit("none"), "prediction_timestamp": time}
+        {"anomaly_score": F.lit(0.0), "is_anomaly": F.lit(False), "severity": F.lit("LOW"), "recommendations": F.lit(NO_MODEL_TEXT), "model_version": F.lit("none"), "prediction_timestamp": time}
     )
 
 
