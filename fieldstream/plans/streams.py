@@ -57,16 +57,20 @@ def stream_gold_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.read.parquet(f"{root}/out").select("window_start", "field_id", "location", "sensor_readings_count", "sensor_avg_temperature"))
 
 
-@query(f"WITH {SENSOR_CTE} SELECT field_id, max(epoch_ms(timestamp_parsed)) AS message_time FROM s_ok GROUP BY field_id")
+@query(f"WITH {SENSOR_CTE} SELECT field_id, max(epoch_us(timestamp_parsed)) AS message_time FROM s_ok GROUP BY field_id")
 def stream_latest_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last change of each key's latest value."""
+    """The last change of each key's latest value.
+
+    One batch: state with a processing-time timeout asks for new batches for
+    ever, so a job of it never ends on availableNow.
+    """
     valid = silver.sensor(fixtures.sensor(spark, sf_dir))
-    keyed = valid.select(F.col("field_id").alias("key"), F.unix_millis("timestamp_parsed").alias("message_time"), F.lit(0).alias("part"), F.col("event_id").alias("offset"), silver.message(silver.SENSOR_MESSAGE).alias("value"))
+    keyed = valid.select(F.col("field_id").alias("key"), F.unix_micros("timestamp_parsed").alias("message_time"), F.lit(0).alias("part"), F.col("event_id").alias("offset"), silver.message(silver.SENSOR_MESSAGE).alias("value"))
     rows, root = jobs.stream_of(spark, keyed, "latest")
     changes = f"{root}/out"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(changes)
 
-    jobs.drained(latest_stream(rows, "sensor").writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
+    jobs.drained(latest_stream(rows, "sensor").writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint").trigger(once=True).start())
     return spark.read.parquet(changes).groupBy(F.col("key").alias("field_id")).agg(F.max("message_time").alias("message_time"))

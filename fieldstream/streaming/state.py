@@ -38,7 +38,7 @@ def keep_newest(ttl_seconds: int) -> Callable[[tuple, Iterator[pd.DataFrame], Gr
 
 
 def latest_stream(rows: DataFrame, kind: str) -> DataFrame:
-    """A stream of changes of the latest value of each key; rows have key, message_time (ms), part, offset and value.
+    """A stream of changes of the latest value of each key; rows have key, message_time (microseconds), part, offset and value.
 
     Rows without key are left out. State is bounded by the keys seen within the
     time to live; set the RocksDB state store to keep it off the heap.
