@@ -27,7 +27,6 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import settled
@@ -36,6 +35,8 @@ from .common import settled
 BLOCKS = 1024
 #: Sources that the driver may hold, about 100 bytes each.
 MAX_SOURCES = 1_000_000
+#: Words of an output shard, the fewest shards, and the most entries of the table of quotas.
+SHARD_WORDS, LEAST_SHARDS, MAX_QUOTAS = 10_000_000, 16, 1 << 26
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -63,8 +64,12 @@ def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> n
     return np.vstack([split_quotas(half, left, rng), split_quotas(quotas - half, shards - left, rng)])
 
 
-def planned(docs: DataFrame, shards: int = 16, seed: int = 7, max_repeats: int = 3, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", keep_rows: bool = True) -> DataFrame:
-    """Rows (doc_id, row, size, source_size, target, copies, taken, shards): `row` holds the document where asked for, `shards` the shard of each copy."""
+def planned(docs: DataFrame, shards: int | None = None, seed: int = 7, max_repeats: int = 3, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", keep_rows: bool = True) -> tuple[DataFrame, int]:
+    """Rows (doc_id, row, size, source_size, target, copies, taken, shards), and the number of shards.
+
+    `row` holds the document where asked for, `shards` the shard of each copy.
+    Without a number of shards, it follows the size of the whole.
+    """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(text_column, F.lit(WORD)), F.lit(0)).cast("long")
     key = F.shiftrightunsigned(F.xxhash64(F.col(id_column), F.lit(seed)), 11)
@@ -81,6 +86,8 @@ def planned(docs: DataFrame, shards: int = 16, seed: int = 7, max_repeats: int =
         raise ValueError(f"more than {MAX_SOURCES} sources")
     target = targets([s["size"] for s in sources], [1 + i % 3 for i in range(len(sources))], max_repeats)
     whole = [int(t // s["size"]) if s["size"] else 0 for s, t in zip(sources, target, strict=True)]
+    if shards is None:
+        shards = max(LEAST_SHARDS, min(sum(s["size"] for s in sources) // SHARD_WORDS, MAX_QUOTAS // max(1, len(sources))))
     plan = spark.createDataFrame(
         [(s["source"], s["size"], float(t), w, t - w * s["size"], s["n"]) for s, t, w in zip(sources, target, whole, strict=True)],
         "plan_source string, source_size long, target double, whole int, rest double, n_blocks long",
@@ -91,6 +98,8 @@ def planned(docs: DataFrame, shards: int = 16, seed: int = 7, max_repeats: int =
     ends = np.cumsum(split_quotas(quotas, shards, np.random.default_rng(seed)), axis=0) if len(sources) else np.zeros((shards, 0), np.int64)
     runs = spark.createDataFrame([(s["source"], ends[:, i].tolist()) for i, s in enumerate(sources)], "run_source string, ends array<long>")
     blocks = blocks.join(runs, F.col("source").eqNullSafe(F.col("run_source"))).drop("run_source")
+    of_draw = lambda i: F.least(F.size(F.filter("ends", lambda e: e <= i * F.col("n_blocks") + F.col("nth"))), F.lit(shards - 1))
+    blocks = blocks.withColumn("draws", F.transform(F.sequence(F.lit(0), F.col("whole")), of_draw)).drop("ends")
 
     plain = F.coalesce("source", F.lit(""))  # hash keys that join and window share
     blocks = blocks.withColumn("none", F.col("source").isNull()).withColumn("source", plain)
@@ -99,16 +108,17 @@ def planned(docs: DataFrame, shards: int = 16, seed: int = 7, max_repeats: int =
     within = Window.partitionBy("source", "none", "block").orderBy("key", "doc_id", "size")
     before = F.col("before") + F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     copies = (F.col("whole") + F.when(before + F.col("size") / 2 < F.col("rest"), 1).otherwise(0)).cast("int")
-    shard = F.transform(F.sequence(F.lit(1), F.greatest("copies", F.lit(1))), lambda i: F.size(F.filter("ends", lambda e: e <= (i - 1) * F.col("n_blocks") + F.col("nth"))))
-    return joined.withColumn("copies", copies).select("doc_id", "row", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), F.when(F.col("copies") > 0, F.transform(shard, lambda s: F.least(s, F.lit(shards - 1)))).otherwise(F.array().cast(T.ArrayType(T.IntegerType()))).alias("shards"))
+    out = joined.withColumn("copies", copies).select("doc_id", "row", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), F.slice("draws", F.lit(1), F.col("copies")).alias("shards"))
+    return out, shards
 
 
 def decisions(docs: DataFrame, **options) -> DataFrame:
     """One row a document: doc_id, size, source_size, target, taken and copies."""
-    return planned(docs, keep_rows=False, **options).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return planned(docs, keep_rows=False, **options)[0].select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-def mix(docs: DataFrame, shards: int = 16, seed: int = 7, **options) -> DataFrame:
+def mix(docs: DataFrame, shards: int | None = None, seed: int = 7, **options) -> DataFrame:
     """The mixture: each document as often as it is taken, dealt to shards and shuffled locally; columns as in docs."""
-    rows = planned(docs, shards, seed, **options).select("doc_id", "row", F.posexplode("shards").alias("copy", "shard"))
+    plan, shards = planned(docs, shards, seed, **options)
+    rows = plan.select("doc_id", "row", F.posexplode("shards").alias("copy", "shard"))
     return rows.withColumn("order", F.xxhash64("doc_id", "copy", F.lit(seed))).repartition(shards, "shard").sortWithinPartitions("shard", "order").select("row.*")
