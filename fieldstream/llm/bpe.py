@@ -33,7 +33,7 @@ from .common import byte_slices
 #: Bytes of a leaf of the tree.
 LEAF = 6
 #: Entries of a worker's memory of pieces; it starts anew when full.
-MEMORY = 400_000
+MEMORY = 150_000
 #: A vocabulary file larger than this is not sent to executors.
 MAX_VOCABULARY_BYTES = 64 << 20
 

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zlib
 from collections.abc import Iterator
 from itertools import count
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step handles; a longer single text is handled alone and whole.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 _names = count()
 
@@ -21,15 +24,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def byte_slices(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    """Cut a batch into runs of rows with about `limit` bytes of text; yields each run and its texts as UTF-8 bytes."""
-    texts = batch.column(column).cast(pa.large_binary()).to_pylist()
-    start, held = 0, 0
-    for i, text in enumerate(texts):
-        held += len(text or b"")
-        if held >= limit or i + 1 == len(texts):
-            yield batch.slice(start, i + 1 - start), texts[start : i + 1]
-            start, held = i + 1, 0
+def byte_slices(batch: pa.RecordBatch, column: str, limit: int | None = None) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Cut a batch into runs of rows with about `limit` bytes of text; yields each run and its texts as UTF-8 bytes.
+
+    Only one run at a time becomes Python objects, and freed buffers go back to
+    the system, as workers outlive their tasks.
+    """
+    ends = np.cumsum(np.nan_to_num(np.asarray(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), float)))
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + (limit or STEP_BYTES), side="right")))
+        run = batch.slice(start, stop - start)
+        yield run, run.column(column).cast(pa.large_binary()).to_pylist()
+        start = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: idle Python workers would hold it beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,7 +61,7 @@ def settled(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors, and is computed once."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -76,7 +76,7 @@ def feature_counts(labelled: DataFrame) -> DataFrame:
                     own = counts[1 if toxic else 0]
                     own[None] += 1
                     own.update({f for w in set(words(text)) for f in stems(w)})
-                if len(counts[0]) + len(counts[1]) > 500_000:
+                if len(counts[0]) + len(counts[1]) > 200_000:
                     yield flush()
         yield flush()
 
