@@ -12,10 +12,11 @@ Both factors are softmaxes over hashed features of the history: the last word,
 the last two, and two skips (the word before the last, and the one before that).
 Without feature weights the model is the unigram.
 
-1. One pass numbers the tokens of chunks of text and counts them by chunk; counts
-   are added up by token in a shuffle and joined back to the chunks, so nothing
-   that grows with the vocabulary is broadcast or collected.
-2. Each chunk's documents become arrays of token codes, with base scores.
+1. One pass numbers the tokens of chunks of text, frequent ones first, and counts
+   them by chunk; a window adds the counts up by token, so nothing that grows with
+   the vocabulary is broadcast or collected.
+2. Each chunk, one row of compressed token numbers, meets its tokens' counts and
+   codes; documents get their base scores.
 3. Training covers all training documents once, in ROUNDS slices: tasks run
    mini-batch gradient steps from the shared weights, and their changes are
    averaged by tokens. Weights have a fixed size.
@@ -30,17 +31,17 @@ columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_slices, fold, settled
+from .common import byte_slices, fold, give_back, settled
 
 CLASSES, GROUPS = 16, 16
 #: Classes whose groups are single frequent tokens (the very first group is for unseen tokens).
@@ -49,7 +50,7 @@ SINGLE_CLASSES = 8
 CLASS_BUCKETS, GROUP_BUCKETS = 1 << 14, 1 << 12
 FEATURES = 4
 #: Text bytes of a chunk, and slices of the training documents.
-CHUNK_BYTES, ROUNDS = 16 << 20, 3
+CHUNK_BYTES, ROUNDS = 14 << 20, 2
 STEP_TOKENS, RATE = 8192, 0.7
 #: The end of a document; no word holds a line feed.
 END = b"\n"
@@ -65,40 +66,55 @@ def tokens(text: bytes | None) -> list[bytes]:
     return out
 
 
-_NUMBERED = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.list_(pa.int32())), ("local", pa.int32()), ("token", pa.binary()), ("n", pa.int64())])
-_NUMBERED_SCHEMA = "chunk long, doc_id long, held_out boolean, ids array<int>, local int, token binary, n long"
+_NUMBERED = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("ids", pa.binary()), ("local", pa.int32()), ("token", pa.binary()), ("n", pa.int64())])
+_NUMBERED_SCHEMA = "chunk long, doc_ids array<long>, held_out array<boolean>, sizes array<int>, ids binary, local int, token binary, n long"
+_ENCODED_SCHEMA = "doc_ids array<long>, held_out array<boolean>, sizes array<int>, ids binary, codes binary, known array<long>, log_sum array<double>, tokens long, distinct long, top_codes array<long>, top_counts array<long>, shared_mass array<double>"
+_ZSTD = pa.Codec("zstd")
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers, compressed byte plane by byte plane (small numbers leave empty planes)."""
+    return _ZSTD.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T), asbytes=True)
+
+
+def unpacked(data: bytes, size: int) -> np.ndarray:
+    planes = np.frombuffer(_ZSTD.decompress(data, 4 * size, asbytes=True), np.uint8).reshape(4, size)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """Documents as token numbers by chunk (rows with ids), and each chunk's tokens with training counts (rows with a token)."""
+    """Chunks of documents as token numbers (one row with ids each), and each chunk's tokens with training counts (rows with a token)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close() -> Iterator[pa.RecordBatch]:
-            chunk = TaskContext.get().partitionId() << 32 | next(serial)
-            for start in range(0, len(rows), 500):
-                some = rows[start : start + 500]
-                n = len(some)
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.int64()), pa.array([r[0] for r in some], pa.int64()), pa.array([r[1] for r in some]), pa.array([r[2] for r in some], pa.list_(pa.int32())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], schema=_NUMBERED)
+            chunk = TaskContext.get().partitionId() << 16 | next(serial)  # shifted by 24 bits it still fits in 63
+            flat = np.concatenate([r[2] for r in rows])
+            sizes = np.array([len(r[2]) for r in rows], np.int32)
+            order = np.argsort(-np.bincount(flat, minlength=len(number)), kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            flat = rank[flat].astype(np.int32)
+            counts = np.bincount(flat[np.repeat(~np.array([r[1] for r in rows], bool), sizes)], minlength=len(number))
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), pa.array([[r[1] for r in rows]], pa.list_(pa.bool_())), pa.array([sizes], pa.list_(pa.int32())), pa.array([packed(flat)], pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64())], schema=_NUMBERED)
             words = list(number)
-            for start in range(0, len(words), 100_000):
-                some = words[start : start + 100_000]
+            for start in range(0, len(words), 50_000):
+                some = order[start : start + 50_000]
                 n = len(some)
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.list_(pa.int32())), pa.array(range(start, start + n), pa.int32()), pa.array(some, pa.binary()), pa.array([counts.get(start + i, 0) for i in range(n)], pa.int64())], schema=_NUMBERED)
+                nulls = [pa.nulls(n, t) for t in (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk), pa.int64()), *nulls, pa.array(range(start, start + n), pa.int32()), pa.array([words[i] for i in some.tolist()], pa.binary()), pa.array(counts[start : start + n], pa.int64())], schema=_NUMBERED)
 
         number: dict[bytes, int] = defaultdict(count().__next__)
-        counts, rows, held, serial = Counter(), [], 0, count()
+        rows, held, serial = [], 0, count()
         for batch in batches:
             for part, texts in byte_slices(batch, "text"):
                 for doc_id, held_out, text in zip(part.column("doc_id").to_pylist(), part.column("held_out").to_pylist(), texts, strict=True):
-                    ids = list(map(number.__getitem__, tokens(text)))
-                    if not held_out:
-                        counts.update(ids)
-                    rows.append((doc_id, held_out, np.array(ids, np.int32)))
+                    rows.append((doc_id, held_out, np.fromiter(map(number.__getitem__, tokens(text)), np.int32)))
                     held += len(text or b"")
                 if held >= CHUNK_BYTES:
                     yield from close()
                     number = defaultdict(count().__next__)
-                    counts, rows, held = Counter(), [], 0
+                    rows, held = [], 0
+                    give_back()
         if rows:
             yield from close()
 
@@ -111,8 +127,8 @@ class Model:
     def __init__(self, mass: np.ndarray):
         self.mass = np.maximum(mass, 1e-9)
         groups = self.mass.reshape(CLASSES, GROUPS)
-        self.class_bias = np.log(groups.sum(axis=1)).astype(np.float32)
-        self.group_bias = np.log(groups).astype(np.float32)
+        self.class_bias = np.log(groups.sum(axis=1) / groups.sum()).astype(np.float32)
+        self.group_bias = np.log(groups / groups.max(axis=1, keepdims=True)).astype(np.float32)
         self.class_weights = np.zeros((CLASS_BUCKETS, CLASSES), np.float32)
         self.group_weights = np.zeros((GROUP_BUCKETS * CLASSES, GROUPS), np.float32)
 
@@ -139,7 +155,7 @@ class Model:
             z2 += self.group_weights[b]
         out = []
         for z in (z1, z2):
-            z -= z.max(axis=1, keepdims=True)
+            np.clip(z, -60, 60, out=z)  # biases are shares, so sums stay within what floats hold
             np.exp(z, out=z)
             z /= z.sum(axis=1, keepdims=True)
             out.append(z)
@@ -154,7 +170,7 @@ class Model:
             g = -p
             g[at, true] += 1
             for r in rows:
-                order = np.argsort(r, kind="stable")
+                order = np.argsort(r.astype(np.uint16), kind="stable")  # both tables have at most 2**16 rows, for which numpy sorts by radix
                 first = np.flatnonzero(np.concatenate([[True], np.diff(r[order]) > 0]))
                 n = np.diff(np.append(first, len(r)))
                 weights[r[order[first]]] += rate / FEATURES * np.add.reduceat(g[order], first, axis=0) / (4 + n)[:, None].astype(np.float32)
@@ -168,73 +184,119 @@ class Model:
         return np.log10(np.maximum(p, 1e-300)) - np.log10(self.mass)[group]
 
 
-def _joined(codes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The codes of several documents one after another, and where each starts."""
-    n = np.asarray(codes.value_lengths())
-    return np.asarray(codes.flatten(), np.int32), (np.cumsum(n) - n).astype(np.int64)
-
-
-def _encoded():
-    """The function that turns a chunk's documents and tokens into codes and base sums."""
-
-    def run(docs, words):
-        order = np.argsort(np.asarray(words.column("local")))
-        code = np.asarray(words.column("code"), np.int32)[order]
-        known = np.asarray(words.column("c"), np.int64)[order]
-        log = np.log10(known + 0.5)
-        ids, starts = _joined(docs.column("ids").combine_chunks())
-        n = np.diff(np.append(starts, len(ids)))
-        sums = np.add.reduceat(log[ids], starts) if len(ids) else np.zeros(0)
-        seen = np.add.reduceat((known[ids] > 0).astype(np.int64), starts) if len(ids) else np.zeros(0, np.int64)
-        out = pa.ListArray.from_arrays(pa.array(np.append(starts, len(ids)).astype(np.int32)), pa.array(code[ids]))
-        return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(seen, pa.int64()), "log_sum": pa.array(sums, pa.float64()), "codes": out, "slice": pa.array(np.arange(len(n)) % ROUNDS, pa.int32())})
-
-    return run
-
-
-def fit_and_encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", held_out_fold: int = 1) -> tuple[DataFrame, Model, int, int]:
-    """Encoded documents, the trained model, and the numbers of training tokens and of distinct ones."""
+def _encoded(chunk, words):
+    """A chunk's row with base sums and token codes, and sums over the tokens whose first row it holds."""
+    packs = np.asarray(words.column("packed"), np.int64)  # local number, whether it is the token's first row, and its code
+    local = np.argsort(packs)
+    packs, counts = packs[local], np.asarray(words.column("c"), np.int64)[local]
+    code = np.where(counts > 0, np.maximum(packs & 0xFFFFFFFF, 1), 0)
+    sizes = np.asarray(chunk.column("sizes").combine_chunks().flatten())
+    ids = unpacked(chunk.column("ids")[0].as_py(), int(sizes.sum()))
+    starts = np.cumsum(sizes) - sizes
+    log_sum = np.add.reduceat(np.log10(counts + 0.5)[ids], starts)
+    known = np.add.reduceat((counts[ids] > 0).astype(np.int64), starts)
+    own = (packs >> 32 & 1 == 1) & (counts > 0)
+    own_code, own_count = code[own], counts[own]
+    most = np.lexsort((own_code, -own_count))[: 4 * _SINGLES]
+    mass = np.bincount((own_code >> 14) % _SHARED, own_count + 0.5, _SHARED)
+    return pa.table(
+        {
+            "doc_ids": chunk.column("doc_ids"),
+            "held_out": chunk.column("held_out"),
+            "sizes": chunk.column("sizes"),
+            "ids": chunk.column("ids"),
+            "codes": pa.array([packed(code)], pa.binary()),
+            "known": pa.array([known], pa.list_(pa.int64())),
+            "log_sum": pa.array([log_sum], pa.list_(pa.float64())),
+            "tokens": pa.array([int(own_count.sum())], pa.int64()),
+            "distinct": pa.array([len(own_count)], pa.int64()),
+            "top_codes": pa.array([own_code[most]], pa.list_(pa.int64())),
+            "top_counts": pa.array([own_count[most]], pa.list_(pa.int64())),
+            "shared_mass": pa.array([mass], pa.list_(pa.float64())),
+        }
+    )
+
+
+def _masses(encoded: DataFrame) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Training tokens, distinct ones, the codes of single-token groups and the masses of all groups; a fixed number of rows reaches the driver.
+
+    A group is a function of a token's code, so tokens of one code share a group
+    and the model stays normalised.
+    """
+    total, distinct = encoded.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    shared = encoded.select(F.posexplode("shared_mass").alias("at", "mass")).groupBy("at").agg(F.sum("mass").alias("mass")).collect()
+    pairs = encoded.select(F.explode(F.arrays_zip("top_codes", "top_counts")).alias("t")).select("t.top_codes", "t.top_counts")
+    top = pairs.groupBy("top_codes").agg(F.sum("top_counts").alias("c"), F.count("*").alias("n")).orderBy(F.desc("c"), "top_codes").limit(_SINGLES - 1).collect()
+    mass = np.zeros(CLASSES * GROUPS)
+    mass[0] = 0.5
+    for r in shared:
+        mass[_SINGLES + r["at"]] = r["mass"]
+    for i, r in enumerate(top):
+        own = r["c"] + 0.5 * r["n"]
+        mass[i + 1] = own
+        mass[_SINGLES + (r["top_codes"] >> 14) % _SHARED] -= own
+    return int(total), int(distinct), np.array([r["top_codes"] for r in top], np.int64), mass
+
+
+def coded(codes: np.ndarray, singles: np.ndarray) -> np.ndarray:
+    """Feature bits and group of each code: hash in the low 14 bits, group above."""
+    group = _SINGLES + (codes.astype(np.int64) >> 14) % _SHARED
+    if len(singles):
+        order = np.argsort(singles)
+        at = np.minimum(np.searchsorted(singles[order], codes), len(singles) - 1)
+        group = np.where(singles[order][at] == codes, order[at] + 1, group)
+    group[codes == 0] = 0
+    return ((codes.astype(np.int64) & 0x3FFF) | group << 14).astype(np.int32)
+
+
+def _documents(batch: pa.RecordBatch, i: int, singles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The codes of a chunk's documents one after another, their sizes, and which are held out."""
+    sizes = np.asarray(batch.column("sizes")[i].values)
+    ids = unpacked(batch.column("ids")[i].as_py(), int(sizes.sum()))
+    table = coded(unpacked(batch.column("codes")[i].as_py(), int(ids.max()) + 1), singles)
+    return table[ids], sizes, np.array(batch.column("held_out")[i].as_py(), bool)
+
+
+def fit_and_encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", held_out_fold: int = 1) -> tuple[DataFrame, Model, np.ndarray, int, int]:
+    """Encoded chunks, the trained model, the codes of single-token groups, and the numbers of training tokens and of distinct ones."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).select("doc_id", (fold() == held_out_fold).alias("held_out"), "text")
     both = settled(numbered(rows))
-    words = both.where("token IS NOT NULL").select(F.col("chunk").alias("chunk"), "local", "token", "n")
-    counts = settled(words.groupBy("token").agg(F.sum("n").alias("c")).where("c > 0"))
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "token").limit(_SINGLES - 1).collect()  # a fixed number of rows
-    singles = spark.createDataFrame([(bytes(r["token"]), i + 1) for i, r in enumerate(top)], "token binary, single int")
-    shared = (F.lit(_SINGLES) + F.crc32(F.substring("token", -3, 3)) % _SHARED).cast("int")
-    grouped = counts.join(F.broadcast(singles), "token", "left").select("token", "c", F.coalesce("single", shared).alias("group"))
-    mass = np.zeros(CLASSES * GROUPS)
-    mass[0] = 0.5
-    for r in grouped.groupBy("group").agg(F.sum(F.col("c") + 0.5).alias("mass")).collect():  # a row for each group
-        mass[r["group"]] = r["mass"]
-    code = (F.crc32("token") % (1 << 14)).cast("int").bitwiseOR(F.shiftleft(F.coalesce("group", F.lit(0)), 14)).alias("code")
-    words = words.join(grouped, "token", "left").select("chunk", "local", F.coalesce("c", F.lit(0)).alias("c"), code)
-    texts = both.where("ids IS NOT NULL").select(F.col("chunk").alias("chunk"), "doc_id", "held_out", "ids")
-    encoded = texts.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(_encoded(), "doc_id long, held_out boolean, n_tokens long, n_known long, log_sum double, codes array<int>, slice int")
-    encoded = settled(encoded)
+    of_token = Window.partitionBy("token")
+    place = F.shiftleft("chunk", 24).bitwiseOR(F.col("local").cast("long"))  # few wide columns keep the shuffles small
+    words = both.where("token IS NOT NULL").select(place.alias("place"), "token", F.col("n").cast("int").alias("n"))
+    first = (F.row_number().over(of_token.orderBy("place")) == 1).cast("long")
+    low = F.shiftleft(F.col("place").bitwiseAND(F.lit((1 << 24) - 1)), 33).bitwiseOR(F.shiftleft(first, 32)).bitwiseOR(F.crc32("token"))
+    words = words.select(F.shiftright("place", 24).alias("chunk"), F.sum("n").over(of_token).alias("c"), low.alias("packed"))
+    chunks = both.where("ids IS NOT NULL").select(F.col("chunk").alias("chunk"), "doc_ids", "held_out", "sizes", "ids")
+    encoded = settled(chunks.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(_encoded, _ENCODED_SCHEMA))
+    total, distinct, singles, mass = _masses(encoded)
 
     model = Model(mass)
     for turn in range(ROUNDS if total else 0):
-        sent = spark.sparkContext.broadcast(model)  # fixed size, about 5 MB
-        changes = encoded.where(~F.col("held_out") & (F.col("slice") == turn)).select("codes").mapInArrow(_train(sent, RATE / (1 + turn)), "tokens double, class_weights binary, group_weights binary")
+        sent = spark.sparkContext.broadcast((model, singles))  # fixed size, about 5 MB
+        changes = encoded.select("held_out", "sizes", "ids", "codes").mapInArrow(_train(sent, turn, RATE / (1 + turn)), "tokens double, class_weights binary, group_weights binary")
         model.class_weights, model.group_weights = _averaged(changes, model)
         sent.unpersist()
-    return encoded, model, int(total), int(distinct)
+    return encoded, model, singles, total, distinct
 
 
-def _train(sent, rate: float):
+def _train(sent, turn: int, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared: Model = sent.value
+        shared, singles = sent.value
         own = Model(shared.mass)
         own.class_weights, own.group_weights = shared.class_weights.copy(), shared.group_weights.copy()
         seen = 0
         for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                codes, starts = _joined(batch.column("codes").slice(start, 64))
-                hashed = own.features(codes.astype(np.uint32) & np.uint32(0x3FFF), starts)
-                for i in range(0, len(codes), STEP_TOKENS):
-                    own.step(codes[i : i + STEP_TOKENS], [h[i : i + STEP_TOKENS] for h in hashed], rate)
+            for i in range(batch.num_rows):
+                codes, sizes, held_out = _documents(batch, i, singles)
+                use = ~held_out & (np.arange(len(sizes)) % ROUNDS == turn)
+                codes, sizes = codes[np.repeat(use, sizes)], sizes[use]
+                if not len(codes):
+                    continue
+                hashed = own.features(codes.astype(np.uint32) & np.uint32(0x3FFF), np.cumsum(sizes) - sizes)
+                for k in range(0, len(codes), STEP_TOKENS):
+                    own.step(codes[k : k + STEP_TOKENS], [h[k : k + STEP_TOKENS] for h in hashed], rate)
                 seen += len(codes)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([own.class_weights.astype(np.float16).tobytes()], pa.binary()), pa.array([own.group_weights.astype(np.float16).tobytes()], pa.binary())], names=["tokens", "class_weights", "group_weights"])
@@ -271,19 +333,23 @@ def _averaged(changes: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]
 
 def scored(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", held_out_fold: int = 1) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10)."""
-    encoded, model, total, distinct = fit_and_encode(docs, id_column, text_column, held_out_fold)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    encoded, model, singles, total, distinct = fit_and_encode(docs, id_column, text_column, held_out_fold)
+    sent = docs.sparkSession.sparkContext.broadcast((model, singles))
     norm = math.log10(total + 0.5 * (distinct + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, singles = sent.value
         for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                part = batch.slice(start, 64)
-                codes, starts = _joined(part.column("codes"))
-                hashed = sent.value.features(codes.astype(np.uint32) & np.uint32(0x3FFF), starts)
-                place = np.concatenate([sent.value.score(codes[i : i + STEP_TOKENS], [h[i : i + STEP_TOKENS] for h in hashed]) for i in range(0, len(codes), STEP_TOKENS)])
-                score = np.add.reduceat(place, starts) + np.asarray(part.column("log_sum"))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "log_sum")), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "log_sum", "score"])
-
-    found = encoded.select("doc_id", "held_out", "n_tokens", "n_known", "log_sum", "codes").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, log_sum double, score double")
+            for i in range(batch.num_rows):
+                codes, sizes, _ = _documents(batch, i, singles)
+                starts = np.cumsum(sizes) - sizes
+                hashed = model.features(codes.astype(np.uint32) & np.uint32(0x3FFF), starts)
+                place = np.concatenate([model.score(codes[k : k + STEP_TOKENS], [h[k : k + STEP_TOKENS] for h in hashed]) for k in range(0, len(codes), STEP_TOKENS)])
+                log_sum = np.asarray(batch.column("log_sum")[i].values)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_ids")[i].values, batch.column("held_out")[i].values, pa.array(sizes, pa.int64()), batch.column("known")[i].values, pa.array(log_sum), pa.array(np.add.reduceat(place, starts) + log_sum)],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "log_sum", "score"],
+                )
+
+    found = encoded.select("doc_ids", "held_out", "sizes", "ids", "codes", "known", "log_sum").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, log_sum double, score double")
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("log_sum") - F.col("n_tokens") * norm).alias("base_score"), "score")
