@@ -12,13 +12,17 @@ A document's set holds its distinct word shingles; documents are linked where
    adapts to the region, and its nodes are also compared with the centres of its
    largest leaves. In a leaf the longest-common-prefix neighbours are compared by
    signature; each node proposes its most similar neighbours, the leaf's centre
-   and the edges of a maximum spanning forest: linear in the leaf's size.
+   and the edges of a maximum spanning forest: linear in the leaf's size. These
+   first proposals only join quickly what is alike; step 4 looks at all the rest.
 3. Proposed links fall into groups, the components of all proposals, found by
    large-star and small-star rounds. Groups are packed into buckets of bounded
    size, and each node's full set is sent to its bucket once; there the links are
    confirmed on full sets, best first, where their ends are not yet connected.
    A group beyond the bound is confirmed by joins instead: each node's best link,
    then all links whose ends are still in different components.
+4. Then all pairs of each region of the first depth that may be links, are still
+   in different components and were not checked yet are proposed and confirmed in
+   the same way, where the region has at most `leaf` nodes.
 
 Nothing but counts reaches the driver, no group is gathered in one task beyond
 `leaf` nodes, and hot regions, hubs and digests are split by salt or by AQE.
@@ -214,9 +218,94 @@ def _stars(percent: int, least: float):
     return run
 
 
-def candidates(nodes: DataFrame, percent: int, leaf: int = LEAF) -> DataFrame:
-    """Proposed links (a, b, estimate) between nodes (node, n_shingles, signature)."""
-    least = percent / 100 - ERRORS * (percent / 100 * (1 - percent / 100) / SLOTS) ** 0.5
+def crossing(component: np.ndarray, side: np.ndarray, sizes: np.ndarray, slots: np.ndarray, percent: int, least: float) -> list[np.ndarray]:
+    """All pairs (two positions and an estimate) of one cell that may be links and whose ends are in different components; pairs of one side are left to another cell, unless the side is 2."""
+    names, own, counts = np.unique(component, return_inverse=True, return_counts=True)
+    left, right, estimates = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+    done = np.zeros(len(own), bool)
+    for i in np.flatnonzero(own != counts.argmax()).tolist():
+        done[i] = True
+        fits = 100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])
+        others = np.flatnonzero(~done & (own != own[i]) & ((side != side[i]) | (side == 2)) & fits)
+        estimate = agreement(slots[i], slots[others])
+        good = estimate >= least
+        left.append(np.full(int(good.sum()), i))
+        right.append(others[good])
+        estimates.append(estimate[good])
+    return [np.concatenate(left), np.concatenate(right), np.concatenate(estimates)]
+
+
+def _crossings(percent: int, least: float):
+    """A function over rows sorted by cell: the pairs of each cell that may be links between components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in chain(batches, [None]):
+            if batch is not None and batch.num_rows:
+                held.append(batch)
+            if not held or (batch is not None and (not batch.num_rows or sum(b.num_rows for b in held) < 4096)):
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            cell, component, side, ids, sizes = (np.asarray(table.column(c)) for c in ("cell", "component", "side", "node", "n_shingles"))
+            starts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+            if batch is not None:  # the last cell may go on
+                starts.pop()
+            rest = starts[-1]
+            held = table.slice(rest).to_batches() if rest < len(cell) else []
+            slots = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(len(ids), SLOTS)
+            for i, j in zip(starts, starts[1:], strict=False):
+                x, y, estimate = crossing(component[i:j], side[i:j], sizes[i:j], slots[i:j], percent, least)
+                a, b = ids[i + x], ids[i + y]
+                for k in range(0, len(a), 20_000):
+                    few = slice(k, k + 20_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[few]), pa.array(np.maximum(a, b)[few]), pa.array(estimate[few])], names=["a", "b", "estimate"])
+
+    return run
+
+
+def unlinked(nodes: DataFrame, regions: DataFrame, named: DataFrame, percent: int, leaf: int = LEAF) -> DataFrame:
+    """All pairs (a, b, estimate) that share one of regions (tree, region, node), may be links, and are in different components of named (node, component).
+
+    A region of more than `leaf` nodes is dealt into blocks of half as many, and
+    each pair of blocks is a cell of its own. Its largest component's blocks are
+    not compared with each other.
+    """
+    rows = settled(regions.join(named, "node", "left").select("tree", "region", "node", F.coalesce("component", "node").alias("component")))
+    parts = rows.groupBy("tree", "region", "component").agg(F.count("*").alias("n"))
+    parts = parts.groupBy("tree", "region").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("major"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda n: F.ceil(n / (leaf / 2)).cast("long")
+    at = rows.join(parts, ["tree", "region"]).select("*", (F.col("component") != F.col("major.component")).alias("minor"), blocks(F.col("n") - F.col("major.n")).alias("minors"), blocks(F.col("major.n")).alias("majors"))
+    whole, code = F.col("n") <= leaf, F.xxhash64("node")
+    block = F.when(whole, 0).when(F.col("minor"), F.pmod(code, "minors")).otherwise(F.col("minors") + F.pmod(code, "majors"))
+    others = F.when(whole, 0).when(F.col("minor"), F.col("minors") + F.col("majors") - 1).otherwise(F.col("minors") - 1)
+    cells = at.select("tree", "region", "node", "component", block.cast("long").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), others.cast("long"))).alias("other"))
+    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
+    cells = cells.select(F.xxhash64("tree", "region", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), side.alias("side"), "node", "component")
+    full = cells.join(nodes, "node").repartition("cell").sortWithinPartitions("cell")
+    found = full.select("cell", "side", "node", "component", "n_shingles", "signature").mapInArrow(_crossings(percent, least_estimate(percent)), "a long, b long, estimate float")
+    return found.groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
+
+
+def merged(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Rows (node, component) of what the components of both (node, component) reach together."""
+    of = lambda side: first.select(F.col("node").alias(side), F.col("component").alias(f"{side}_in"))
+    ends = second.select(F.col("node").alias("a"), F.col("component").alias("b")).join(of("a"), "a", "left").join(of("b"), "b", "left")
+    links = settled(ends.select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b")).where("a <> b").distinct())
+    if links.isEmpty():
+        return first
+    again = components(links).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    alone = second.join(first, "node", "left_anti").select("node", F.col("node").alias("component"))
+    return first.unionByName(alone).join(again, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+
+
+def least_estimate(percent: int) -> float:
+    """The estimate below which a pair is no link but by rare chance."""
+    return percent / 100 - ERRORS * (percent / 100 * (1 - percent / 100) / SLOTS) ** 0.5
+
+
+def candidates(nodes: DataFrame, percent: int, leaf: int = LEAF) -> tuple[DataFrame, DataFrame]:
+    """Proposed links (a, b, estimate) between nodes (node, n_shingles, signature), and the regions (tree, region, node) of the first depth."""
+    least = least_estimate(percent)
     twice = F.concat("signature", "signature")
     step = 2 * (SLOTS // TREES)
     rows = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), twice.alias("path"))
@@ -228,6 +317,9 @@ def candidates(nodes: DataFrame, percent: int, leaf: int = LEAF) -> DataFrame:
         sizes = settled(whole.groupBy("tree", "region").agg(F.count("*").alias("n")).where("n > 1"))
         big = settled(sizes.where(F.col("n") > leaf).select("tree", "region"))  # few, so that paths need no shuffle
         at = whole.select("tree", "region", "node").join(sizes, ["tree", "region"])
+        if level == 0:
+            at = settled(at)
+            regions = at.where(F.col("n") <= leaf).select("tree", "region", "node")
         small = at.where(F.col("n") <= leaf)
         if last:  # nodes that agree on all these slots: leaves of chunks, and each node against its region's centres
             chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / (leaf / 2)).cast("long"))
@@ -246,7 +338,7 @@ def candidates(nodes: DataFrame, percent: int, leaf: int = LEAF) -> DataFrame:
     else:
         level = len(DEPTHS) - 1
     if level == 0:
-        return edges[0]
+        return edges[0], regions
     # centres of the largest leaves below each large region
     above = F.array(*[F.expr(f"substring(region, 1, {2 * d})") for d in DEPTHS[:level]])
     under = all_centres.withColumn("own", F.col("region")).withColumn("region", F.explode(above)).where(F.octet_length("own") > F.octet_length("region"))
@@ -259,7 +351,7 @@ def candidates(nodes: DataFrame, percent: int, leaf: int = LEAF) -> DataFrame:
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
-    return out
+    return out, regions
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -339,9 +431,9 @@ def _bucket_components(percent: int):
             return n
 
         estimate = np.asarray(edges.column("estimate"))
-        pairs = list(zip(edges.column("a").to_pylist(), edges.column("b").to_pylist(), strict=True))
-        for i in np.argsort(-estimate, kind="stable").tolist():
-            a, b = pairs[i]
+        left, right = np.asarray(edges.column("a")), np.asarray(edges.column("b"))
+        for i in np.argsort(-estimate, kind="stable"):
+            a, b = int(left[i]), int(right[i])
             x, y = find(a), find(b)
             if x != y:
                 common = len(np.intersect1d(of[a], of[b], assume_unique=True))
@@ -375,7 +467,8 @@ def _by_joins(edges: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 def resolved(proposed: DataFrame, sizes: DataFrame, docs: DataFrame, width: int, percent: int, id_column: str, text_column: str, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """Rows (node, component) for the nodes of proposed links (a, b, estimate), confirmed on full sets; sizes has (node, n_shingles)."""
     groups = settled(components(proposed).withColumnRenamed("component", "group"))
-    weight = groups.join(sizes, "node").groupBy("group").agg(F.sum("n_shingles").alias("weight"))
+    edges_in = proposed.join(groups.select(F.col("node").alias("a"), "group"), "a").select("group", F.lit(1).cast("long").alias("n_shingles"))  # a link takes memory like a shingle
+    weight = groups.join(sizes, "node").select("group", "n_shingles").unionByName(edges_in).groupBy("group").agg(F.sum("n_shingles").alias("weight"))
     large = settled(weight.where(F.col("weight") > group_shingles).select("group", F.lit(True).alias("large")))
     total = weight.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
     full = settled(_set_rows(docs, groups.select("node"), width, id_column, text_column))
@@ -394,8 +487,13 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80, leaf: int = LEAF
     sets = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     sets = settled(sets)
     nodes = sets.select("node", "n_shingles", "signature")
-    proposed = settled(candidates(nodes, percent, leaf).groupBy("a", "b").agg(F.max("estimate").alias("estimate")))
+    edges, regions = candidates(nodes, percent, leaf)
+    proposed = settled(edges.groupBy("a", "b").agg(F.max("estimate").alias("estimate")))
     joined = settled(resolved(proposed, nodes.select("node", "n_shingles"), docs, width, percent, id_column, text_column).dropDuplicates(["node"]))
+    rest = settled(unlinked(nodes, regions, joined, percent, leaf).join(proposed.select("a", "b"), ["a", "b"], "left_anti"))  # proposed links between components have failed
+    if not rest.isEmpty():
+        more = settled(resolved(rest, nodes.select("node", "n_shingles"), docs, width, percent, id_column, text_column).dropDuplicates(["node"]))
+        joined = settled(merged(joined, more))
     named = sets.where("copies > 1").select("digest", "node").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     out = rows.select("doc_id", "n_shingles", "digest", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")).join(named.hint("merge"), ["digest", "salt"], "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("node"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))

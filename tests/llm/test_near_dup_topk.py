@@ -56,6 +56,22 @@ def test_classes_equal_brute_force(spark, width, percent, leaf, group, monkeypat
     assert found == brute(rows, width, percent)
 
 
+def templated(pairs):
+    """Documents that all agree on 82.6 percent of their words, and each with one partner on 85.7."""
+    core = [f"c{k}" for k in range(200)]
+    for i in range(2 * pairs):
+        own = [f"p{i // 2}_{k}" for k in range(4)] + [f"o{i}_{k}" for k in range(17)]
+        yield i, " ".join(core + own)
+
+
+@pytest.mark.parametrize("leaf", [1024])
+def test_links_among_many_near_misses(spark, leaf):
+    rows = list(templated(75))
+    docs = spark.createDataFrame([(*r, "x") for r in rows], DOCS)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.classes(docs, 1, 85, leaf).collect()}
+    assert found == brute(rows, 1, 85)
+
+
 def test_classes_of_odd_rows(spark):
     docs = spark.createDataFrame([(None, "a b c d e f", "x"), (2, "a b c d e f", "x"), (2, "a b c d e f", "x"), (7, "a b c d e f", "x")], DOCS)
     rows = near_dup.classes(docs).collect()
