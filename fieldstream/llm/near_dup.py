@@ -22,7 +22,10 @@ A document's set holds its distinct word shingles; documents are linked where
    then all links whose ends are still in different components.
 4. Then all pairs of each region of the first depth that may be links, are still
    in different components and were not checked yet are proposed and confirmed in
-   the same way, where the region has at most `leaf` nodes.
+   the same way. A region of more than `leaf` nodes is compared block by block,
+   each pair of blocks in a task of its own; the blocks of its largest component
+   are not compared with each other. This is quadratic only in the nodes of a
+   region that the first links leave apart.
 
 Nothing but counts reaches the driver, no group is gathered in one task beyond
 `leaf` nodes, and hot regions, hubs and digests are split by salt or by AQE.
@@ -319,7 +322,7 @@ def candidates(nodes: DataFrame, percent: int, leaf: int = LEAF) -> tuple[DataFr
         at = whole.select("tree", "region", "node").join(sizes, ["tree", "region"])
         if level == 0:
             at = settled(at)
-            regions = at.where(F.col("n") <= leaf).select("tree", "region", "node")
+            regions = at.select("tree", "region", "node")
         small = at.where(F.col("n") <= leaf)
         if last:  # nodes that agree on all these slots: leaves of chunks, and each node against its region's centres
             chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / (leaf / 2)).cast("long"))

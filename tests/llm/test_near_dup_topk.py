@@ -64,7 +64,7 @@ def templated(pairs):
         yield i, " ".join(core + own)
 
 
-@pytest.mark.parametrize("leaf", [1024])
+@pytest.mark.parametrize("leaf", [1024, 16])
 def test_links_among_many_near_misses(spark, leaf):
     rows = list(templated(75))
     docs = spark.createDataFrame([(*r, "x") for r in rows], DOCS)
