@@ -3,9 +3,9 @@
 Short passages of well-known licences are indexed by word: each word has
 postings (template, position). One pass counts in how many documents each indexed
 word stands (the vocabulary is small, so these counts are few). A second pass
-looks up each document's highest-IDF indexed words, turns every (place in the
-document, posting) into a relative position, and intersects the postings that
-agree on it: a template whose rare words stand at the same distances is a
+looks up each document's rare indexed words, turns every (place in the document,
+posting) into a relative position, and intersects the postings that agree on it,
+so that no licence takes another's place: a template whose rare words stand at the same distances is a
 candidate. It becomes a label when its mandatory key phrases stand, word for
 word, near the place where it aligns.
 
@@ -110,12 +110,11 @@ def places(ids: np.ndarray, phrase: np.ndarray) -> np.ndarray:
 
 
 def aligned(index: Index, idf: np.ndarray, rare: np.ndarray, ids: np.ndarray, rare_words: int, least: float, slack: int) -> tuple[set[str], float]:
-    """Labels and the best score of one document, from its highest-IDF words."""
+    """Labels and the best score of one document, from its rare words."""
     at = np.flatnonzero(np.concatenate([rare, [False, False]])[ids])
     present = np.unique(ids[at])
-    chosen = present[np.lexsort((present, -idf[present]))][:rare_words]
     votes: dict[tuple[int, int], set[int]] = {}
-    for w in chosen.tolist():
+    for w in present.tolist():
         here = at[ids[at] == w].tolist()
         for t, q in index.postings.get(w, ()):
             for p in here:
@@ -123,7 +122,7 @@ def aligned(index: Index, idf: np.ndarray, rare: np.ndarray, ids: np.ndarray, ra
     labels, best = set(), 0.0
     for (t, start), agreed in votes.items():
         passage = index.passages[t]
-        if len(agreed) < 2 and len(chosen) > 1:
+        if len(agreed) < 2 and len(present) > 1:
             continue
         score = float(sum(idf[w] for w in agreed) / sum(sorted((idf[w] for w in set(passage.tolist()) if rare[w]), reverse=True)[:rare_words]))
         if score < least or (index.labels[t] in labels and score <= best):
@@ -207,8 +206,8 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, base: tup
     """One row of labels a document (SCAN_SCHEMA).
 
     common_share: words in more than this share of documents are only looked up
-    where a template has too few others; rare_words: words looked up a document; least_score: share of a
-    template's IDF that must agree on one relative position; slack: words around
+    where a template has too few others; rare_words: words of a template whose IDF is its whole; least_score: share of
+    that IDF that must agree on one relative position; slack: words around
     the aligned place in which the key phrases must stand.
     """
     index = Index(templates, base)

@@ -10,6 +10,14 @@ from fieldstream.llm import langid, licences, maxent_lm, toxicity
 DOCS = "doc_id long, text string, lang string, source string, score int"
 
 
+def test_license_of_several_in_one_file(spark):
+    notices = [t.passage for t in licences.TEMPLATES]
+    texts = [" and then other plain prose ".join(notices), *["plain prose of another kind"] * 60]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, component_id string")
+    rows = {r["doc_id"]: r for r in licences.scan(docs).collect()}
+    assert rows[0]["labels"].split(",") == sorted({t.label for t in licences.TEMPLATES}) and rows[1]["labels"] == ""
+
+
 def test_license_base_and_labels(spark):
     texts = ["Released under the MIT License.", "see the Apache-License and MIT license; mit license", None, "", "GNU General Public License", "Licensed under CC BY-NC 4.0.", "the of and to", "plain words " * 50, "mit  license" * 3]
     docs = spark.createDataFrame([(i, t, None, None, 1) for i, t in enumerate(texts)], DOCS)
