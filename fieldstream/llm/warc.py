@@ -106,8 +106,13 @@ def write(pages: DataFrame, path: str, id_column: str = "page_id", url_column: s
 
 def parse_record(data: bytes, start: int) -> tuple[dict | None, int, str]:
     """The record at start and its end, or None, start and the failed check."""
+    if not data.startswith(_VERSION, start) or data.find(b"\r\n", start, start + 64) < 0:
+        return None, start, "no header"
     head_end = data.find(b"\r\n\r\n", start, start + (1 << 16))
-    if not data.startswith(_VERSION, start) or head_end < 0:
+    if head_end < 0:  # a long header ends before the next version line
+        stop = data.find(b"\r\n" + _VERSION, start)
+        head_end = data.find(b"\r\n\r\n", start, stop if stop >= 0 else len(data))
+    if head_end < 0:
         return None, start, "no header"
     lines = data[start:head_end].split(b"\r\n")[1:]
     if any(b":" not in x for x in lines):

@@ -20,6 +20,15 @@ def test_round_trip(spark):
     assert next(r for r in warc.records(found).collect() if r["page_id"] == 9)["payload"].decode() == "é" * 60_000
 
 
+def test_round_trip_of_long_addresses(spark):
+    rows = [(1, "http://a/" + "x" * 100_000, "one", 1), (2, "http://a/" + "é" * 40_000, "two", 1), (3, "u", "three", 1)]
+    path = shared_dir(spark)
+    warc.write(spark.createDataFrame(rows, PAGES), path)
+    found = warc.read(spark, path).cache()
+    assert warc.gaps(found).count() == 0
+    assert sorted((r["page_id"], len(r["url"]), r["payload"].decode()) for r in warc.records(found).collect()) == [(1, 100_009, "one"), (2, 9 + 6 * 40_000, "two"), (3, 1, "three")]
+
+
 def test_no_pages(spark):
     path = shared_dir(spark)
     warc.write(spark.createDataFrame([], PAGES), path)
