@@ -50,7 +50,7 @@ SINGLE_CLASSES = 8
 CLASS_BUCKETS, GROUP_BUCKETS = 1 << 14, 1 << 12
 FEATURES = 4
 #: Text bytes of a chunk, and slices of the training documents.
-CHUNK_BYTES, ROUNDS = 14 << 20, 2
+CHUNK_BYTES, ROUNDS = 14 << 20, 3
 STEP_TOKENS, RATE = 8192, 0.7
 #: The end of a document; no word holds a line feed.
 END = b"\n"

@@ -122,3 +122,7 @@ def test_language_model_is_normalised():
 def test_language_model_of_nothing(spark):
     docs = spark.createDataFrame([], DOCS)
     assert maxent_lm.scored(docs).count() == 0
+
+
+def test_lm_trains_in_three_rounds():
+    assert maxent_lm.ROUNDS == 3
