@@ -6,11 +6,18 @@ boundary and widening it until the tokens outside provably stay. The proof is
 local: a token sequence is the encoding of its bytes if and only if each pair of
 adjacent tokens is the encoding of that pair's bytes, so once the pairs at both
 edges of the window hold, everything outside is settled. A piece is therefore
-encoded as a balanced tree of joins over short leaves, in any grouping, and
-decoding concatenates bytes up the same tree.
+encoded as a tree of joins over short leaves, and decoding concatenates bytes up
+a tree over runs of ids.
+
+A window doubles where its edge does not hold, so a join costs no more than a
+few encodings of what it changes. Long windows only arise in periodic bytes (a
+run of one letter has no place where encodings meet); they are encoded by
+merging all places of the least rank at once, or by a heap where a merge makes a
+pair of lower rank. Cuts are at powers of two times a leaf, where such runs meet.
 
 Each match of the split pattern is a piece of its own. Pieces, windows and pairs
-are remembered per Python worker, up to a fixed number of entries.
+of at most SHORT bytes are remembered per Python worker, up to a fixed number of
+entries.
 
 Defined results: a null text counts as empty; an empty text has no tokens, and
 the digests are those of the empty string. Repeated rows give repeated results.
@@ -21,8 +28,10 @@ from __future__ import annotations
 import base64
 from collections.abc import Callable, Iterator
 from hashlib import sha256
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -30,13 +39,17 @@ from pyspark.sql import functions as F
 
 from .common import byte_slices
 
-#: Bytes of a leaf of the tree.
-LEAF = 6
+#: Bytes of a leaf of the encoding tree, and ids of a leaf of the decoding tree.
+LEAF, DECODED_LEAF = 8, 4096
+#: Longest bytes that are remembered and merged by plain search.
+SHORT = 64
 #: Entries of a worker's memory of pieces; it starts anew when full.
 MEMORY = 150_000
 #: A vocabulary file larger than this is not sent to executors.
 MAX_VOCABULARY_BYTES = 64 << 20
 
+_NEVER = 1 << 60
+
 DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -48,9 +61,11 @@ class _Pieces(dict):
         self.encode = encode
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) >= MEMORY:
-            self.clear()
-        ids = self[piece] = self.encode(piece.encode())
+        ids = self.encode(piece.encode())
+        if len(piece) <= SHORT:
+            if len(self) >= MEMORY:
+                self.clear()
+            self[piece] = ids
         return ids
 
 
@@ -61,19 +76,22 @@ class Bpe:
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines())}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.text_of = {rank: str(rank) for rank in self.tokens}
+        self.bytes_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         self.split: Callable[[str], list[str]] = regex.compile(pattern).findall
         self.pieces = _Pieces(self.encode_bytes)
         self.small: dict[bytes, tuple[int, ...]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def _merged(self, data: bytes) -> tuple[int, ...]:
-        """Plain BPE for a few bytes: merge the leftmost adjacent pair of least rank until none is left."""
+        """Plain BPE: merge the leftmost adjacent pair of least rank until none is left."""
+        if len(data) > SHORT:
+            return self._merged_at_once(data) or self._merged_by_heap(data)
         found = self.small.get(data)
         if found is None:
             ranks, parts = self.ranks, [data[i : i + 1] for i in range(len(data))]
             while len(parts) > 1:
-                best, at = min((ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-                if best == 1 << 60:
+                best, at = min((ranks.get(a + b, _NEVER), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+                if best == _NEVER:
                     break
                 parts[at : at + 2] = [parts[at] + parts[at + 1]]
             if len(self.small) >= MEMORY:
@@ -81,6 +99,54 @@ class Bpe:
             found = self.small[data] = tuple(ranks[p] for p in parts)
         return found
 
+    def _merged_at_once(self, data: bytes) -> tuple[int, ...] | None:
+        """The same for bytes of few distinct pairs, all places of one rank a round; None where this might differ."""
+        ids = self.bytes_ids[np.frombuffer(data, np.uint8)]
+        last = -1
+        while len(ids) > 1:
+            pairs, which = np.unique(ids[:-1] << 32 | ids[1:], return_inverse=True)
+            if len(pairs) > 32 + len(ids) // 8:
+                return None
+            rank = np.array([self.ranks.get(self.tokens[p >> 32] + self.tokens[p & 0xFFFFFFFF], _NEVER) for p in pairs.tolist()], np.int64)
+            best = int(rank.min())
+            if best < last:  # made by the merge before, at whose other places it should have come first
+                return None
+            if best == _NEVER:
+                break
+            hit = np.flatnonzero(rank[which] == best)
+            run = np.cumsum(np.concatenate([[True], np.diff(hit) > 1])) - 1  # of places that overlap, every other one from the left
+            first = hit[np.searchsorted(run, run)]
+            at = hit[(hit - first) % 2 == 0]
+            beside = np.unique(ids[at[:-1][np.diff(at) == 2] + 2]).tolist()  # what stands right of a merged place until its own turn
+            if any(self.ranks.get(self.tokens[best] + self.tokens[b], _NEVER) < best for b in beside):
+                return None
+            ids[at] = best
+            ids = np.delete(ids, at + 1)
+            last = best
+        return tuple(ids.tolist())
+
+    def _merged_by_heap(self, data: bytes) -> tuple[int, ...]:
+        """The same for any bytes, with a heap of pairs and links to what stands beside."""
+        ranks, n = self.ranks, len(data)
+        part: list[bytes] = [data[i : i + 1] for i in range(n)]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(data[i : i + 2])) is not None]
+        heapify(heap)
+        while heap:
+            _, i, size = heappop(heap)
+            j = after[i]
+            if not part[i] or j >= n or len(part[i]) + len(part[j]) != size:  # one of them has been merged since
+                continue
+            part[i], part[j] = part[i] + part[j], b""
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := ranks.get(part[i] + part[k])) is not None:
+                    heappush(heap, (r, i, size + len(part[k])))
+            if (h := before[i]) >= 0 and (r := ranks.get(part[h] + part[i])) is not None:
+                heappush(heap, (r, h, len(part[h]) + size))
+        return tuple(ranks[p] for p in part if p)
+
     def _stays(self, a: int, b: int) -> bool:
         """Whether the bytes of tokens a, b are encoded as a, b."""
         found = self.pairs.get((a, b))
@@ -96,28 +162,34 @@ class Bpe:
             return left + right
         a, b = 1, 1
         while True:
-            window = self._merged(self.decode(left[-a:]) + self.decode(right[:b]))
+            window = self._merged(self._bytes(left[-a:]) + self._bytes(right[:b]))
             left_holds = a >= len(left) or self._stays(left[-a - 1], window[0])
             right_holds = b >= len(right) or self._stays(window[-1], right[b])
             if left_holds and right_holds:
                 return left[:-a] + window + right[b:]
-            a, b = min(len(left), a + (not left_holds)), min(len(right), b + (not right_holds))
+            a, b = a if left_holds else min(len(left), 2 * a), b if right_holds else min(len(right), 2 * b)
 
     def encode_bytes(self, data: bytes) -> tuple[int, ...]:
         """The encoding of one piece, as a tree of joins."""
         if len(data) <= LEAF:
             return self.small.get(data) or self._merged(data)
-        half = len(data) // 2
-        return self.join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
+        cut = LEAF << ((len(data) - 1) // LEAF).bit_length() - 1
+        return self.join(self.encode_bytes(data[:cut]), self.encode_bytes(data[cut:]))
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text; each match of the pattern is encoded separately."""
         return list(chain.from_iterable(map(self.pieces.__getitem__, self.split(text))))
 
-    def decode(self, ids) -> bytes:
-        """The bytes of ids; concatenation is the join of this monoid."""
+    def _bytes(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    def decode(self, ids) -> bytes:
+        """The bytes of ids, concatenated up a tree over runs of them."""
+        level = [self._bytes(ids[i : i + DECODED_LEAF]) for i in range(0, len(ids), DECODED_LEAF)]
+        while len(level) > 1:
+            level = [b"".join(level[i : i + 2]) for i in range(0, len(level), 2)]
+        return level[0] if level else b""
+
 
 _ready: dict[int, Bpe] = {}
 

@@ -1,6 +1,8 @@
 """Quality rules and byte-level BPE against brute force."""
 
+import base64
 import random
+import time
 from hashlib import sha256
 
 import public_tokenizers
@@ -66,6 +68,34 @@ def test_encoding_equals_library(text):
     assert CODER.decode(ids) == text.encode()
 
 
+LONG = {"one letter": "x" * 1_000_000, "two letters": "ab" * 500_000, "digits": "1234567890" * 100_000, "ideographs": "".join(chr(0x4E00 + i * 7919 % 0x5000) for i in range(333_333)), "odd run": "-" * 300_001}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_long_pieces(name):
+    start = time.time()
+    ids = bpe.Bpe(RANKS, public_tokenizers.PATTERN).encode(LONG[name])
+    assert time.time() - start < 30
+    assert ids == PLAIN.encode_ordinary(LONG[name]) and CODER.decode(ids) == LONG[name].encode()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.binary(min_size=1, max_size=6), st.integers(1, 200), st.binary(max_size=6))
+def test_merges_agree_on_periodic_bytes(unit, times, end):
+    data = unit * times + end
+    plain = tuple(PLAIN._encode_single_piece(data))
+    assert CODER._merged_by_heap(data) == plain and CODER._merged_at_once(data) in (None, plain) and CODER.encode_bytes(data) == plain
+
+
+def test_merges_that_overtake():
+    """A vocabulary in which a merge makes a pair of lower rank."""
+    ranks = [bytes([i]) for i in range(256)] + [b"aba", b"ab"]
+    coder = bpe.Bpe(b"\n".join(base64.b64encode(t) + b" %d" % i for i, t in enumerate(ranks)), public_tokenizers.PATTERN)
+    assert coder._merged_at_once(b"ab" * 40) is None
+    assert coder._merged(b"ab" * 40) == coder._merged_by_heap(b"ab" * 40)
+    assert coder.tokens[coder._merged(b"abab")[0]] == b"aba"
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=200))
 def test_encoding_equals_library_on_any_text(text):
