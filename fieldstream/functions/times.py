@@ -32,6 +32,12 @@ def calendar_parts(instant: Column | str, zone: str = LOCAL_ZONE) -> dict[str, C
     return {"date": F.to_date(t), "hour": F.hour(t), "day_of_week": F.dayofweek(t), "month": F.month(t), "year": F.year(t)}
 
 
+def on_days(start: Column, end: Column, column: str = "date") -> Column:
+    """A condition on a local date partition that holds for all instants from start to end (zoneless UTC), so that other folders are skipped."""
+    day = F.make_interval(days=F.lit(1))
+    return (F.col(column) >= F.to_date(start - day)) & (F.col(column) <= F.to_date(end + day))
+
+
 def as_of_literal(as_of: datetime | str) -> Column:
     return F.lit(str(as_of)).cast("timestamp_ntz")
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.times import as_of_literal, local, within
+from ..functions.times import as_of_literal, on_days, within
 
 # Metrics of the feature table and the names they get there.
 SENSOR_METRICS = (("temperature", "temperature", "temp"), ("humidity", "humidity", "humidity"), ("soil_ph", "soil_ph", "ph"))
@@ -56,8 +56,7 @@ def in_window(rows: DataFrame, as_of: str, minutes: int) -> DataFrame:
     """Rows of the look-back, with a predicate on the date partition so that whole folders are skipped."""
     end = as_of_literal(as_of)
     start = end - F.make_interval(mins=F.lit(minutes))
-    zone_day = F.make_interval(days=F.lit(1))
-    return rows.where((F.col("date") >= F.to_date(start - zone_day)) & (F.col("date") <= F.to_date(end + zone_day)) & within("timestamp_parsed", as_of, mins=minutes))
+    return rows.where(on_days(start, end) & within("timestamp_parsed", as_of, mins=minutes))
 
 
 def sensor_features(rows: DataFrame, as_of: str, minutes: int = 10) -> DataFrame:
@@ -140,7 +139,3 @@ def windowed(rows: DataFrame, keys: tuple[str, ...], aggregates: list[Column], m
 def _aliases(aggregates: list[Column]) -> list[str]:
     return [c._jc.toString().rpartition(" AS ")[2].strip("`") for c in aggregates]
 
-
-def local_month(rows: DataFrame) -> DataFrame:
-    """Add the local month of timestamp_parsed where a source lacks it."""
-    return rows.withColumn("month", F.month(local("timestamp_parsed")))

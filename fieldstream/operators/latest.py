@@ -10,17 +10,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import SENSOR_COORDINATES, SENSOR_RANGES, WEATHER_RANGES, all_of, holds, range_flags
-from ..functions.times import as_of_literal
+from ..functions.times import as_of_literal, on_days
 from ..schemas import LATEST
 
 
 def latest(rows: DataFrame, kind: str, as_of: str, time: str, order: tuple[str, ...]) -> DataFrame:
-    """The newest row of each key not older than the kind's time to live, with cached_at and cache_ttl; null keys have none."""
+    """The newest row of each key not older than the kind's time to live, with cached_at and cache_ttl; null keys have none.
+
+    Older rows go before the aggregation: a key whose newest row is stale has no
+    fresh row either. Rows with a `date` partition are pruned by it as well.
+    """
     key, ttl = LATEST[kind]
-    seen = rows.where(F.col(key).isNotNull() & (F.col(time) <= as_of_literal(as_of)))
-    newest = seen.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(time, *order)).alias("row")).select("row.*")
-    fresh = F.col(time) >= as_of_literal(as_of) - F.make_interval(secs=F.lit(ttl))
-    return newest.where(fresh).withColumns({"cached_at": as_of_literal(as_of), "cache_ttl": F.lit(ttl)})
+    end = as_of_literal(as_of)
+    start = end - F.make_interval(secs=F.lit(ttl))
+    fresh = rows.where(on_days(start, end)) if "date" in rows.columns else rows
+    fresh = fresh.where(F.col(key).isNotNull() & (F.col(time) >= start) & (F.col(time) <= end))
+    return newest_of(fresh, key, (time, *order)).withColumns({"cached_at": end, "cache_ttl": F.lit(ttl)})
+
+
+def newest_of(rows: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
+    """The row of each key that is largest by the order, by partial aggregation."""
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("row")).select("row.*")
+
+
+def newest_time(rows: DataFrame, time: str) -> str:
+    """The largest zoneless time of the rows as text, or the epoch's start where there is none."""
+    return str(rows.agg(F.coalesce(F.max(time), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))).first()[0])
 
 
 def lookup(found: DataFrame, key: str, value: str) -> DataFrame:

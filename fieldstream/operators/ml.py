@@ -43,15 +43,40 @@ def train_range(history: DataFrame, time: str = "processing_timestamp") -> DataF
     return history.agg(F.count("*").alias("record_count"), F.min(time).alias("start_time"), F.max(time).alias("end_time"))
 
 
-def train(rows: DataFrame) -> PipelineModel:
-    """Fit scaler and KMeans on the ten features; rows with a null are skipped."""
-    doubles = rows.select(*[F.col(c).cast("double").alias(c) for c in CORE_FEATURES])
-    stages = [
+def _scaling() -> list:
+    return [
         VectorAssembler(inputCols=list(CORE_FEATURES), outputCol="features_vec", handleInvalid="skip"),
         StandardScaler(inputCol="features_vec", outputCol="scaled_features", withMean=True, withStd=True),
-        KMeans(featuresCol="scaled_features", predictionCol="cluster", **KMEANS),
     ]
-    return Pipeline(stages=stages).fit(doubles)
+
+
+def _doubles(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: F.col(c).cast("double") for c in CORE_FEATURES})
+
+
+def scaled(rows: DataFrame) -> DataFrame:
+    """Rows without nulls with their standardised features as a vector."""
+    doubles = _doubles(rows)
+    return Pipeline(stages=_scaling()).fit(doubles).transform(doubles)
+
+
+def train(rows: DataFrame) -> PipelineModel:
+    """Fit scaler and KMeans on the ten features; rows with a null are skipped."""
+    return Pipeline(stages=[*_scaling(), KMeans(featuresCol="scaled_features", predictionCol="cluster", **KMEANS)]).fit(_doubles(rows).select(*CORE_FEATURES))
+
+
+def model_record(history: DataFrame, version: str, updated_at: str, days_of_data: int, cost: float, time: str = "processing_timestamp") -> DataFrame:
+    """The registry row of a model: version, training time, features, rows and range of its data, parameters and metrics."""
+    return train_range(history, time).select(
+        F.lit(version).alias("model_version"),
+        F.lit(updated_at).cast("timestamp_ntz").alias("updated_at"),
+        F.array(*map(F.lit, CORE_FEATURES)).alias("features"),
+        "record_count",
+        F.lit(days_of_data).alias("days_of_data"),
+        F.struct(F.col("start_time").alias("start"), F.col("end_time").alias("end")).alias("actual_date_range"),
+        F.struct(*[F.lit(v).alias(k) for k, v in KMEANS.items()]).alias("model_config"),
+        F.struct(F.when(F.col("record_count") > 0, F.sqrt(F.lit(cost) / F.col("record_count"))).otherwise(0.0).alias("avg_distance")).alias("training_metrics"),
+    )
 
 
 @dataclass(frozen=True)
@@ -131,11 +156,6 @@ def scored(rows: DataFrame, scorer: Scorer, time: Column) -> DataFrame:
     return found.withColumns({"recommendations": recommendations(), "model_version": F.lit(scorer.version), "prediction_timestamp": time}).drop("scaled", "distances")
 
 
-def scored_by_model(rows: DataFrame, model: PipelineModel, version: str, time: Column) -> DataFrame:
-    """The same by a fitted pipeline."""
-    return scored(rows, Scorer.of(model, version), time)
-
-
 def scored_without_model(rows: DataFrame, time: Column) -> DataFrame:
     """Score 0 and severity LOW while no model exists."""
     return rows.withColumns(

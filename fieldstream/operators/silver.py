@@ -1,7 +1,8 @@
 """Validated layer: complete rows with calendar parts and validity flags.
 
 `*_flagged` keep rows whose flags are false, the others drop them. Null in any
-required column drops a row; a null reading is never valid.
+required column, or a time that does not parse, drops a row; a null reading is
+never valid.
 """
 
 from __future__ import annotations
@@ -28,21 +29,22 @@ def complete(rows: DataFrame, required: tuple[str, ...]) -> DataFrame:
     return rows.dropna(subset=list(required))
 
 
-def _timed(rows: DataFrame) -> DataFrame:
-    parsed = rows.withColumn("timestamp_parsed", parse_timestamp(F.col("timestamp")))
-    return parsed.withColumns(calendar_parts("timestamp_parsed"))
+def _timed(rows: DataFrame, parsed: Column) -> DataFrame:
+    """Rows whose time parses, with it and its calendar parts."""
+    return rows.withColumn("timestamp_parsed", parsed).where(F.col("timestamp_parsed").isNotNull()).withColumns(calendar_parts("timestamp_parsed"))
 
 
 def sensor_flagged(rows: DataFrame) -> DataFrame:
-    return _timed(complete(rows, SENSOR_REQUIRED)).withColumns(range_flags(SENSOR_RANGES, SENSOR_COORDINATES))
+    return _timed(complete(rows, SENSOR_REQUIRED), parse_timestamp(F.col("timestamp"))).withColumns(range_flags(SENSOR_RANGES, SENSOR_COORDINATES))
 
 
 def weather_flagged(rows: DataFrame) -> DataFrame:
-    return _timed(complete(rows, WEATHER_REQUIRED)).withColumns(range_flags(WEATHER_RANGES, WEATHER_COORDINATES))
+    return _timed(complete(rows, WEATHER_REQUIRED), parse_timestamp(F.col("timestamp"))).withColumns(range_flags(WEATHER_RANGES, WEATHER_COORDINATES))
 
 
 def satellite_flagged(rows: DataFrame) -> DataFrame:
-    return complete(rows, SATELLITE_REQUIRED).withColumns(image_flags())
+    """Any time that Spark casts counts for images; they have no day of week."""
+    return _timed(complete(rows, SATELLITE_REQUIRED), F.try_to_timestamp("timestamp")).drop("day_of_week").withColumns(image_flags())
 
 
 def all_valid(rows: DataFrame, flags: tuple[str, ...]) -> DataFrame:

@@ -26,16 +26,19 @@ _SENSOR_COMPLETE = "temperature IS NOT NULL AND humidity IS NOT NULL AND soil_ph
 _WEATHER_COMPLETE = "temp_c IS NOT NULL AND humidity IS NOT NULL AND wind_kph IS NOT NULL AND uv IS NOT NULL AND precip_mm IS NOT NULL AND condition IS NOT NULL AND location IS NOT NULL"
 
 SENSOR_CTE = f"""s_raw AS ({fixtures.sql("sensor")}),
- s_loc AS (SELECT *, {_ROME} FROM s_raw WHERE {_SENSOR_COMPLETE}),
+ s_time AS (SELECT * REPLACE ({fixtures.PARSED_TIME} AS event_ts) FROM s_raw WHERE {_SENSOR_COMPLETE}),
+ s_loc AS (SELECT *, {_ROME} FROM s_time WHERE event_ts IS NOT NULL),
  s_flag AS (SELECT * EXCLUDE (loc), event_ts AS timestamp_parsed, {_PARTS}, {_SENSOR_FLAGS} FROM s_loc),
  s_ok AS (SELECT * FROM s_flag WHERE temperature_valid AND humidity_valid AND ph_valid AND coordinates_valid)"""
 WEATHER_CTE = f"""w_raw AS ({fixtures.sql("weather")}),
- w_loc AS (SELECT *, {_ROME} FROM w_raw WHERE {_WEATHER_COMPLETE}),
+ w_time AS (SELECT * REPLACE ({fixtures.PARSED_TIME} AS event_ts) FROM w_raw WHERE {_WEATHER_COMPLETE}),
+ w_loc AS (SELECT *, {_ROME} FROM w_time WHERE event_ts IS NOT NULL),
  w_flag AS (SELECT * EXCLUDE (loc), event_ts AS timestamp_parsed, {_PARTS}, {_WEATHER_FLAGS} FROM w_loc),
  w_ok AS (SELECT * FROM w_flag WHERE temp_valid AND humidity_valid AND wind_valid AND uv_valid AND precip_valid AND coordinates_valid)"""
-SATELLITE_CTE = f"""i_raw AS (SELECT p.*, CAST(strlen(d.text) AS INTEGER) AS image_size_bytes FROM ({fixtures.sql("satellite")}) p JOIN documents d USING (doc_id)),
- i_flag AS (SELECT *, bbox_min_lon BETWEEN -180 AND 180 AND bbox_max_lon BETWEEN -180 AND 180 AND bbox_min_lat BETWEEN -90 AND 90 AND bbox_max_lat BETWEEN -90 AND 90 AND bbox_min_lon < bbox_max_lon AND bbox_min_lat < bbox_max_lat AS bbox_valid,
-  image_size_bytes > 1000 AND image_size_bytes < 50000000 AS image_size_valid FROM i_raw WHERE image_size_bytes IS NOT NULL)"""
+SATELLITE_CTE = f"""i_raw AS (SELECT p.*, CAST(strlen(d.text) AS INTEGER) AS image_size_bytes, TIMESTAMP '2024-01-15 10:00:00' + to_minutes(doc_id % 60) AS event_ts FROM ({fixtures.sql("satellite")}) p JOIN documents d USING (doc_id) WHERE doc_id % 10 <> 4),
+ i_loc AS (SELECT *, {_ROME} FROM i_raw),
+ i_flag AS (SELECT * EXCLUDE (loc), event_ts AS timestamp_parsed, {_PARTS}, bbox_min_lon BETWEEN -180 AND 180 AND bbox_max_lon BETWEEN -180 AND 180 AND bbox_min_lat BETWEEN -90 AND 90 AND bbox_max_lat BETWEEN -90 AND 90 AND bbox_min_lon < bbox_max_lon AND bbox_min_lat < bbox_max_lat AS bbox_valid,
+  image_size_bytes > 1000 AND image_size_bytes < 50000000 AS image_size_valid FROM i_loc WHERE image_size_bytes IS NOT NULL)"""
 
 _SENSOR_COLUMNS = "event_id, field_id, location, latitude, longitude, temperature, humidity, soil_ph, timestamp_parsed, date, hour, day_of_week, month, year, temperature_valid, humidity_valid, ph_valid, coordinates_valid"
 _WEATHER_COLUMNS = "event_id, location, lat, lon, temp_c, humidity, wind_kph, uv, precip_mm, condition, timestamp_parsed, date, hour, day_of_week, month, year, temp_valid, humidity_valid, wind_valid, uv_valid, precip_valid, coordinates_valid"
@@ -74,7 +77,7 @@ def src_sensor_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _envelope_summary(fixtures.sensor_messages(spark, sf_dir))
 
 
-@query(_ENVELOPE_COUNT.format(topic="weather_data", where=f"WHERE {fixtures.WEATHER_WHERE}"))
+@query(_ENVELOPE_COUNT.format(topic="weather_data", where=""))
 def src_weather_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _envelope_summary(fixtures.weather_messages(spark, sf_dir))
 
@@ -98,7 +101,7 @@ def bronze_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bronze.weather(fixtures.weather_messages(spark, sf_dir)).select("kafka_offset", "location", "lat", "lon", "temp_c", "humidity", "wind_kph", "uv", "precip_mm", "condition", "year", "month", "day", "hour", "parse_ok")
 
 
-@query(
+IMAGE_SQL = (
     f"""WITH i AS ({fixtures.sql("satellite")}), t AS (
     SELECT d.doc_id, strlen(d.text) AS n, TIMESTAMP '2024-01-15 10:00:00' + to_minutes(d.doc_id % 60) + CASE d.doc_id % 3 WHEN 0 THEN INTERVAL 1 HOUR WHEN 1 THEN INTERVAL (-1) HOUR ELSE INTERVAL 0 HOUR END AS local FROM documents d WHERE strlen(d.text) > 0)
     SELECT i.doc_id AS kafka_offset, CAST(n AS INTEGER) AS image_size_bytes, local AS local_timestamp,
@@ -107,6 +110,9 @@ def bronze_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
      CASE WHEN i.doc_id % 10 = 0 THEN 0e0 ELSE bbox_max_lon END AS bbox_max_lon, CASE WHEN i.doc_id % 10 = 0 THEN 0e0 ELSE bbox_max_lat END AS bbox_max_lat
     FROM i JOIN t ON i.doc_id = t.doc_id"""
 )
+
+
+@query(IMAGE_SQL)
 def bronze_satellite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bronze.satellite(fixtures.satellite_messages(spark, sf_dir)).select("kafka_offset", "image_size_bytes", "local_timestamp", "image_path", "bbox_min_lon", "bbox_min_lat", "bbox_max_lon", "bbox_max_lat")
 
@@ -163,9 +169,12 @@ def weather_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return silver_weather_rows(spark, sf_dir, keep_invalid=True).select(*_columns(_WEATHER_COLUMNS))
 
 
-@query(f"WITH {SATELLITE_CTE} SELECT doc_id, image_size_bytes, bbox_valid, image_size_valid FROM i_flag")
+_IMAGE_COLUMNS = "doc_id, image_size_bytes, timestamp_parsed, date, hour, month, year, bbox_valid, image_size_valid"
+
+
+@query(f"WITH {SATELLITE_CTE} SELECT {_IMAGE_COLUMNS} FROM i_flag")
 def satellite_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return silver.satellite_flagged(fixtures.satellite(spark, sf_dir)).select("doc_id", "image_size_bytes", "bbox_valid", "image_size_valid")
+    return _utc(silver.satellite_flagged(fixtures.satellite(spark, sf_dir))).select(*_columns(_IMAGE_COLUMNS))
 
 
 @query(f"WITH {SENSOR_CTE} SELECT {_SENSOR_COLUMNS} FROM s_ok")
@@ -178,30 +187,29 @@ def silver_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return silver_weather_rows(spark, sf_dir).select(*_columns(_WEATHER_COLUMNS))
 
 
-@query(f"WITH {SATELLITE_CTE} SELECT doc_id, image_size_bytes, bbox_min_lon, bbox_min_lat, bbox_max_lon, bbox_max_lat FROM i_flag WHERE bbox_valid AND image_size_valid")
+@query(f"WITH {SATELLITE_CTE} SELECT doc_id, image_size_bytes, timestamp_parsed, date, bbox_min_lon, bbox_min_lat, bbox_max_lon, bbox_max_lat FROM i_flag WHERE bbox_valid AND image_size_valid")
 def silver_satellite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return silver.satellite(fixtures.satellite(spark, sf_dir)).select("doc_id", "image_size_bytes", "bbox_min_lon", "bbox_min_lat", "bbox_max_lon", "bbox_max_lat")
+    return _utc(silver.satellite(fixtures.satellite(spark, sf_dir))).select("doc_id", "image_size_bytes", "timestamp_parsed", "date", "bbox_min_lon", "bbox_min_lat", "bbox_max_lon", "bbox_max_lat")
 
 
 def _members_sql(members: tuple[str, ...], rows: str) -> str:
-    """JSON objects of the members, texts in quotes."""
+    """JSON objects of the members and the time, texts in quotes."""
     parts = []
     for m in members:
         value = f"""'"' || {m} || '"'""" if m in ("field_id", "location", "condition") else f"CAST({m} AS VARCHAR)"
         parts.append(f"""'"{m}":' || {value}""")
+    parts.append("""'"timestamp":"' || strftime(timestamp_parsed, '%Y-%m-%dT%H:%M:%S.%g') || 'Z"'""")
     return f"SELECT event_id, '{{' || concat_ws(',', {', '.join(parts)}) || '}}' AS value FROM {rows}"
 
 
 @query(f"WITH {SENSOR_CTE} " + _members_sql(silver.SENSOR_MESSAGE, "s_ok"))
 def sensor_valid_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = silver_sensor_rows(spark, sf_dir)
-    return rows.select("event_id", F.to_json(F.struct(*silver.SENSOR_MESSAGE)).alias("value"))
+    return silver.sensor(fixtures.sensor(spark, sf_dir)).select("event_id", silver.message(silver.SENSOR_MESSAGE))
 
 
 @query(f"WITH {WEATHER_CTE} " + _members_sql(silver.WEATHER_MESSAGE, "w_ok"))
 def weather_valid_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = silver_weather_rows(spark, sf_dir)
-    return rows.select("event_id", F.to_json(F.struct(*silver.WEATHER_MESSAGE)).alias("value"))
+    return silver.weather(fixtures.weather(spark, sf_dir)).select("event_id", silver.message(silver.WEATHER_MESSAGE))
 
 
 # ---- alerts -------------------------------------------------------------------------------
@@ -259,6 +267,11 @@ def _gold_ctes(sensor: str, weather: str) -> str:
  w_all AS (SELECT a.*, m.top AS weather_dominant_condition FROM w_agg a JOIN w_mode m USING (location))"""
 
 
+def sensor_features_sql(rows: str) -> str:
+    """A few sensor features over the look-back, of the named validated rows."""
+    return f"WITH {SENSOR_CTE}, {WEATHER_CTE}, {_gold_ctes(rows, 'w_ok')} SELECT field_id, location, sensor_avg_temperature, sensor_readings_count, sensor_last_reading FROM s_all"
+
+
 _SENSOR_OUT = [c for c in gold.COLUMNS if c in ("field_id", "location") or (c.startswith("sensor_") and "freshness" not in c)]
 _WEATHER_OUT = ["location", *(c for c in gold.COLUMNS if c.startswith("weather_") and "freshness" not in c)]
 
@@ -301,8 +314,8 @@ _CROSS = {
     "window_end_time": f"TIMESTAMP '{AS_OF}'",
     "window_duration_minutes": f"{MINUTES}",
 }
-_GOLD_CTE = f"{SENSOR_CTE}, {WEATHER_CTE}, {_gold_ctes('s_ok', 'w_ok')}, both_sides AS (SELECT *, " + ", ".join(f"{e} AS {n}" for n, e in _CROSS.items()) + f" FROM s_all JOIN w_all USING (location)), fields AS ({fixtures.FIELDS_SQL})"
-_GOLD_SQL = f"WITH {_GOLD_CTE} SELECT {', '.join(gold.COLUMNS)} FROM fields LEFT JOIN both_sides USING (field_id)"
+GOLD_CTE = f"{SENSOR_CTE}, {WEATHER_CTE}, {_gold_ctes('s_ok', 'w_ok')}, both_sides AS (SELECT *, " + ", ".join(f"{e} AS {n}" for n, e in _CROSS.items()) + f" FROM s_all JOIN w_all USING (location)), fields AS ({fixtures.FIELDS_SQL})"
+_GOLD_SQL = f"WITH {GOLD_CTE} SELECT {', '.join(gold.COLUMNS)} FROM fields LEFT JOIN both_sides USING (field_id)"
 
 
 @query(_GOLD_SQL)
@@ -315,7 +328,7 @@ _JSON_OUT = ("field_id", "location", "sensor_readings_count", "weather_readings_
 
 
 @query(
-    f"""WITH {_GOLD_CTE} SELECT '{{' || concat_ws(',', '"field_id":"' || field_id || '"', '"location":"' || location || '"', '"sensor_readings_count":' || CAST(sensor_readings_count AS VARCHAR),
+    f"""WITH {GOLD_CTE} SELECT '{{' || concat_ws(',', '"field_id":"' || field_id || '"', '"location":"' || location || '"', '"sensor_readings_count":' || CAST(sensor_readings_count AS VARCHAR),
     '"weather_readings_count":' || CAST(weather_readings_count AS VARCHAR), '"weather_dominant_condition":"' || weather_dominant_condition || '"') || '}}' AS value FROM fields LEFT JOIN both_sides USING (field_id)"""
 )
 def gold_json(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import ml
 from ..schemas import CORE_FEATURES
 from ..sources import fixtures, readers, sinks
+from ..streaming import jobs
 from .layers import rounded
 from .registry import AS_OF, query
 from .tables import PREDICTIONS_CTE, SCORER, prediction_table
@@ -56,10 +57,7 @@ _STANDARD = ", ".join(f"CASE WHEN stddev_samp({c}) OVER () > 0 THEN round(({c} -
 
 @query(f"WITH f AS ({_FEATURES}), c AS (SELECT * FROM f WHERE {' AND '.join(f'{c} IS NOT NULL' for c in CORE_FEATURES)}) SELECT id, {_STANDARD} FROM c")
 def feature_standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixtures.features(spark, sf_dir)
-    model = ml.train(rows)
-    scaled = model.stages[1].transform(model.stages[0].transform(rows))
-    return rounded(ml.vector_columns(scaled).select("id", *[f"scaled_{c}" for c in CORE_FEATURES]))
+    return rounded(ml.vector_columns(ml.scaled(fixtures.features(spark, sf_dir))).select("id", *[f"scaled_{c}" for c in CORE_FEATURES]))
 
 
 @query(f"WITH {PREDICTIONS_CTE} SELECT id, cluster, round(anomaly_score, 4) AS anomaly_score FROM predictions")
@@ -106,10 +104,18 @@ def ml_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = sinks.work_dir(spark, "models")
     rows = fixtures.features(spark, sf_dir)
     for version, updated in (("v2024-01-21_02-00", "2024-01-21 02:00:00"), (SCORER.version, "2024-01-28 02:00:00")):
-        registry = history(spark, sf_dir).agg(F.lit(version).alias("model_version"), F.lit(updated).cast("timestamp_ntz").alias("updated_at"), F.count("*").alias("record_count"))
-        sinks.save_model(ml.train(ml.filled(rows)), root, version, registry)
-    model, newest = sinks.load_latest_model(spark, root)
-    return ml.scored_by_model(rows, model, newest, F.col("prediction_ts")).select("id", "cluster", "anomaly_score", "is_anomaly", "severity", "model_version")
+        model = ml.train(ml.filled(rows))
+        sinks.save_model(model, root, version, ml.model_record(history(spark, sf_dir), version, updated, 30, float(model.stages[2].summary.trainingCost)))
+    return ml.scored(rows, jobs.newest_scorer(spark, root)(), F.col("prediction_ts")).select("id", "cluster", "anomaly_score", "is_anomaly", "severity", "model_version")
+
+
+@query(f"WITH f AS ({_FEATURES}) SELECT '{SCORER.version}' AS model_version, count(*) AS record_count, 30 AS days_of_data, min(prediction_ts) AS start_time, max(prediction_ts) AS end_time, 10 AS n_features, 3 AS k, 42 AS seed, round(sqrt(2500e0 / count(*)), 4) AS avg_distance FROM f")
+def model_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry row of a model whose training cost was 2500."""
+    row = ml.model_record(history(spark, sf_dir), SCORER.version, AS_OF, 30, 2500.0)
+    return rounded(
+        row.select("model_version", "record_count", "days_of_data", F.col("actual_date_range.start").alias("start_time"), F.col("actual_date_range.end").alias("end_time"), F.size("features").alias("n_features"), "model_config.k", "model_config.seed", "training_metrics.avg_distance")
+    )
 
 
 @query()

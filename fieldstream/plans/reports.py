@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rules import SENSOR_COORDINATES
-from ..operators import latest, reports
+from ..operators import gold, latest, reports
 from ..schemas import ALERT_TYPES, LATEST, SEVERITIES, STATUSES
-from ..sources import fixtures, sinks
-from .layers import SENSOR_CTE, WEATHER_CTE, rounded, silver_sensor_rows, silver_weather_rows
-from .registry import AS_OF, query
+from ..sources import fixtures, readers, sinks
+from .layers import GOLD_CTE, SENSOR_CTE, WEATHER_CTE, rounded, silver_sensor_rows, silver_weather_rows
+from .registry import AS_OF, MINUTES, query
 from .tables import ALERTS_CTE, PREDICTIONS_CTE, alert_table, prediction_table
 
 _ALERT = "id, zone_id, alert_timestamp, alert_type, severity, message, status, created_at"
@@ -210,6 +210,11 @@ def feature_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.field_statistics(prediction_table(spark, sf_dir))
 
 
+@query(_predictions("SELECT id, format('{:.2f}', anomaly_score) AS shown_score FROM predictions"))
+def score_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.score_display(prediction_table(spark, sf_dir)).select("id", "shown_score")
+
+
 @query(_predictions("SELECT id, field_id, prediction_timestamp, CAST(is_anomaly AS INTEGER) AS anomaly FROM predictions"))
 def anomaly_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.anomaly_timeline(prediction_table(spark, sf_dir))
@@ -219,24 +224,34 @@ def anomaly_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _latest_sql(kind: str, rows: str, time: str, columns: str, order: str) -> str:
+    """As of the newest time of the rows."""
     key, ttl = LATEST[kind]
-    return f"SELECT {columns} FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {time} DESC, {order} DESC) AS nth FROM {rows} WHERE {time} <= {_END}) WHERE nth = 1 AND {time} >= {_END} - INTERVAL {ttl} SECOND"
+    return f"SELECT {columns} FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {time} DESC, {order} DESC) AS nth FROM {rows}) WHERE nth = 1 AND {time} >= (SELECT max({time}) FROM {rows}) - INTERVAL {ttl} SECOND"
+
+
+def _latest(rows: DataFrame, kind: str, time: str, order: str) -> DataFrame:
+    return latest.latest(rows, kind, latest.newest_time(rows, time), time, (order,))
+
+
+def _newest_key(rows: DataFrame, key: str, time: str, order: str) -> str:
+    """The key of the newest row, which a lookup asks for."""
+    return rows.agg(F.max_by(key, F.struct(time, order))).first()[0]
 
 
 def latest_sensor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest.latest(silver_sensor_rows(spark, sf_dir), "sensor", AS_OF, "timestamp_parsed", ("event_id",))
+    return _latest(silver_sensor_rows(spark, sf_dir), "sensor", "timestamp_parsed", "event_id")
 
 
 def latest_weather_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest.latest(silver_weather_rows(spark, sf_dir), "weather", AS_OF, "timestamp_parsed", ("event_id",))
+    return _latest(silver_weather_rows(spark, sf_dir), "weather", "timestamp_parsed", "event_id")
 
 
 def latest_alert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest.latest(alert_table(spark, sf_dir), "alert", AS_OF, "alert_timestamp", ("id",))
+    return _latest(alert_table(spark, sf_dir), "alert", "alert_timestamp", "id")
 
 
 def latest_prediction_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest.latest(prediction_table(spark, sf_dir), "prediction", AS_OF, "prediction_timestamp", ("id",))
+    return _latest(prediction_table(spark, sf_dir), "prediction", "prediction_timestamp", "id")
 
 
 _SENSOR_LATEST = "field_id, location, temperature, humidity, soil_ph, timestamp_parsed, event_id"
@@ -266,14 +281,16 @@ def latest_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_prediction_rows(spark, sf_dir).select("field_id", "severity", "is_anomaly", "prediction_timestamp", "id")
 
 
-@query(_predictions(f"SELECT * FROM ({_LATEST_PREDICTION}) WHERE field_id = 'field_07'"))
+@query(_predictions(f"SELECT * FROM ({_LATEST_PREDICTION}) WHERE field_id = (SELECT field_id FROM predictions ORDER BY prediction_timestamp DESC, id DESC LIMIT 1)"))
 def latest_prediction_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest.lookup(latest_prediction(spark, sf_dir), "field_id", "field_07")
+    key = _newest_key(prediction_table(spark, sf_dir), "field_id", "prediction_timestamp", "id")
+    return latest.lookup(latest_prediction(spark, sf_dir), "field_id", key)
 
 
-@query(f"WITH {SENSOR_CTE} SELECT * FROM ({_LATEST_SENSOR}) WHERE field_id = 'field_02'")
+@query(f"WITH {SENSOR_CTE} SELECT * FROM ({_LATEST_SENSOR}) WHERE field_id = (SELECT field_id FROM s_ok ORDER BY timestamp_parsed DESC, event_id DESC LIMIT 1)")
 def latest_sensor_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest.lookup(latest_sensor(spark, sf_dir), "field_id", "field_02")
+    key = _newest_key(silver_sensor_rows(spark, sf_dir), "field_id", "timestamp_parsed", "event_id")
+    return latest.lookup(latest_sensor(spark, sf_dir), "field_id", key)
 
 
 _ALL_CTE = f"WITH {ALERTS_CTE}, {PREDICTIONS_CTE}"
@@ -295,9 +312,10 @@ def field_status_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.field_status(fixtures.fields(spark, sf_dir), latest_alert_rows(spark, sf_dir))
 
 
-@query(f"WITH {WEATHER_CTE} SELECT condition, string_agg(DISTINCT location, ', ' ORDER BY location) AS locations FROM w_ok GROUP BY condition")
+@query(f"WITH {WEATHER_CTE} SELECT condition, string_agg(location, ', ' ORDER BY location) AS locations FROM (SELECT location, arg_max(condition, (timestamp_parsed, event_id)) AS condition FROM w_ok GROUP BY location) GROUP BY condition")
 def conditions_by_location(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.conditions_by_location(silver_weather_rows(spark, sf_dir))
+    """Conditions of the newest weather of each location."""
+    return reports.conditions_by_location(latest.newest_of(silver_weather_rows(spark, sf_dir), "location", ("timestamp_parsed", "event_id")))
 
 
 @query(f"WITH s AS ({fixtures.sql('sensor')}) SELECT round(avg(latitude), 4) AS latitude, round(avg(longitude), 4) AS longitude FROM s WHERE latitude IS NOT NULL AND longitude IS NOT NULL")
@@ -331,8 +349,12 @@ def cache_valid_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.validated(rows, latest.prediction_valid()).select("id", "cache_valid")
 
 
-@query("SELECT '/' || CAST(max(doc_id) AS VARCHAR) || '.png' AS name, CAST(arg_max(strlen(text), doc_id) AS BIGINT) AS n_bytes FROM documents")
-def latest_image(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest of the images of the documents, by capture order."""
-    images = fixtures.satellite(spark, sf_dir).withColumn("name", F.concat(F.lit("/"), F.col("doc_id").cast("string"), F.lit(".png")))
-    return sinks.newest(images.select("doc_id", "name", F.col("image_size_bytes").cast("long").alias("n_bytes")), "doc_id").select("name", "n_bytes")
+@query(f"WITH {GOLD_CTE} SELECT field_id, location, sensor_readings_count, weather_dominant_condition FROM fields LEFT JOIN both_sides USING (field_id)")
+def gold_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature rows published as messages, read back from their topic."""
+    rows = gold.features(silver_sensor_rows(spark, sf_dir), silver_weather_rows(spark, sf_dir), fixtures.fields(spark, sf_dir), AS_OF, MINUTES)
+    path = sinks.work_dir(spark, "gold-topic")
+    envelope = {"partition": F.lit(0), "offset": F.monotonically_increasing_id(), "timestamp": F.current_timestamp()}
+    sinks.publish(sinks.as_messages(rows, "gold_features", "field_id").withColumns(envelope), "parquet", path)
+    schema = "field_id string, location string, sensor_readings_count bigint, weather_dominant_condition string"
+    return readers.decoded(readers.messages(spark, "gold_features", "parquet", path), schema).drop("kafka_partition", "kafka_offset")

@@ -6,71 +6,229 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import utc
-from ..operators import alerts, bronze, gold, silver
-from ..sources import fixtures
+from ..operators import alerts, bronze, gold, latest, silver
+from ..schemas import ALERT, FEATURE_INPUT, IMAGE, LATEST, PREDICTION, SENSOR_RAW, SENSOR_VALID, WEATHER_RAW, WEATHER_VALID
+from ..sources import fixtures, readers, sinks
 from ..streaming import jobs
-from ..streaming.state import latest_stream
-from .layers import SENSOR_ALERT_SQL, SENSOR_CTE, rounded
-from .registry import query
-from .tables import PREDICTIONS_CTE, SCORER
+from .layers import IMAGE_SQL, SATELLITE_CTE, SENSOR_ALERT_SQL, SENSOR_CTE, WEATHER_ALERT_SQL, WEATHER_CTE, rounded, sensor_features_sql
+from .registry import AS_OF, MINUTES, query
+from .tables import PREDICTIONS_CTE, SCORER, prediction_table
 
-def _sensor_stream(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, str]:
-    return jobs.stream_of(spark, fixtures.sensor(spark, sf_dir), name)
+_SENSOR_TOPIC, _WEATHER_TOPIC, _ALERT_TOPIC, _ANOMALY_TOPIC = "sensor_valid", "weather_valid", "alerts", "anomalies"
+
+
+def _bronze(spark: SparkSession, messages: DataFrame, decode, name: str) -> str:
+    """The raw layer that a stream of the messages leaves; returns its root."""
+    stream, root = jobs.stream_of(spark, messages, name)
+    jobs.drained(jobs.bronze_job(stream, decode, f"{root}/bronze", f"{root}/checkpoint/bronze", jobs.NOW, keys=("year", "month")))
+    return root
+
+
+def _silver(spark: SparkSession, sf_dir: str, kind: str) -> str:
+    """Messages through the raw to the validated layer, whose messages go to a topic of files; returns the root."""
+    messages, decode, raw, refine, members, topic = {
+        "sensor": (fixtures.sensor_messages, bronze.sensor, SENSOR_RAW, silver.sensor, silver.SENSOR_MESSAGE, _SENSOR_TOPIC),
+        "weather": (fixtures.weather_messages, bronze.weather, WEATHER_RAW, silver.weather, silver.WEATHER_MESSAGE, _WEATHER_TOPIC),
+    }[kind]
+    root = _bronze(spark, messages(spark, sf_dir), decode, f"silver-{kind}")
+    rows = readers.json_stream(spark, f"{root}/bronze", f"{raw}, kafka_offset bigint")
+    jobs.drained(jobs.silver_job(rows, refine, members, kind, f"{root}/silver", f"{root}/checkpoint/silver", jobs.file_broker(f"{root}/topic", topic), jobs.NOW))
+    return root
+
+
+def _topic(spark: SparkSession, root: str, topic: str, schema: str, key: str = "field_id") -> DataFrame:
+    return readers.decoded(readers.message_stream(spark, topic, "parquet", path=f"{root}/topic"), schema, key)
 
 
 @query(f"WITH s AS ({fixtures.sql('sensor')}) SELECT event_id AS kafka_offset, field_id, temperature, CASE WHEN event_id % 3 < 2 THEN CAST(hour(event_ts) AS INTEGER) END AS hour FROM s")
 def stream_bronze_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    messages, root = jobs.stream_of(spark, fixtures.sensor_messages(spark, sf_dir), "bronze")
-    jobs.drained(jobs.bronze_job(messages, bronze.sensor, f"{root}/out", f"{root}/checkpoint", keys=("year", "month")))
-    out = spark.read.schema("kafka_offset long, field_id string, temperature double, hour int").json(f"{root}/out")
+    root = _bronze(spark, fixtures.sensor_messages(spark, sf_dir), bronze.sensor, "bronze")
+    out = spark.read.schema("kafka_offset long, field_id string, temperature double, hour int").json(f"{root}/bronze")
     return out.select("kafka_offset", "field_id", "temperature", "hour")
 
 
+def _images(spark: SparkSession, sf_dir: str) -> str:
+    stream, root = jobs.stream_of(spark, fixtures.satellite_messages(spark, sf_dir), "images")
+    jobs.drained(jobs.image_job(stream, f"{root}/bronze", f"{root}/images", f"{root}/checkpoint/images", jobs.NOW, keys=("year", "month", "day")))
+    return root
+
+
+@query(f"WITH i AS ({IMAGE_SQL}) SELECT kafka_offset, image_path, image_size_bytes, CAST(image_size_bytes AS BIGINT) AS stored_bytes FROM i")
+def stream_bronze_satellite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata of images, and the size of the object that was stored for each."""
+    root = _images(spark, sf_dir)
+    stored = spark.read.parquet(f"{root}/images").select("image_path", F.octet_length("image").cast("long").alias("stored_bytes"))
+    return spark.read.schema(IMAGE).json(f"{root}/bronze").select("kafka_offset", "image_path", "image_size_bytes").join(stored, "image_path")
+
+
+@query(f"WITH i AS ({IMAGE_SQL}) SELECT max_by(image_path, (local_timestamp, kafka_offset)) AS name, max_by(CAST(image_size_bytes AS BIGINT), (local_timestamp, kafka_offset)) AS n_bytes FROM i")
+def latest_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest image that the stream has stored."""
+    found = readers.newest_stored_image(spark, f"{_images(spark, sf_dir)}/images")
+    return found.select(F.col("image_path").alias("name"), F.octet_length("image").cast("long").alias("n_bytes"))
+
+
 @query(f"WITH {SENSOR_CTE} SELECT event_id, field_id, timestamp_parsed, temperature FROM s_ok")
 def stream_silver_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, root = _sensor_stream(spark, sf_dir, "silver")
-    jobs.drained(jobs.silver_job(rows, silver.sensor, silver.SENSOR_MESSAGE, "sensor", f"{root}/out", f"{root}/checkpoint"))
-    return spark.read.parquet(f"{root}/out").select("event_id", "field_id", utc("timestamp_parsed").alias("timestamp_parsed"), "temperature")
+    root = _silver(spark, sf_dir, "sensor")
+    return spark.read.parquet(f"{root}/silver").select(F.col("kafka_offset").alias("event_id"), "field_id", utc("timestamp_parsed").alias("timestamp_parsed"), "temperature")
+
+
+@query(f"WITH {WEATHER_CTE} SELECT event_id, location, timestamp_parsed, temp_c, humidity FROM w_ok")
+def stream_silver_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _silver(spark, sf_dir, "weather")
+    rows = spark.read.parquet(f"{root}/silver")
+    return rows.select(F.col("kafka_offset").alias("event_id"), "location", utc("timestamp_parsed").alias("timestamp_parsed"), "temp_c", F.col("humidity").cast("long").alias("humidity"))
+
+
+@query(f"WITH i AS ({IMAGE_SQL}) SELECT kafka_offset, image_size_bytes, DATE '2024-01-15' AS date FROM i WHERE image_size_bytes > 1000 AND image_size_bytes < 50000000 AND bbox_min_lon BETWEEN -180 AND 180 AND bbox_max_lon BETWEEN -180 AND 180 AND bbox_min_lat BETWEEN -90 AND 90 AND bbox_max_lat BETWEEN -90 AND 90 AND bbox_min_lon < bbox_max_lon AND bbox_min_lat < bbox_max_lat")
+def stream_silver_satellite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _images(spark, sf_dir)
+    rows = readers.json_stream(spark, f"{root}/bronze", IMAGE)
+    jobs.drained(jobs.silver_job(rows, silver.satellite, (), "satellite", f"{root}/silver", f"{root}/checkpoint/silver", trigger=jobs.NOW))
+    return spark.read.parquet(f"{root}/silver").select("kafka_offset", "image_size_bytes", "date")
+
+
+@query(f"WITH {SENSOR_CTE} SELECT field_id, location, temperature, date_trunc('millisecond', timestamp_parsed) AS timestamp FROM s_ok")
+def stream_valid_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The validated readings that went to their topic."""
+    root = _silver(spark, sf_dir, "sensor")
+    rows = readers.decoded(readers.messages(spark, _SENSOR_TOPIC, "parquet", f"{root}/topic"), SENSOR_VALID)
+    return rows.select("field_id", "location", "temperature", utc("timestamp").alias("timestamp"))
+
+
+def silver_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The validated readings that the stream wrote, compacted to few files."""
+    root = _silver(spark, sf_dir, "sensor")
+    sinks.compact(spark, f"{root}/silver", f"{root}/compact", "sensor")
+    return spark.read.parquet(f"{root}/compact").withColumn("timestamp_parsed", utc("timestamp_parsed"))
+
+
+@query(f"WITH {SENSOR_CTE} SELECT date, field_id, count(*) AS n FROM s_ok GROUP BY ALL")
+def silver_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return silver_files(spark, sf_dir).groupBy("date", "field_id").agg(F.count("*").alias("n"))
+
+
+@query(sensor_features_sql("s_ok"))
+def gold_from_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sensor features of the look-back over what the stream wrote; its date partitions are pruned."""
+    rows = silver_files(spark, sf_dir)
+    return rounded(gold.sensor_features(rows, AS_OF, MINUTES).select("field_id", "location", "sensor_avg_temperature", "sensor_readings_count", "sensor_last_reading"))
+
 
+def _alerts(spark: SparkSession, sf_dir: str, kind: str) -> str:
+    """Alerts of the validated messages of a topic, to a table and to a topic; returns the root."""
+    root = _silver(spark, sf_dir, kind)
+    topic, schema, rule, key = {"sensor": (_SENSOR_TOPIC, SENSOR_VALID, alerts.sensor, "field_id"), "weather": (_WEATHER_TOPIC, WEATHER_VALID, alerts.weather, "location")}[kind]
+    valid = _topic(spark, root, topic, schema, key)
+    jobs.drained(jobs.alert_job(valid, lambda rows: rule(rows, time="timestamp"), jobs.file_table(f"{root}/alerts"), f"{root}/checkpoint/alerts", jobs.file_broker(f"{root}/alert-topic", _ALERT_TOPIC), jobs.NOW))
+    return root
 
-@query(f"WITH {SENSOR_CTE} SELECT zone_id, alert_timestamp, severity, message, status, event_id FROM ({SENSOR_ALERT_SQL})")
+
+def _alert_sql(rows: str) -> str:
+    return f"SELECT zone_id, date_trunc('millisecond', alert_timestamp) AS alert_timestamp, severity, message, status FROM ({rows})"
+
+
+def _alert_rows(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/alerts").select("zone_id", utc("alert_timestamp").alias("alert_timestamp"), "severity", "message", "status")
+
+
+@query(f"WITH {SENSOR_CTE} " + _alert_sql(SENSOR_ALERT_SQL))
 def stream_sensor_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, root = _sensor_stream(spark, sf_dir, "alerts")
-    jobs.drained(jobs.alert_job(silver.sensor(rows), lambda valid: alerts.sensor(valid, "event_id"), f"{root}/out", f"{root}/checkpoint"))
-    return spark.read.parquet(f"{root}/out").select("zone_id", utc("alert_timestamp").alias("alert_timestamp"), "severity", "message", "status", "event_id")
+    return _alert_rows(spark, _alerts(spark, sf_dir, "sensor"))
+
+
+@query(f"WITH {WEATHER_CTE} " + _alert_sql(WEATHER_ALERT_SQL))
+def stream_weather_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _alert_rows(spark, _alerts(spark, sf_dir, "weather"))
+
+
+@query(f"WITH {SENSOR_CTE} SELECT zone_id, alert_type, severity, message, status FROM ({SENSOR_ALERT_SQL})")
+def stream_alert_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alerts that went to their topic."""
+    root = _alerts(spark, sf_dir, "sensor")
+    rows = readers.decoded(readers.messages(spark, _ALERT_TOPIC, "parquet", f"{root}/alert-topic"), ALERT, "zone_id")
+    return rows.select("zone_id", "alert_type", "severity", "message", "status")
+
+
+def _predictions(spark: SparkSession, sf_dir: str) -> str:
+    """Feature messages scored to a table and, if anomalies, to a topic; returns the root."""
+    stream, root = jobs.stream_of(spark, fixtures.feature_messages(spark, sf_dir), "predictions")
+    rows = readers.decoded(stream, FEATURE_INPUT)
+    jobs.drained(jobs.prediction_job(rows, lambda: SCORER, jobs.file_table(f"{root}/out"), f"{root}/checkpoint", jobs.file_broker(f"{root}/topic", _ANOMALY_TOPIC), jobs.NOW))
+    return root
 
 
 @query(f"WITH {PREDICTIONS_CTE} SELECT id, severity, is_anomaly, round(anomaly_score, 4) AS anomaly_score FROM predictions")
 def stream_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = fixtures.features(spark, sf_dir).withColumn("processing_timestamp", F.col("prediction_ts"))
-    rows, root = jobs.stream_of(spark, features, "predictions")
-    jobs.drained(jobs.prediction_job(rows, SCORER, f"{root}/out", f"{root}/checkpoint"))
-    return rounded(spark.read.parquet(f"{root}/out").select("id", "severity", "is_anomaly", "anomaly_score"))
+    rows = spark.read.parquet(f"{_predictions(spark, sf_dir)}/out")
+    return rounded(rows.select(F.col("kafka_offset").alias("id"), "severity", "is_anomaly", "anomaly_score"))
+
 
+@query(f"WITH {PREDICTIONS_CTE} SELECT field_id, location, severity, recommendations, model_version, sensor_avg_temperature AS temperature FROM predictions WHERE is_anomaly")
+def stream_anomaly_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The anomalies, and only they, that went to their topic."""
+    root = _predictions(spark, sf_dir)
+    rows = readers.decoded(readers.messages(spark, _ANOMALY_TOPIC, "parquet", f"{root}/topic"), PREDICTION)
+    return rows.select("field_id", "location", "severity", "recommendations", "model_version", F.col("features.temperature").alias("temperature"))
 
-@query()
+
+@query(
+    f"""WITH {SENSOR_CTE} SELECT time_bucket(INTERVAL 10 MINUTE, timestamp_parsed) AS window_start, field_id, location, count(*) AS sensor_readings_count, round(avg(temperature), 4) AS sensor_avg_temperature
+    FROM s_ok, (SELECT max(timestamp_parsed) AS newest FROM s_ok) WHERE time_bucket(INTERVAL 10 MINUTE, timestamp_parsed) + INTERVAL 10 MINUTE <= newest - INTERVAL 10 MINUTE GROUP BY ALL"""
+)
 def stream_gold_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows that the watermark has closed; readings later than the watermark are dropped."""
-    valid = silver.sensor(fixtures.sensor(spark, sf_dir)).orderBy("timestamp_parsed")
-    rows, root = jobs.stream_of(spark, valid, "gold", files=1)
-    jobs.drained(jobs.gold_job(rows, ("field_id", "location"), gold.sensor_aggregates(), f"{root}/out", f"{root}/checkpoint"))
-    return rounded(spark.read.parquet(f"{root}/out").select("window_start", "field_id", "location", "sensor_readings_count", "sensor_avg_temperature"))
+    """Windows that the watermark has closed. All files are one batch, so that no reading comes after the watermark and is dropped."""
+    rows, root = jobs.stream_of(spark, silver.sensor(fixtures.sensor(spark, sf_dir)), "gold", per_trigger=None)
+    jobs.drained(jobs.gold_job(rows, ("field_id", "location"), gold.sensor_aggregates(), f"{root}/out", f"{root}/checkpoint", trigger=jobs.NOW))
+    out = spark.read.parquet(f"{root}/out").withColumn("window_start", utc("window_start"))
+    return rounded(out.select("window_start", "field_id", "location", "sensor_readings_count", "sensor_avg_temperature"))
+
+
+#: Seconds that the values of these queries live: some keys are older.
+_TTL = 36 * 3600
+
+
+def _latest(spark: SparkSession, messages: DataFrame, kind: str, schema: str) -> DataFrame:
+    """The latest value of each key of a topic, as of its newest message."""
+    stream, root = jobs.stream_of(spark, messages, f"latest-{kind}")
+    rows = jobs.latest_messages(stream, kind, schema)
+    now = F.lit(latest.newest_time(jobs.latest_messages(messages, kind, schema).select(utc("message_time").alias("t")), "t")).cast("timestamp")
+    jobs.drained(jobs.latest_job(rows, kind, f"{root}/latest", f"{root}/checkpoint", jobs.NOW, _TTL, now))
+    found = jobs.latest_table(spark, f"{root}/latest", kind, _TTL, now)
+    return found.select("key", utc("message_time").alias("message_time"), "cache_ttl")
+
 
+def _latest_sql(rows: str, kind: str, time: str) -> str:
+    key, _ = LATEST[kind]
+    ms = f"date_trunc('millisecond', {time})"
+    return f"SELECT {key} AS key, max({ms}) AS message_time, {_TTL} AS cache_ttl FROM {rows} GROUP BY {key} HAVING max({ms}) >= (SELECT max({ms}) FROM {rows}) - INTERVAL {_TTL} SECOND"
 
-@query(f"WITH {SENSOR_CTE} SELECT field_id, max(epoch_us(timestamp_parsed)) AS message_time FROM s_ok GROUP BY field_id")
+
+def _as_messages(rows: DataFrame, topic: str, offset: str) -> DataFrame:
+    value = F.to_json(F.struct(*[c for c in rows.columns if c != offset])).cast("binary").alias("value")
+    return rows.select(value, F.lit(topic).alias("topic"), F.lit(0).alias("partition"), F.col(offset).cast("long").alias("offset"), F.current_timestamp().alias("timestamp"))
+
+
+@query(f"WITH {SENSOR_CTE} " + _latest_sql("s_ok", "sensor", "timestamp_parsed"))
 def stream_latest_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last change of each key's latest value.
+    rows = silver.sensor(fixtures.sensor(spark, sf_dir)).select("event_id", *silver.SENSOR_MESSAGE, F.col("timestamp_parsed").alias("timestamp"))
+    return _latest(spark, _as_messages(rows, _SENSOR_TOPIC, "event_id"), "sensor", SENSOR_VALID)
+
+
+@query(f"WITH {WEATHER_CTE} " + _latest_sql("w_ok", "weather", "timestamp_parsed"))
+def stream_latest_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = silver.weather(fixtures.weather(spark, sf_dir)).select("event_id", *silver.WEATHER_MESSAGE, F.col("timestamp_parsed").alias("timestamp"))
+    return _latest(spark, _as_messages(rows, _WEATHER_TOPIC, "event_id"), "weather", WEATHER_VALID)
+
 
-    One batch: state with a processing-time timeout asks for new batches for
-    ever, so a job of it never ends on availableNow.
-    """
-    valid = silver.sensor(fixtures.sensor(spark, sf_dir))
-    keyed = valid.select(F.col("field_id").alias("key"), F.unix_micros("timestamp_parsed").alias("message_time"), F.lit(0).alias("part"), F.col("event_id").alias("offset"), silver.message(silver.SENSOR_MESSAGE).alias("value"))
-    rows, root = jobs.stream_of(spark, keyed, "latest")
-    changes = f"{root}/out"
+@query(f"WITH {SENSOR_CTE}, a AS ({SENSOR_ALERT_SQL}) " + _latest_sql("a", "alert", "alert_timestamp"))
+def stream_latest_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = alerts.sensor(silver.sensor(fixtures.sensor(spark, sf_dir)), "event_id")
+    return _latest(spark, _as_messages(rows, _ALERT_TOPIC, "event_id"), "alert", ALERT)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(changes)
 
-    jobs.drained(latest_stream(rows, "sensor").writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint").trigger(once=True).start())
-    return spark.read.parquet(changes).groupBy(F.col("key").alias("field_id")).agg(F.max("message_time").alias("message_time"))
+@query(f"WITH {PREDICTIONS_CTE} " + _latest_sql("predictions", "prediction", "prediction_timestamp"))
+def stream_latest_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = prediction_table(spark, sf_dir).select("id", "field_id", "location", "anomaly_score", "is_anomaly", "severity", "recommendations", "model_version", F.col("prediction_timestamp").cast("timestamp").alias("prediction_timestamp"))
+    return _latest(spark, _as_messages(rows, _ANOMALY_TOPIC, "id"), "prediction", PREDICTION)

@@ -7,6 +7,9 @@ ENVELOPE = "value binary, topic string, partition int, offset bigint, timestamp
 SENSOR_RAW = "timestamp string, field_id string, location string, latitude double, longitude double, temperature double, humidity double, soil_ph double"
 WEATHER_RAW = "message_id string, timestamp string, location string, region string, country string, lat double, lon double, temp_c double, humidity int, wind_kph double, condition string, uv double, precip_mm double"
 SATELLITE_RAW = "timestamp string, image_base64 string, location struct<bbox: array<double>>"
+SENSOR_VALID = "field_id string, location string, latitude double, longitude double, temperature double, humidity double, soil_ph double, temperature_valid boolean, humidity_valid boolean, ph_valid boolean, coordinates_valid boolean, timestamp timestamp"
+WEATHER_VALID = "location string, temp_c double, humidity bigint, wind_kph double, uv double, condition string, precip_mm double, temp_valid boolean, humidity_valid boolean, wind_valid boolean, uv_valid boolean, precip_valid boolean, coordinates_valid boolean, timestamp timestamp"
+IMAGE = "timestamp string, image_path string, image_size_bytes int, bbox_min_lon double, bbox_min_lat double, bbox_max_lon double, bbox_max_lat double, kafka_offset bigint"
 ALERT = "zone_id string, alert_timestamp string, alert_type string, severity string, message string, status string"
 ALERT_TABLE = "id bigint, zone_id string, alert_timestamp timestamp, alert_type string, severity string, message string, status string, created_at timestamp"
 PREDICTION = (
@@ -40,3 +43,4 @@ CORE_FEATURES = (
 
 #: Latest-value kinds: key column and seconds to live.
 LATEST = {"sensor": ("field_id", 300), "weather": ("location", 600), "alert": ("zone_id", 1800), "prediction": ("field_id", 3600)}
+LATEST_TIME = {"sensor": "timestamp", "weather": "timestamp", "alert": "alert_timestamp", "prediction": "prediction_timestamp"}

@@ -26,7 +26,7 @@ SENSOR = (
 WEATHER = (
     ("event_id", "event_id"),
     ("event_ts", "ts"),
-    ("location", "'loc_' || CAST(event_id % 5 AS STRING)"),
+    ("location", "'loc_' || CASE event_id % 5 WHEN 3 THEN '4' ELSE CAST(event_id % 5 AS STRING) END"),
     ("lat", "45.4e0"),
     ("lon", "10.9e0"),
     ("temp_c", "CAST(event_id * 6007 % 1300 AS DOUBLE)/10 - 60"),
@@ -36,7 +36,6 @@ WEATHER = (
     ("precip_mm", "CAST(event_id * 1009 % 10500 AS DOUBLE)/10 - 10"),
     ("condition", "CASE WHEN event_id % 89 = 0 THEN NULL WHEN event_id % 4 = 0 THEN 'Sunny' WHEN event_id % 4 = 1 THEN 'Cloudy' WHEN event_id % 4 = 2 THEN 'Rain' ELSE 'Fog' END"),
 )
-WEATHER_WHERE = "event_id % 3 = 0 AND event_id % 5 <> 3"
 SATELLITE = (
     ("doc_id", "doc_id"),
     ("bbox_min_lon", "CAST(doc_id * 37 % 4000 AS DOUBLE)/10 - 200"),
@@ -63,7 +62,9 @@ FEATURES = (
 )
 #: Text times of messages: microseconds with offset, seconds with offset, or no time.
 _TEXT_TIME = "CASE event_id % 3 WHEN 0 THEN date_format(event_ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\") || '+00:00' WHEN 1 THEN date_format(event_ts, \"yyyy-MM-dd'T'HH:mm:ss\") || '+00:00' ELSE 'not-a-time' END"
-_FULL_TIME = "date_format(event_ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\") || '+00:00'"
+#: The times that these texts mean, as SQL; and times of images, of which a tenth is none.
+PARSED_TIME = "CASE event_id % 3 WHEN 0 THEN event_ts WHEN 1 THEN date_trunc('second', event_ts) END"
+_IMAGE_TIME = "CASE WHEN doc_id % 10 = 4 THEN 'not-a-time' ELSE '2024-01-15T10:' || lpad(CAST(doc_id % 60 AS STRING), 2, '0') || ':00Z' END"
 FIELDS_SQL = "SELECT DISTINCT 'field_' || lpad(CAST(user_id % 12 + 1 AS STRING), 2, '0') AS field_id FROM events UNION SELECT 'field_99' AS field_id"
 
 
@@ -73,24 +74,24 @@ def _projected(rows: DataFrame, columns: tuple[tuple[str, str], ...]) -> DataFra
 
 def sql(name: str) -> str:
     """The same projection as a SELECT."""
-    columns, source = {"sensor": (SENSOR, "events"), "weather": (WEATHER, f"events WHERE {WEATHER_WHERE}"), "features": (FEATURES, "events"), "satellite": (SATELLITE, "documents")}[name]
+    columns, source = {"sensor": (SENSOR, "events"), "weather": (WEATHER, "events"), "features": (FEATURES, "events"), "satellite": (SATELLITE, "documents")}[name]
     return "SELECT " + ", ".join(f"{e} AS {n}" for n, e in columns) + f" FROM {source}"
 
 
 def sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sensor readings with a text `timestamp`."""
-    return _projected(table(spark, sf_dir, "events"), SENSOR).withColumn("timestamp", F.expr(_FULL_TIME))
+    """Sensor readings with a text `timestamp`, of which a third is no time."""
+    return _projected(table(spark, sf_dir, "events"), SENSOR).withColumn("timestamp", F.expr(_TEXT_TIME))
 
 
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _projected(table(spark, sf_dir, "events").where(WEATHER_WHERE), WEATHER).withColumn("timestamp", F.expr(_FULL_TIME))
+    return _projected(table(spark, sf_dir, "events"), WEATHER).withColumn("timestamp", F.expr(_TEXT_TIME))
 
 
 def satellite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unpacked images: the size is that of the document's text in UTF-8."""
     docs = table(spark, sf_dir, "documents")
     size = F.octet_length("text").alias("image_size_bytes")
-    return docs.select(*[F.expr(e).alias(n) for n, e in SATELLITE], size, F.lit("t").alias("timestamp"), F.concat(F.lit("satellite-images/"), F.col("doc_id").cast("string")).alias("image_path"))
+    return docs.select(*[F.expr(e).alias(n) for n, e in SATELLITE], size, F.expr(_IMAGE_TIME).alias("timestamp"), F.concat(F.lit("satellite-images/"), F.col("doc_id").cast("string")).alias("image_path"))
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,10 +115,18 @@ def sensor_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weather_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _projected(table(spark, sf_dir, "events").where(WEATHER_WHERE), WEATHER)
+    rows = _projected(table(spark, sf_dir, "events"), WEATHER)
     return _envelope(rows, "weather_data", ("location", "lat", "lon", "temp_c", "humidity", "wind_kph", "condition", "uv", "precip_mm"))
 
 
+def feature_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature rows as messages."""
+    rows = features(spark, sf_dir)
+    members = [c for c in rows.columns if c not in ("id", "prediction_ts")]
+    value = F.to_json(F.struct(*members, F.col("prediction_ts").cast("timestamp").alias("processing_timestamp"))).cast("binary")
+    return rows.select(value.alias("value"), F.lit("gold_features").alias("topic"), (F.col("id") % 3).cast("int").alias("partition"), F.col("id").alias("offset"), F.col("prediction_ts").cast("timestamp").alias("timestamp"))
+
+
 def satellite_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as images: the text in base64, a box of four corners, none for every tenth."""
     docs = table(spark, sf_dir, "documents")

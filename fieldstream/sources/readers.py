@@ -16,17 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def message_stream(spark: SparkSession, topic: str, fmt: str = "kafka", servers: str | None = None, path: str | None = None, starting: str = "earliest", per_trigger: int | None = None) -> DataFrame:
-    """A stream of message envelopes of one topic.
+def kafka_options(topic: str, servers: str | None, starting: str = "earliest", per_trigger: int | None = None) -> dict[str, str]:
+    """starting: earliest or latest; per_trigger: messages a micro-batch at most. Data lost at the broker is tolerated."""
+    options = {"subscribe": topic, "kafka.bootstrap.servers": servers, "startingOffsets": starting, "failOnDataLoss": "false"}
+    return options | ({"maxOffsetsPerTrigger": str(per_trigger)} if per_trigger else {})
+
 
-    starting: earliest or latest; per_trigger: messages a micro-batch at most
-    (files for a file format). Data lost at the broker is tolerated.
-    """
+def message_stream(spark: SparkSession, topic: str, fmt: str = "kafka", servers: str | None = None, path: str | None = None, starting: str = "earliest", per_trigger: int | None = None) -> DataFrame:
+    """A stream of message envelopes of one topic; of a file format, whose batches are files, from any folder below path."""
     reader = spark.readStream.format(fmt)
     if fmt == "kafka":
-        reader = reader.options(subscribe=topic, startingOffsets=starting, failOnDataLoss="false").option("kafka.bootstrap.servers", servers)
-        return (reader.option("maxOffsetsPerTrigger", per_trigger) if per_trigger else reader).load()
-    reader = reader.schema(ENVELOPE)
+        return reader.options(**kafka_options(topic, servers, starting, per_trigger)).load()
+    reader = reader.schema(ENVELOPE).option("recursiveFileLookup", "true")
     return (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).load(path).where(F.col("topic") == topic)
 
 
@@ -35,17 +36,19 @@ def messages(spark: SparkSession, topic: str, fmt: str, path: str | None = None,
     reader = spark.read.format(fmt)
     if fmt == "kafka":
         return reader.options(subscribe=topic).option("kafka.bootstrap.servers", servers).load()
-    return reader.schema(ENVELOPE).load(path).where(F.col("topic") == topic)
+    return reader.schema(ENVELOPE).option("recursiveFileLookup", "true").load(path).where(F.col("topic") == topic)
 
 
-def json_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """New raw-layer JSON files as a stream."""
-    return spark.readStream.schema(schema).json(path)
+def json_stream(spark: SparkSession, path: str, schema: str, per_trigger: int | None = None) -> DataFrame:
+    """New raw-layer JSON files as a stream, of any partition folders below path."""
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
+    return (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).json(path)
 
 
-def feature_stream(messages: DataFrame, schema: str) -> DataFrame:
-    """Feature rows of a message stream, without those that have no field."""
-    return messages.select(F.from_json(F.col("value").cast("string"), schema).alias("d")).select("d.*").where("field_id IS NOT NULL")
+def decoded(messages: DataFrame, schema: str, key: str = "field_id") -> DataFrame:
+    """Rows of a message stream's JSON, without those that have no key, and their place (kafka_partition, kafka_offset)."""
+    rows = messages.select(F.from_json(F.col("value").cast("string"), schema).alias("d"), F.col("partition").alias("kafka_partition"), F.col("offset").alias("kafka_offset"))
+    return rows.select("d.*", "kafka_partition", "kafka_offset").where(F.col(key).isNotNull())
 
 
 def parquet_history(spark: SparkSession, root: str, start: str | None = None, end: str | None = None, partition: str = "window_end") -> DataFrame:
@@ -64,7 +67,15 @@ def jdbc_table(spark: SparkSession, url: str, name: str, key: str | None = None,
 
 
 def newest_image(spark: SparkSession, path: str, pattern: str = "*.png") -> DataFrame:
-    """The newest binary object below path: path, time, length and content; the content of others is not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    newest = files.select("path", "modificationTime").orderBy(F.desc("modificationTime"), F.desc("path")).limit(1)
-    return files.join(F.broadcast(newest.select("path")), "path", "left_semi")  # one row
+    """The newest binary object below path: path, time, length and content; of the others only names and times are listed."""
+    objects = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+    files = objects.load(path)
+    found = files.select("path", "modificationTime").agg(F.max_by("path", F.struct("modificationTime", "path"))).first()[0]
+    return files.limit(0) if found is None else spark.read.format("binaryFile").load(found)
+
+
+def newest_stored_image(spark: SparkSession, path: str, time: str = "local_timestamp") -> DataFrame:
+    """The same of a table of images (image_path, image and a time): the name is found first, then only its content is read."""
+    images = spark.read.parquet(path)
+    found = images.agg(F.max_by("image_path", F.struct(time, "kafka_offset"))).first()[0]
+    return images.where(F.col("image_path") == F.lit(found))

@@ -6,12 +6,13 @@ a replayed batch replaces what it wrote before.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -20,8 +21,12 @@ PARTITIONS = {"bronze": ("year", "month", "day", "hour"), "sensor": ("date", "fi
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share, below spark.checkpoint.dir where it is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="fieldstream-")
+    """A new folder that driver and executors share, below spark.checkpoint.dir; a local one only where all runs in one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="fieldstream-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -32,14 +37,14 @@ def file_stream(rows: DataFrame, path: str, checkpoint: str, layer: str, fmt: st
 
 
 def write_files(rows: DataFrame, path: str, layer: str, fmt: str = "parquet", per_file: int = 1_000_000) -> None:
-    """Append partitioned files: one task a partition value, split by rows, so that small batches leave few files."""
+    """Append partitioned files: small partition values share a task and large ones are split by size, so that files are few and no task holds a whole day."""
     keys = PARTITIONS[layer]
-    rows.repartition(*map(F.col, keys)).write.format(fmt).partitionBy(*keys).option("maxRecordsPerFile", per_file).mode("append").save(path)
+    rows.hint("rebalance", *map(F.col, keys)).write.format(fmt).partitionBy(*keys).option("maxRecordsPerFile", per_file).mode("append").save(path)
 
 
 def compact(spark: SparkSession, source: str, target: str, layer: str, fmt: str = "parquet") -> None:
     """Rewrite a folder of many small files as few."""
-    write_files(spark.read.format(fmt).load(source), target, layer, fmt)
+    write_files(spark.read.format(fmt).load(source).drop("batch_id"), target, layer, fmt)
 
 
 def as_messages(rows: DataFrame, topic: str, key: str | None = None) -> DataFrame:
@@ -54,18 +59,33 @@ def publish(messages: DataFrame, fmt: str = "kafka", path: str | None = None, **
     writer.save(path) if path else writer.save()
 
 
+def publish_batch(messages: DataFrame, batch_id: int, path: str, fmt: str = "parquet") -> None:
+    """Messages of a micro-batch as files; a replay replaces them."""
+    messages.write.format(fmt).mode("overwrite").save(f"{path}/batch_id={batch_id}")
+
+
 def write_jdbc(rows: DataFrame, url: str, name: str, **properties: str) -> None:
     rows.write.jdbc(url, name, mode="append", properties=properties)
 
 
+def insert_batch(rows: DataFrame, batch_id: int, url: str, name: str, keys: tuple[str, ...], **properties: str) -> None:
+    """Append a micro-batch to a database table that has its columns and batch_id; rows that an earlier try of it has put there are left out."""
+    spark = rows.sparkSession
+    own = ", ".join(f'"{k}"' for k in keys)
+    there = spark.read.jdbc(url, f"(SELECT {own} FROM {name} WHERE \"batch_id\" = {batch_id}) t", properties=properties)
+    new = rows.join(there.select([F.col(k).alias(f"there_{k}") for k in keys]), [F.col(k) == F.col(f"there_{k}") for k in keys], "left_anti")
+    write_jdbc(new.withColumn("batch_id", F.lit(batch_id).cast("long")), url, name, **properties)
+
+
 def alert_rows(rows: DataFrame) -> DataFrame:
     """Alerts for the table, ACTIVE where no status is given."""
     return rows.withColumn("status", F.coalesce("status", F.lit("ACTIVE")))
 
 
-def replace_batch(rows: DataFrame, batch_id: int, path: str) -> None:
-    """Write a micro-batch as the partition batch_id of a Parquet table; a replay replaces it."""
-    rows.withColumn("batch_id", F.lit(batch_id)).write.partitionBy("batch_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+def replace_batch(rows: DataFrame, batch_id: int, path: str, keys: tuple[str, ...] = (), fmt: str = "parquet") -> None:
+    """Write a micro-batch as the partition batch_id of a table, with further partition columns within; a replay replaces all of it."""
+    spread = rows.hint("rebalance", *map(F.col, keys)) if keys else rows
+    spread.write.format(fmt).partitionBy(*keys).mode("overwrite").save(f"{path}/batch_id={batch_id}")
 
 
 def fan_out(*sinks: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
@@ -82,9 +102,9 @@ def fan_out(*sinks: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, in
     return run
 
 
-def upsert_latest(current: DataFrame, new: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
-    """Current and new rows merged to the newest of each key."""
-    both = current.unionByName(new)
+def upsert_latest(current: DataFrame, new: DataFrame, key: str, order: tuple[str, ...], fresh: Column) -> DataFrame:
+    """Current and new rows merged to the newest of each key, of those that are fresh."""
+    both = current.unionByName(new).where(fresh)
     return both.groupBy(key).agg(F.max_by(F.struct(*both.columns), F.struct(*order)).alias("row")).select("row.*")
 
 
@@ -93,12 +113,16 @@ def newest(rows: DataFrame, order: str) -> DataFrame:
     return rows.agg(F.max_by(F.struct(*rows.columns), order).alias("row")).where("row IS NOT NULL").select("row.*")
 
 
-def save_model(model: PipelineModel, root: str, version: str, metadata: DataFrame) -> None:
+def save_model(model: PipelineModel, root: str, version: str, record: DataFrame) -> None:
     """Save a model under its version and append its registry row, which is what moves `latest`."""
     model.write().overwrite().save(f"{root}/models/{version}")
-    metadata.write.mode("append").parquet(f"{root}/registry")
+    record.write.mode("append").parquet(f"{root}/registry")
+
+
+def newest_version(spark: SparkSession, root: str) -> str:
+    return newest(spark.read.parquet(f"{root}/registry").select("model_version", F.struct("updated_at", "model_version").alias("order")), "order").first()["model_version"]
 
 
 def load_latest_model(spark: SparkSession, root: str) -> tuple[PipelineModel, str]:
-    newest = spark.read.parquet(f"{root}/registry").orderBy(F.desc("updated_at"), F.desc("model_version")).select("model_version").first()["model_version"]
-    return PipelineModel.load(f"{root}/models/{newest}"), newest
+    version = newest_version(spark, root)
+    return PipelineModel.load(f"{root}/models/{version}"), version

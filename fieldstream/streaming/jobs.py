@@ -1,87 +1,182 @@
 """Streaming jobs: a source, the batch operators' functions, a sink and a checkpoint.
 
-Every job runs on a trigger in production and on `availableNow` in tests and
-queries, where it must give what the batch functions give.
+Every job runs on its production trigger by default, and on `NOW` in tests and
+queries, where it must give what the batch functions give. Sinks are idempotent
+by batch: a replayed micro-batch replaces what it wrote before.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import alerts, bronze, gold, ml, silver
-from ..sources import sinks
+from ..operators import bronze, gold, latest, ml, silver
+from ..schemas import LATEST, LATEST_TIME
+from ..sources import readers, sinks
 
-#: Trigger intervals in production.
+#: Trigger intervals in production; the others start a batch as soon as there is data.
 TRIGGERS = {"bronze": {"processingTime": "30 seconds"}, "satellite": {"processingTime": "60 seconds"}, "silver": {"processingTime": "60 seconds"}, "alerts": {"processingTime": "30 seconds"}}
 NOW = {"availableNow": True}
 
+Sink = Callable[[DataFrame, int], None]
 
-def bronze_job(messages: DataFrame, decode: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, trigger: dict = NOW, keys: tuple[str, ...] | None = None) -> StreamingQuery:
+
+def _trigger(kind: str, trigger: dict | None) -> dict:
+    return trigger or TRIGGERS.get(kind, {"processingTime": "0 seconds"})
+
+
+def _started(rows: DataFrame, write: Sink, checkpoint: str, kind: str, trigger: dict | None) -> StreamingQuery:
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**_trigger(kind, trigger)).start()
+
+
+def file_table(path: str, keys: tuple[str, ...] = ()) -> Sink:
+    return lambda batch, batch_id: sinks.replace_batch(batch, batch_id, path, keys)
+
+
+def file_broker(path: str, topic: str) -> Sink:
+    """A sink that gives messages (value) the other columns of an envelope, as a broker does, and writes them as files."""
+
+    def publish(messages: DataFrame, batch_id: int) -> None:
+        place = {"topic": F.lit(topic), "partition": F.spark_partition_id(), "offset": F.monotonically_increasing_id(), "timestamp": F.current_timestamp()}
+        sinks.publish_batch(messages.select(F.col("value").cast("binary").alias("value")).withColumns(place), batch_id, path)
+
+    return publish
+
+
+def bronze_job(messages: DataFrame, decode: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, trigger: dict | None = None, keys: tuple[str, ...] | None = None) -> StreamingQuery:
     """Messages to raw-layer JSON, partitioned by hour or by other keys (a backfill of many days by day)."""
-    return sinks.file_stream(decode(messages).drop("image"), path, checkpoint, "bronze", "json", trigger, keys).start()
+    return sinks.file_stream(decode(messages), path, checkpoint, "bronze", "json", _trigger("bronze", trigger), keys).start()
+
+
+def image_job(messages: DataFrame, path: str, images: str, checkpoint: str, trigger: dict | None = None, keys: tuple[str, ...] = sinks.PARTITIONS["bronze"]) -> StreamingQuery:
+    """Satellite messages to image objects (a table of names and bytes) and raw-layer JSON of all but the bytes."""
+
+    def objects(batch: DataFrame, batch_id: int) -> None:
+        sinks.replace_batch(batch.select("image_path", "local_timestamp", "kafka_offset", "image"), batch_id, images)
+
+    def metadata(batch: DataFrame, batch_id: int) -> None:
+        sinks.replace_batch(batch.drop("image", "raw_value"), batch_id, path, keys, "json")
 
+    return _started(bronze.satellite(messages), sinks.fan_out(objects, metadata), checkpoint, "satellite", trigger)
 
-def silver_job(rows: DataFrame, refine: Callable[[DataFrame], DataFrame], members: tuple[str, ...], layer: str, path: str, checkpoint: str, publish: Callable[[DataFrame], None] | None = None, trigger: dict = NOW) -> StreamingQuery:
-    """Raw rows to validated files and messages; each micro-batch is computed once for both."""
 
-    def files(batch: DataFrame, batch_id: int) -> None:
-        sinks.replace_batch(batch, batch_id, path)
+def silver_job(rows: DataFrame, refine: Callable[[DataFrame], DataFrame], members: tuple[str, ...], layer: str, path: str, checkpoint: str, publish: Sink | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Raw rows to validated files in the layer's partitions and to messages; each micro-batch is computed once for both."""
 
     def topic(batch: DataFrame, batch_id: int) -> None:
         if publish is not None:
-            publish(batch.select(silver.message(members).cast("binary").alias("value")))
+            publish(batch.select(silver.message(members)), batch_id)
 
-    return refine(rows).writeStream.foreachBatch(sinks.fan_out(files, topic)).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    return _started(refine(rows), sinks.fan_out(file_table(path, sinks.PARTITIONS[layer]), topic), checkpoint, "silver", trigger)
 
 
-def alert_job(valid: DataFrame, raise_alerts: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, publish: Callable[[DataFrame], None] | None = None, trigger: dict = NOW) -> StreamingQuery:
+def alert_job(valid: DataFrame, raise_alerts: Callable[[DataFrame], DataFrame], table: Sink, checkpoint: str, publish: Sink | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Validated rows to the alert table and the alert topic."""
 
-    def table(batch: DataFrame, batch_id: int) -> None:
-        sinks.replace_batch(sinks.alert_rows(batch), batch_id, path)
+    def rows(batch: DataFrame, batch_id: int) -> None:
+        table(sinks.alert_rows(batch), batch_id)
 
     def topic(batch: DataFrame, batch_id: int) -> None:
         if publish is not None:
-            publish(sinks.as_messages(batch, "alerts-anomalies", "zone_id"))
+            publish(sinks.as_messages(batch, "alerts-anomalies", "zone_id"), batch_id)
 
-    return raise_alerts(valid).writeStream.foreachBatch(sinks.fan_out(table, topic)).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    return _started(raise_alerts(valid), sinks.fan_out(rows, topic), checkpoint, "alerts", trigger)
 
 
-def prediction_job(features: DataFrame, scorer: ml.Scorer, path: str, checkpoint: str, publish: Callable[[DataFrame], None] | None = None, trigger: dict = NOW) -> StreamingQuery:
-    """Feature rows to the prediction table (with feature documents) and anomalies to their topic."""
+def prediction_job(features: DataFrame, scorer: Callable[[], ml.Scorer], table: Sink, checkpoint: str, publish: Sink | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Feature rows to the prediction table (with feature documents) and anomalies to their topic.
 
-    def table(batch: DataFrame, batch_id: int) -> None:
-        sinks.replace_batch(batch.withColumn("features", ml.features_document()), batch_id, path)
+    scorer is asked for each batch, so that a newly trained model takes effect.
+    """
+
+    def rows(batch: DataFrame, batch_id: int) -> None:
+        table(batch.withColumn("features", ml.features_document()), batch_id)
 
     def topic(batch: DataFrame, batch_id: int) -> None:
         if publish is not None:
-            publish(batch.where("is_anomaly").select(ml.anomaly_message().cast("binary").alias("value")))
+            publish(batch.where("is_anomaly").select(ml.anomaly_message().alias("value")), batch_id)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        sinks.fan_out(rows, topic)(ml.scored(batch, scorer(), F.col("processing_timestamp")), batch_id)
+
+    return _started(features, write, checkpoint, "predictions", trigger)
+
 
-    scored = ml.scored(features, scorer, F.col("processing_timestamp"))
-    return scored.writeStream.foreachBatch(sinks.fan_out(table, topic)).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+def newest_scorer(spark: SparkSession, root: str) -> Callable[[], ml.Scorer]:
+    """The scorer of the registry's newest version, loaded anew only when the version has changed."""
+    held: dict[str, ml.Scorer] = {}
 
+    def current() -> ml.Scorer:
+        version = sinks.newest_version(spark, root)
+        if version not in held:
+            model, _ = sinks.load_latest_model(spark, root)
+            held.clear()
+            held[version] = ml.Scorer.of(model, version)
+        return held[version]
 
-def gold_job(valid: DataFrame, keys: tuple[str, ...], aggregates: list, path: str, checkpoint: str, minutes: int = 10, late: str = "10 minutes", trigger: dict = NOW) -> StreamingQuery:
+    return current
+
+
+def gold_job(valid: DataFrame, keys: tuple[str, ...], aggregates: list, path: str, checkpoint: str, minutes: int = 10, late: str = "10 minutes", trigger: dict | None = None) -> StreamingQuery:
     """Event-time windows of validated rows, each written once the watermark has passed it."""
     rows = gold.windowed(valid, keys, aggregates, minutes, late)
-    return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(**trigger).start()
+    return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(**_trigger("gold", trigger)).start()
+
+
+# ---- latest values ------------------------------------------------------------------
+
+_PLACE = ("message_time", "kafka_partition", "kafka_offset")
+
+
+def latest_messages(messages: DataFrame, kind: str, schema: str) -> DataFrame:
+    """Messages of a kind's topic as rows (key, message_time, kafka_partition, kafka_offset, value)."""
+    key, _ = LATEST[kind]
+    rows = readers.decoded(messages, schema, key)
+    return rows.select(F.col(key).alias("key"), F.col(LATEST_TIME[kind]).cast("timestamp").alias("message_time"), "kafka_partition", "kafka_offset", F.to_json(F.struct(*[c for c in rows.columns if not c.startswith("kafka_")])).alias("value"))
+
+
+def latest_job(rows: DataFrame, kind: str, path: str, checkpoint: str, trigger: dict | None = None, ttl: int | None = None, now: Column | None = None) -> StreamingQuery:
+    """The newest row of each key with time to live, as a table that each micro-batch writes anew.
 
+    A batch is reduced to one row a key before it meets the table, all within
+    Spark's aggregation. Stale rows go at each batch, so the table holds the keys
+    of one time to live. Two slots take turns, and a replay reads the other one.
+    """
+    _, own_ttl = LATEST[kind]
+    fresh = F.col("message_time") >= (F.current_timestamp() if now is None else now) - F.make_interval(secs=F.lit(own_ttl if ttl is None else ttl))
 
-def stream_of(spark: SparkSession, rows: DataFrame, name: str, files: int = 4) -> tuple[DataFrame, str]:
+    def write(batch: DataFrame, batch_id: int) -> None:
+        new = latest.newest_of(batch.where(fresh), "key", _PLACE).withColumn("version", F.lit(batch_id))
+        current = batch.sparkSession.read.schema(new.schema).parquet(f"{path}/slot={(batch_id - 1) % 2}") if batch_id else new.limit(0)
+        sinks.upsert_latest(current, new, "key", _PLACE, fresh).withColumn("version", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/slot={batch_id % 2}")
+
+    return _started(rows, write, checkpoint, "latest", trigger)
+
+
+def latest_table(spark: SparkSession, path: str, kind: str, ttl: int | None = None, now: Column | None = None) -> DataFrame:
+    """The fresh rows of the newest version that latest_job wrote, with cache_ttl; an empty version leaves only stale ones before it."""
+    _, own_ttl = LATEST[kind]
+    seconds = own_ttl if ttl is None else ttl
+    rows = spark.read.parquet(path)
+    newest = rows.agg(F.max("version")).first()[0]
+    fresh = F.col("message_time") >= (F.current_timestamp() if now is None else now) - F.make_interval(secs=F.lit(seconds))
+    return rows.where((F.col("version") == newest) & fresh).drop("slot", "version").withColumn("cache_ttl", F.lit(seconds))
+
+
+# ---- streams of tables ----------------------------------------------------------------
+
+
+def stream_of(spark: SparkSession, rows: DataFrame, name: str, per_trigger: int | None = 2) -> tuple[DataFrame, str]:
     """Rows written as files and read back as a stream, and the root of their folder."""
     root = sinks.work_dir(spark, name)
-    rows.repartition(files).write.parquet(f"{root}/in")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in"), root
+    rows.repartition(max(4, rows.rdd.getNumPartitions())).write.parquet(f"{root}/in")
+    reader = spark.readStream.schema(rows.schema)
+    return (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).parquet(f"{root}/in"), root
 
 
 def drained(query: StreamingQuery) -> None:
     """Wait for an availableNow job; its failure is raised here."""
     query.awaitTermination()
-
-
-BRONZE = {"sensor": bronze.sensor, "weather": bronze.weather}
-ALERTS = {"sensor": alerts.sensor, "weather": alerts.weather}

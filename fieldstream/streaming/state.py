@@ -1,4 +1,4 @@
-"""Latest value by key as a stateful stream with time to live."""
+"""Latest value by key as a stateful stream with time to live, for keys too many for a table that each batch writes anew."""
 
 from __future__ import annotations
 
@@ -25,10 +25,10 @@ def keep_newest(ttl_seconds: int) -> Callable[[tuple, Iterator[pd.DataFrame], Gr
         held = tuple(state.get) if state.exists else None
         best = held
         for frame in rows:
-            for r in frame[_COLUMNS].itertuples(index=False):
-                row = (int(r[0]), int(r[1]), int(r[2]), r[3])
-                if best is None or row[:3] > best[:3]:
-                    best = row
+            if len(frame):
+                time, part, offset, value = frame[_COLUMNS].sort_values(_COLUMNS[:3]).iloc[-1]
+                row = (int(time), int(part), int(offset), value)
+                best = row if best is None or row[:3] > best[:3] else best
         if best is not None and best != held:
             state.update(best)
             state.setTimeoutDuration(ttl_seconds * 1000)

@@ -25,10 +25,16 @@ def test_closed_ranges(spark, row, valid):
 
 @pytest.mark.parametrize(("size", "valid"), [(1000, False), (1001, True), (49_999_999, True), (50_000_000, False)])
 def test_open_image_size(spark, size, valid):
-    rows = spark.createDataFrame([("t", "p", size, 0.0, 0.0, 1.0, 1.0)], "timestamp string, image_path string, image_size_bytes int, bbox_min_lon double, bbox_min_lat double, bbox_max_lon double, bbox_max_lat double")
+    rows = spark.createDataFrame([(T, "p", size, 0.0, 0.0, 1.0, 1.0)], "timestamp string, image_path string, image_size_bytes int, bbox_min_lon double, bbox_min_lat double, bbox_max_lon double, bbox_max_lat double")
     assert (silver.satellite(rows).count() == 1) is valid
 
 
+def test_rows_without_a_time_are_dropped(spark):
+    schema = SENSOR
+    rows = spark.createDataFrame([(t, "f", "l", 0.0, 0.0, 50.0, 50.0, 6.0) for t in (T, "not-a-time", "", None)], schema)
+    assert silver.sensor_flagged(rows).count() == 1 and alerts.sensor(silver.sensor(rows)).where("alert_timestamp IS NULL").count() == 0
+
+
 def test_times(spark):
     texts = ["2024-01-15T12:00:00.123456+02:00", "2024-01-15T12:00:00+02:00", "2024-01-15T12:00:00Z", "2024-01-15T12:00:00", "bad", None]
     found = [r[0] for r in spark.createDataFrame([(x,) for x in texts], "t string").select(utc(parse_timestamp(F.col("t")))).collect()]
@@ -89,14 +95,6 @@ def test_medians_of_nothing(spark):
     assert ml.filled(rows).first()["sensor_avg_temperature"] == 0.0
 
 
-def test_replayed_batch_leaves_one_copy(spark, tmp_path):
-    rows = spark.range(5)
-    for _ in range(2):
-        sinks.replace_batch(rows, 3, f"{tmp_path}/t")
-    sinks.replace_batch(rows, 4, f"{tmp_path}/t")
-    assert spark.read.parquet(f"{tmp_path}/t").count() == 10
-
-
 def test_jdbc(spark, tmp_path):
     url = f"jdbc:derby:{tmp_path}/db;create=true"
     rows = spark.createDataFrame([(1, "z", None), (2, "y", "RESOLVED")], "id long, zone_id string, status string")
