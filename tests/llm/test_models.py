@@ -18,6 +18,69 @@ def test_license_of_several_in_one_file(spark):
     assert rows[0]["labels"].split(",") == sorted({t.label for t in licences.TEMPLATES}) and rows[1]["labels"] == ""
 
 
+def brute_licences(text, templates, idf, rare, rare_words=8, least=0.5, slack=4):
+    """Labels and score by trying every template at every place, word by word."""
+    ws = licences.words((text or "").encode())
+    present = {w for w in ws if rare.get(w)}
+    labels, best = set(), 0.0
+    for t in templates:
+        passage = licences.words(t.passage.encode())
+        whole = sum(sorted((idf[w] for w in set(passage) if rare[w]), reverse=True)[:rare_words])
+        for start in range(-len(passage), len(ws)):
+            agreed = {w for q, w in enumerate(passage) if rare[w] and 0 <= start + q < len(ws) and ws[start + q] == w}
+            if not agreed or (len(agreed) < 2 and len(present) > 1) or sum(idf[w] for w in agreed) / whole < least:
+                continue
+            near = ws[max(0, start - slack) : start + len(passage) + slack]
+            keys = [licences.words(k.encode()) for k in t.key_phrases]
+            if all(any(near[i : i + len(k)] == k for i in range(len(near))) for k in keys):
+                labels.add(t.label)
+                best = max(best, min(1.0, sum(idf[w] for w in agreed) / whole))
+    base = {label for phrase, label in licences.BASE for i in range(len(ws)) if ws[i : i + len(phrase.split())] == phrase.encode().split()}
+    return labels | base, best if best or not base else 0.5
+
+
+def test_license_scan_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(licences, "WINDOW", 64)
+    rng = random.Random(11)
+    plain = "the of and software license permission is copy use under terms plain words that say little".split()
+    texts = []
+    for i in range(60):
+        ws = [rng.choice(plain) for _ in range(rng.randint(0, 80))]
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            passage = rng.choice(licences.TEMPLATES).passage.split()
+            if rng.random() < 0.5:  # some words lost or changed
+                passage = [w if rng.random() < 0.93 else "changed" for w in passage]
+            at = rng.randint(0, len(ws))
+            ws[at:at] = passage
+        texts.append(" ".join(ws) if i else None)
+    docs = spark.createDataFrame([(i, t, "x", "y", 1) for i, t in enumerate(texts)], DOCS)
+    index = licences.Index(licences.TEMPLATES, licences.BASE)
+    total, counts = licences.document_counts(docs, index)
+    assert total == len(texts) and {w: int(counts[i]) for w, i in index.ids.items()} == {w: sum(w in licences.words((t or "").encode()) for t in texts) for w in index.ids}
+    idf = {w: math.log((total + 1) / (counts[i] + 1)) + 1e-3 for w, i in index.ids.items()}
+    flags = licences.rare_words_of(index, licences.np.array([idf[w] for w in index.vocabulary]), -math.log(0.1))
+    rare = {w: bool(flags[i]) for w, i in index.ids.items()}
+    found = {r["doc_id"]: r for r in licences.scan(docs).collect()}
+    for i, t in enumerate(texts):
+        labels, score = brute_licences(t, licences.TEMPLATES, idf, rare)
+        assert found[i]["labels"] == ",".join(sorted(labels)) and abs(found[i]["score"] - score) < 1e-9, (i, t)
+        assert found[i]["n_words"] == len(licences.words((t or "").encode()))
+
+
+def test_license_scan_of_a_long_text():
+    import tracemalloc
+
+    index = licences.Index(licences.TEMPLATES, licences.BASE)
+    idf = licences.np.ones(len(index.vocabulary))
+    passage = next(t.passage for t in licences.TEMPLATES if t.label == "zlib")
+    ids, _ = index.numbered([(("permission software license the granted use " * 40_000) + passage).encode()])
+    tracemalloc.start()
+    labels, score = licences.aligned(index, idf, idf > 0, ids[:-1], 8, 0.5, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert labels == {"zlib"} and score == 1.0 and peak < 60 << 20
+
+
 def test_license_base_and_labels(spark):
     texts = ["Released under the MIT License.", "see the Apache-License and MIT license; mit license", None, "", "GNU General Public License", "Licensed under CC BY-NC 4.0.", "the of and to", "plain words " * 50, "mit  license" * 3]
     docs = spark.createDataFrame([(i, t, None, None, 1) for i, t in enumerate(texts)], DOCS)
