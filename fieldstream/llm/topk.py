@@ -8,8 +8,9 @@ maxima, and scored through their forward index (the block's matrix) until the
 next bound is below the query's k-th score so far. Pruned blocks cannot hold a
 result, so the result is exact; slabs are merged by a window per query.
 
-Queries are sent to the slabs in chunks of bounded size; more queries mean more
-passes, not a larger broadcast.
+Queries are sent to the slabs in chunks of bounded size, one chunk after another:
+more queries mean more passes, each of which writes its results and frees its
+broadcast, not a larger plan or broadcast. `pruned` tells how much is scored.
 
 Defined results: a vector that is null or holds a null or non-finite component,
 and a row without id, takes no part; shorter vectors count as padded with
@@ -98,38 +99,55 @@ def search_slab(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ro
     return at, ids, scores.astype(np.int64), scored
 
 
-def _slab_search(sent, width: int, k: int):
-    """The function that searches one slab, a table of vec_id and terms, for a broadcast chunk of queries."""
+def _slab_search(sent, width: int, k: int, count: bool = False):
+    """The function that searches one slab, a table of vec_id and terms, for a broadcast chunk of queries, or counts its (query, block) pairs and those that are scored."""
 
     def run(slab):
+        pairs = scored = 0
         query_ids, q = sent.value
         rows, row_ids = _matrix(slab.column("terms").combine_chunks(), width), np.asarray(slab.column("vec_id"), np.int64)
         out = [pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "vec_id", "score")})]
         for i in range(0, len(q), 1024):
-            at, ids, scores, _ = search_slab(q[i : i + 1024], query_ids[i : i + 1024], rows, row_ids, k)
+            at, ids, scores, n = search_slab(q[i : i + 1024], query_ids[i : i + 1024], rows, row_ids, k)
+            pairs, scored = pairs + len(q[i : i + 1024]) * -(-len(rows) // BLOCK_ROWS), scored + n
             out.append(pa.table({"query_id": query_ids[i + at], "vec_id": ids, "score": scores}))
-        return pa.concat_tables(out)
+        return pa.table({"pairs": [pairs], "scored": [scored]}) if count else pa.concat_tables(out)
 
     return run
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding", scale: int = 64) -> DataFrame:
-    """Rows (query_id, rank, vec_id, score): the k best rows for each row for which is_query (a condition on vec_id) holds."""
+def _passes(vectors: DataFrame, is_query: Column, k: int, id_column: str, vector_column: str, scale: int, query_bytes: int, count: bool) -> DataFrame:
+    """The results of all slabs for all chunks of queries, as rows of RESULT_SCHEMA or counts."""
     spark = vectors.sparkSession
     rows = settled(integer_vectors(vectors, id_column, vector_column, scale))
-    count, width, n_queries = rows.agg(F.count("*"), F.coalesce(F.max(F.size("terms")), F.lit(0)), F.count_if(is_query)).first()
-    slabs, width = max(1, -(-count // SLAB_ROWS)), max(1, width)
-    chunks = max(1, -(-n_queries * width * 8 // QUERY_BYTES))
+    total, width, n_queries = rows.agg(F.count("*"), F.coalesce(F.max(F.size("terms")), F.lit(0)), F.count_if(is_query)).first()
+    slabs, width = max(1, -(-total // SLAB_ROWS)), max(1, width)
+    chunks = max(1, -(-n_queries * width * 8 // query_bytes))
     dealt = rows.withColumn("slab", F.pmod(F.xxhash64("vec_id", "terms"), F.lit(slabs)))
     queries = rows.where(is_query).dropDuplicates()
-    parts = []
+    if chunks > 1:
+        queries = settled(queries.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(chunks))))
+    found = None
     for chunk in range(chunks):
-        some = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == chunk).toArrow()
+        some = (queries.where(F.col("chunk") == chunk) if chunks > 1 else queries).toArrow()  # about query_bytes
         sent = spark.sparkContext.broadcast((np.asarray(some.column("vec_id"), np.int64), _matrix(some.column("terms").combine_chunks(), width)))
+        part = dealt.groupBy("slab").applyInArrow(_slab_search(sent, width, k, count), "pairs long, scored long" if count else RESULT_SCHEMA)
+        if chunks > 1:
+            best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            part = settled(part if count else part.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"))
+            sent.destroy()
+        found = part if found is None else found.unionAll(part)
+    return found
+
 
-        parts.append(dealt.groupBy("slab").applyInArrow(_slab_search(sent, width, k), RESULT_SCHEMA))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionAll(part)
+def search(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding", scale: int = 64, query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """Rows (query_id, rank, vec_id, score): the k best rows for each row for which is_query (a condition on vec_id) holds."""
+    found = _passes(vectors, is_query, k, id_column, vector_column, scale, query_bytes, False)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def pruned(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding", scale: int = 64, query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """One row (pairs, scored): the (query, block) pairs there are, and those whose bound asked for their scores."""
+    found = _passes(vectors, is_query, k, id_column, vector_column, scale, query_bytes, True)
+    return found.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("scored"), F.lit(0)).alias("scored"))
