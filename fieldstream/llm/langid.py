@@ -7,9 +7,10 @@ families, one against one between the languages of a family. Languages whose
 code is in no listed family form families of their own.
 
 Training takes a bounded sample of labelled rows, about `per_language` documents
-of each language by a hash of the id (documented parameter); the machines are
-trained in parallel, one group of rows each. Prediction is one pass without
-shuffle over all documents, and reads nothing but the text.
+of each language by a hash of id and text, and about `machine_rows` rows of each
+machine, its own side whole (documented parameters); the machines are trained in
+parallel, one group of rows each. Prediction is one pass without shuffle over all
+documents, and reads nothing but the text; a long text is summed up in pieces.
 
 Defined results: a null text, or one without a letter, is `und` with score 0, as
 is every text when no labelled document exists; repeated rows give repeated
@@ -34,6 +35,10 @@ from .common import byte_slices, fold, settled
 BUCKETS = 1 << 15
 #: Labelled documents of each language in the training sample, on average.
 PER_LANGUAGE = 1500
+#: Rows of a machine's sample on average, where it tells a language or family from many others.
+MACHINE_ROWS = 12_000
+#: Bytes whose features are in memory at once.
+PIECE_BYTES = 1 << 20
 
 PREDICT_SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, family string"
 
@@ -78,7 +83,10 @@ def folded(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and weights of one text; the weights of each n sum to a constant."""
     data, _ = folded([text])
-    counts = np.bincount(np.concatenate(list(buckets(data))), minlength=BUCKETS)
+    counts = np.zeros(BUCKETS, np.int64)
+    for at in range(0, len(data) - 3, PIECE_BYTES):
+        for b in buckets(data[at : at + PIECE_BYTES + 3]):
+            counts += np.bincount(b, minlength=BUCKETS)
     at = np.flatnonzero(counts)
     return at.astype(np.int32), (_SCALE * counts[at] / (len(data) - 3)).astype(np.float32)
 
@@ -86,12 +94,18 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 def margins(texts: list[bytes | None], weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """The machines' margins for each text; weights has a row for each bucket."""
     data, starts = folded(texts)
-    total = np.zeros((len(data) - 3, weights.shape[1]), np.float32)
-    for b in buckets(data):
-        total += weights[b]
-    sums = np.add.reduceat(total, starts, axis=0, dtype=np.float64)
-    length = np.diff(np.append(starts, len(data)))
-    length[-1] -= 3
+    sums = np.zeros((len(starts), weights.shape[1]))
+    across = (starts[1:, None] - np.arange(3, 0, -1)).ravel()  # places whose n-grams would reach into the next text
+    for at in range(0, len(data) - 3, PIECE_BYTES):
+        piece = data[at : at + PIECE_BYTES + 3]
+        total = np.zeros((len(piece) - 3, weights.shape[1]), np.float32)
+        for b in buckets(piece):
+            total += weights[b]
+        total[across[np.searchsorted(across, at) : np.searchsorted(across, at + len(total))] - at] = 0
+        first = np.searchsorted(starts, at, side="right") - 1  # texts that have bytes in the piece
+        own = np.append(at, starts[first + 1 : np.searchsorted(starts, at + len(total))]) - at
+        sums[first : first + len(own)] += np.add.reduceat(total, own, axis=0, dtype=np.float64)
+    length = np.diff(np.append(starts, len(data))) - 3
     return _SCALE * sums / length[:, None] + bias
 
 
@@ -112,7 +126,7 @@ def fit_machine(at: list[np.ndarray], x: list[np.ndarray], y: np.ndarray, epochs
     return w
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, id_column: str = "doc_id", text_column: str = "text", language_column: str = "lang") -> dict:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, machine_rows: int = MACHINE_ROWS, id_column: str = "doc_id", text_column: str = "text", language_column: str = "lang") -> dict:
     """The model: machines' names and weights. Learns from rows outside fold 0 with a language."""
     labelled = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.col(language_column).cast("string").alias("lang")).where((fold() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
@@ -124,9 +138,14 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, id_column: str = "doc
         return {"languages": [], "jobs": [], "weights": np.zeros((BUCKETS + 1, 0), np.float32)}
     use = {x: [i for i, (kind, a, b) in enumerate(jobs) if kind == "family" or x in (a, b)] for x in languages}
     rate = F.create_map(*[F.lit(v) for x in languages for v in (x, min(1.0, per_language / counts[x]))])
-    ids = F.create_map(*[v for x in languages for v in (F.lit(x), F.array(*map(F.lit, use[x])).cast("array<int>"))])
-    part = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(11)), 11) / float(1 << 53)
-    sample = labelled.where(part < rate[F.col("lang")])
+    many = sum(min(per_language, n) for n in counts.values())
+    other_rate = min(1.0, machine_rows / max(1, many))  # of the rows of other families
+    jobs_of = [(i, 1.0 if jobs[i][0] == "pair" or family(x) == jobs[i][1] else other_rate) for x in languages for i in use[x]]
+    cut = np.cumsum([0, *(len(use[x]) for x in languages)]).tolist()
+    machine = lambda j: F.struct(F.lit(j[0]).alias("job"), F.lit(j[1]).alias("rate"))
+    machines = F.create_map(*[v for x, a, b in zip(languages, cut, cut[1:], strict=False) for v in (F.lit(x), F.array(*map(machine, jobs_of[a:b])))])
+    share = lambda seed, *columns: F.shiftrightunsigned(F.xxhash64(*columns, F.lit(seed)), 11) / float(1 << 53)
+    sample = labelled.where(share(11, "doc_id", "text") < rate[F.col("lang")])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,7 +162,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, id_column: str = "doc
         return pd.DataFrame({"job": [job], "w": [fit_machine(list(rows["at"]), list(rows["x"]), y).astype(np.float32).tobytes()]})
 
     weights = np.zeros((BUCKETS + 1, len(jobs)), np.float32)
-    for r in sample.withColumn("job", F.explode(ids[F.col("lang")])).groupBy("job").applyInPandas(train, "job int, w binary").collect() if jobs else []:
+    for r in sample.withColumn("machine", F.explode(machines[F.col("lang")])).where(share(13, "at", "x", "machine.job") < F.col("machine.rate")).select("lang", "at", "x", "machine.job").groupBy("job").applyInPandas(train, "job int, w binary").collect() if jobs else []:
         weights[:, r["job"]] = np.frombuffer(r["w"], np.float32)
     return {"languages": languages, "jobs": jobs, "weights": weights}
 
