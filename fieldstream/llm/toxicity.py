@@ -11,13 +11,14 @@ The model is P(grade > k) = sigmoid(w.x - t_k): one weight vector shared by all
 ordered thresholds t_1 < ... < t_K, fitted by gradient descent on a bounded
 sample of labelled rows: the `sample_rows` of each class whose ids have the
 smallest hashes (documented parameter). Only these labels are broadcast, so no
-text is shuffled. Prediction is one pass without shuffle over all documents and
+text but the sample's is shuffled; of documents that share an id one stands for it.
+Prediction is one pass without shuffle over all documents and
 gives the probability of each grade and the expected severity.
 
 Defined results: a null or empty text has no features and gets the severity of
 an empty text, which is not toxic; without any toxic label nothing is toxic;
-several labels of a document count as several labelled rows; labels without a
-document and null labels are ignored; repeated rows give repeated results; other
+several labels of a document count as several labelled rows, and several documents
+of one id as the one of smallest text hash; labels without a document and null labels are ignored; repeated rows give repeated results; other
 columns are ignored by `predict` and passed through by `keep`.
 """
 
@@ -153,7 +154,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_
     first = [own.where(side).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample_rows) for side in (F.col("toxic"), ~F.col("toxic"))]
     sample = settled(first[0].unionAll(first[1]))  # at most 2 * sample_rows narrow rows
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    labelled = texts.join(F.broadcast(sample), "doc_id").select("text", "toxic")
+    one = texts.join(F.broadcast(sample.select("doc_id").distinct()), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    labelled = settled(one.join(F.broadcast(sample), "doc_id").select("text", "toxic"))  # at most 2 * sample_rows texts
     counts = settled(feature_counts(labelled))
     n = counts.where("feature IS NULL").agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic"), F.coalesce(F.sum("clean"), F.lit(0)).alias("clean")).first()
     if not n["toxic"]:
@@ -173,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_
                 edges = pa.array(np.searchsorted(doc, np.arange(len(own_texts) + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.ListArray.from_arrays(edges, pa.array(at.astype(np.int32))), pa.ListArray.from_arrays(edges, pa.array(x)), pa.array(strong, pa.int64())], names=["toxic", "at", "x", "strong"])
 
-    found = labelled.mapInArrow(extract, "toxic boolean, at array<int>, x array<double>, strong long").toArrow().combine_chunks()  # about 2 * sample_rows sparse rows
+    found = labelled.mapInArrow(extract, "toxic boolean, at array<int>, x array<double>, strong long").toArrow().combine_chunks()  # at most 2 * sample_rows sparse rows
     toxic, strong = np.array(found.column("toxic").to_pylist(), bool), np.array(found.column("strong").to_pylist(), np.int64)
     if not len(toxic) or not model.at:
         return model
