@@ -7,7 +7,8 @@ each token's group from its history and keeps the unigram within the group:
     P(w | h) = P(class | h) * P(group | class, h) * (c(w) + 1/2) / mass(group)
 
 with CLASSES classes of GROUPS groups. Frequent tokens are groups of their own,
-the others share groups by their last letters, and unseen tokens are one group.
+the others share groups by their last SUFFIX bytes, which tell inflections and
+languages apart, and unseen tokens are one group.
 Both factors are softmaxes over hashed features of the history: the last word,
 the last two, and two skips (the word before the last, and the one before that).
 Without feature weights the model is the unigram.
@@ -19,7 +20,9 @@ Without feature weights the model is the unigram.
    codes; documents get their base scores.
 3. Training covers all training documents once, in ROUNDS slices: tasks run
    mini-batch gradient steps from the shared weights, and their changes are
-   averaged by tokens. Weights have a fixed size.
+   averaged by tokens. Weights have a fixed size. As usual with averaged steps,
+   the weights depend a little on how the rows are cut into tasks; base scores and
+   counts do not.
 4. Scoring runs over all documents in sparse numpy batches.
 
 Defined results: a null text counts as empty and has only its end; null ids are
@@ -49,6 +52,10 @@ SINGLE_CLASSES = 8
 #: Hash buckets of features for the class and for the group in it.
 CLASS_BUCKETS, GROUP_BUCKETS = 1 << 14, 1 << 12
 FEATURES = 4
+#: Last bytes of a token by which rarer tokens share groups.
+SUFFIX = 2
+#: Distinct tokens at which a chunk ends, and those that one document of it may have at most (they are numbered in 24 bits).
+CHUNK_TOKENS, MAX_TOKENS = 1 << 22, 1 << 24
 #: Text bytes of a chunk, and slices of the training documents.
 CHUNK_BYTES, ROUNDS = 14 << 20, 3
 STEP_TOKENS, RATE = 8192, 0.7
@@ -87,6 +94,8 @@ def numbered(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close() -> Iterator[pa.RecordBatch]:
+            if len(number) > MAX_TOKENS:
+                raise ValueError(f"more than {MAX_TOKENS} distinct tokens in the documents of one chunk")
             chunk = TaskContext.get().partitionId() << 16 | next(serial)  # shifted by 24 bits it still fits in 63
             flat = np.concatenate([r[2] for r in rows])
             sizes = np.array([len(r[2]) for r in rows], np.int32)
@@ -110,7 +119,7 @@ def numbered(docs: DataFrame) -> DataFrame:
                 for doc_id, held_out, text in zip(part.column("doc_id").to_pylist(), part.column("held_out").to_pylist(), texts, strict=True):
                     rows.append((doc_id, held_out, np.fromiter(map(number.__getitem__, tokens(text)), np.int32)))
                     held += len(text or b"")
-                if held >= CHUNK_BYTES:
+                if held >= CHUNK_BYTES or len(number) >= CHUNK_TOKENS:
                     yield from close()
                     number = defaultdict(count().__next__)
                     rows, held = [], 0
@@ -265,8 +274,10 @@ def fit_and_encode(docs: DataFrame, id_column: str = "doc_id", text_column: str
     of_token = Window.partitionBy("token")
     place = F.shiftleft("chunk", 24).bitwiseOR(F.col("local").cast("long"))  # few wide columns keep the shuffles small
     words = both.where("token IS NOT NULL").select(place.alias("place"), "token", F.col("n").cast("int").alias("n"))
+    suffix = F.crc32(F.expr(f"substring(token, -{SUFFIX}, {SUFFIX})"))
+    code = suffix.bitwiseAND(F.lit(0xFFFFC000)).bitwiseOR(F.crc32("token").bitwiseAND(F.lit(0x3FFF)))  # group above, feature below
     first = (F.row_number().over(of_token.orderBy("place")) == 1).cast("long")
-    low = F.shiftleft(F.col("place").bitwiseAND(F.lit((1 << 24) - 1)), 33).bitwiseOR(F.shiftleft(first, 32)).bitwiseOR(F.crc32("token"))
+    low = F.shiftleft(F.col("place").bitwiseAND(F.lit((1 << 24) - 1)), 33).bitwiseOR(F.shiftleft(first, 32)).bitwiseOR(code)
     words = words.select(F.shiftright("place", 24).alias("chunk"), F.sum("n").over(of_token).alias("c"), low.alias("packed"))
     chunks = both.where("ids IS NOT NULL").select(F.col("chunk").alias("chunk"), "doc_ids", "held_out", "sizes", "ids")
     encoded = settled(chunks.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(_encoded, _ENCODED_SCHEMA))

@@ -111,6 +111,83 @@ def test_language_held_out_accuracy(spark):
     assert [by_id[i]["lang_pred"] for i in (1000, 1001, 1002)] == ["und"] * 3 and all(0 <= r["score"] <= 1 for r in found)
 
 
+def test_language_equals_machines_by_hand(spark, monkeypatch):
+    """Scores from n-grams counted one by one, of texts longer than a piece."""
+    monkeypatch.setattr(langid, "PIECE_BYTES", 100)
+    rng = random.Random(5)
+    langs = ["en", "de", "fr", "es"]
+    docs = spark.createDataFrame([(i, sentence(rng, langs[i % 4]), langs[i % 4], "s", 1) for i in range(200)], DOCS)
+    model = langid.fit(docs)
+    texts = [sentence(rng, langs[i % 4]) * (1 + i % 5) for i in range(40)] + ["", "12", "ü", None]
+    best, score, _ = langid.predict_texts(model, [None if t is None else t.encode() for t in texts])
+    shift = 32 - (langid.BUCKETS.bit_length() - 1)
+    for t, own, own_score in zip(texts, best, score, strict=True):
+        if not any(c.isalpha() for c in t or ""):
+            assert (own, own_score) == ("und", 0.0)
+            continue
+        data = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in t.encode()) + b"    "
+        counts = Counter()
+        for at in range(len(data) - 3):
+            for n in range(1, 5):
+                gram = int.from_bytes(data[at : at + n], "little")
+                counts[((gram * langid._SPREAD[n - 1] + ((n - 1) * 0x9E3779B1)) % 2**32) >> shift] += 1
+        size = len(t.encode()) + 1
+        margin = [langid._SCALE * sum(float(model["weights"][b, j]) * c for b, c in counts.items()) / size + float(model["weights"][-1, j]) for j in range(len(model["jobs"]))]
+        sure = [1 / (1 + math.exp(-2 * m)) for m in margin]
+        heads = [(margin[j], name, sure[j]) for j, (kind, name, _) in enumerate(model["jobs"]) if kind == "family"]
+        _, family, head = max(heads)
+        own_langs = [x for x in model["languages"] if langid.family(x) == family]
+        votes = {x: sum(sure[j] if a == x else 1 - sure[j] for j, (kind, a, b) in enumerate(model["jobs"]) if kind == "pair" and x in (a, b)) for x in own_langs}
+        assert own == max(votes, key=votes.get) and abs(own_score - head * votes[own] / (len(own_langs) - 1)) < 1e-4 and 0 <= own_score <= 1
+
+
+def test_language_sample_of_a_machine_is_bounded(spark):
+    rng = random.Random(9)
+    langs = ["en", "de", "fr", "es"]
+    docs = spark.createDataFrame([(i, sentence(rng, langs[i % 4]), langs[i % 4], "s", 1) for i in range(400)], DOCS)
+    model = langid.fit(docs, machine_rows=60)  # fewer of other families' rows; the languages still come apart
+    found = langid.predict(docs, model).where("held_out").collect()
+    assert sum(r["lang_pred"] == langs[r["doc_id"] % 4] for r in found) > 0.9 * len(found)
+
+
+def test_language_and_license_of_nothing(spark):
+    docs = spark.createDataFrame([], DOCS)
+    assert langid.predict(docs, langid.fit(docs)).count() == 0
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.predict(docs, toxicity.fit(docs, labels)).count() == 0
+
+
+def test_long_texts_and_repeated_ids(spark):
+    long = "plain words that go on and on " * 40_000
+    docs = spark.createDataFrame([(1, long, "en", "s", 1), (1, "other words", "en", "s", 1), (1, "grimly vile", "en", "s", 1), (2, "x" * 1_000_000, "de", None, 1), *[(i, "grimly said" if i % 2 else "kindly said", "de", "s", 1) for i in range(10, 60)]], DOCS)
+    labels = spark.createDataFrame([(1, 0), (1, 0), *[(i, i % 2) for i in range(10, 60)]], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    found = toxicity.predict(docs, model).collect()
+    assert len(found) == 54 and all(not r["toxic"] for r in found if r["doc_id"] >= 10 and r["doc_id"] % 2 == 0)
+    assert langid.predict(docs, langid.fit(docs)).count() == 54
+    assert {r["n_words"] for r in licences.scan(docs).where("doc_id = 1").collect()} == {280_000, 2}
+    scored = {r["n_tokens"]: r for r in maxent_lm.scored(docs).where("doc_id <= 2").collect()}
+    assert set(scored) == {280_001, 3, 2}
+
+
+def test_toxicity_equals_sums_by_hand(spark):
+    rng = random.Random(3)
+    bad = ["grimly", "grimtop", "vilest"]
+    rows = [(i, sentence(rng, "en") + (" " + rng.choice(bad) if i % 4 == 0 else ""), "en", "s", 1) for i in range(300)] + [(900, None, None, None, 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int"))
+    found = {r["doc_id"]: r for r in toxicity.predict(docs, model).collect()}
+    for i, text, *_ in rows:
+        ws = toxicity.words((text or "").encode())
+        counts, strong = Counter(f for w in ws for f in toxicity.stems(w) if f in model.at), 0
+        for w in ws:
+            strong += any(model.strong[model.at[f]] for f in toxicity.stems(w) if f in model.at)
+        z = sum(model.weights[model.at[f]] * (1 + 0.25 * math.log(n)) for f, n in counts.items())
+        above = [1 / (1 + math.exp(-(z - t))) for t in model.thresholds]
+        assert abs(found[i]["severity"] - sum(above)) < 1e-9 and abs(found[i]["toxic_probability"] - above[0]) < 1e-9
+        assert found[i]["toxic"] == (above[0] >= 0.5) and found[i]["n_strong"] == strong
+
+
 def test_language_without_labels(spark):
     docs = spark.createDataFrame([(1, "words", None, None, 1)], DOCS)
     assert langid.predict(docs, langid.fit(docs)).first()["lang_pred"] == "und"
