@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import zlib
 from collections.abc import Iterator
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 STEP_BYTES = 1 << 20
 
 _names = count()
+#: Folders that `settled` has written and nobody has removed.
+written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,10 +51,12 @@ def give_back() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; a temporary one where the session sets none (tests)."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share; a local one only where all runs in one process (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if found.isEmpty() and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = found.get() if found.isDefined() else "file://" + tempfile.mkdtemp(prefix="fieldstream-")
     app = spark.sparkContext.applicationId
     return f"{root.rstrip('/')}/fieldstream-{app}-{next(_names)}-{zlib.crc32(tempfile.mktemp().encode()):08x}"
@@ -62,7 +67,27 @@ def settled(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_path = path
+    return out
+
+
+def _removed(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    written.remove(folder)
+
+
+def forget(df: DataFrame) -> None:
+    """Remove what `settled` wrote for df, once nothing reads it any more."""
+    _removed(df.sparkSession, df.settled_path)
+
+
+def forget_all(spark: SparkSession, since: int, but: DataFrame) -> None:
+    """Remove what `settled` has written since then (a length of `written`), once nothing reads it any more, except for one table."""
+    for folder in [x for x in written[since:] if x != but.settled_path]:
+        _removed(spark, folder)
 
 
 def fold(id_column: str = "doc_id", folds: int = 5) -> Column:

@@ -10,22 +10,27 @@ A document's set holds its distinct word shingles; documents are linked where
    Nodes whose slots agree down to a depth form a region. A region of at most
    `leaf` nodes is a leaf; a larger one is looked at one level deeper, so depth
    adapts to the region, and its nodes are also compared with the centres of its
-   largest leaves. In a leaf the longest-common-prefix neighbours are compared by
-   signature; each node proposes its most similar neighbours, the leaf's centre
-   and the edges of a maximum spanning forest: linear in the leaf's size. These
-   first proposals only join quickly what is alike; step 4 looks at all the rest.
+   largest leaves. In a leaf of the first FIRST_TREES orders the
+   longest-common-prefix neighbours are compared by signature; proposed are the
+   edges of a maximum spanning forest, which has each node's most similar
+   neighbour, and those to the leaf's centre: linear in the leaf's size. These
+   first proposals only join quickly what is alike; step 4 looks at all the rest,
+   in all orders.
 3. Proposed links fall into groups, the components of all proposals, found by
    large-star and small-star rounds. Groups are packed into buckets of bounded
    size, and each node's full set is sent to its bucket once; there the links are
    confirmed on full sets, best first, where their ends are not yet connected.
    A group beyond the bound is confirmed by joins instead: each node's best link,
    then all links whose ends are still in different components.
-4. Then all pairs of each region of the first depth that may be links, are still
-   in different components and were not checked yet are proposed and confirmed in
-   the same way. A region of more than `leaf` nodes is compared block by block,
-   each pair of blocks in a task of its own; the blocks of its largest component
-   are not compared with each other. This is quadratic only in the nodes of a
-   region that the first links leave apart.
+4. Then all pairs of each region of the first depth that are still in different
+   components are looked at: a cell, one region or two blocks of a large one,
+   compares signatures and names the nodes that have a possible link in it (a pair
+   that shares an earlier order's region is left to that). Their full sets go to
+   the cell, which counts the common shingles of all its pairs by postings and
+   gives back the links between components, at most one fewer than there are
+   nodes. Pairs are never rows. The blocks of a region's largest component are not
+   compared with each other, so the work is quadratic only in the nodes of a
+   region that the first links leave apart, and is spread over cells.
 
 Nothing but counts reaches the driver, no group is gathered in one task beyond
 `leaf` nodes, and hot regions, hubs and digests are split by salt or by AQE.
@@ -48,17 +53,21 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_slices, settled
+from .common import byte_slices, forget, settled
 
 #: Min-hashes of a signature, two bytes each, and sorted orders of them.
 SLOTS, TREES = 128, 16
+#: Orders whose leaves make the first proposals; all orders are looked at after them.
+FIRST_TREES = 8
 #: Depths at which regions are cut, and nodes of a leaf.
 DEPTHS, LEAF = (3, 5, 8, 12, 18, 28, 48), 1024
-#: Neighbours that a node proposes in a leaf, and centres that a large region is compared with.
-NEIGHBOURS, CENTRES = 3, 4
+#: Centres that a large region is compared with.
+CENTRES = 4
 #: Signatures that agree on less than the wanted share minus this many standard errors are not proposed.
 ERRORS = 4.0
 SALTS = 32
+#: Ids (8 bytes each) of documents to drop that are sent to all tasks at most.
+SENT_IDS = 1_000_000
 #: Binary logarithm of the most bits of the filter of proposed nodes (16 MB).
 MAX_FILTER_BITS = 27
 #: Shingles of all sets of a group, and of a bucket of groups, that one task confirms.
@@ -148,18 +157,15 @@ def propose(ids: np.ndarray, sizes: np.ndarray, slots: np.ndarray, percent: int,
     near[(near < least) | ~fits] = 0
     np.fill_diagonal(near, 0)
     wanted = np.zeros((n, n), bool)
-    best = np.argsort(-near, axis=1, kind="stable")[:, :NEIGHBOURS]
-    wanted[np.repeat(np.arange(n), best.shape[1]), best.ravel()] = True
     wanted[:, centre] = True
-    if n > NEIGHBOURS + 1:  # Prim's maximum spanning tree; edges of weight 0 fall out below
-        inside, weight, link = np.zeros(n, bool), near[centre].copy(), np.full(n, centre)
-        inside[centre] = True
-        for _ in range(n - 1):
-            j = int(np.argmax(np.where(inside, -1, weight)))
-            inside[j] = True
-            wanted[link[j], j] = True
-            closer = near[j] > weight
-            weight[closer], link[closer] = near[j][closer], j
+    inside, weight, link = np.zeros(n, bool), near[centre].copy(), np.full(n, centre)
+    inside[centre] = True
+    for _ in range(n - 1):  # Prim's maximum spanning tree; edges of weight 0 fall out below
+        j = int(np.argmax(np.where(inside, -1, weight)))
+        inside[j] = True
+        wanted[link[j], j] = True
+        closer = near[j] > weight
+        weight[closer], link[closer] = near[j][closer], j
     a, b = np.nonzero(wanted & (near > 0))
     return [a, b, near[a, b]], centre
 
@@ -221,25 +227,60 @@ def _stars(percent: int, least: float):
     return run
 
 
-def crossing(component: np.ndarray, side: np.ndarray, sizes: np.ndarray, slots: np.ndarray, percent: int, least: float) -> list[np.ndarray]:
-    """All pairs (two positions and an estimate) of one cell that may be links and whose ends are in different components; pairs of one side are left to another cell, unless the side is 2."""
+def crossing(component: np.ndarray, side: np.ndarray, sizes: np.ndarray, slots: np.ndarray, tree: int, percent: int, least: float) -> np.ndarray:
+    """Which nodes of a cell may have a link to another component; pairs of one side are left to another cell, unless the side is 2, and pairs that share the region of an earlier order to that."""
     names, own, counts = np.unique(component, return_inverse=True, return_counts=True)
-    left, right, estimates = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
-    done = np.zeros(len(own), bool)
+    flagged, done = np.zeros(len(own), bool), np.zeros(len(own), bool)
+    places = (np.arange(tree) * (SLOTS // TREES))[:, None] + np.arange(DEPTHS[0])
     for i in np.flatnonzero(own != counts.argmax()).tolist():
         done[i] = True
         fits = 100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])
         others = np.flatnonzero(~done & (own != own[i]) & ((side != side[i]) | (side == 2)) & fits)
-        estimate = agreement(slots[i], slots[others])
-        good = estimate >= least
-        left.append(np.full(int(good.sum()), i))
-        right.append(others[good])
-        estimates.append(estimate[good])
-    return [np.concatenate(left), np.concatenate(right), np.concatenate(estimates)]
+        equal = slots[i] == slots[others]
+        good = equal.mean(axis=1, dtype=np.float32) >= least
+        others = others[good]
+        if tree and len(others):
+            others = others[~equal[good][:, places].all(axis=2).any(axis=1)]
+        flagged[others] = True
+        flagged[i] |= len(others) > 0
+    return flagged
+
+
+def linked(component: np.ndarray, side: np.ndarray, flat: np.ndarray, sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of components of a cell that a link joins, those of a spanning forest, by the sets (flat, one after another)."""
+    n = len(sizes)
+    _, item = np.unique(flat, return_inverse=True)
+    node = np.repeat(np.arange(n), sizes)
+    posted = node[np.argsort(item, kind="stable")]
+    count_of = np.bincount(item)
+    first = np.cumsum(count_of) - count_of
+    ends = np.cumsum(sizes)
+    root = {c: c for c in component.tolist()}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out = []
+    _, own, members = np.unique(component, return_inverse=True, return_counts=True)
+    for i in np.flatnonzero(own != members.argmax()).tolist():
+        mine = item[ends[i] - sizes[i] : ends[i]]
+        size = count_of[mine]
+        at = np.repeat(first[mine] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        common = np.bincount(posted[at], minlength=n)
+        hits = (100 * common >= percent * (sizes + sizes[i] - common)) & (own != own[i]) & ((side != side[i]) | (side == 2))
+        for j in np.flatnonzero(hits).tolist():
+            a, b = find(int(component[i])), find(int(component[j]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((a, b))
+    return out
 
 
-def _crossings(percent: int, least: float):
-    """A function over rows sorted by cell: the pairs of each cell that may be links between components."""
+def _by_cell(columns: list[str], of_cell):
+    """A function over rows sorted by cell that gives each cell's rows, as a table, to of_cell, which returns a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -249,56 +290,66 @@ def _crossings(percent: int, least: float):
             if not held or (batch is not None and (not batch.num_rows or sum(b.num_rows for b in held) < 4096)):
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
-            cell, component, side, ids, sizes = (np.asarray(table.column(c)) for c in ("cell", "component", "side", "node", "n_shingles"))
+            cell = np.asarray(table.column("cell"))
             starts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
             if batch is not None:  # the last cell may go on
                 starts.pop()
             rest = starts[-1]
             held = table.slice(rest).to_batches() if rest < len(cell) else []
-            slots = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(len(ids), SLOTS)
             for i, j in zip(starts, starts[1:], strict=False):
-                x, y, estimate = crossing(component[i:j], side[i:j], sizes[i:j], slots[i:j], percent, least)
-                a, b = ids[i + x], ids[i + y]
-                for k in range(0, len(a), 20_000):
-                    few = slice(k, k + 20_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[few]), pa.array(np.maximum(a, b)[few]), pa.array(estimate[few])], names=["a", "b", "estimate"])
+                yield of_cell(table.slice(i, j - i), columns)
 
     return run
 
 
-def unlinked(nodes: DataFrame, regions: DataFrame, named: DataFrame, percent: int, leaf: int = LEAF) -> DataFrame:
-    """All pairs (a, b, estimate) that share one of regions (tree, region, node), may be links, and are in different components of named (node, component).
+def unlinked(nodes: DataFrame, regions: DataFrame, named: DataFrame, docs: DataFrame, width: int, percent: int, id_column: str, text_column: str, leaf: int = LEAF) -> DataFrame:
+    """Pairs (a, b) of components of named (node, component; a node that is not in it is its own) that links within regions (tree, region, node) join.
 
-    A region of more than `leaf` nodes is dealt into blocks of half as many, and
-    each pair of blocks is a cell of its own. Its largest component's blocks are
-    not compared with each other.
+    A region of more than `leaf` nodes, or of more than GROUP_SHINGLES shingles, is
+    dealt into blocks of half as many, and each pair of blocks is a cell of its
+    own. Its largest component's blocks are not compared with each other.
     """
-    rows = settled(regions.join(named, "node", "left").select("tree", "region", "node", F.coalesce("component", "node").alias("component")))
-    parts = rows.groupBy("tree", "region", "component").agg(F.count("*").alias("n"))
-    parts = parts.groupBy("tree", "region").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("major"), F.count("*").alias("parts")).where("parts > 1")
-    blocks = lambda n: F.ceil(n / (leaf / 2)).cast("long")
-    at = rows.join(parts, ["tree", "region"]).select("*", (F.col("component") != F.col("major.component")).alias("minor"), blocks(F.col("n") - F.col("major.n")).alias("minors"), blocks(F.col("major.n")).alias("majors"))
-    whole, code = F.col("n") <= leaf, F.xxhash64("node")
-    block = F.when(whole, 0).when(F.col("minor"), F.pmod(code, "minors")).otherwise(F.col("minors") + F.pmod(code, "majors"))
-    others = F.when(whole, 0).when(F.col("minor"), F.col("minors") + F.col("majors") - 1).otherwise(F.col("minors") - 1)
+    sized = regions.join(nodes.select("node", "n_shingles"), "node")
+    rows = settled(sized.join(named, "node", "left").select("tree", "region", "node", "n_shingles", F.coalesce("component", "node").alias("component")))
+    parts = rows.groupBy("tree", "region", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
+    largest = F.max(F.struct("n", "component", "weight"))
+    parts = parts.groupBy("tree", "region").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"), largest.alias("major"), F.count("*").alias("parts")).where("parts > 1")
+    whole = (F.col("n") <= leaf) & (F.col("weight") <= GROUP_SHINGLES)
+    blocks = lambda n, weight: F.greatest(F.ceil(n / (leaf / 2)), F.ceil(weight / (GROUP_SHINGLES / 2)), F.lit(1)).cast("long")
+    minors, majors = blocks(F.col("n") - F.col("major.n"), F.col("weight") - F.col("major.weight")), blocks(F.col("major.n"), F.col("major.weight"))
+    at = rows.join(parts.select("tree", "region", whole.alias("whole"), F.col("major.component").alias("largest"), minors.alias("minors"), majors.alias("majors")), ["tree", "region"])
+    minor, code = F.col("component") != F.col("largest"), F.xxhash64("node")
+    block = F.when(F.col("whole"), 0).when(minor, F.pmod(code, "minors")).otherwise(F.col("minors") + F.pmod(code, "majors"))
+    others = F.when(F.col("whole"), 0).when(minor, F.col("minors") + F.col("majors") - 1).otherwise(F.col("minors") - 1)
     cells = at.select("tree", "region", "node", "component", block.cast("long").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), others.cast("long"))).alias("other"))
     side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-    cells = cells.select(F.xxhash64("tree", "region", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), side.alias("side"), "node", "component")
+    cells = cells.select(F.xxhash64("tree", "region", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "tree", side.alias("side"), "node", "component")
+    least, keys = least_estimate(percent), ["cell", "side", "node", "component"]
+
+    def flag(table: pa.Table, columns: list[str]) -> pa.RecordBatch:
+        component, side, sizes = (np.asarray(table.column(c)) for c in ("component", "side", "n_shingles"))
+        slots = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(len(sizes), SLOTS)
+        good = crossing(component, side, sizes, slots, int(table.column("tree")[0].as_py()), percent, least)
+        return table.select(columns).filter(pa.array(good)).combine_chunks().to_batches()[0] if good.any() else pa.RecordBatch.from_pylist([], table.select(columns).schema)
+
+    def join(table: pa.Table, columns: list[str]) -> pa.RecordBatch:
+        items = table.column("items").combine_chunks()
+        pairs = linked(np.asarray(table.column("component")), np.asarray(table.column("side")), np.asarray(items.flatten()), np.asarray(items.value_lengths(), np.int64), percent)
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=columns)
+
     full = cells.join(nodes, "node").repartition("cell").sortWithinPartitions("cell")
-    found = full.select("cell", "side", "node", "component", "n_shingles", "signature").mapInArrow(_crossings(percent, least_estimate(percent)), "a long, b long, estimate float")
-    return found.groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
+    flagged = settled(full.select(*keys, "tree", "n_shingles", "signature").mapInArrow(_by_cell(keys, flag), "cell long, side int, node long, component long"))
+    sets = _set_rows(docs, flagged.select("node").distinct(), width, id_column, text_column)
+    spread = flagged.join(sets.dropDuplicates(["node"]), "node").repartition("cell").sortWithinPartitions("cell")
+    return spread.select(*keys, "items").mapInArrow(_by_cell(["a", "b"], join), "a long, b long").distinct()
 
 
-def merged(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Rows (node, component) of what the components of both (node, component) reach together."""
-    of = lambda side: first.select(F.col("node").alias(side), F.col("component").alias(f"{side}_in"))
-    ends = second.select(F.col("node").alias("a"), F.col("component").alias("b")).join(of("a"), "a", "left").join(of("b"), "b", "left")
-    links = settled(ends.select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b")).where("a <> b").distinct())
-    if links.isEmpty():
-        return first
-    again = components(links).select(F.col("node").alias("component"), F.col("component").alias("whole"))
-    alone = second.join(first, "node", "left_anti").select("node", F.col("node").alias("component"))
-    return first.unionByName(alone).join(again, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+def merged(first: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (node, component) of first after its components have been joined by links (a, b) between them or nodes that it has not."""
+    again = settled(components(links))
+    alone = again.join(first, "node", "left_anti")
+    whole = again.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    return first.join(whole, "component", "left").select("node", F.coalesce("whole", "component").alias("component")).unionByName(alone)
 
 
 def least_estimate(percent: int) -> float:
@@ -318,11 +369,12 @@ def candidates(nodes: DataFrame, percent: int, leaf: int = LEAF) -> tuple[DataFr
         last = level + 1 == len(DEPTHS)
         whole = large.withColumn("region", F.expr(f"substring(path, 1, {2 * depth})"))
         sizes = settled(whole.groupBy("tree", "region").agg(F.count("*").alias("n")).where("n > 1"))
-        big = settled(sizes.where(F.col("n") > leaf).select("tree", "region"))  # few, so that paths need no shuffle
+        big = settled(sizes.where((F.col("n") > leaf) & (F.col("tree") < FIRST_TREES)).select("tree", "region"))  # few, so that paths need no shuffle
         at = whole.select("tree", "region", "node").join(sizes, ["tree", "region"])
         if level == 0:
             at = settled(at)
             regions = at.select("tree", "region", "node")
+            at = at.where(F.col("tree") < FIRST_TREES)
         small = at.where(F.col("n") <= leaf)
         if last:  # nodes that agree on all these slots: leaves of chunks, and each node against its region's centres
             chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / (leaf / 2)).cast("long"))
@@ -363,10 +415,12 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = settled(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        held, large = now, settled(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
         now = settled(small)
+        forget(held)
+        forget(large)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
@@ -493,10 +547,9 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80, leaf: int = LEAF
     edges, regions = candidates(nodes, percent, leaf)
     proposed = settled(edges.groupBy("a", "b").agg(F.max("estimate").alias("estimate")))
     joined = settled(resolved(proposed, nodes.select("node", "n_shingles"), docs, width, percent, id_column, text_column).dropDuplicates(["node"]))
-    rest = settled(unlinked(nodes, regions, joined, percent, leaf).join(proposed.select("a", "b"), ["a", "b"], "left_anti"))  # proposed links between components have failed
-    if not rest.isEmpty():
-        more = settled(resolved(rest, nodes.select("node", "n_shingles"), docs, width, percent, id_column, text_column).dropDuplicates(["node"]))
-        joined = settled(merged(joined, more))
+    links = settled(unlinked(nodes, regions, joined, docs, width, percent, id_column, text_column, leaf))
+    if not links.isEmpty():
+        joined = settled(merged(joined, links))
     named = sets.where("copies > 1").select("digest", "node").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     out = rows.select("doc_id", "n_shingles", "digest", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")).join(named.hint("merge"), ["digest", "salt"], "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("node"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
@@ -505,7 +558,33 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80, leaf: int = LEAF
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The documents that stand for their component, all columns unchanged."""
-    gone = classes(docs, width, percent, id_column=id_column, text_column=text_column).where(~F.col("kept")).select(F.col("doc_id").alias("gone_doc_id"))
-    return docs.join(gone, docs[id_column] == F.col("gone_doc_id"), "left_anti")
+def keep(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text", sent_ids: int = SENT_IDS) -> DataFrame:
+    """The documents that stand for their component, all columns unchanged.
+
+    Up to sent_ids ids that go are sent to all tasks. With more, only the documents
+    that a filter of bounded size lets through meet them in a shuffle.
+    """
+    name = "gone"
+    while name in docs.columns:
+        name += "_"
+    gone = settled(classes(docs, width, percent, id_column=id_column, text_column=text_column).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct())
+    if gone.count() <= sent_ids:
+        return docs.join(F.broadcast(gone), docs[id_column].cast("long") == gone[name], "left_anti")
+    filter_bits, bits = _filter_bits(gone.select(F.col(name).alias("node")))
+    sent = docs.sparkSession.sparkContext.broadcast(filter_bits)
+    schema, at = docs.schema, docs.columns.index(id_column)
+
+    def split(hit: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bit = np.asarray(batch.column(batch.num_columns - 1).fill_null(-1))
+                table = sent.value
+                maybe = (bit >= 0) & ((table[bit % len(table), bit // len(table) >> 3] >> (7 - (bit // len(table) & 7))) & 1 == 1)
+                yield pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema([f for f in batch.schema][:-1])).filter(pa.array(maybe == hit))
+
+        return run
+
+    bit = F.pmod(F.xxhash64(F.col(docs.columns[at]).cast("long")), F.lit(bits))
+    marked = docs.select("*", F.when(docs[id_column].isNotNull(), bit).alias(name))
+    maybe = marked.mapInArrow(split(True), schema)
+    return marked.mapInArrow(split(False), schema).unionByName(maybe.join(gone, maybe[id_column].cast("long") == gone[name], "left_anti"))

@@ -80,6 +80,47 @@ def test_classes_of_odd_rows(spark):
     assert near_dup.keep(docs).columns == docs.columns and near_dup.classes(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sent", [1_000_000, 0])
+def test_keep_by_either_way_and_with_clashing_names(spark, sent):
+    rows = [(i, f"the same {i // 3} few words said again", "x", i) for i in range(30)] + [(None, "the same 0 few words said again", None, None), (31, None, "y", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone string, gone_doc_id long")
+    kept = near_dup.keep(docs, sent_ids=sent)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect()) == [*((False, i) for i in range(0, 30, 3)), (False, 31), (True, None)]
+
+
+def test_true_links_among_near_misses_by_groups():
+    """Groups of 202 sets in which one pair only is linked: X and Y at 0.869, all others of X at 0.848. A cell loses none of 200."""
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        core = rng.integers(0, 1 << 62, 279)
+        sets = [np.unique(np.concatenate([core, rng.integers(0, 1 << 62, 27)])) for _ in range(202)]
+        shared = rng.integers(0, 1 << 62, 5)
+        sets[0], sets[1] = np.unique(np.concatenate([core, shared, rng.integers(0, 1 << 62, 18)])), np.unique(np.concatenate([core, shared, rng.integers(0, 1 << 62, 23)]))
+        sizes = np.array(list(map(len, sets)))
+        slots = np.frombuffer(b"".join(near_dup.signatures([s.view(np.uint64) for s in sets])), np.uint16).reshape(202, -1)
+        component, side = np.arange(202), np.full(202, 2)
+        flagged = near_dup.crossing(component, side, sizes, slots, 0, 85, near_dup.least_estimate(85))
+        own = np.flatnonzero(flagged)
+        assert {0, 1} <= set(own.tolist())
+        few = [sets[i] for i in own]
+        links = near_dup.linked(component[own], side[own], np.concatenate(few), sizes[own], 85)
+        assert [tuple(sorted(x)) for x in links] == [(0, 1)]
+
+
+def test_chance_that_no_order_meets():
+    """Pairs at the threshold share the first slots of at least one of the orders."""
+    rng = np.random.default_rng(6)
+    lost = 0
+    for _ in range(2000):
+        core, a, b = rng.integers(0, 1 << 62, 170), rng.integers(0, 1 << 62, 15), rng.integers(0, 1 << 62, 15)  # 170 of 200
+        x, y = (np.frombuffer(s, np.uint16) for s in near_dup.signatures([np.unique(np.concatenate([core, p])).view(np.uint64) for p in (a, b)]))
+        same = x == y
+        step = near_dup.SLOTS // near_dup.TREES
+        lost += not any(same[t * step : t * step + near_dup.DEPTHS[0]].all() for t in range(near_dup.TREES))
+    assert lost == 0
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 150), (300, 300)]
     found = {r["node"]: r["component"] for r in near_dup.components(spark.createDataFrame(chain, "a long, b long")).collect()}
@@ -101,6 +142,10 @@ def test_search_equals_brute_force(spark):
         best = sorted(((-int(q @ v), j) for j, v in good if j != i))[:20]
         assert sorted(found[i]) == [(n + 1, j, -s) for n, (s, j) in enumerate(best)]
     assert topk.search(vectors.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    in_turns = topk.search(vectors, F.col("vec_id") % 20 == 0, k=20, query_bytes=512)
+    assert sorted(map(tuple, in_turns.collect())) == sorted((q, *r) for q, rows in found.items() for r in rows)
+    share = topk.pruned(vectors, F.col("vec_id") % 20 == 0).first()
+    assert 0 < share["scored"] <= share["pairs"]
 
 
 def test_pruned_blocks_cannot_matter():
