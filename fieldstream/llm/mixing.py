@@ -4,8 +4,9 @@ A document's size is its number of words. Sources in code-point order (null last
 weigh 1, 2, 3, repeating, and share the whole size; a target stops at
 `max_repeats` times its source's size and the excess goes to the others by
 weight. A hash of the document permutes each source; equal ranges of the hash
-are the source's blocks. A source is taken whole as often as its target allows,
-then block by block up to the document at which the target is reached.
+are the source's blocks, more of them for a larger source. A source is taken whole
+as often as its target allows, then block by block up to the document at which the
+target is reached.
 
 The draws of all sources are dealt to output shards of equal numbers of blocks:
 a tree halves the shards and, at each node, a multivariate hypergeometric draw
@@ -13,31 +14,38 @@ gives one half its exact quota of each source's blocks. A leaf's quota becomes a
 run of the source's permuted blocks, disjoint from those of other shards, and
 the shard is shuffled locally.
 
-Blocks are found from counts per (source, hash range), so a source with a third
-of all rows is spread over BLOCKS tasks. Only one row a source goes through the
-driver, and their number is checked.
+Only counts per (source, block) are shuffled, and the narrow rows of the one block
+of each source in which its target is reached; there a hash value, the cut, is
+found. Every document then knows its copies from the cut of its source, without
+meeting others; only rows of exactly that hash are counted out. A few numbers a
+source go through the driver and to all tasks; their number is checked.
 
 Defined results: a null text has size 0; such documents follow their block; an
-empty table gives no rows; equal rows are separate documents; document columns
-of any name pass through `mix` unchanged.
+empty table gives no rows; equal rows are separate documents, which of them is
+taken once more is arbitrary and makes no difference; rows that share an id are
+permuted by their texts; document columns of any name pass through `mix` unchanged.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import settled
 
-#: Hash ranges, and so blocks, of a source.
-BLOCKS = 1024
-#: Sources that the driver may hold, about 100 bytes each.
-MAX_SOURCES = 1_000_000
-#: Words of an output shard, the fewest shards, and the most entries of the table of quotas.
-SHARD_WORDS, LEAST_SHARDS, MAX_QUOTAS = 10_000_000, 16, 1 << 26
+#: Blocks of a source at least, as a power of two, and words of a block of a larger source.
+LEAST_BITS, BLOCK_WORDS = 10, 1_000_000
+#: Sources at most, some hundred bytes each on the driver, and draws of blocks (a limit of the hypergeometric sampler).
+MAX_SOURCES, MAX_DRAWS = 100_000, 1_000_000_000
+#: Words of an output shard, the fewest shards, and the most entries of the table of quotas, 8 bytes each.
+SHARD_WORDS, LEAST_SHARDS, MAX_QUOTAS = 10_000_000, 16, 1 << 22
 WORD = r"[^\x20\x09-\x0D]+"
+_KEY_BITS = 53
 
 
 def targets(sizes: list[int], weights: list[int], max_repeats: int = 3) -> list[float]:
@@ -64,61 +72,104 @@ def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> n
     return np.vstack([split_quotas(half, left, rng), split_quotas(quotas - half, shards - left, rng)])
 
 
-def planned(docs: DataFrame, shards: int | None = None, seed: int = 7, max_repeats: int = 3, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", keep_rows: bool = True) -> tuple[DataFrame, int]:
-    """Rows (doc_id, row, size, source_size, target, copies, taken, shards), and the number of shards.
+@dataclass
+class Plan:
+    """What each source (a position in the arrays) contributes, and the shard at which each run of its draws ends."""
+
+    sources: list[str | None]
+    sizes: list[int]
+    targets: list[float]
+    whole: list[int]
+    bits: list[int]
+    cuts: list[tuple[int, int]]  # the key before which documents are taken once more, and the words before that key
+    ends: np.ndarray  # a row a shard
+    shards: int
+
 
-    `row` holds the document where asked for, `shards` the shard of each copy.
-    Without a number of shards, it follows the size of the whole.
-    """
-    spark = docs.sparkSession
+def _keyed(docs: DataFrame, seed: int, id_column: str, text_column: str, source_column: str, *more: Column) -> DataFrame:
     size = F.coalesce(F.regexp_count(text_column, F.lit(WORD)), F.lit(0)).cast("long")
-    key = F.shiftrightunsigned(F.xxhash64(F.col(id_column), F.lit(seed)), 11)
-    row = F.struct(*[docs[c] for c in docs.columns]) if keep_rows else F.lit(None).cast("string")
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), row.alias("row"), F.col(source_column).cast("string").alias("source"), size.alias("size"), key.alias("key"), F.shiftright(key, 43).cast("int").alias("block"))
-    if not keep_rows:
-        rows = settled(rows.drop("row")).withColumn("row", F.lit(None).cast("string"))
-    blocks = settled(rows.groupBy("source", "block").agg(F.sum("size").alias("words")))
-    in_order = Window.partitionBy("source").orderBy("block")
-    blocks = blocks.select("*", (F.sum("words").over(in_order) - F.col("words")).alias("before"), (F.row_number().over(in_order) - 1).alias("nth"))
-
-    sources = blocks.groupBy("source").agg(F.sum("words").alias("size"), F.count("*").alias("n")).orderBy(F.asc_nulls_last("source")).limit(MAX_SOURCES + 1).collect()
-    if len(sources) > MAX_SOURCES:
+    key = F.shiftrightunsigned(F.xxhash64(F.col(id_column), F.col(text_column), F.lit(seed)), 64 - _KEY_BITS)
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(source_column).cast("string").alias("source"), size.alias("size"), key.alias("key"), *more)
+
+
+def _with(rows: DataFrame, columns: dict[str, list], sources: list, schema: str) -> DataFrame:
+    """Rows with the columns of their source, which are sent to all tasks: at most MAX_SOURCES rows."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    table = rows.sparkSession.createDataFrame(list(zip(sources, *columns.values(), strict=True)), f"plan_source string, {schema}")
+    return rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("plan_source"))).select(*rows.columns, *names)
+
+
+def _block() -> Column:
+    return F.expr(f"shiftright(key, {_KEY_BITS} - bits)")
+
+
+def fit(rows: DataFrame, shards: int | None = None, seed: int = 7, max_repeats: int = 3) -> Plan:
+    """The plan for rows (doc_id, source, size, key). Without a number of shards, it follows the size of the whole."""
+    found = rows.groupBy("source").agg(F.sum("size").alias("size")).orderBy(F.asc_nulls_last("source")).limit(MAX_SOURCES + 1).collect()
+    if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    target = targets([s["size"] for s in sources], [1 + i % 3 for i in range(len(sources))], max_repeats)
-    whole = [int(t // s["size"]) if s["size"] else 0 for s, t in zip(sources, target, strict=True)]
+    sources, sizes = [r["source"] for r in found], [r["size"] for r in found]
+    target = targets(sizes, [1 + i % 3 for i in range(len(sizes))], max_repeats)
+    whole = [int(t // s) if s else 0 for s, t in zip(sizes, target, strict=True)]
+    rest = [float(t - w * s) for s, t, w in zip(sizes, target, whole, strict=True)]
+    bits = [max(LEAST_BITS, (s // BLOCK_WORDS).bit_length()) for s in sizes]
+
+    # the last block of each source before whose end the target is reached, and the cut in it
+    planned = _with(rows, {"bits": bits, "rest": rest}, sources, "bits int, rest double").where("rest > 0")
+    words = planned.groupBy("source", _block().alias("block"), "rest").agg(F.sum("size").alias("words"))
+    before = F.sum("words").over(Window.partitionBy("source").orderBy("block")) - F.col("words")
+    edges = settled(words.withColumn("before", before).where("before < rest").groupBy("source").agg(F.max(F.struct("block", "before")).alias("edge")).select("source", "edge.*"))
+    block_of = {r["source"]: r["block"] for r in edges.collect()}  # a row a source
+    edge_rows = planned.join(F.broadcast(edges.withColumnsRenamed({"source": "edge_source", "block": "edge_block"})), F.col("source").eqNullSafe(F.col("edge_source")) & (_block() == F.col("edge_block")))
+    in_order = Window.partitionBy("source").orderBy("key", "doc_id", "size")
+    at = edge_rows.withColumn("at", F.col("before") + F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    at = at.withColumn("unit", F.min("at").over(Window.partitionBy("source", "key")))
+    left_out = F.col("at") + F.col("size") / 2 >= F.col("rest")
+    cut_of = {r["source"]: (r["c"]["key"], r["c"]["unit"]) for r in at.where(left_out).groupBy("source").agg(F.min(F.struct("key", "unit")).alias("c")).collect()}
+
+    none = lambda s, b: (block_of[s] + 1 << _KEY_BITS - b, 0) if s in block_of else (-1, 0)
+    cuts = [cut_of.get(s) or none(s, b) for s, b in zip(sources, bits, strict=True)]
+    quotas = np.array([(w << b) + (block_of[s] + 1 if s in block_of else 0) for s, w, b in zip(sources, whole, bits, strict=True)], np.int64)
+    if quotas.sum() >= MAX_DRAWS:
+        raise ValueError(f"more than {MAX_DRAWS} draws of blocks")
     if shards is None:
-        shards = max(LEAST_SHARDS, min(sum(s["size"] for s in sources) // SHARD_WORDS, MAX_QUOTAS // max(1, len(sources))))
-    plan = spark.createDataFrame(
-        [(s["source"], s["size"], float(t), w, t - w * s["size"], s["n"]) for s, t, w in zip(sources, target, whole, strict=True)],
-        "plan_source string, source_size long, target double, whole int, rest double, n_blocks long",
-    )
-    blocks = blocks.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
-    parts = {r["source"]: r["n"] for r in blocks.where("before < rest").groupBy("source").agg(F.count("*").alias("n")).collect()}
-    quotas = np.array([w * s["n"] + parts.get(s["source"], 0) for s, w in zip(sources, whole, strict=True)], np.int64)
+        shards = max(LEAST_SHARDS, min(sum(sizes) // SHARD_WORDS, MAX_QUOTAS // max(1, len(sources))))
     ends = np.cumsum(split_quotas(quotas, shards, np.random.default_rng(seed)), axis=0) if len(sources) else np.zeros((shards, 0), np.int64)
-    runs = spark.createDataFrame([(s["source"], ends[:, i].tolist()) for i, s in enumerate(sources)], "run_source string, ends array<long>")
-    blocks = blocks.join(runs, F.col("source").eqNullSafe(F.col("run_source"))).drop("run_source")
-    of_draw = lambda i: F.least(F.size(F.filter("ends", lambda e: e <= i * F.col("n_blocks") + F.col("nth"))), F.lit(shards - 1))
-    blocks = blocks.withColumn("draws", F.transform(F.sequence(F.lit(0), F.col("whole")), of_draw)).drop("ends")
+    return Plan(sources, sizes, target, whole, bits, cuts, ends, shards)
+
+
+def dealt(rows: DataFrame, plan: Plan) -> DataFrame:
+    """Rows (with source, size, key) with source_size, target, copies, taken and the shard of each copy."""
+    columns = {"nth": range(len(plan.sources)), "source_size": plan.sizes, "target": list(map(float, plan.targets)), "whole": plan.whole, "bits": plan.bits, "cut": [c[0] for c in plan.cuts], "unit": [c[1] for c in plan.cuts]}
+    full = _with(rows, columns, plan.sources, "nth int, source_size long, target double, whole int, bits int, cut long, unit long")
+    full = full.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    plain = full.where("key <> cut").withColumn("more", F.col("key") < F.col("cut"))
+    before = F.sum("size").over(Window.partitionBy("source").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    at_cut = full.where("key = cut").withColumn("more", F.col("unit") + before + F.col("size") / 2 < F.col("rest"))
+    sent = rows.sparkSession.sparkContext.broadcast((plan.ends.T.ravel() + (np.repeat(np.arange(len(plan.sources)), plan.shards) << 32), np.array(plan.bits, np.int64), plan.shards))
+
+    @F.pandas_udf("array<int>")
+    def shards_of(nth: pd.Series, block: pd.Series, copies: pd.Series) -> pd.Series:
+        ends, bits, shards = sent.value
+        n, b, c = nth.to_numpy(np.int64), block.to_numpy(np.int64), copies.to_numpy(np.int64)
+        draws = b[:, None] + (np.arange(c.max(initial=0))[None, :] << bits[n][:, None])
+        found = np.minimum(np.searchsorted(ends, draws + (n[:, None] << 32), side="right") - n[:, None] * shards, shards - 1)
+        return pd.Series([row[:k] for row, k in zip(found, c.tolist(), strict=True)])
 
-    plain = F.coalesce("source", F.lit(""))  # hash keys that join and window share
-    blocks = blocks.withColumn("none", F.col("source").isNull()).withColumn("source", plain)
-    dealt = rows.withColumn("none", F.col("source").isNull()).withColumn("source", plain)
-    joined = dealt.join(blocks, ["source", "none", "block"])
-    within = Window.partitionBy("source", "none", "block").orderBy("key", "doc_id", "size")
-    before = F.col("before") + F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    copies = (F.col("whole") + F.when(before + F.col("size") / 2 < F.col("rest"), 1).otherwise(0)).cast("int")
-    out = joined.withColumn("copies", copies).select("doc_id", "row", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), F.slice("draws", F.lit(1), F.col("copies")).alias("shards"))
-    return out, shards
+    out = plain.unionByName(at_cut).withColumn("copies", (F.col("whole") + F.col("more").cast("int")).cast("int"))
+    return out.withColumns({"taken": F.col("copies") * F.col("size"), "shards": shards_of("nth", _block(), "copies")}).drop(*columns.keys() - {"source_size", "target"}, "rest", "more")
 
 
-def decisions(docs: DataFrame, **options) -> DataFrame:
-    """One row a document: doc_id, size, source_size, target, taken and copies."""
-    return planned(docs, keep_rows=False, **options)[0].select("doc_id", "size", "source_size", "target", "taken", "copies")
+def decisions(docs: DataFrame, shards: int | None = None, seed: int = 7, max_repeats: int = 3, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
+    """One row a document: doc_id, size, source_size, target, taken, copies and the shard of each copy."""
+    rows = settled(_keyed(docs, seed, id_column, text_column, source_column))
+    return dealt(rows, fit(rows, shards, seed, max_repeats)).select("doc_id", "size", "source_size", "target", "taken", "copies", "shards")
 
 
-def mix(docs: DataFrame, shards: int | None = None, seed: int = 7, **options) -> DataFrame:
+def mix(docs: DataFrame, shards: int | None = None, seed: int = 7, max_repeats: int = 3, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
     """The mixture: each document as often as it is taken, dealt to shards and shuffled locally; columns as in docs."""
-    plan, shards = planned(docs, shards, seed, **options)
-    rows = plan.select("doc_id", "row", F.posexplode("shards").alias("copy", "shard"))
-    return rows.withColumn("order", F.xxhash64("doc_id", "copy", F.lit(seed))).repartition(shards, "shard").sortWithinPartitions("shard", "order").select("row.*")
+    keys = (seed, id_column, text_column, source_column)
+    plan = fit(settled(_keyed(docs, *keys)), shards, seed, max_repeats)
+    rows = dealt(_keyed(docs, *keys, F.struct(*[docs[c] for c in docs.columns]).alias("row")), plan)
+    copies = rows.select("key", "row", F.posexplode("shards").alias("copy", "shard"))
+    return copies.withColumn("order", F.xxhash64("key", "copy", F.lit(seed))).repartition(plan.shards, "shard").sortWithinPartitions("shard", "order").select("row.*")
