@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldstream.llm import bpe, mixing, near_dup, quality, toxicity
-from fieldstream.llm.common import settled, table
+from fieldstream.llm.common import forget_all, settled, table, written
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +52,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the documents below sf_dir."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows for the documents below sf_dir; a stage's input and scratch tables go when it is done."""
+    docs, since = table(spark, sf_dir, "documents"), len(written)
     for _, stage in STAGES[:-1]:
         docs = settled(stage(spark, docs, sf_dir))
+        forget_all(spark, since, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
