@@ -65,6 +65,8 @@ DEPTHS, LEAF = (3, 5, 8, 12, 18, 28, 48), 1024
 CENTRES = 4
 #: Signatures that agree on less than the wanted share minus this many standard errors are not proposed.
 ERRORS = 4.0
+#: Shingles that are hashed for all slots at once.
+STEP_SHINGLES = 1 << 16
 SALTS = 32
 #: Ids (8 bytes each) of documents to drop that are sent to all tasks at most.
 SENT_IDS = 1_000_000
@@ -115,12 +117,16 @@ def signatures(sets: list[np.ndarray]) -> list[bytes | None]:
             own = [j for j in range(start, i + 1) if len(sets[j])]
             if own:
                 begin = np.cumsum([0, *(len(sets[j]) for j in own[:-1])])
-                low = None
                 x = np.concatenate([sets[j] for j in own])
                 x = (x >> np.uint64(32)).astype(np.uint32) ^ x.astype(np.uint32)
-                low = np.empty((len(own), SLOTS), np.uint32)
-                for c in range(0, SLOTS, 32):
-                    low[:, c : c + 32] = np.minimum.reduceat(x[:, None] * _TIMES[c : c + 32] + _PLUS[c : c + 32], begin, axis=0)
+                low = np.full((len(own), SLOTS), 0xFFFFFFFF, np.uint32)
+                for at in range(0, len(x), STEP_SHINGLES):  # a long text alone takes several steps
+                    first = np.searchsorted(begin, at, side="right") - 1
+                    cuts = np.append(at, begin[first + 1 : np.searchsorted(begin, at + STEP_SHINGLES)]) - at
+                    for c in range(0, SLOTS, 32):
+                        part = np.minimum.reduceat(x[at : at + STEP_SHINGLES, None] * _TIMES[c : c + 32] + _PLUS[c : c + 32], cuts, axis=0)
+                        rows = low[first : first + len(cuts), c : c + 32]
+                        np.minimum(rows, part, out=rows)
                 low = (low * np.uint32(2654435761)) >> np.uint32(16)
                 for j, row in zip(own, low.astype(np.uint16), strict=True):
                     out[j] = row.tobytes()

@@ -108,6 +108,14 @@ def test_true_links_among_near_misses_by_groups():
         assert [tuple(sorted(x)) for x in links] == [(0, 1)]
 
 
+def test_signatures_in_steps(monkeypatch):
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 1 << 62, n)).view(np.uint64) for n in (5, 0, 300, 1, 40, 5000, 3)]
+    whole = near_dup.signatures(sets)
+    monkeypatch.setattr(near_dup, "STEP_SHINGLES", 64)
+    assert near_dup.signatures(sets) == whole == [near_dup.signatures([s])[0] for s in sets]
+
+
 def test_chance_that_no_order_meets():
     """Pairs at the threshold share the first slots of at least one of the orders."""
     rng = np.random.default_rng(6)
