@@ -63,6 +63,27 @@ def test_alerts_go_to_a_database_and_a_topic(spark, tmp_path):
     assert readers.messages(spark, "alerts", "parquet", f"{root}/topic").count() == want.count()
 
 
+def test_predictions_go_to_a_database(spark, tmp_path):
+    from fieldstream.operators import ml
+
+    url, table = f"jdbc:derby:{tmp_path}/db;create=true", "ml_predictions"
+    columns = ("kafka_offset", "field_id", "anomaly_score", "is_anomaly", "severity", "recommendations", "model_version", "features")
+    messages = fixtures.feature_messages(spark, SF)
+    want = ml.scored(fixtures.features(spark, SF), SCORER, F.col("prediction_ts"))
+    empty = want.limit(0).withColumns({"kafka_offset": F.col("id"), "features": F.lit("").cast("string")}).select(*columns)
+    sinks.write_jdbc(empty.withColumn("batch_id", F.lit(0).cast("long")), url, table, driver=DERBY)
+    insert = lambda batch, batch_id: sinks.insert_batch(batch.select(*columns), batch_id, url, table, ("kafka_offset",), driver=DERBY)
+    stream, root = jobs.stream_of(spark, messages, "jdbc-predictions")
+    from fieldstream.schemas import FEATURE_INPUT
+
+    rows = readers.decoded(stream, FEATURE_INPUT)
+    jobs.drained(jobs.prediction_job(rows, lambda: SCORER, insert, f"{root}/checkpoint", jobs.file_broker(f"{root}/topic", "anomalies"), jobs.NOW))
+    found = readers.jdbc_table(spark, url, table, driver=DERBY)
+    assert found.count() == want.count() > 0
+    assert found.where("is_anomaly").count() == readers.messages(spark, "anomalies", "parquet", f"{root}/topic").count()
+    assert '"temperature":' in found.first()["features"]
+
+
 def test_predictions_follow_a_new_model(spark, tmp_path):
     rows = fixtures.features(spark, SF)
     from fieldstream.operators import ml
