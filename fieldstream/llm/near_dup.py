@@ -38,7 +38,8 @@ Nothing but counts reaches the driver, no group is gathered in one task beyond
 Defined results: a document without words or text, or without id, has an empty
 set or no part, and links with nothing (without id: component null, kept);
 a text of fewer words than a shingle has its whole word sequence as its one
-shingle; rows that share an id are one document; an empty table gives no rows;
+shingle; rows that share an id are one document, of several texts the one whose
+set has the smallest digest (an empty one first); an empty table gives no rows;
 other columns are ignored, and `keep` passes them through.
 """
 
@@ -345,7 +346,7 @@ def unlinked(nodes: DataFrame, regions: DataFrame, named: DataFrame, docs: DataF
 
     full = cells.join(nodes, "node").repartition("cell").sortWithinPartitions("cell")
     flagged = settled(full.select(*keys, "tree", "n_shingles", "signature").mapInArrow(_by_cell(keys, flag), "cell long, side int, node long, component long"))
-    sets = _set_rows(docs, flagged.select("node").distinct(), width, id_column, text_column)
+    sets = _set_rows(docs, flagged.select("node").distinct(), width, id_column, text_column).join(nodes.select("node", "digest"), ["node", "digest"], "left_semi")
     spread = flagged.join(sets.dropDuplicates(["node"]), "node").repartition("cell").sortWithinPartitions("cell")
     return spread.select(*keys, "items").mapInArrow(_by_cell(["a", "b"], join), "a long, b long").distinct()
 
@@ -453,7 +454,7 @@ def _filter_bits(nodes: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _set_rows(docs: DataFrame, wanted: DataFrame, width: int, id_column: str, text_column: str) -> DataFrame:
-    """Rows (node, items) with the full sets of the wanted nodes and, by chance, of a few others: a filter of bounded size spares the shuffle of texts."""
+    """Rows (node, items, digest) with the full sets of the wanted nodes and, by chance, of a few others: a filter of bounded size spares the shuffle of texts."""
     filter_bits, bits = _filter_bits(wanted)
     sent = docs.sparkSession.sparkContext.broadcast(filter_bits)
 
@@ -464,10 +465,11 @@ def _set_rows(docs: DataFrame, wanted: DataFrame, width: int, id_column: str, te
             part, at = bit % len(table), bit // len(table)
             for few, texts in byte_slices(batch.filter(pa.array((table[part, at >> 3] >> (7 - (at & 7))) & 1 == 1)), "text", 1 << 20):
                 sets = [s.view(np.int64) for s in shingle_sets(texts, width)]
-                yield pa.RecordBatch.from_arrays([few.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "items"])
+                digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+                yield pa.RecordBatch.from_arrays([few.column("node"), pa.array(sets, pa.list_(pa.int64())), pa.array(digests, pa.binary())], names=["node", "items", "digest"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("node"), F.col(text_column).alias("text")).where(F.col("node").isNotNull() & F.col("text").isNotNull())
-    return rows.select("node", "text", F.pmod(F.xxhash64("node"), F.lit(bits)).alias("bit")).mapInArrow(run, "node long, items array<long>")
+    return rows.select("node", "text", F.pmod(F.xxhash64("node"), F.lit(bits)).alias("bit")).mapInArrow(run, "node long, items array<long>, digest binary")
 
 
 def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -527,14 +529,15 @@ def _by_joins(edges: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return first if more.isEmpty() else components(links.unionByName(more))
 
 
-def resolved(proposed: DataFrame, sizes: DataFrame, docs: DataFrame, width: int, percent: int, id_column: str, text_column: str, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
-    """Rows (node, component) for the nodes of proposed links (a, b, estimate), confirmed on full sets; sizes has (node, n_shingles)."""
+def resolved(proposed: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int, id_column: str, text_column: str, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+    """Rows (node, component) for the nodes of proposed links (a, b, estimate), confirmed on full sets; nodes has (node, n_shingles, digest)."""
     groups = settled(components(proposed).withColumnRenamed("component", "group"))
     edges_in = proposed.join(groups.select(F.col("node").alias("a"), "group"), "a").select("group", F.lit(1).cast("long").alias("n_shingles"))  # a link takes memory like a shingle
-    weight = groups.join(sizes, "node").select("group", "n_shingles").unionByName(edges_in).groupBy("group").agg(F.sum("n_shingles").alias("weight"))
+    weight = groups.join(nodes, "node").select("group", "n_shingles").unionByName(edges_in).groupBy("group").agg(F.sum("n_shingles").alias("weight"))
     large = settled(weight.where(F.col("weight") > group_shingles).select("group", F.lit(True).alias("large")))
     total = weight.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
-    full = settled(_set_rows(docs, groups.select("node"), width, id_column, text_column))
+    full = _set_rows(docs, groups.select("node"), width, id_column, text_column).join(nodes.select("node", "digest"), ["node", "digest"], "left_semi")
+    full = settled(full.select("node", "items"))
     grouped_sets = full.join(groups, "node").join(large, "group", "left")
     grouped_edges = proposed.join(groups.select(F.col("node").alias("a"), "group"), "a").join(large, "group", "left")
     small = "large IS NULL"
@@ -547,12 +550,17 @@ def resolved(proposed: DataFrame, sizes: DataFrame, docs: DataFrame, width: int,
 def classes(docs: DataFrame, width: int = 5, percent: int = 80, leaf: int = LEAF, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row a document (RESULT_SCHEMA)."""
     rows = settled(sketched(docs, width, id_column, text_column))
+    set_of = F.coalesce("digest", F.lit(b""))
+    several = settled(rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(set_of).alias("first"), F.max(set_of).alias("last")).where("first <> last").select("doc_id", "first"))
+    if not several.isEmpty():
+        texts = rows.join(several, "doc_id").where(set_of == F.col("first")).groupBy("doc_id").agg(F.first(F.struct("n_shingles", "digest", "signature")).alias("one"))
+        rows = settled(rows.join(texts, "doc_id", "left").select("doc_id", *[F.when(F.col("one").isNotNull(), F.col(f"one.{c}")).otherwise(F.col(c)).alias(c) for c in ("n_shingles", "digest", "signature")]))
     sets = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     sets = settled(sets)
-    nodes = sets.select("node", "n_shingles", "signature")
+    nodes = sets.select("node", "n_shingles", "signature", "digest")
     edges, regions = candidates(nodes, percent, leaf)
     proposed = settled(edges.groupBy("a", "b").agg(F.max("estimate").alias("estimate")))
-    joined = settled(resolved(proposed, nodes.select("node", "n_shingles"), docs, width, percent, id_column, text_column).dropDuplicates(["node"]))
+    joined = settled(resolved(proposed, nodes, docs, width, percent, id_column, text_column).dropDuplicates(["node"]))
     links = settled(unlinked(nodes, regions, joined, docs, width, percent, id_column, text_column, leaf))
     if not links.isEmpty():
         joined = settled(merged(joined, links))
