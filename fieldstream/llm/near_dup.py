@@ -309,7 +309,7 @@ def _by_cell(columns: list[str], of_cell):
     return run
 
 
-def unlinked(nodes: DataFrame, regions: DataFrame, named: DataFrame, docs: DataFrame, width: int, percent: int, id_column: str, text_column: str, leaf: int = LEAF) -> DataFrame:
+def unlinked(nodes: DataFrame, regions: DataFrame, named: DataFrame, docs: DataFrame, width: int, percent: int, id_column: str, text_column: str, several: bool, leaf: int = LEAF) -> DataFrame:
     """Pairs (a, b) of components of named (node, component; a node that is not in it is its own) that links within regions (tree, region, node) join.
 
     A region of more than `leaf` nodes, or of more than GROUP_SHINGLES shingles, is
@@ -346,7 +346,7 @@ def unlinked(nodes: DataFrame, regions: DataFrame, named: DataFrame, docs: DataF
 
     full = cells.join(nodes, "node").repartition("cell").sortWithinPartitions("cell")
     flagged = settled(full.select(*keys, "tree", "n_shingles", "signature").mapInArrow(_by_cell(keys, flag), "cell long, side int, node long, component long"))
-    sets = _set_rows(docs, flagged.select("node").distinct(), width, id_column, text_column).join(nodes.select("node", "digest"), ["node", "digest"], "left_semi")
+    sets = _set_rows(docs, flagged.select("node").distinct(), nodes if several else None, width, id_column, text_column)
     spread = flagged.join(sets.dropDuplicates(["node"]), "node").repartition("cell").sortWithinPartitions("cell")
     return spread.select(*keys, "items").mapInArrow(_by_cell(["a", "b"], join), "a long, b long").distinct()
 
@@ -453,8 +453,11 @@ def _filter_bits(nodes: DataFrame) -> tuple[np.ndarray, int]:
     return out, bits
 
 
-def _set_rows(docs: DataFrame, wanted: DataFrame, width: int, id_column: str, text_column: str) -> DataFrame:
-    """Rows (node, items, digest) with the full sets of the wanted nodes and, by chance, of a few others: a filter of bounded size spares the shuffle of texts."""
+def _set_rows(docs: DataFrame, wanted: DataFrame, nodes: DataFrame | None, width: int, id_column: str, text_column: str) -> DataFrame:
+    """Rows (node, items) with the full sets of the wanted nodes and, by chance, of a few others: a filter of bounded size spares the shuffle of texts.
+
+    Where ids may have several texts, nodes (node, digest) tells which set counts.
+    """
     filter_bits, bits = _filter_bits(wanted)
     sent = docs.sparkSession.sparkContext.broadcast(filter_bits)
 
@@ -469,7 +472,8 @@ def _set_rows(docs: DataFrame, wanted: DataFrame, width: int, id_column: str, te
                 yield pa.RecordBatch.from_arrays([few.column("node"), pa.array(sets, pa.list_(pa.int64())), pa.array(digests, pa.binary())], names=["node", "items", "digest"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("node"), F.col(text_column).alias("text")).where(F.col("node").isNotNull() & F.col("text").isNotNull())
-    return rows.select("node", "text", F.pmod(F.xxhash64("node"), F.lit(bits)).alias("bit")).mapInArrow(run, "node long, items array<long>, digest binary")
+    found = rows.select("node", "text", F.pmod(F.xxhash64("node"), F.lit(bits)).alias("bit")).mapInArrow(run, "node long, items array<long>, digest binary")
+    return (found if nodes is None else found.join(nodes.select("node", "digest"), ["node", "digest"], "left_semi")).select("node", "items")
 
 
 def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -529,15 +533,14 @@ def _by_joins(edges: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return first if more.isEmpty() else components(links.unionByName(more))
 
 
-def resolved(proposed: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int, id_column: str, text_column: str, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+def resolved(proposed: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int, id_column: str, text_column: str, several: bool, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """Rows (node, component) for the nodes of proposed links (a, b, estimate), confirmed on full sets; nodes has (node, n_shingles, digest)."""
     groups = settled(components(proposed).withColumnRenamed("component", "group"))
     edges_in = proposed.join(groups.select(F.col("node").alias("a"), "group"), "a").select("group", F.lit(1).cast("long").alias("n_shingles"))  # a link takes memory like a shingle
     weight = groups.join(nodes, "node").select("group", "n_shingles").unionByName(edges_in).groupBy("group").agg(F.sum("n_shingles").alias("weight"))
     large = settled(weight.where(F.col("weight") > group_shingles).select("group", F.lit(True).alias("large")))
     total = weight.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
-    full = _set_rows(docs, groups.select("node"), width, id_column, text_column).join(nodes.select("node", "digest"), ["node", "digest"], "left_semi")
-    full = settled(full.select("node", "items"))
+    full = settled(_set_rows(docs, groups.select("node"), nodes if several else None, width, id_column, text_column))
     grouped_sets = full.join(groups, "node").join(large, "group", "left")
     grouped_edges = proposed.join(groups.select(F.col("node").alias("a"), "group"), "a").join(large, "group", "left")
     small = "large IS NULL"
@@ -552,7 +555,7 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80, leaf: int = LEAF
     rows = settled(sketched(docs, width, id_column, text_column))
     set_of = F.coalesce("digest", F.lit(b""))
     several = settled(rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(set_of).alias("first"), F.max(set_of).alias("last")).where("first <> last").select("doc_id", "first"))
-    if not several.isEmpty():
+    if repeated := not several.isEmpty():
         texts = rows.join(several, "doc_id").where(set_of == F.col("first")).groupBy("doc_id").agg(F.first(F.struct("n_shingles", "digest", "signature")).alias("one"))
         rows = settled(rows.join(texts, "doc_id", "left").select("doc_id", *[F.when(F.col("one").isNotNull(), F.col(f"one.{c}")).otherwise(F.col(c)).alias(c) for c in ("n_shingles", "digest", "signature")]))
     sets = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
@@ -560,8 +563,8 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80, leaf: int = LEAF
     nodes = sets.select("node", "n_shingles", "signature", "digest")
     edges, regions = candidates(nodes, percent, leaf)
     proposed = settled(edges.groupBy("a", "b").agg(F.max("estimate").alias("estimate")))
-    joined = settled(resolved(proposed, nodes, docs, width, percent, id_column, text_column).dropDuplicates(["node"]))
-    links = settled(unlinked(nodes, regions, joined, docs, width, percent, id_column, text_column, leaf))
+    joined = settled(resolved(proposed, nodes, docs, width, percent, id_column, text_column, repeated).dropDuplicates(["node"]))
+    links = settled(unlinked(nodes, regions, joined, docs, width, percent, id_column, text_column, repeated, leaf))
     if not links.isEmpty():
         joined = settled(merged(joined, links))
     named = sets.where("copies > 1").select("digest", "node").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
