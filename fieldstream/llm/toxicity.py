@@ -39,6 +39,8 @@ from .common import byte_slices, settled
 FEATURES = 8192
 #: Labelled rows of either class in the fitting sample, at most.
 SAMPLE_ROWS = 12_000
+#: Partitions of the sample, which would else be few.
+SAMPLE_PARTS = 48
 #: Severity grades; documents with at least 1, 2, 4 strong words have grades 1, 2, 3.
 GRADES, GRADE_WORDS = 4, (1, 2, 4)
 #: Documents with a feature at least, for it to count.
@@ -155,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_
     sample = settled(first[0].unionAll(first[1]))  # at most 2 * sample_rows narrow rows
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     one = texts.join(F.broadcast(sample.select("doc_id").distinct()), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    labelled = settled(one.join(F.broadcast(sample), "doc_id").select("text", "toxic"))  # at most 2 * sample_rows texts
+    labelled = settled(one.join(F.broadcast(sample), "doc_id").select("text", "toxic").repartition(SAMPLE_PARTS))  # at most 2 * sample_rows texts
     counts = settled(feature_counts(labelled))
     n = counts.where("feature IS NULL").agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic"), F.coalesce(F.sum("clean"), F.lit(0)).alias("clean")).first()
     if not n["toxic"]:
