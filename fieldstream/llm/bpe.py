@@ -13,7 +13,8 @@ A window doubles where its edge does not hold, so a join costs no more than a
 few encodings of what it changes. Long windows only arise in periodic bytes (a
 run of one letter has no place where encodings meet); they are encoded by
 merging all places of the least rank at once, or by a heap where a merge makes a
-pair of lower rank. Cuts are at powers of two times a leaf, where such runs meet.
+pair of lower rank. Long pieces are cut at powers of two, where such runs meet, and
+short ones in halves, which are often known already.
 
 Each match of the split pattern is a piece of its own. Pieces, windows and pairs
 of at most SHORT bytes are remembered per Python worker, up to a fixed number of
@@ -40,11 +41,11 @@ from pyspark.sql import functions as F
 from .common import byte_slices
 
 #: Bytes of a leaf of the encoding tree, and ids of a leaf of the decoding tree.
-LEAF, DECODED_LEAF = 8, 4096
+LEAF, DECODED_LEAF = 5, 4096
 #: Longest bytes that are remembered and merged by plain search.
 SHORT = 64
-#: Entries of a worker's memory of pieces; it starts anew when full.
-MEMORY = 150_000
+#: Entries of a worker's memory of pieces, and of those of windows and pairs; they start anew when full.
+PIECES, MEMORY = 250_000, 100_000
 #: A vocabulary file larger than this is not sent to executors.
 MAX_VOCABULARY_BYTES = 64 << 20
 
@@ -63,7 +64,7 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> tuple[int, ...]:
         ids = self.encode(piece.encode())
         if len(piece) <= SHORT:
-            if len(self) >= MEMORY:
+            if len(self) >= PIECES:
                 self.clear()
             self[piece] = ids
         return ids
@@ -173,7 +174,7 @@ class Bpe:
         """The encoding of one piece, as a tree of joins."""
         if len(data) <= LEAF:
             return self.small.get(data) or self._merged(data)
-        cut = LEAF << ((len(data) - 1) // LEAF).bit_length() - 1
+        cut = len(data) // 2 if len(data) <= SHORT else SHORT << ((len(data) - 1) // SHORT).bit_length() - 1
         return self.join(self.encode_bytes(data[:cut]), self.encode_bytes(data[cut:]))
 
     def encode(self, text: str) -> list[int]:
