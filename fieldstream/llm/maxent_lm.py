@@ -57,13 +57,14 @@ SUFFIX = 2
 #: Distinct tokens at which a chunk ends, and those that one document of it may have at most (they are numbered in 24 bits).
 CHUNK_TOKENS, MAX_TOKENS = 1 << 22, 1 << 24
 #: Text bytes of a chunk, and slices of the training documents.
-CHUNK_BYTES, ROUNDS = 14 << 20, 3
+CHUNK_BYTES, ROUNDS = 9 << 20, 3
 STEP_TOKENS, RATE = 8192, 0.7
 #: The end of a document; no word holds a line feed.
 END = b"\n"
 
 _SINGLES = SINGLE_CLASSES * GROUPS
 _SHARED = CLASSES * GROUPS - _SINGLES
+_ONES = np.ones(CLASSES, np.float32)
 _MULTIPLY = (2654435761, 2246822519, 3266489917, 668265263)
 
 
@@ -105,12 +106,11 @@ def numbered(docs: DataFrame) -> DataFrame:
             flat = rank[flat].astype(np.int32)
             counts = np.bincount(flat[np.repeat(~np.array([r[1] for r in rows], bool), sizes)], minlength=len(number))
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), pa.array([[r[1] for r in rows]], pa.list_(pa.bool_())), pa.array([sizes], pa.list_(pa.int32())), pa.array([packed(flat)], pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64())], schema=_NUMBERED)
-            words = list(number)
+            words = pa.array(number, pa.binary()).take(pa.array(order))
             for start in range(0, len(words), 50_000):
-                some = order[start : start + 50_000]
-                n = len(some)
+                n = min(50_000, len(words) - start)
                 nulls = [pa.nulls(n, t) for t in (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk), pa.int64()), *nulls, pa.array(range(start, start + n), pa.int32()), pa.array([words[i] for i in some.tolist()], pa.binary()), pa.array(counts[start : start + n], pa.int64())], schema=_NUMBERED)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk), pa.int64()), *nulls, pa.array(np.arange(start, start + n, dtype=np.int32)), words.slice(start, n), pa.array(counts[start : start + n], pa.int64())], schema=_NUMBERED)
 
         number: dict[bytes, int] = defaultdict(count().__next__)
         rows, held, serial = [], 0, count()
@@ -158,15 +158,13 @@ class Model:
         cls = (group // GROUPS).astype(np.intp)
         class_rows = [(h >> np.uint32(32 - 14)).astype(np.intp) for h in hashed]
         group_rows = [(h >> np.uint32(32 - 12)).astype(np.intp) * CLASSES + cls for h in hashed]
-        z1, z2 = self.class_bias + self.class_weights[class_rows[0]], self.group_bias[cls] + self.group_weights[group_rows[0]]
-        for a, b in zip(class_rows[1:], group_rows[1:], strict=True):
-            z1 += self.class_weights[a]
-            z2 += self.group_weights[b]
-        out = []
-        for z in (z1, z2):
-            np.clip(z, -60, 60, out=z)  # biases are shares, so sums stay within what floats hold
+        out, part = [], np.empty((len(cls), CLASSES), np.float32)
+        for z, rows, weights in ((np.repeat(self.class_bias[None, :], len(cls), axis=0), class_rows, self.class_weights), (self.group_bias.take(cls, axis=0), group_rows, self.group_weights)):
+            for r in rows:
+                z += weights.take(r, axis=0, out=part, mode="clip")  # rows are in range; this mode needs no copy
+            np.minimum(np.maximum(z, -60, out=z), 60, out=z)  # biases are shares, so sums stay within what floats hold
             np.exp(z, out=z)
-            z /= z.sum(axis=1, keepdims=True)
+            z /= (z @ _ONES)[:, None]
             out.append(z)
         return class_rows, group_rows, *out
 
@@ -174,15 +172,19 @@ class Model:
         """One gradient step on a mini-batch; each row moves by its mean gradient, less where it has few examples."""
         group = codes >> 14
         class_rows, group_rows, p1, p2 = self.forward(hashed, group)
-        at = np.arange(len(codes))
+        at, part = np.arange(len(codes)), np.empty_like(p1)
         for rows, p, true, weights in ((class_rows, p1, group // GROUPS, self.class_weights), (group_rows, p2, group % GROUPS, self.group_weights)):
-            g = -p
+            g = np.negative(p, out=p)
             g[at, true] += 1
             for r in rows:
-                order = np.argsort(r.astype(np.uint16), kind="stable")  # both tables have at most 2**16 rows, for which numpy sorts by radix
-                first = np.flatnonzero(np.concatenate([[True], np.diff(r[order]) > 0]))
-                n = np.diff(np.append(first, len(r)))
-                weights[r[order[first]]] += rate / FEATURES * np.add.reduceat(g[order], first, axis=0) / (4 + n)[:, None].astype(np.float32)
+                short = r.astype(np.uint16)  # both tables have at most 2**16 rows, for which numpy sorts by radix
+                order = np.argsort(short, kind="stable")
+                sorted_rows = short.take(order)
+                first = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
+                n = np.diff(np.append(first, len(r))).astype(np.float32)
+                change = np.add.reduceat(g.take(order, axis=0, out=part, mode="clip"), first, axis=0)
+                change *= (np.float32(rate / FEATURES) / (4 + n))[:, None]
+                weights[sorted_rows.take(first)] += change
 
     def score(self, codes: np.ndarray, hashed: list[np.ndarray]) -> np.ndarray:
         """log10 P(class, group | history) - log10 mass(group) at each place."""
