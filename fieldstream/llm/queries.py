@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licences, maxent_lm, mixing, near_dup, quality, topk, toxicity, warc
+from . import bpe, langid, licences, maxent_lm, mixing, near_dup, quality, resample, topk, toxicity, warc
 from .common import shared_dir, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -58,6 +58,11 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, least_words=20)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_warc_salvage": op2_warc_salvage,
@@ -69,8 +74,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_maxent_lm": op9_maxent_lm,
     "op10_exact_topk": op10_exact_topk,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
+
+def _crc_sql(text: str, table: str) -> str:
+    """crc32 of a text's UTF-8 bytes by a table of 256 (CRC_TABLE_SQL)."""
+    nibble = lambda at: f"(strpos('0123456789ABCDEF', substr(hex(encode({text})), {at}, 1)) - 1)"
+    step = f"lambda c, i: xor(c >> 8, {table}[(xor(c, 16 * {nibble('2 * i + 1')} + {nibble('2 * i + 2')}) & 255) + 1])"
+    return f"xor(4294967295, list_reduce(range(strlen({text})), {step}, 4294967295::BIGINT))"
+
+
+CRC_TABLE_SQL = "list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i))"
+
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -129,4 +145,19 @@ ORACLE_SQL: dict[str, str] = {
             FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0),
         r AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op13_importance_resampling": rf"""
+        WITH raw AS (SELECT doc_id, true AS own, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents UNION ALL SELECT item_id, false, row_number() OVER (), coalesce(text, '') FROM benchmark),
+        w AS (SELECT own, rid, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM raw),
+        f AS (SELECT own, rid, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS gram FROM w),
+        g AS (SELECT own, rid, gram, count(*) AS n FROM f GROUP BY ALL),
+        c AS (SELECT gram, {_crc_sql("gram", "crc_table")} % 10000 AS bucket FROM (SELECT DISTINCT gram FROM g), (SELECT {CRC_TABLE_SQL} AS crc_table)),
+        b AS (SELECT bucket, sum(n) FILTER (own) AS s, sum(n) FILTER (NOT own) AS t FROM g JOIN c USING (gram) GROUP BY ALL),
+        a AS (SELECT coalesce(sum(s), 0)::BIGINT AS s_all, coalesce(sum(t), 0)::BIGINT AS t_all FROM b),
+        gains AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * (t_all + 10000)::DOUBLE)))::BIGINT AS gain FROM b, a),
+        d AS (SELECT rid, sum(n)::BIGINT AS n_features, floor(sum(n * gain) / sum(n))::BIGINT AS weight FROM g JOIN c USING (gram) JOIN gains USING (bucket) WHERE own GROUP BY rid),
+        h AS (SELECT doc_id, rid, list_reduce(list_transform(range(1, 9), lambda i: strpos('0123456789abcdef', substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), i, 1)) - 1), lambda x, y: 16 * x + y, 0::BIGINT) AS h FROM raw WHERE own),
+        r AS (SELECT doc_id, rid, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+              FROM h JOIN w USING (rid) LEFT JOIN d USING (rid) WHERE own),
+        o AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS nth, sum(CASE WHEN n_words >= 20 THEN 1 ELSE 0 END) OVER () AS n FROM r)
+        SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND nth <= 25 * n // 100 THEN nth END AS rank FROM o""",
 }
