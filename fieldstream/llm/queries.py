@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licences, maxent_lm, mixing, near_dup, quality, resample, token_files, topk, toxicity, warc
+from . import bpe, langid, licences, maxent_lm, mixing, near_dup, quality, repair, resample, token_files, topk, toxicity, warc
 from .common import shared_dir, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -58,6 +58,10 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), shared_dir(spark), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2)
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_maxent_lm": op9_maxent_lm,
     "op10_exact_topk": op10_exact_topk,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_token_files": op12_token_files,
     "op13_importance_resampling": op13_importance_resampling,
 }
@@ -150,6 +155,36 @@ ORACLE_SQL: dict[str, str] = {
             FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0),
         r AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op11_conversation_repair": rf"""
+        WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                    {_crc_sql("place", "crc_table")} % 20 AS kind FROM (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS place FROM conversations), (SELECT {CRC_TABLE_SQL} AS crc_table)),
+        m AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                    unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM o),
+        p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS final FROM m),
+        f AS (SELECT *, CASE WHEN final = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'd' WHEN final NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS fault,
+                    left(role, 1) AS ini, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM p),
+        moves(a, ini, b) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+        ins(a, b, cost, audit) AS (SELECT a, a, 0, '' FROM range(4) r(a) UNION ALL VALUES (0, 2, 3, 'I'), (1, 2, 3, 'I'), (2, 3, 3, 'I'), (3, 2, 3, 'I'), (0, 3, 6, 'II'), (1, 3, 6, 'II')),
+        symbols AS (SELECT DISTINCT ini, fault FROM f),
+        own AS (SELECT s.ini, s.fault, r.a, r.a AS b, 4 AS cost, 'D' AS audit FROM symbols s, range(4) r(a)
+              UNION ALL SELECT s.ini, s.fault, v.a, v.b, CASE fault WHEN 't' THEN 3 ELSE 0 END + CASE WHEN v.ini = s.ini THEN 0 ELSE 3 END, CASE WHEN v.ini = s.ini THEN 'K' ELSE 'R' END
+              FROM symbols s, moves v WHERE fault NOT IN ('b', 'd') AND (v.ini = s.ini OR v.ini <> 's')),
+        steps AS (SELECT ini, fault, i.a, o.b AS m, i.cost + o.cost AS cost, i.audit || o.audit AS audit FROM own o JOIN ins i ON i.b = o.a),
+        walk(conv_id, pos, state, cost, audit) AS (
+              SELECT conv_id, 0::BIGINT, 0::BIGINT, 0::BIGINT, '' FROM conversations GROUP BY conv_id
+              UNION ALL SELECT w.conv_id, w.pos + 1, s.m::BIGINT, min(w.cost + s.cost)::BIGINT, arg_min(w.audit || s.audit, (w.cost + s.cost, w.audit || s.audit))
+              FROM walk w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.pos = w.pos + 1 JOIN steps s ON s.ini = f.ini AND s.fault = f.fault AND s.a = w.state GROUP BY w.conv_id, w.pos, s.m),
+        ended AS (SELECT w.*, max(pos) OVER (PARTITION BY conv_id) AS n FROM walk w),
+        best AS (SELECT conv_id, min(e.cost + i.cost) AS cost, arg_min(e.audit || i.audit, (e.cost + i.cost, e.audit || i.audit)) AS audit FROM ended e JOIN ins i ON i.a = e.state WHERE e.pos = e.n AND i.b IN (0, 3) GROUP BY conv_id),
+        e AS (SELECT conv_id, unnest(string_split(audit, '')) AS edit, unnest(range(1, len(audit) + 1)) AS place FROM best WHERE audit <> ''),
+        x AS (SELECT *, sum(CASE WHEN edit <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY place) AS pos FROM e),
+        y AS (SELECT x.conv_id, x.edit, f.role, CASE WHEN x.edit = 'I' THEN '' ELSE f.text END AS text, row_number() OVER (PARTITION BY x.conv_id ORDER BY place) AS nth FROM x LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM x.conv_id AND f.pos = x.pos WHERE x.edit <> 'D'),
+        z AS (SELECT *, max(CASE WHEN nth = 1 AND edit = 'K' AND left(role, 1) = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS led FROM y),
+        t AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (nth - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY nth) AS text FROM z GROUP BY conv_id),
+        c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+                    count(*) FILTER (before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+        SELECT b.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost::BIGINT AS cost, audit, sha256(coalesce(t.text, '')) AS repaired_sha256
+        FROM best b LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM b.conv_id""",
     "op13_importance_resampling": rf"""
         WITH raw AS (SELECT doc_id, true AS own, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents UNION ALL SELECT item_id, false, row_number() OVER (), coalesce(text, '') FROM benchmark),
         w AS (SELECT own, rid, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM raw),
