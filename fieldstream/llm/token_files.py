@@ -145,8 +145,8 @@ def _encoder(key: int, vocabulary: str, pattern: str) -> Encoder:
 class _Block:
     """Documents of the block that a task is filling, and what came before it in the shard."""
 
-    def __init__(self, width: int, shard: int) -> None:
-        self.width, self.shard, self.ids, self.docs, self.run = width, shard, 0, 0, 0
+    def __init__(self, width: int, shard: int, full: int) -> None:
+        self.width, self.shard, self.full, self.ids, self.docs, self.run = width, shard, full, 0, 0, 0
         self.last: tuple | None = None
         self._start()
 
@@ -165,17 +165,17 @@ class _Block:
         self.bytes += len(data)
 
     def taken(self) -> list[bytes]:
-        """The block, and an empty row for each further BLOCK_BYTES, as files are cut by rows."""
+        """The block, and an empty row for each further `full` bytes, as files are cut by rows."""
         n, n_ids = len(self.keys), self.bytes // self.width
         head = HEADER.pack(MAGIC, self.width, n, n_ids, self.shard, self.ids, self.docs, self.first_run)
         keys = array("q", [k or 0 for k in self.keys]).tobytes() + bytes(k is not None for k in self.keys) + array("q", self.sizes).tobytes()
-        rows = [b"".join((head, keys, *self.data)), *[b""] * (self.bytes // BLOCK_BYTES - 1)]
+        rows = [b"".join((head, keys, *self.data)), *[b""] * (self.bytes // self.full - 1)]
         self.ids, self.docs = self.ids + n_ids, self.docs + n
         self._start()
         return rows
 
 
-def write(docs: DataFrame, path: str, vocabulary: str, pattern: str, end_id: int = 2, id_column: str = "doc_id", text_column: str = "text") -> None:
+def write(docs: DataFrame, path: str, vocabulary: str, pattern: str, end_id: int = 2, id_column: str = "doc_id", text_column: str = "text", block_bytes: int = BLOCK_BYTES) -> None:
     """Write the ids of each text and the end id to files below path, in ascending order of the documents' ids."""
     with open(vocabulary, encoding="utf-8") as f:
         data = f.read(MAX_VOCABULARY_BYTES + 1)
@@ -186,12 +186,12 @@ def write(docs: DataFrame, path: str, vocabulary: str, pattern: str, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(key, sent.value, pattern)
         end = array(encoder.code, [end_id]).tobytes()
-        block = _Block(encoder.width, TaskContext.get().partitionId())
+        block = _Block(encoder.width, TaskContext.get().partitionId(), block_bytes)
         for batch in batches:
             for part, texts in byte_slices(batch, "text"):
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode([(t or b"").decode(errors="replace") for t in texts]), strict=True):
                     block.add(doc_id, ids + end)
-                    if block.bytes >= BLOCK_BYTES:
+                    if block.bytes >= block_bytes:
                         yield pa.RecordBatch.from_arrays([pa.array(block.taken(), pa.binary())], names=["value"])
         if block.keys:
             yield pa.RecordBatch.from_arrays([pa.array(block.taken(), pa.binary())], names=["value"])
@@ -396,10 +396,10 @@ def fetch(spark: SparkSession, path: str, index: str, keys: DataFrame, with_ids:
     return found.join(payload, ["shard", "offset"]).where(same).drop("n_there", "key_there")
 
 
-def round_trip(docs: DataFrame, path: str, vocabulary: str, pattern: str, end_id: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, vocabulary: str, pattern: str, end_id: int = 2, id_column: str = "doc_id", text_column: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Write the files, index them, and read every document back by its key: doc_id, start, n_tokens and ids_crc32. Documents without id are read by their place."""
     spark = docs.sparkSession
-    write(docs, f"{path}/ids", vocabulary, pattern, end_id, id_column, text_column)
+    write(docs, f"{path}/ids", vocabulary, pattern, end_id, id_column, text_column, block_bytes)
     there = build_index(spark, f"{path}/ids", f"{path}/index")
     columns = ("doc_id", "start", "n_tokens", "ids_crc32")
     by_key = fetch(spark, f"{path}/ids", f"{path}/index", there.select("doc_id", "nth"), with_ids=False)
