@@ -4,9 +4,9 @@ A 256-byte table lower-cases A-Z and blanks every ASCII byte that is neither let
 nor digit; bytes of other characters stay, so UTF-8 texts are never decoded, and
 bytes.split yields the words. An n-gram's bucket is the crc32 of its words joined by
 one space: the crc32 of its first words is the seed from which zlib goes on with the
-next. Counters reduce a text to distinct n-grams before anything is hashed.
+next, for all n-grams of a length in one pass of built-in functions.
 
-Counting: each task sums its texts' buckets and emits one row a bucket that it has
+Counting: a Counter of each task reduces its texts' buckets to one row a bucket that it has
 seen; those rows, at most BUCKETS a task, are all that is shuffled. A bucket's gain is
 the floored 1000-fold log ratio of its smoothed shares in the target and in the raw
 corpus. BUCKETS gains, a table of fixed size, go to all tasks, which score each
@@ -33,7 +33,6 @@ from collections.abc import Iterator
 from hashlib import sha256
 from zlib import crc32
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,32 +54,26 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(TABLE).split()
 
 
-def buckets(tokens: list[bytes], longest: int = 2, n_buckets: int = BUCKETS) -> Counter[int]:
-    """Number of n-grams of 1 to `longest` words by bucket."""
-    found: Counter[int] = Counter()
-    seeds = {(w,): crc32(w) for w in set(tokens)}
-    counted: Counter = Counter(zip(tokens))
-    for n in range(1, longest + 1):
-        if n > 1:
-            counted = Counter(zip(*(tokens[i:] for i in range(n))))
-            seeds = {gram: crc32(b" " + gram[-1], seeds[gram[:-1]]) for gram in counted}
-        for gram, times in counted.items():
-            found[seeds[gram] % n_buckets] += times
-    return found
+def buckets(tokens: list[bytes], longest: int = 2, n_buckets: int = BUCKETS) -> list[int]:
+    """The bucket of each n-gram of 1 to `longest` words."""
+    hashes = seeds = list(map(crc32, tokens))
+    spaced = list(map(b" ".__add__, tokens))
+    for n in range(1, longest):
+        seeds = list(map(crc32, spaced[n:], seeds))
+        hashes = hashes + seeds
+    return [h % n_buckets for h in hashes]
 
 
 def counts(rows: DataFrame, text_column: str = "text", longest: int = 2, n_buckets: int = BUCKETS) -> DataFrame:
     """Rows (bucket, n) over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n_buckets, np.int64)
+        total: Counter[int] = Counter()
         for batch in batches:
             for _, texts in byte_slices(batch, "text"):
                 for text in texts:
-                    if found := buckets(words(text), longest, n_buckets):
-                        total[list(found)] += list(found.values())
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], names=["bucket", "n"])
+                    total.update(buckets(words(text), longest, n_buckets))
+        yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int32()), pa.array(total.values(), pa.int64())], names=["bucket", "n"])
 
     return rows.select(F.col(text_column).alias("text")).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
@@ -116,9 +109,8 @@ def scored(docs: DataFrame, by_bucket: list[int], seed: int = 7, id_column: str
                 for doc_id, text in zip(ids, texts, strict=True):
                     tokens = words(text)
                     found = buckets(tokens, longest, len(gain))
-                    n = sum(found.values())
-                    weight = sum(gain[b] * k for b, k in found.items()) // n if n else 0
-                    out.append((len(tokens), n, weight, weight + noise(doc_id, seed)))
+                    weight = sum(map(gain.__getitem__, found)) // len(found) if found else 0
+                    out.append((len(tokens), len(found), weight, weight + noise(doc_id, seed)))
                 columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "n_words", "n_features", "weight", "score"])
 
