@@ -3,9 +3,9 @@
 Writing: texts are dealt by ranges of (id, text) and sorted, so that a write task, a
 shard, holds consecutive documents. Each text is encoded by the tokenizers library;
 the strings of special tokens are ordinary text, and an end id follows. Texts are cut
-at blanks before a character that is none, where the vocabulary's pattern always ends a
-piece, and ids of pieces that a worker has met are remembered, so that the library
-encodes each of them once a worker.
+where a vocabulary of byte-level BPE with that library's usual pattern ends a piece for
+certain, before a blank and a character, and ids of parts that a worker has met are
+remembered, so that the library encodes most of them once a worker.
 
 A file is a run of blocks (HEADER; then ids, presence flags and token counts of its
 documents; then the raw ids, 2 or 4 bytes each, little endian). Spark's text writer puts
@@ -37,13 +37,13 @@ import os
 import re
 import struct
 from array import array
+from collections import ChainMap
 from collections.abc import Iterator
 from itertools import chain
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,8 +54,8 @@ from .common import byte_slices, settled
 BLOCK_BYTES, FILE_BLOCKS = 4 << 20, 8
 #: Keys of a part of the index, levels of its hash, and bits a key at each level.
 PART_KEYS, LEVELS, SPARSE = 1 << 14, 24, 2
-#: Pieces that a worker remembers; longer ones it does not.
-REMEMBERED, REMEMBERED_CHARS = 400_000, 48
+#: Parts of texts that a worker remembers; longer ones it does not.
+REMEMBERED, REMEMBERED_CHARS = 1_000_000, 48
 #: Bytes of a vocabulary file, which goes to all tasks.
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Files that `fetch` names one by one; for keys in more of them it reads the whole folder.
@@ -65,17 +65,26 @@ MAGIC = b"IDBLOCK1"
 #: Width of an id, documents, ids, shard, ids and documents before it in the shard, documents before it with its first document's id.
 HEADER = struct.Struct("<8sIIQQQQQ")
 SCAN_SCHEMA = "file string, shard long, doc_no long, offset long, n_tokens long, doc_id long, nth long, ids_crc32 long, ids binary"
-#: A blank before a character that no library counts as white space.
-_CUT = re.compile(r" (?=[^\s\u180e\u200b\ufeff])")
+#: Before a blank that has a character behind it which no library counts as white space.
+_CUT = re.compile(r"(?= [^\s\u180e\u200b\ufeff])")
+#: What makes a text no plain one: other blanks, and a comma or full stop behind neither letter nor digit.
+_BLANKS, _PUNCTUATION = re.compile(r" [\s\u180e\u200b\ufeff]"), re.compile(r"[,.](?<![^\W_].)")
 
 
 # ---- encoding -------------------------------------------------------------------------
 
 
+def parts_of(text: str) -> list[str]:
+    """The text cut where the vocabulary's pattern ends a piece for certain: before a blank with a character behind it and, in plain texts, before a comma or full stop behind a letter or digit."""
+    if _PUNCTUATION.search(text) or _BLANKS.search(text) or "\0" in text or text.endswith(" "):
+        return _CUT.split(text)
+    return text.replace(" ", "\0 ").replace(",", "\0,").replace(".", "\0.").split("\0")
+
+
 class Encoder:
-    """Ids of texts as bytes, by the tokenizers library and a memory of pieces."""
+    """Ids of texts as bytes, by the tokenizers library and a memory of parts of texts."""
 
-    def __init__(self, vocabulary: str, pattern: str) -> None:
+    def __init__(self, vocabulary: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -83,59 +92,40 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
-        self.pieces_of = regex.compile(pattern).findall
-        self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}  # of a chunk after a blank, without it
-
-    def _encoded(self, texts: list[str]) -> Iterator[bytes]:
-        return (array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
-
-    def _learn(self, chunks: set[str]) -> None:
-        """Remember the chunks: each is cut into pieces, and only new pieces are encoded."""
-        if len(self.chunks) > REMEMBERED:
-            self.chunks.clear()
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
-        cut = {}
-        for chunk in chunks:
-            if len(chunk) > REMEMBERED_CHARS:
-                continue
-            if chunk.isalpha():
-                cut[chunk] = (" " + chunk,)
-            elif chunk[-1] in ",." and chunk[:-1].isalpha():
-                cut[chunk] = (" " + chunk[:-1], chunk[-1])
-            else:
-                cut[chunk] = self.pieces_of(" " + chunk)
-        new = list(set(chain.from_iterable(cut.values())) - self.pieces.keys())
-        self.pieces.update(zip(new, self._encoded(new), strict=True))
-        known = self.pieces.__getitem__
-        for chunk, pieces in cut.items():
-            self.chunks[chunk] = known(pieces[0]) if len(pieces) == 1 else b"".join(map(known, pieces))
+        self.known: dict[str, bytes] = {"": b""}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; the chunks of a run of texts are learnt together."""
-        parts = [_CUT.split(t) for t in texts]
-        heads = [p.pop(0) for p in parts]
-        self._learn(set(chain.from_iterable(parts)) - self.chunks.keys())
-        return [head + self._joined(p) for head, p in zip(self._encoded(heads), parts, strict=True)]
+    def _encoded(self, parts: list[str]) -> list[bytes]:
+        if not parts:
+            return []
+        found = self.tokenizer.encode(parts, is_pretokenized=True, add_special_tokens=False)
+        ids, sizes = np.array(found.ids, f"<u{self.width}").tobytes(), np.bincount(found.word_ids, minlength=len(parts))
+        ends = (self.width * np.cumsum(sizes)).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
-    def _joined(self, chunks: list[str]) -> bytes:
-        try:
-            return b"".join(map(self.chunks.__getitem__, chunks))
-        except KeyError:  # some are too long to be remembered
-            long = [c for c in chunks if c not in self.chunks]
-            own = dict(zip(long, self._encoded([" " + c for c in long]), strict=True))
-            return b"".join(self.chunks.get(c) or own[c] for c in chunks)
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; new parts of a run of texts are encoded together."""
+        parts = [parts_of(t) for t in texts]
+        new = set(chain.from_iterable(parts)) - self.known.keys()
+        kept = [p for p in new if len(p) <= REMEMBERED_CHARS]
+        if len(self.known) + len(kept) > REMEMBERED:
+            self.known = {"": b""}
+            kept = [p for p in set(chain.from_iterable(parts)) if 0 < len(p) <= REMEMBERED_CHARS]
+        self.known.update(zip(kept, self._encoded(kept), strict=True))
+        if len(kept) == len(new):
+            return [b"".join(map(self.known.__getitem__, p)) for p in parts]
+        long = [p for p in new if len(p) > REMEMBERED_CHARS]
+        all_known = ChainMap(self.known, dict(zip(long, self._encoded(long), strict=True)))
+        return [b"".join(map(all_known.__getitem__, p)) for p in parts]
 
 
 _ready: dict[int, Encoder] = {}
 
 
-def _encoder(key: int, vocabulary: str, pattern: str) -> Encoder:
+def _encoder(key: int, vocabulary: str) -> Encoder:
     """One encoder a worker, so that its memory serves all its tasks."""
     if key not in _ready:
         _ready.clear()
-        _ready[key] = Encoder(vocabulary, pattern)
+        _ready[key] = Encoder(vocabulary)
     return _ready[key]
 
 
@@ -175,16 +165,16 @@ class _Block:
         return rows
 
 
-def write(docs: DataFrame, path: str, vocabulary: str, pattern: str, end_id: int = 2, id_column: str = "doc_id", text_column: str = "text", block_bytes: int = BLOCK_BYTES) -> None:
+def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_column: str = "doc_id", text_column: str = "text", block_bytes: int = BLOCK_BYTES) -> None:
     """Write the ids of each text and the end id to files below path, in ascending order of the documents' ids."""
     with open(vocabulary, encoding="utf-8") as f:
         data = f.read(MAX_VOCABULARY_BYTES + 1)
     if len(data) > MAX_VOCABULARY_BYTES:
         raise ValueError(f"{vocabulary} is larger than {MAX_VOCABULARY_BYTES} bytes")
-    sent, key = docs.sparkSession.sparkContext.broadcast(data), hash((data, pattern))
+    sent, key = docs.sparkSession.sparkContext.broadcast(data), hash(data)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(key, sent.value, pattern)
+        encoder = _encoder(key, sent.value)
         end = array(encoder.code, [end_id]).tobytes()
         block = _Block(encoder.width, TaskContext.get().partitionId(), block_bytes)
         for batch in batches:
@@ -396,10 +386,10 @@ def fetch(spark: SparkSession, path: str, index: str, keys: DataFrame, with_ids:
     return found.join(payload, ["shard", "offset"]).where(same).drop("n_there", "key_there")
 
 
-def round_trip(docs: DataFrame, path: str, vocabulary: str, pattern: str, end_id: int = 2, id_column: str = "doc_id", text_column: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, id_column: str = "doc_id", text_column: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Write the files, index them, and read every document back by its key: doc_id, start, n_tokens and ids_crc32. Documents without id are read by their place."""
     spark = docs.sparkSession
-    write(docs, f"{path}/ids", vocabulary, pattern, end_id, id_column, text_column, block_bytes)
+    write(docs, f"{path}/ids", vocabulary, end_id, id_column, text_column, block_bytes)
     there = build_index(spark, f"{path}/ids", f"{path}/index")
     columns = ("doc_id", "start", "n_tokens", "ids_crc32")
     by_key = fetch(spark, f"{path}/ids", f"{path}/index", there.select("doc_id", "nth"), with_ids=False)

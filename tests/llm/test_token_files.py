@@ -47,7 +47,7 @@ ODD = ["", " ", "  two  blanks ", "a\n b", "a \n  b\n\n c", "\xa0x 　y ᠎z ​
 
 def test_encoder_equals_the_library(library, monkeypatch):
     monkeypatch.setattr(token_files, "REMEMBERED", 40)
-    encoder = token_files.Encoder(library.to_str(), public_tokenizers.PATTERN)
+    encoder = token_files.Encoder(library.to_str())
     rng = random.Random(3)
     texts = ODD + ["".join(rng.choice(["a", "b ", " ", "\n", "é", ".", ", ", "1", "'s", " ", "中"]) for _ in range(rng.randint(0, 80))) for _ in range(400)]
     for start in range(0, len(texts), 50):
@@ -70,7 +70,7 @@ def test_round_trip(spark, library, block, monkeypatch):
     rng = random.Random(1)
     rows = [(i * 3 - 100, rng.choice([*ODD, None, f"word{i} again"]), i) for i in range(300)]
     df = spark.createDataFrame([(i, t, n, "y") for i, t, n in rows], "doc_id long, text string, ids int, shard string").repartition(5)
-    got = token_files.round_trip(df, path := shared_dir(spark), VOCABULARY, public_tokenizers.PATTERN, block_bytes=block)
+    got = token_files.round_trip(df, path := shared_dir(spark), VOCABULARY, block_bytes=block)
     assert sorted(map(tuple, got.collect())) == sorted(wanted(library, sorted((i, t) for i, t, _ in rows)))
     assert (spark.read.format("binaryFile").load(f"{path}/ids").count() > 10) is (block == 64)
 
@@ -78,7 +78,7 @@ def test_round_trip(spark, library, block, monkeypatch):
 def test_repeated_and_missing_ids(spark, library):
     rows = [(None, "none one"), (None, "none two"), (5, "b"), *[(7, "same text")] * 200, (7, "other"), (9, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = token_files.round_trip(df, path := shared_dir(spark), VOCABULARY, public_tokenizers.PATTERN).collect()
+    got = token_files.round_trip(df, path := shared_dir(spark), VOCABULARY).collect()
     size = lambda t: len(library.encode(t or "", add_special_tokens=False).ids) + 1
     assert sorted((r["doc_id"] or -1, r["n_tokens"]) for r in got) == sorted((i or -1, size(t)) for i, t in rows)
     by_start = sorted(got, key=lambda r: r["start"])
@@ -95,10 +95,10 @@ def test_repeated_and_missing_ids(spark, library):
 def test_empty_table_and_bad_bytes(spark, library):
     empty = spark.createDataFrame([], "doc_id long, text string")
     path = shared_dir(spark)
-    assert token_files.round_trip(empty, path, VOCABULARY, public_tokenizers.PATTERN).count() == 0
+    assert token_files.round_trip(empty, path, VOCABULARY).count() == 0
     assert token_files.lookup(spark, f"{path}/index", spark.createDataFrame([(1, 0)], "doc_id long, nth long")).count() == 0
     bad = spark.range(1).select(F.lit(1).cast("long").alias("doc_id"), F.expr("cast(x'61ff62' AS string)").alias("text"))
-    row = token_files.round_trip(bad, shared_dir(spark), VOCABULARY, public_tokenizers.PATTERN).first()
+    row = token_files.round_trip(bad, shared_dir(spark), VOCABULARY).first()
     assert tuple(row) == wanted(library, [(1, "a�b")])[0]
 
 
