@@ -1,15 +1,15 @@
-"""Latest value by key with time to live, and the validation before it is kept.
+"""Latest value by key with time to live.
 
 Last write wins by (message time, partition, offset). The batch form looks at a
-table as of a time; the streaming form is in streaming/state.py.
+table as of a time; the streaming form is in streaming/state.py, the rules of what
+is kept in cache_rules.py.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import SENSOR_COORDINATES, SENSOR_RANGES, WEATHER_RANGES, all_of, holds, range_flags
 from ..functions.times import as_of_literal, on_days
 from ..schemas import LATEST
 
@@ -53,33 +53,3 @@ def key_counts(kinds: dict[str, DataFrame]) -> DataFrame:
 
 def available_ids(found: DataFrame, key: str) -> DataFrame:
     return found.select(F.col(key).alias("id")).distinct().orderBy("id")
-
-
-def _filled(*columns: str) -> Column:
-    return all_of(F.coalesce(F.length(F.trim(c)) > 0, F.lit(False)) for c in columns)
-
-
-def _present(*columns: str) -> Column:
-    return all_of(F.col(c).isNotNull() for c in columns)
-
-
-def sensor_valid() -> Column:
-    return _filled("field_id", "location", "timestamp") & all_of(range_flags(SENSOR_RANGES, SENSOR_COORDINATES).values())
-
-
-def weather_valid() -> Column:
-    return _filled("location", "condition", "timestamp") & all_of(holds(F.col(r.column), r.low, r.high) for r in WEATHER_RANGES)
-
-
-def alert_valid() -> Column:
-    return _filled("zone_id", "alert_type", "severity", "status") & _present("alert_timestamp", "message")
-
-
-def prediction_valid() -> Column:
-    members = ("anomaly_score", "is_anomaly", "severity", "recommendations", "model_version", "prediction_timestamp", "features")
-    return _filled("field_id", "location") & _present(*members)
-
-
-def validated(rows: DataFrame, valid: Column) -> DataFrame:
-    """Rows with `cache_valid`; those without it are rejects."""
-    return rows.withColumn("cache_valid", F.coalesce(valid, F.lit(False)))

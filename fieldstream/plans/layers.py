@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import parse_timestamp, utc
-from ..operators import alerts, bronze, gold, silver
+from ..operators import alerts, bronze, gold, panes, silver
 from ..sources import fixtures
 from .registry import AS_OF, MINUTES, query
 
@@ -315,15 +315,30 @@ _CROSS = {
     "window_duration_minutes": f"{MINUTES}",
 }
 GOLD_CTE = f"{SENSOR_CTE}, {WEATHER_CTE}, {_gold_ctes('s_ok', 'w_ok')}, both_sides AS (SELECT *, " + ", ".join(f"{e} AS {n}" for n, e in _CROSS.items()) + f" FROM s_all JOIN w_all USING (location)), fields AS ({fixtures.FIELDS_SQL})"
-_GOLD_SQL = f"WITH {GOLD_CTE} SELECT {', '.join(gold.COLUMNS)} FROM fields LEFT JOIN both_sides USING (field_id)"
+GOLD_SQL = f"WITH {GOLD_CTE} SELECT {', '.join(gold.COLUMNS)} FROM fields LEFT JOIN both_sides USING (field_id)"
 
 
-@query(_GOLD_SQL)
+@query(GOLD_SQL)
 def gold_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = gold.features(silver_sensor_rows(spark, sf_dir), silver_weather_rows(spark, sf_dir), fixtures.fields(spark, sf_dir), AS_OF, MINUTES)
     return rounded(rows)
 
 
+@query(GOLD_SQL)
+def gold_features_from_panes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table from aggregates by minute."""
+    sensors, weather = silver_sensor_rows(spark, sf_dir), silver_weather_rows(spark, sf_dir)
+    return rounded(panes.features(panes.panes(sensors, panes.SENSOR), sensors, panes.panes(weather, panes.WEATHER), weather, fixtures.fields(spark, sf_dir), AS_OF, MINUTES))
+
+
+@query(f"WITH {SENSOR_CTE}, {WEATHER_CTE}, {_gold_ctes('s_flag', 'w_ok')} SELECT {', '.join(_SENSOR_OUT)} FROM s_all")
+def gold_sensor_agg_from_panes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sensor features over flagged but unfiltered rows, from aggregates by minute."""
+    rows = silver_sensor_rows(spark, sf_dir, keep_invalid=True)
+    found = panes.aggregates(panes.look_back(panes.panes(rows, panes.SENSOR), rows, panes.SENSOR, AS_OF, MINUTES), panes.SENSOR)
+    return rounded(gold.sensor_derived(found).select(*_SENSOR_OUT))
+
+
 _JSON_OUT = ("field_id", "location", "sensor_readings_count", "weather_readings_count", "weather_dominant_condition")
 
 

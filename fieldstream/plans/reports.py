@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rules import SENSOR_COORDINATES
-from ..operators import gold, latest, reports
+from ..operators import cache_rules, gold, latest, reports
 from ..schemas import ALERT_TYPES, LATEST, SEVERITIES, STATUSES
 from ..sources import fixtures, readers, sinks
 from .layers import GOLD_CTE, SENSOR_CTE, WEATHER_CTE, rounded, silver_sensor_rows, silver_weather_rows
@@ -323,30 +323,39 @@ def map_center(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(reports.map_center(fixtures.sensor(spark, sf_dir)))
 
 
+def _messages(rows: DataFrame, *members: str) -> DataFrame:
+    """Rows with an id as message envelopes."""
+    return rows.select(F.to_json(F.struct(*members)).cast("binary").alias("value"), F.lit(0).alias("partition"), F.col("id").alias("offset"), F.current_timestamp().alias("timestamp"))
+
+
+def _judged(messages: DataFrame, kind: str, place: str) -> DataFrame:
+    return cache_rules.checked(messages, kind).select(F.col("kafka_offset").alias(place), (F.col("failed") == 0).alias("cache_valid"))
+
+
 @query(
     f"""WITH s AS ({fixtures.sql("sensor")}) SELECT event_id, coalesce(temperature BETWEEN -20 AND 60 AND humidity BETWEEN 0 AND 100 AND soil_ph BETWEEN 3 AND 9 AND {SENSOR_COORDINATES[0]} BETWEEN -90 AND 90 AND {SENSOR_COORDINATES[1]} BETWEEN -180 AND 180, false) AS cache_valid FROM s"""
 )
 def cache_valid_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest.validated(fixtures.sensor(spark, sf_dir), latest.sensor_valid()).select("event_id", "cache_valid")
+    return _judged(fixtures.sensor_messages(spark, sf_dir), "sensor", "event_id")
 
 
 @query(f"WITH w AS ({fixtures.sql('weather')}) SELECT event_id, coalesce(condition IS NOT NULL AND temp_c BETWEEN -50 AND 60 AND humidity BETWEEN 0 AND 100 AND wind_kph BETWEEN 0 AND 500 AND uv BETWEEN 0 AND 20 AND precip_mm BETWEEN 0 AND 1000, false) AS cache_valid FROM w")
 def cache_valid_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest.validated(fixtures.weather(spark, sf_dir), latest.weather_valid()).select("event_id", "cache_valid")
+    return _judged(fixtures.weather_messages(spark, sf_dir), "weather", "event_id")
 
 
 @query(_alerts("SELECT id, id % 20 <> 0 AND id % 33 <> 0 AS cache_valid FROM alerts"))
 def cache_valid_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every twentieth alert gets an empty zone, every 33rd no message."""
-    rows = alert_table(spark, sf_dir).withColumns({"zone_id": F.when(F.col("id") % 20 == 0, " ").otherwise(F.col("zone_id")), "message": F.when(F.col("id") % 33 != 0, F.col("message"))})
-    return latest.validated(rows, latest.alert_valid()).select("id", "cache_valid")
+    rows = alert_table(spark, sf_dir).withColumns({"zone_id": F.when(F.col("id") % 20 == 0, "").otherwise(F.col("zone_id")), "message": F.when(F.col("id") % 33 != 0, F.col("message"))})
+    return _judged(_messages(rows, "zone_id", "alert_timestamp", "alert_type", "severity", "message", "status"), "alert", "id")
 
 
 @query(_predictions("SELECT id, id % 25 <> 0 AS cache_valid FROM predictions"))
 def cache_valid_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 25th prediction has no location."""
-    rows = prediction_table(spark, sf_dir).withColumns({"location": F.when(F.col("id") % 25 != 0, F.col("location")), "features": F.struct("sensor_avg_temperature")})
-    return latest.validated(rows, latest.prediction_valid()).select("id", "cache_valid")
+    """Every 25th prediction has no location, and every 30th an empty one, which is allowed."""
+    rows = prediction_table(spark, sf_dir).withColumns({"location": F.when(F.col("id") % 25 == 0, None).when(F.col("id") % 30 == 0, "").otherwise(F.col("location")), "features": F.struct("sensor_avg_temperature")})
+    return _judged(_messages(rows, "field_id", "location", "anomaly_score", "is_anomaly", "severity", "recommendations", "model_version", "prediction_timestamp", "features"), "prediction", "id")
 
 
 @query(f"WITH {GOLD_CTE} SELECT field_id, location, sensor_readings_count, weather_dominant_condition FROM fields LEFT JOIN both_sides USING (field_id)")

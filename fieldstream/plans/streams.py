@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import utc
-from ..operators import alerts, bronze, gold, latest, silver
+from ..operators import alerts, bronze, cache_rules, gold, latest, panes, silver
 from ..schemas import ALERT, FEATURE_INPUT, IMAGE, LATEST, PREDICTION, SENSOR_RAW, SENSOR_VALID, WEATHER_RAW, WEATHER_VALID
 from ..sources import fixtures, readers, sinks
 from ..streaming import jobs
-from .layers import IMAGE_SQL, SATELLITE_CTE, SENSOR_ALERT_SQL, SENSOR_CTE, WEATHER_ALERT_SQL, WEATHER_CTE, rounded, sensor_features_sql
+from .layers import GOLD_CTE, GOLD_SQL, IMAGE_SQL, SATELLITE_CTE, SENSOR_ALERT_SQL, SENSOR_CTE, WEATHER_ALERT_SQL, WEATHER_CTE, rounded, sensor_features_sql
 from .registry import AS_OF, MINUTES, query
 from .tables import PREDICTIONS_CTE, SCORER, prediction_table
 
@@ -32,7 +34,8 @@ def _silver(spark: SparkSession, sf_dir: str, kind: str) -> str:
     }[kind]
     root = _bronze(spark, messages(spark, sf_dir), decode, f"silver-{kind}")
     rows = readers.json_stream(spark, f"{root}/bronze", f"{raw}, kafka_offset bigint")
-    jobs.drained(jobs.silver_job(rows, refine, members, kind, f"{root}/silver", f"{root}/checkpoint/silver", jobs.file_broker(f"{root}/topic", topic), jobs.NOW))
+    minutes = (f"{root}/panes", {"sensor": panes.SENSOR, "weather": panes.WEATHER}[kind])
+    jobs.drained(jobs.silver_job(rows, refine, members, kind, f"{root}/silver", f"{root}/checkpoint/silver", jobs.file_broker(f"{root}/topic", topic), jobs.NOW, minutes))
     return root
 
 
@@ -116,6 +119,38 @@ def gold_from_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(gold.sensor_features(rows, AS_OF, MINUTES).select("field_id", "location", "sensor_avg_temperature", "sensor_readings_count", "sensor_last_reading"))
 
 
+def features_at(spark: SparkSession, sensors: str, weather: str, fields: DataFrame) -> Callable[[str], DataFrame]:
+    """The feature table of a time from the panes and validated files below the roots of the two streams."""
+
+    def valid(root: str) -> DataFrame:
+        return spark.read.parquet(f"{root}/silver").withColumn("timestamp_parsed", utc("timestamp_parsed"))
+
+    return lambda as_of: panes.features(spark.read.parquet(f"{sensors}/panes"), valid(sensors), spark.read.parquet(f"{weather}/panes"), valid(weather), fields, as_of, MINUTES)
+
+
+def feature_stream(spark: SparkSession, sf_dir: str, times: tuple[str, ...] = (AS_OF,)) -> str:
+    """A periodic feature job over what the streams have written, at the given times; returns its root."""
+    sensors, weather = _silver(spark, sf_dir, "sensor"), _silver(spark, sf_dir, "weather")
+    ticks = spark.createDataFrame([(t,) for t in times], "t string").select(F.col("t").cast("timestamp").alias("timestamp")).coalesce(1)
+    clock, root = jobs.stream_of(spark, ticks, "features", per_trigger=None)
+    found = features_at(spark, sensors, weather, fixtures.fields(spark, sf_dir))
+    jobs.drained(jobs.feature_job(clock, found, f"{root}/snapshots", f"{root}/checkpoint", jobs.file_broker(f"{root}/topic", "gold_features"), jobs.NOW))
+    return root
+
+
+@query(GOLD_SQL)
+def stream_gold_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshot that the periodic job leaves, from panes of the streams."""
+    return rounded(jobs.feature_snapshot(spark, f"{feature_stream(spark, sf_dir)}/snapshots"))
+
+
+@query(f"WITH {GOLD_CTE} SELECT field_id, location, sensor_readings_count, weather_dominant_condition FROM fields LEFT JOIN both_sides USING (field_id)")
+def stream_gold_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the periodic job has published."""
+    schema = "field_id string, location string, sensor_readings_count bigint, weather_dominant_condition string"
+    return readers.decoded(readers.messages(spark, "gold_features", "parquet", f"{feature_stream(spark, sf_dir)}/topic"), schema).drop("kafka_partition", "kafka_offset")
+
+
 def _alerts(spark: SparkSession, sf_dir: str, kind: str) -> str:
     """Alerts of the validated messages of a topic, to a table and to a topic; returns the root."""
     root = _silver(spark, sf_dir, kind)
@@ -189,13 +224,18 @@ def stream_gold_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TTL = 36 * 3600
 
 
-def _latest(spark: SparkSession, messages: DataFrame, kind: str, schema: str) -> DataFrame:
-    """The latest value of each key of a topic, as of its newest message."""
+def _cached(spark: SparkSession, messages: DataFrame, kind: str) -> str:
+    """A latest_job over the messages, run to its end; returns its root."""
     stream, root = jobs.stream_of(spark, messages, f"latest-{kind}")
-    rows = jobs.latest_messages(stream, kind, schema)
-    now = F.lit(latest.newest_time(jobs.latest_messages(messages, kind, schema).select(utc("message_time").alias("t")), "t")).cast("timestamp")
-    jobs.drained(jobs.latest_job(rows, kind, f"{root}/latest", f"{root}/checkpoint", jobs.NOW, _TTL, now))
-    found = jobs.latest_table(spark, f"{root}/latest", kind, _TTL, now)
+    jobs.drained(jobs.latest_job(stream, kind, f"{root}/checkpoint", jobs.file_table(f"{root}/rejects"), trigger=jobs.NOW, ttl=_TTL))
+    return root
+
+
+def _latest(spark: SparkSession, messages: DataFrame, kind: str) -> DataFrame:
+    """The latest value of each key of a topic, as of its newest valid message."""
+    root = _cached(spark, messages, kind)
+    valid = cache_rules.checked(messages, kind).where("failed = 0").select(utc("message_time").alias("t"))
+    found = jobs.latest_table(spark, f"{root}/checkpoint", kind, _TTL, F.lit(latest.newest_time(valid, "t")).cast("timestamp"))
     return found.select("key", utc("message_time").alias("message_time"), "cache_ttl")
 
 
@@ -210,25 +250,113 @@ def _as_messages(rows: DataFrame, topic: str, offset: str) -> DataFrame:
     return rows.select(value, F.lit(topic).alias("topic"), F.lit(0).alias("partition"), F.col(offset).cast("long").alias("offset"), F.current_timestamp().alias("timestamp"))
 
 
+def _sensor_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of all readings that are complete and have a time; those that are out of range must not be kept."""
+    rows = silver.sensor_flagged(fixtures.sensor(spark, sf_dir)).select("event_id", *silver.SENSOR_MESSAGE, F.col("timestamp_parsed").alias("timestamp"))
+    return _as_messages(rows, _SENSOR_TOPIC, "event_id")
+
+
+def _weather_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = silver.weather_flagged(fixtures.weather(spark, sf_dir)).select("event_id", *silver.WEATHER_MESSAGE, F.col("timestamp_parsed").alias("timestamp"))
+    return _as_messages(rows, _WEATHER_TOPIC, "event_id")
+
+
+def _alert_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of which every 20th has an empty zone, every 21st no message, and every 22nd a number as its status."""
+    e = F.col("event_id")
+    rows = alerts.sensor(silver.sensor(fixtures.sensor(spark, sf_dir)), "event_id").withColumns({"zone_id": F.when(e % 20 == 0, "").otherwise(F.col("zone_id")), "message": F.when(e % 21 != 0, F.col("message"))})
+    messages = _as_messages(rows, _ALERT_TOPIC, "event_id")
+    numbered = F.regexp_replace(F.col("value").cast("string"), '"status":"ACTIVE"', '"status":1').cast("binary")
+    return messages.withColumn("value", F.when(F.col("offset") % 22 == 0, numbered).otherwise(F.col("value")))
+
+
+def _prediction_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of which every 25th has no location, every 26th a text for a boolean, and every 27th is cut short."""
+    columns = ("id", "field_id", "location", "anomaly_score", "is_anomaly", "severity", "recommendations", "model_version")
+    rows = prediction_table(spark, sf_dir).select(*columns, F.col("prediction_timestamp").cast("timestamp").alias("prediction_timestamp"), F.struct("temp_differential").alias("features"))
+    messages = _as_messages(rows.withColumn("location", F.when(F.col("id") % 25 != 0, F.col("location"))), _ANOMALY_TOPIC, "id")
+    text, at = F.col("value").cast("string"), F.col("offset")
+    odd = F.when(at % 27 == 0, F.substring(text, 1, 40)).when(at % 26 == 0, F.regexp_replace(text, '"is_anomaly":(true|false)', '"is_anomaly":"$1"')).otherwise(text)
+    return messages.withColumn("value", odd.cast("binary"))
+
+
+_ALERTS_OK = f"a AS (SELECT * FROM ({SENSOR_ALERT_SQL}) WHERE event_id % 20 <> 0 AND event_id % 21 <> 0 AND event_id % 22 <> 0)"
+_PREDICTIONS_OK = "p AS (SELECT * FROM predictions WHERE id % 25 <> 0 AND id % 26 <> 0 AND id % 27 <> 0)"
+
+
 @query(f"WITH {SENSOR_CTE} " + _latest_sql("s_ok", "sensor", "timestamp_parsed"))
 def stream_latest_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = silver.sensor(fixtures.sensor(spark, sf_dir)).select("event_id", *silver.SENSOR_MESSAGE, F.col("timestamp_parsed").alias("timestamp"))
-    return _latest(spark, _as_messages(rows, _SENSOR_TOPIC, "event_id"), "sensor", SENSOR_VALID)
+    return _latest(spark, _sensor_readings(spark, sf_dir), "sensor")
 
 
 @query(f"WITH {WEATHER_CTE} " + _latest_sql("w_ok", "weather", "timestamp_parsed"))
 def stream_latest_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = silver.weather(fixtures.weather(spark, sf_dir)).select("event_id", *silver.WEATHER_MESSAGE, F.col("timestamp_parsed").alias("timestamp"))
-    return _latest(spark, _as_messages(rows, _WEATHER_TOPIC, "event_id"), "weather", WEATHER_VALID)
+    return _latest(spark, _weather_readings(spark, sf_dir), "weather")
 
 
-@query(f"WITH {SENSOR_CTE}, a AS ({SENSOR_ALERT_SQL}) " + _latest_sql("a", "alert", "alert_timestamp"))
+@query(f"WITH {SENSOR_CTE}, {_ALERTS_OK} " + _latest_sql("a", "alert", "alert_timestamp"))
 def stream_latest_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = alerts.sensor(silver.sensor(fixtures.sensor(spark, sf_dir)), "event_id")
-    return _latest(spark, _as_messages(rows, _ALERT_TOPIC, "event_id"), "alert", ALERT)
+    return _latest(spark, _alert_messages(spark, sf_dir), "alert")
 
 
-@query(f"WITH {PREDICTIONS_CTE} " + _latest_sql("predictions", "prediction", "prediction_timestamp"))
+@query(f"WITH {PREDICTIONS_CTE}, {_PREDICTIONS_OK} " + _latest_sql("p", "prediction", "prediction_timestamp"))
 def stream_latest_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = prediction_table(spark, sf_dir).select("id", "field_id", "location", "anomaly_score", "is_anomaly", "severity", "recommendations", "model_version", F.col("prediction_timestamp").cast("timestamp").alias("prediction_timestamp"))
-    return _latest(spark, _as_messages(rows, _ANOMALY_TOPIC, "id"), "prediction", PREDICTION)
+    return _latest(spark, _prediction_messages(spark, sf_dir), "prediction")
+
+
+@query(f"WITH {SENSOR_CTE} SELECT count(*) AS n_keys, min(field_id) AS first_key, max(field_id) AS last_key FROM (SELECT DISTINCT field_id FROM s_ok)")
+def stream_latest_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan of the keys that the state holds."""
+    found = jobs.latest_table(spark, f"{_cached(spark, _sensor_readings(spark, sf_dir), 'sensor')}/checkpoint", "sensor", _TTL)
+    return found.agg(F.count("*").alias("n_keys"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
+
+
+# ---- refused messages --------------------------------------------------------------------
+
+
+def _reasons_sql(cases: tuple[tuple[str, str], ...], rows: str, place: str) -> str:
+    """Place and reasons, joined by commas, of the rows that have any; cases are (reason, condition)."""
+    found = ", ".join(f"CASE WHEN {condition} THEN '{reason}' END" for reason, condition in cases)
+    return f"SELECT * FROM (SELECT {place} AS kafka_offset, concat_ws(', ', {found}) AS reasons FROM {rows}) WHERE reasons <> ''"
+
+
+def _refused(rows: DataFrame) -> DataFrame:
+    return rows.select("kafka_offset", F.array_join("reasons", ", ").alias("reasons"))
+
+
+def _range_cases(members: tuple[tuple[str, float, float], ...]) -> tuple[tuple[str, str], ...]:
+    return tuple(c for m, low, high in members for c in ((f"{m} is missing", f"{m} IS NULL"), (f"{m} is out of range", f"NOT {m} BETWEEN {low} AND {high}")))
+
+
+_SENSOR_CASES = _range_cases((("latitude", -90, 90), ("longitude", -180, 180), ("temperature", -20, 60), ("humidity", 0, 100), ("soil_ph", 3, 9)))
+_WEATHER_CASES = _range_cases((("temp_c", -50, 60), ("humidity", 0, 100), ("wind_kph", 0, 500), ("uv", 0, 20)))
+
+
+@query(f"WITH s AS ({fixtures.sql('sensor')}) " + _reasons_sql(_SENSOR_CASES, "s", "event_id"))
+def cache_rejects_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refused raw readings with their reasons."""
+    return _refused(cache_rules.rejects(cache_rules.checked(fixtures.sensor_messages(spark, sf_dir), "sensor"), "sensor"))
+
+
+@query(f"WITH w AS ({fixtures.sql('weather')}) " + _reasons_sql((*_WEATHER_CASES, ("condition is missing", "condition IS NULL"), *_range_cases((("precip_mm", 0, 1000),))), "w", "event_id"))
+def cache_rejects_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _refused(cache_rules.rejects(cache_rules.checked(fixtures.weather_messages(spark, sf_dir), "weather"), "weather"))
+
+
+_ALERT_CASES = (("zone_id is empty", "event_id % 20 = 0"), ("message is missing", "event_id % 21 = 0"), ("status is no text", "event_id % 22 = 0"))
+
+
+@query(f"WITH {SENSOR_CTE}, a AS ({SENSOR_ALERT_SQL}) " + _reasons_sql(_ALERT_CASES, "a", "event_id"))
+def cache_rejects_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stream of latest alerts has refused, from its table of rejects."""
+    root = _cached(spark, _alert_messages(spark, sf_dir), "alert")
+    return _refused(spark.read.parquet(f"{root}/rejects"))
+
+
+_PREDICTION_CASES = (("no JSON object", "id % 27 = 0"), ("location is missing", "id % 25 = 0 AND id % 27 <> 0"), ("is_anomaly is no boolean", "id % 26 = 0 AND id % 27 <> 0"))
+
+
+@query(f"WITH {PREDICTIONS_CTE} " + _reasons_sql(_PREDICTION_CASES, "predictions", "id"))
+def cache_rejects_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _cached(spark, _prediction_messages(spark, sf_dir), "prediction")
+    return _refused(spark.read.parquet(f"{root}/rejects"))

@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -88,6 +88,20 @@ def replace_batch(rows: DataFrame, batch_id: int, path: str, keys: tuple[str, ..
     spread.write.format(fmt).partitionBy(*keys).mode("overwrite").save(f"{path}/batch_id={batch_id}")
 
 
+def replace_snapshot(rows: DataFrame, as_of: str, path: str, fmt: str = "parquet") -> None:
+    """Write rows as the snapshot of a time (as_of=...) of a table; a rerun for that time replaces it, others stay."""
+    rows.write.format(fmt).mode("overwrite").save(f"{path}/as_of={re.sub('[: ]', '_', as_of)}")
+
+
+def newest_partition(spark: SparkSession, path: str, column: str) -> str | None:
+    """The largest value of a table's top partition folders (text), from their names alone; folders without a committed write don't count."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [str(s.getPath()) for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    names = [f.rpartition("/")[2].partition("=")[2] for f in found if f.rpartition("/")[2].startswith(f"{column}=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{f}/_SUCCESS"))]
+    return max(names, default=None)
+
+
 def fan_out(*sinks: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that computes a batch once and gives it to several sinks; a failure fails the batch."""
 
@@ -102,12 +116,6 @@ def fan_out(*sinks: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, in
     return run
 
 
-def upsert_latest(current: DataFrame, new: DataFrame, key: str, order: tuple[str, ...], fresh: Column) -> DataFrame:
-    """Current and new rows merged to the newest of each key, of those that are fresh."""
-    both = current.unionByName(new).where(fresh)
-    return both.groupBy(key).agg(F.max_by(F.struct(*both.columns), F.struct(*order)).alias("row")).select("row.*")
-
-
 def newest(rows: DataFrame, order: str) -> DataFrame:
     """The row of largest `order`, by partial aggregation rather than a sort."""
     return rows.agg(F.max_by(F.struct(*rows.columns), order).alias("row")).where("row IS NOT NULL").select("row.*")

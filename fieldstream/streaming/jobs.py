@@ -13,12 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import bronze, gold, latest, ml, silver
-from ..schemas import LATEST, LATEST_TIME
+from ..functions.times import utc
+from ..operators import bronze, cache_rules, gold, ml, panes, silver
+from ..schemas import LATEST
 from ..sources import readers, sinks
+from . import state
 
 #: Trigger intervals in production; the others start a batch as soon as there is data.
-TRIGGERS = {"bronze": {"processingTime": "30 seconds"}, "satellite": {"processingTime": "60 seconds"}, "silver": {"processingTime": "60 seconds"}, "alerts": {"processingTime": "30 seconds"}}
+TRIGGERS = {"bronze": {"processingTime": "30 seconds"}, "satellite": {"processingTime": "60 seconds"}, "silver": {"processingTime": "60 seconds"}, "alerts": {"processingTime": "30 seconds"}, "features": {"processingTime": "600 seconds"}}
 NOW = {"availableNow": True}
 
 Sink = Callable[[DataFrame, int], None]
@@ -63,14 +65,19 @@ def image_job(messages: DataFrame, path: str, images: str, checkpoint: str, trig
     return _started(bronze.satellite(messages), sinks.fan_out(objects, metadata), checkpoint, "satellite", trigger)
 
 
-def silver_job(rows: DataFrame, refine: Callable[[DataFrame], DataFrame], members: tuple[str, ...], layer: str, path: str, checkpoint: str, publish: Sink | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """Raw rows to validated files in the layer's partitions and to messages; each micro-batch is computed once for both."""
+def silver_job(rows: DataFrame, refine: Callable[[DataFrame], DataFrame], members: tuple[str, ...], layer: str, path: str, checkpoint: str, publish: Sink | None = None, trigger: dict | None = None, minutes: tuple[str, panes.Shape] | None = None) -> StreamingQuery:
+    """Raw rows to validated files in the layer's partitions, to messages, and to a table of panes by minute; each micro-batch is computed once for all."""
 
     def topic(batch: DataFrame, batch_id: int) -> None:
         if publish is not None:
             publish(batch.select(silver.message(members)), batch_id)
 
-    return _started(refine(rows), sinks.fan_out(file_table(path, sinks.PARTITIONS[layer]), topic), checkpoint, "silver", trigger)
+    def by_minute(batch: DataFrame, batch_id: int) -> None:
+        if minutes is not None:
+            found = panes.panes(batch.withColumn("timestamp_parsed", utc("timestamp_parsed")), minutes[1])
+            sinks.replace_batch(found, batch_id, minutes[0], ("date",))
+
+    return _started(refine(rows), sinks.fan_out(file_table(path, sinks.PARTITIONS[layer]), topic, by_minute), checkpoint, "silver", trigger)
 
 
 def alert_job(valid: DataFrame, raise_alerts: Callable[[DataFrame], DataFrame], table: Sink, checkpoint: str, publish: Sink | None = None, trigger: dict | None = None) -> StreamingQuery:
@@ -126,44 +133,86 @@ def gold_job(valid: DataFrame, keys: tuple[str, ...], aggregates: list, path: st
     return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(**_trigger("gold", trigger)).start()
 
 
-# ---- latest values ------------------------------------------------------------------
+def clock(spark: SparkSession, per_second: int = 1) -> DataFrame:
+    """A stream of times, whose micro-batches tell a periodic job when it is; a replayed batch has the same times."""
+    return spark.readStream.format("rate").option("rowsPerSecond", per_second).load().select("timestamp")
 
-_PLACE = ("message_time", "kafka_partition", "kafka_offset")
 
+def feature_job(times: DataFrame, features: Callable[[str], DataFrame], path: str, checkpoint: str, publish: Sink | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """The feature table at each tick of a clock: the newest time of a batch is the as_of of one run over the tables as they are.
 
-def latest_messages(messages: DataFrame, kind: str, schema: str) -> DataFrame:
-    """Messages of a kind's topic as rows (key, message_time, kafka_partition, kafka_offset, value)."""
-    key, _ = LATEST[kind]
-    rows = readers.decoded(messages, schema, key)
-    return rows.select(F.col(key).alias("key"), F.col(LATEST_TIME[kind]).cast("timestamp").alias("message_time"), "kafka_partition", "kafka_offset", F.to_json(F.struct(*[c for c in rows.columns if not c.startswith("kafka_")])).alias("value"))
+    `features` gives the table for a time, as zoneless UTC text. Its rows go to the
+    topic and to the snapshot of that time, which a replayed batch replaces. Every
+    tick has a snapshot of its own; the newest is read by feature_snapshot.
+    """
 
+    def run(batch: DataFrame, batch_id: int) -> None:
+        as_of = batch.agg(F.date_format(utc(F.max("timestamp")), "yyyy-MM-dd HH:mm:ss").alias("t")).first()["t"]
+        if as_of is None:
+            return
 
-def latest_job(rows: DataFrame, kind: str, path: str, checkpoint: str, trigger: dict | None = None, ttl: int | None = None, now: Column | None = None) -> StreamingQuery:
-    """The newest row of each key with time to live, as a table that each micro-batch writes anew.
+        def snapshot(rows: DataFrame, _: int) -> None:
+            sinks.replace_snapshot(rows, as_of, path)
 
-    A batch is reduced to one row a key before it meets the table, all within
-    Spark's aggregation. Stale rows go at each batch, so the table holds the keys
-    of one time to live. Two slots take turns, and a replay reads the other one.
-    """
-    _, own_ttl = LATEST[kind]
-    fresh = F.col("message_time") >= (F.current_timestamp() if now is None else now) - F.make_interval(secs=F.lit(own_ttl if ttl is None else ttl))
+        def topic(rows: DataFrame, batch_id: int) -> None:
+            if publish is not None:
+                publish(rows.select(F.to_json(F.struct("*")).alias("value")), batch_id)
+
+        sinks.fan_out(snapshot, topic)(features(as_of), batch_id)
+
+    return _started(times, run, checkpoint, "features", trigger)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        new = latest.newest_of(batch.where(fresh), "key", _PLACE).withColumn("version", F.lit(batch_id))
-        current = batch.sparkSession.read.schema(new.schema).parquet(f"{path}/slot={(batch_id - 1) % 2}") if batch_id else new.limit(0)
-        sinks.upsert_latest(current, new, "key", _PLACE, fresh).withColumn("version", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/slot={batch_id % 2}")
 
-    return _started(rows, write, checkpoint, "latest", trigger)
+def feature_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The newest snapshot of a feature_job; only its files are read."""
+    rows = spark.read.parquet(path)
+    newest = sinks.newest_partition(spark, path, "as_of")
+    return rows.where(F.col("as_of") == F.lit(newest)).drop("as_of")
+
+
+# ---- latest values ------------------------------------------------------------------
 
 
-def latest_table(spark: SparkSession, path: str, kind: str, ttl: int | None = None, now: Column | None = None) -> DataFrame:
-    """The fresh rows of the newest version that latest_job wrote, with cache_ttl; an empty version leaves only stale ones before it."""
+def latest_job(messages: DataFrame, kind: str, checkpoint: str, rejects: Sink | None = None, changed: Sink | None = None, trigger: dict | None = None, ttl: int | None = None) -> StreamingQuery:
+    """Messages of a kind's topic to the latest value of each key, held in the stream's state until its time to live is over.
+
+    A batch's refused messages go to `rejects` with their reasons, and the changes
+    of its valid ones to `changed`, before the batch counts as done. Values are read
+    from the state by latest_table. A stream with times to live always has a next
+    batch, so NOW takes all messages as one.
+    """
+    _, own_ttl = LATEST[kind]
+    rows = cache_rules.checked(messages, kind)
+    refused = cache_rules.rejects(rows, kind)
+    kept = state.changes(rows.where("failed = 0"), own_ttl if ttl is None else ttl)
+    both = kept.withColumns({"failed": F.lit(0).cast("long"), "reasons": F.array().cast("array<string>")}).unionByName(refused)
+
+    def split(batch: DataFrame, batch_id: int) -> None:
+        if changed is not None:
+            changed(batch.where("failed = 0").drop("failed", "reasons"), batch_id)
+        if rejects is not None:
+            rejects(batch.where("failed <> 0"), batch_id)
+
+    spark = messages.sparkSession
+    before = {k: spark.conf.get(k, None) for k in state.ROCKSDB}
+    for k, v in state.ROCKSDB.items():  # a query keeps the settings with which it starts
+        spark.conf.set(k, v)
+    try:
+        writer = both.writeStream.outputMode("update").foreachBatch(sinks.fan_out(split)).option("checkpointLocation", checkpoint)
+        return writer.trigger(**({"once": True} if trigger == NOW else _trigger("latest", trigger))).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def latest_table(spark: SparkSession, checkpoint: str, kind: str, ttl: int | None = None, as_of: Column | None = None) -> DataFrame:
+    """The values that a latest_job holds, with cache_ttl; with as_of, only those whose message is not older than the time to live at that time."""
     _, own_ttl = LATEST[kind]
     seconds = own_ttl if ttl is None else ttl
-    rows = spark.read.parquet(path)
-    newest = rows.agg(F.max("version")).first()[0]
-    fresh = F.col("message_time") >= (F.current_timestamp() if now is None else now) - F.make_interval(secs=F.lit(seconds))
-    return rows.where((F.col("version") == newest) & fresh).drop("slot", "version").withColumn("cache_ttl", F.lit(seconds))
+    rows = state.held(spark, checkpoint)
+    if as_of is not None:
+        rows = rows.where(F.col("message_time") >= as_of - F.make_interval(secs=F.lit(seconds)))
+    return rows.withColumn("cache_ttl", F.lit(seconds))
 
 
 # ---- streams of tables ----------------------------------------------------------------

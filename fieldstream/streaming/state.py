@@ -1,47 +1,56 @@
-"""Latest value by key as a stateful stream with time to live, for keys too many for a table that each batch writes anew."""
+"""Latest value by key as a stream with state and time to live, and reads of that state as tables."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
-from ..schemas import LATEST
+#: What the state holds of a key, and what a change of it says.
+PLACE = ("message_time", "kafka_partition", "kafka_offset")
+STATE = "message_time timestamp, kafka_partition int, kafka_offset bigint, value string"
+CHANGE = f"key string, {STATE}"
+ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
-#: What a latest-value stream carries after its key.
-STATE = "message_time long, part int, offset long, value string"
-_COLUMNS = ["message_time", "part", "offset", "value"]
+_COLUMNS = [*PLACE, "value"]
+_NAME = "newest"
 
 
-def keep_newest(ttl_seconds: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
-    """The update function: a key's newest (message_time, part, offset) wins; its state expires after the time to live."""
+class Newest(StatefulProcessor):
+    """Keeps a key's row of largest (message_time, partition, offset) and says each change; a value expires its time to live after it was put."""
 
-    def update(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = tuple(state.get) if state.exists else None
+    def __init__(self, ttl_seconds: int) -> None:
+        self.ttl_ms = ttl_seconds * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.newest = handle.getValueState(_NAME, STATE, ttlDurationMs=self.ttl_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        held = tuple(self.newest.get()) if self.newest.exists() else None
         best = held
-        for frame in rows:
-            if len(frame):
-                time, part, offset, value = frame[_COLUMNS].sort_values(_COLUMNS[:3]).iloc[-1]
-                row = (int(time), int(part), int(offset), value)
-                best = row if best is None or row[:3] > best[:3] else best
+        for frame in rows:  # a frame at a time, so a hot key's rows are never held together
+            row = tuple(frame[_COLUMNS].sort_values(list(PLACE)).iloc[-1])
+            row = (row[0].to_pydatetime(), int(row[1]), int(row[2]), row[3])
+            best = row if best is None or row[:3] > best[:3] else best
         if best is not None and best != held:
-            state.update(best)
-            state.setTimeoutDuration(ttl_seconds * 1000)
+            self.newest.update(best)
             yield pd.DataFrame([(key[0], *best)], columns=["key", *_COLUMNS])
 
-    return update
+    def close(self) -> None:
+        pass
+
 
+def changes(rows: DataFrame, ttl_seconds: int) -> DataFrame:
+    """The stream of changes (CHANGE) of each key's latest value; rows without key or time are left out."""
+    usable = rows.where(F.col("key").isNotNull() & F.col("message_time").isNotNull()).select("key", *_COLUMNS)
+    return usable.groupBy("key").transformWithStateInPandas(Newest(ttl_seconds), CHANGE, "update", "processingTime")
 
-def latest_stream(rows: DataFrame, kind: str) -> DataFrame:
-    """A stream of changes of the latest value of each key; rows have key, message_time (microseconds), part, offset and value.
 
-    Rows without key are left out. State is bounded by the keys seen within the
-    time to live; set the RocksDB state store to keep it off the heap.
-    """
-    _, ttl = LATEST[kind]
-    return rows.where("key IS NOT NULL").groupBy("key").applyInPandasWithState(keep_newest(ttl), f"key string, {STATE}", STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+def held(spark: SparkSession, checkpoint: str, now: Column | None = None, operator: int = 0) -> DataFrame:
+    """All values (CHANGE) in the state of a stream's checkpoint that have not expired by `now`, a time in the session's zone (default: this moment)."""
+    rows = spark.read.format("statestore").option("path", checkpoint).option("operatorId", operator).option("stateVarName", _NAME).load()
+    at = F.current_timestamp() if now is None else now
+    return rows.where(F.col("value.ttlExpirationMs") > F.unix_millis(at)).select(F.col("key.key").alias("key"), *[F.col(f"value.value.{c}").alias(c) for c in _COLUMNS])

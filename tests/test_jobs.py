@@ -1,19 +1,19 @@
 """Streaming jobs and sinks: partitions, replays, databases, expiry, triggers."""
 
+import json
+import time
 from datetime import datetime
 from types import SimpleNamespace
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fieldstream.operators import alerts, gold, silver
+from fieldstream.operators import alerts, cache_rules, gold, silver
 from fieldstream.plans import models, streams
 from fieldstream.plans.registry import AS_OF, MINUTES
 from fieldstream.plans.tables import SCORER
 from fieldstream.sources import fixtures, readers, sinks
-from fieldstream.streaming import jobs
-from fieldstream.streaming.state import keep_newest, latest_stream
+from fieldstream.streaming import jobs, state
 
 SF = "/root/testdata/sf0.001"
 DERBY = "org.apache.derby.jdbc.EmbeddedDriver"
@@ -98,52 +98,54 @@ def test_predictions_follow_a_new_model(spark, tmp_path):
     assert scorer().version == "v2" and scorer().centroids == first.centroids
 
 
-def test_latest_values_expire(spark, tmp_path):
-    schema = "key string, message_time timestamp, kafka_partition int, kafka_offset bigint, value string"
-    at = lambda m: datetime(2024, 1, 1, 12, m)
-    batches = [[("a", at(0), 0, 1, "a1"), ("a", at(0), 0, 2, "a2"), ("b", at(1), 0, 1, "b1")], [("b", at(0), 0, 9, "late"), ("c", at(9), 0, 1, "c1")]]
-    now = {0: "2024-01-01 12:02:00", 1: "2024-01-01 12:06:00"}
-    for i, rows in enumerate(batches):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
-        time = F.lit(now[i]).cast("timestamp")
-        jobs.drained(jobs.latest_job(stream, "sensor", f"{tmp_path}/out", f"{tmp_path}/checkpoint", jobs.NOW, now=time))
-        found = {r["key"]: r["value"] for r in jobs.latest_table(spark, f"{tmp_path}/out", "sensor", now=time).collect()}
-        assert found == ({"a": "a2", "b": "b1"} if i == 0 else {"b": "b1", "c": "c1"})
-    later = F.lit("2024-01-01 13:00:00").cast("timestamp")
-    assert jobs.latest_table(spark, f"{tmp_path}/out", "sensor", now=later).count() == 0
-
-
-class Held:
-    def __init__(self, value=None, timed_out=False):
-        self.get, self.exists, self.hasTimedOut, self.timeout = value, value is not None, timed_out, None
-
-    def update(self, value):
-        self.get, self.exists = value, True
-
-    def remove(self):
-        self.get, self.exists = None, False
-
-    def setTimeoutDuration(self, ms):
-        self.timeout = ms
-
-
-def test_state_keeps_the_newest_and_expires():
-    update, state = keep_newest(300), Held()
-    frame = lambda *rows: pd.DataFrame(rows, columns=["message_time", "part", "offset", "value"])
-    out = list(update(("a",), iter([frame((5, 0, 1, "x"), (5, 0, 2, "y"), (4, 9, 9, "z")), frame()]), state))
-    assert out[0].iloc[0].tolist() == ["a", 5, 0, 2, "y"] and state.timeout == 300_000
-    assert list(update(("a",), iter([frame((5, 0, 1, "older"))]), state)) == []
-    state.hasTimedOut = True
-    assert list(update(("a",), iter([]), state)) == [] and not state.exists
-
-
-def test_stateful_stream(spark, tmp_path):
-    spark.createDataFrame([("a", 1, 0, 1, "x"), ("a", 2, 0, 1, "y"), (None, 3, 0, 1, "z")], "key string, message_time long, part int, offset long, value string").write.parquet(f"{tmp_path}/in")
-    rows = spark.readStream.schema("key string, message_time long, part int, offset long, value string").parquet(f"{tmp_path}/in")
-    write = lambda batch, i: batch.write.mode("append").parquet(f"{tmp_path}/out")
-    jobs.drained(latest_stream(rows, "sensor").writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{tmp_path}/c").trigger(once=True).start())
-    assert [(r["key"], r["value"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [("a", "y")]
+ENVELOPE = "value binary, topic string, partition int, offset bigint, timestamp timestamp"
+
+
+def reading(field, minute, offset, **other):
+    row = {"field_id": field, "location": "l", "latitude": 1, "longitude": 2.5, "temperature": 10, "humidity": 50, "soil_ph": 6.5, "timestamp": f"2024-01-01T12:{minute:02}:00Z"} | other
+    return (json.dumps({k: v for k, v in row.items() if v is not ...}).encode(), "t", 0, offset, datetime(2024, 1, 1, 13))
+
+
+def test_latest_values_of_a_stream(spark, tmp_path):
+    """The newest of each key by time and place, over several batches; refused messages with their reasons; expiry between batches."""
+
+    def run(*rows, ttl=3600):
+        spark.createDataFrame(rows, ENVELOPE).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = readers.message_stream(spark, "t", "parquet", path=f"{tmp_path}/in")
+        jobs.drained(jobs.latest_job(stream, "sensor", f"{tmp_path}/checkpoint-{ttl}", jobs.file_table(f"{tmp_path}/rejects"), jobs.file_table(f"{tmp_path}/changes-{ttl}"), jobs.NOW, ttl))
+        return {r["key"]: r["kafka_offset"] for r in jobs.latest_table(spark, f"{tmp_path}/checkpoint-{ttl}", "sensor", ttl).collect()}
+
+    assert run(reading("a", 0, 1), reading("a", 0, 2), reading("b", 1, 3), reading("b", 9, 4, humidity=101), reading("c", 0, 5, timestamp=...)) == {"a": 2, "b": 3, "c": 5}
+    assert run(reading("b", 0, 6), reading("a", 1, 7), reading("", 1, 8)) == {"a": 7, "b": 3, "c": 5}
+    assert [r["kafka_offset"] for r in spark.read.parquet(f"{tmp_path}/changes-3600").where("batch_id = 1").collect()] == [7]
+    rejects = {r["kafka_offset"]: r["reasons"] for r in spark.read.parquet(f"{tmp_path}/rejects").collect()}
+    assert rejects == {4: ["humidity is out of range"], 8: ["field_id is empty"]}
+    fresh = F.lit("2024-01-01 13:59:00").cast("timestamp")
+    assert [r["key"] for r in jobs.latest_table(spark, f"{tmp_path}/checkpoint-3600", "sensor", as_of=fresh, ttl=3600).collect()] == ["c"]
+    later = F.current_timestamp() + F.make_interval(hours=F.lit(2))
+    assert state.held(spark, f"{tmp_path}/checkpoint-3600", later).count() == 0
+    run(reading("d", 5, 20), ttl=2)
+    time.sleep(3)
+    run(reading("d", 1, 21), ttl=2)  # older, but what was held has expired between the batches
+    assert [r["kafka_offset"] for r in spark.read.parquet(f"{tmp_path}/changes-2").where("batch_id = 1").collect()] == [21]
+
+
+@pytest.mark.parametrize(
+    ("kind", "text", "reasons"),
+    [
+        ("sensor", "[1]", ["no JSON object"]),
+        ("sensor", "{", ["no JSON object"]),
+        ("sensor", "{}", [f"{m} is missing" for m in ("field_id", "location", "latitude", "longitude", "temperature", "humidity", "soil_ph")]),
+        ("sensor", '{"field_id": 1, "location": " ", "latitude": 90, "longitude": "2", "temperature": true, "humidity": null, "soil_ph": 9.01}', ["field_id is no text", "longitude is no number", "humidity is no number", "soil_ph is out of range"]),
+        ("weather", '{"location": "l", "temp_c": -50, "humidity": 100, "wind_kph": 500.0, "uv": 2e1, "condition": "", "precip_mm": 1000.5}', ["condition is empty", "precip_mm is out of range"]),
+        ("alert", '{"zone_id": "z", "alert_timestamp": null, "alert_type": "t", "severity": "s", "message": 7, "status": "ACTIVE"}', []),
+        ("prediction", '{"field_id": "", "location": "", "anomaly_score": 1, "is_anomaly": 1, "severity": "", "recommendations": "", "model_version": "", "prediction_timestamp": "", "features": []}', ["is_anomaly is no boolean", "features is no object"]),
+    ],
+)
+def test_reasons_of_refused_messages(spark, kind, text, reasons):
+    rows = cache_rules.checked(spark.createDataFrame([(text.encode(), "t", 0, 1, datetime(2024, 1, 1))], ENVELOPE), kind)
+    assert rows.select(cache_rules.reasons(kind, "failed").alias("r")).first()["r"] == reasons
+    assert cache_rules.rejects(rows, kind).count() == bool(reasons)
 
 
 def test_triggers():
