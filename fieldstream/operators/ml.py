@@ -33,10 +33,13 @@ def filled(rows: DataFrame, columns: tuple[str, ...] = CORE_FEATURES, error: flo
 
 
 def training_rows(history: DataFrame, start: str, end: str, least: int = 100, time: str = "processing_timestamp") -> DataFrame:
-    """Rows of the range if it has `least` of them, else the whole history."""
-    inside = F.col(time).between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"))
-    n = history.agg(F.count_if(inside).alias("n_inside"))
-    return history.join(F.broadcast(n)).where(F.when(F.col("n_inside") >= least, inside).otherwise(True)).drop("n_inside")  # one row
+    """Rows of the range if it has `least` of them, else the whole history.
+
+    The range is looked at first, until `least` rows are found, so that its
+    condition is a plain one, which reaches the scan.
+    """
+    inside = history.where(F.col(time).between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
+    return inside if inside.select(time).limit(least).count() >= least else history
 
 
 def train_range(history: DataFrame, time: str = "processing_timestamp") -> DataFrame:

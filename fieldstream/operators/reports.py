@@ -146,8 +146,12 @@ def with_status(alerts: DataFrame, changes: DataFrame) -> DataFrame:
     return alerts.join(changes, "id", "left").withColumn("status", F.coalesce("new_status", "status")).drop("new_status")
 
 
+def closed(as_of: str, days: int = 30) -> Column:
+    """Whether an alert is closed and older than days."""
+    old = F.col("alert_timestamp") < as_of_literal(as_of) - F.make_interval(days=F.lit(days))
+    return old & F.col("status").isin("RESOLVED", "IGNORED")
+
+
 def retained(alerts: DataFrame, as_of: str, days: int = 30, gone: bool = False) -> DataFrame:
     """The alert table without closed alerts older than days (or those that go)."""
-    old = F.col("alert_timestamp") < as_of_literal(as_of) - F.make_interval(days=F.lit(days))
-    closed = old & F.col("status").isin("RESOLVED", "IGNORED")
-    return alerts.where(closed if gone else ~F.coalesce(closed, F.lit(False)))
+    return alerts.where(closed(as_of, days) if gone else ~F.coalesce(closed(as_of, days), F.lit(False)))

@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import layers, models, reports, streams
+from . import layers, models, reports, stored, streams
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "layers", "models", "reports", "streams"]
+__all__ = ["QUERIES", "SQL", "layers", "models", "reports", "stored", "streams"]

@@ -34,7 +34,10 @@ _ACTIVE = f"SELECT {_ALERT} FROM alerts WHERE status = 'ACTIVE' AND {_in('alert_
 # ---- alerts ---------------------------------------------------------------------------
 
 
-@query(_alerts(_ACTIVE))
+ACTIVE_SQL = _alerts(_ACTIVE)
+
+
+@query(ACTIVE_SQL)
 def alerts_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.active(alert_table(spark, sf_dir), AS_OF)
 
@@ -134,7 +137,10 @@ def constraint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.violations(rows, predictions, {"alert_type": ALERT_TYPES, "severity": SEVERITIES, "status": STATUSES})
 
 
-@query(_alerts("SELECT id, CASE WHEN id % 10 = 0 THEN 'RESOLVED' WHEN id % 15 = 0 THEN 'ACKNOWLEDGED' ELSE status END AS status FROM alerts"))
+STATUS_SQL = _alerts("SELECT id, CASE WHEN id % 10 = 0 THEN 'RESOLVED' WHEN id % 15 = 0 THEN 'ACKNOWLEDGED' ELSE status END AS status FROM alerts")
+
+
+@query(STATUS_SQL)
 def alert_status_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = alert_table(spark, sf_dir)
     changes = rows.select("id", F.when(F.col("id") % 10 == 0, "RESOLVED").when(F.col("id") % 15 == 0, "ACKNOWLEDGED").alias("new_status")).where("new_status IS NOT NULL")
@@ -144,7 +150,10 @@ def alert_status_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CLOSED = f"alert_timestamp < {_END} - INTERVAL 14 DAY AND status IN ('RESOLVED', 'IGNORED')"
 
 
-@query(_alerts(f"SELECT {_ALERT} FROM alerts WHERE NOT ({_CLOSED})"))
+RETAINED_SQL = _alerts(f"SELECT {_ALERT} FROM alerts WHERE NOT ({_CLOSED})")
+
+
+@query(RETAINED_SQL)
 def alert_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.retained(alert_table(spark, sf_dir), AS_OF, 14)
 

@@ -93,12 +93,12 @@ def replace_snapshot(rows: DataFrame, as_of: str, path: str, fmt: str = "parquet
     rows.write.format(fmt).mode("overwrite").save(f"{path}/as_of={re.sub('[: ]', '_', as_of)}")
 
 
-def newest_partition(spark: SparkSession, path: str, column: str) -> str | None:
-    """The largest value of a table's top partition folders (text), from their names alone; folders without a committed write don't count."""
+def newest_partition(spark: SparkSession, path: str, column: str, committed: bool = True) -> str | None:
+    """The largest value of a table's top partition folders (text), from their names alone; folders without a committed write count only where asked for."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     found = [str(s.getPath()) for s in fs.listStatus(folder)] if fs.exists(folder) else []
-    names = [f.rpartition("/")[2].partition("=")[2] for f in found if f.rpartition("/")[2].startswith(f"{column}=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{f}/_SUCCESS"))]
+    names = [f.rpartition("/")[2].partition("=")[2] for f in found if f.rpartition("/")[2].startswith(f"{column}=") and (not committed or fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{f}/_SUCCESS")))]
     return max(names, default=None)
 
 

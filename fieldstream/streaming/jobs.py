@@ -17,6 +17,7 @@ from ..functions.times import utc
 from ..operators import bronze, cache_rules, gold, ml, panes, silver
 from ..schemas import LATEST
 from ..sources import readers, sinks
+from ..sources.stored import Stored
 from . import state
 
 #: Trigger intervals in production; the others start a batch as soon as there is data.
@@ -38,6 +39,11 @@ def file_table(path: str, keys: tuple[str, ...] = ()) -> Sink:
     return lambda batch, batch_id: sinks.replace_batch(batch, batch_id, path, keys)
 
 
+def stored_table(table: Stored) -> Sink:
+    """A sink of a table with a manifest: a replayed batch is left as it is, also after its files have been compacted."""
+    return lambda batch, batch_id: table.append(batch, batch_id) and None
+
+
 def file_broker(path: str, topic: str) -> Sink:
     """A sink that gives messages (value) the other columns of an envelope, as a broker does, and writes them as files."""
 
@@ -65,8 +71,8 @@ def image_job(messages: DataFrame, path: str, images: str, checkpoint: str, trig
     return _started(bronze.satellite(messages), sinks.fan_out(objects, metadata), checkpoint, "satellite", trigger)
 
 
-def silver_job(rows: DataFrame, refine: Callable[[DataFrame], DataFrame], members: tuple[str, ...], layer: str, path: str, checkpoint: str, publish: Sink | None = None, trigger: dict | None = None, minutes: tuple[str, panes.Shape] | None = None) -> StreamingQuery:
-    """Raw rows to validated files in the layer's partitions, to messages, and to a table of panes by minute; each micro-batch is computed once for all."""
+def silver_job(rows: DataFrame, refine: Callable[[DataFrame], DataFrame], members: tuple[str, ...], layer: str, path: str | Sink, checkpoint: str, publish: Sink | None = None, trigger: dict | None = None, minutes: tuple[str, panes.Shape] | None = None) -> StreamingQuery:
+    """Raw rows to validated files in the layer's partitions (or another table), to messages, and to a table of panes by minute; each micro-batch is computed once for all."""
 
     def topic(batch: DataFrame, batch_id: int) -> None:
         if publish is not None:
@@ -77,7 +83,7 @@ def silver_job(rows: DataFrame, refine: Callable[[DataFrame], DataFrame], member
             found = panes.panes(batch.withColumn("timestamp_parsed", utc("timestamp_parsed")), minutes[1])
             sinks.replace_batch(found, batch_id, minutes[0], ("date",))
 
-    return _started(refine(rows), sinks.fan_out(file_table(path, sinks.PARTITIONS[layer]), topic, by_minute), checkpoint, "silver", trigger)
+    return _started(refine(rows), sinks.fan_out(path if callable(path) else file_table(path, sinks.PARTITIONS[layer]), topic, by_minute), checkpoint, "silver", trigger)
 
 
 def alert_job(valid: DataFrame, raise_alerts: Callable[[DataFrame], DataFrame], table: Sink, checkpoint: str, publish: Sink | None = None, trigger: dict | None = None) -> StreamingQuery:
