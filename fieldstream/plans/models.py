@@ -52,6 +52,28 @@ def median_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ml.filled(fixtures.features(spark, sf_dir), ("weather_avg_uv_index",), error=1e-6).select("id", "weather_avg_uv_index")
 
 
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', true)" for c in CORE_FEATURES) + ") v(feature, near_middle)")
+def median_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians from sketches by day, merged: the rows below each, of those with a value, are a half, but for a hundredth and the rows of equal value."""
+    rows = fixtures.features(spark, sf_dir)
+    middle = ml.sketched_medians(ml.sketches(rows, F.to_date("prediction_ts"))).first()
+    shares = [(F.count_if(c) / F.count(name)).alias(f"{name}{end}") for name in CORE_FEATURES for c, end in ((F.col(name) < middle[name], "_below"), (F.col(name) <= middle[name], "_upto"))]
+    found = rows.agg(*shares)
+    ok = [F.struct(F.lit(c).alias("feature"), ((F.col(f"{c}_below") < 0.51) & (F.col(f"{c}_upto") > 0.49)).alias("near_middle")) for c in CORE_FEATURES]
+    return found.select(F.explode(F.array(*ok)).alias("r")).select("r.*")
+
+
+@query(f"WITH f AS ({_FEATURES}) SELECT '{SCORER.version}' AS model_version, m.name AS metric_name, CASE m.name WHEN 'record_count' THEN count(*)::DOUBLE WHEN 'training_cost' THEN 2500e0 ELSE round(sqrt(2500e0 / count(*)), 4) END AS metric_value, TIMESTAMP '{AS_OF}' AS evaluated_at, '{{\"k\":3,\"maxIter\":20,\"seed\":42}}' AS metadata FROM f, (VALUES ('training_cost'), ('avg_distance'), ('record_count')) m(name) GROUP BY m.name")
+def ml_metrics_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of a model whose training cost was 2500, appended to their table and read back."""
+    path = sinks.work_dir(spark, "metrics")
+    cost = F.lit(2500.0)
+    metrics = ml.train_range(history(spark, sf_dir)).select(F.lit(SCORER.version).alias("model_version"), cost.alias("training_cost"), F.sqrt(cost / F.col("record_count")).alias("avg_distance"), F.col("record_count").cast("double").alias("record_count"))
+    config = F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in ml.KMEANS.items()]))
+    sinks.save_metrics(ml.metric_rows(metrics, ("training_cost", "avg_distance", "record_count")), path, AS_OF, config)
+    return rounded(spark.read.parquet(path))
+
+
 _STANDARD = ", ".join(f"CASE WHEN stddev_samp({c}) OVER () > 0 THEN round(({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER (), 4) ELSE 0 END AS scaled_{c}" for c in CORE_FEATURES)
 
 
@@ -104,7 +126,7 @@ def ml_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = sinks.work_dir(spark, "models")
     rows = fixtures.features(spark, sf_dir)
     for version, updated in (("v2024-01-21_02-00", "2024-01-21 02:00:00"), (SCORER.version, "2024-01-28 02:00:00")):
-        model = ml.train(ml.filled(rows))
+        model = ml.train(ml.filled(rows, middle=ml.sketched_medians(ml.sketches(rows, F.to_date("prediction_ts")))))
         sinks.save_model(model, root, version, ml.model_record(history(spark, sf_dir), version, updated, 30, float(model.stages[2].summary.trainingCost)))
     return ml.scored(rows, jobs.newest_scorer(spark, root)(), F.col("prediction_ts")).select("id", "cluster", "anomaly_score", "is_anomaly", "severity", "model_version")
 

@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -68,13 +68,43 @@ def write_jdbc(rows: DataFrame, url: str, name: str, **properties: str) -> None:
     rows.write.jdbc(url, name, mode="append", properties=properties)
 
 
-def insert_batch(rows: DataFrame, batch_id: int, url: str, name: str, keys: tuple[str, ...], **properties: str) -> None:
-    """Append a micro-batch to a database table that has its columns and batch_id; rows that an earlier try of it has put there are left out."""
-    spark = rows.sparkSession
-    own = ", ".join(f'"{k}"' for k in keys)
-    there = spark.read.jdbc(url, f"(SELECT {own} FROM {name} WHERE \"batch_id\" = {batch_id}) t", properties=properties)
-    new = rows.join(there.select([F.col(k).alias(f"there_{k}") for k in keys]), [F.col(k) == F.col(f"there_{k}") for k in keys], "left_anti")
-    write_jdbc(new.withColumn("batch_id", F.lit(batch_id).cast("long")), url, name, **properties)
+def _transaction(spark: SparkSession, url: str, statements: list[str], **properties: str) -> None:
+    """Run statements on the driver as one transaction: all of them take effect, or none."""
+    jvm = spark._jvm
+    if "driver" in properties:
+        jvm.java.lang.Class.forName(properties["driver"])
+    settings = jvm.java.util.Properties()
+    for k, v in properties.items():
+        settings.setProperty(k, v)
+    connection = jvm.java.sql.DriverManager.getConnection(url, settings)
+    try:
+        connection.setAutoCommit(False)
+        statement = connection.createStatement()
+        try:
+            for text in statements:
+                statement.executeUpdate(text)
+            connection.commit()
+        except Exception:
+            connection.rollback()
+            raise
+    finally:
+        connection.close()
+
+
+def insert_batch(rows: DataFrame, batch_id: int, url: str, name: str, **properties: str) -> None:
+    """Put a micro-batch into a database table that has its columns and batch_id, exactly once.
+
+    Tasks write a staging table of the batch, which a second try makes anew; then one
+    transaction on the driver moves its rows, in place of any that the batch has
+    there. A failure before the commit leaves the table as it was, a replay after
+    it gives the same rows again. Null keys and equal rows need no care.
+    """
+    columns = [*(f'"{c}"' for c in rows.columns), '"batch_id"']
+    staging = f"{name}_batch_{batch_id}"
+    rows.withColumn("batch_id", F.lit(batch_id).cast("long")).write.jdbc(url, staging, mode="overwrite", properties=properties)
+    own = ", ".join(columns)
+    move = [f'DELETE FROM {name} WHERE "batch_id" = {batch_id}', f"INSERT INTO {name} ({own}) SELECT {own} FROM {staging}", f"DROP TABLE {staging}"]
+    _transaction(rows.sparkSession, url, move, **properties)
 
 
 def alert_rows(rows: DataFrame) -> DataFrame:
@@ -127,6 +157,12 @@ def save_model(model: PipelineModel, root: str, version: str, record: DataFrame)
     record.write.mode("append").parquet(f"{root}/registry")
 
 
+def save_metrics(rows: DataFrame, path: str, evaluated_at: str, metadata: Column) -> None:
+    """Append metrics (model_version, metric_name, metric_value) with the time of their evaluation and metadata as JSON text."""
+    stamped = rows.select("model_version", "metric_name", F.col("metric_value").cast("double").alias("metric_value"), F.lit(evaluated_at).cast("timestamp_ntz").alias("evaluated_at"), metadata.alias("metadata"))
+    stamped.write.mode("append").parquet(path)
+
+
 def newest_version(spark: SparkSession, root: str) -> str:
     return newest(spark.read.parquet(f"{root}/registry").select("model_version", F.struct("updated_at", "model_version").alias("order")), "order").first()["model_version"]
 

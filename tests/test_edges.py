@@ -95,6 +95,16 @@ def test_medians_of_nothing(spark):
     assert ml.filled(rows).first()["sensor_avg_temperature"] == 0.0
 
 
+def test_sketched_medians(spark):
+    schema = "day int, " + ", ".join(f"{c} double" for c in CORE_FEATURES)
+    rows = spark.createDataFrame([(i % 7, float(i), None, *[1.0] * 8) for i in range(20_000)], schema)
+    days = ml.sketches(rows, F.col("day")).cache()
+    middle = ml.sketched_medians(days).first()
+    assert days.count() == 7 and abs(middle[0] - 10_000) < 200 and middle[1] == 0.0 and middle[2] == 1.0
+    assert ml.sketched_medians(days.limit(0)).first()[0] == 0.0
+    assert ml.filled(rows, middle=ml.sketched_medians(days)).where(f"{CORE_FEATURES[1]} = 0").count() == 20_000
+
+
 def test_jdbc(spark, tmp_path):
     url = f"jdbc:derby:{tmp_path}/db;create=true"
     rows = spark.createDataFrame([(1, "z", None), (2, "y", "RESOLVED")], "id long, zone_id string, status string")

@@ -54,7 +54,7 @@ def test_alerts_go_to_a_database_and_a_topic(spark, tmp_path):
 
     def insert(batch, batch_id):
         for _ in range(2):  # the second time is a replay
-            sinks.insert_batch(batch, batch_id, url, table, ("event_id",), driver=DERBY)
+            sinks.insert_batch(batch, batch_id, url, table, driver=DERBY)
 
     jobs.drained(jobs.alert_job(silver.sensor(stream), lambda rows: alerts.sensor(rows, "event_id"), insert, f"{root}/checkpoint", jobs.file_broker(f"{root}/topic", "alerts"), jobs.NOW))
     found = readers.jdbc_table(spark, url, table, driver=DERBY)
@@ -72,7 +72,7 @@ def test_predictions_go_to_a_database(spark, tmp_path):
     want = ml.scored(fixtures.features(spark, SF), SCORER, F.col("prediction_ts"))
     empty = want.limit(0).withColumns({"kafka_offset": F.col("id"), "features": F.lit("").cast("string")}).select(*columns)
     sinks.write_jdbc(empty.withColumn("batch_id", F.lit(0).cast("long")), url, table, driver=DERBY)
-    insert = lambda batch, batch_id: sinks.insert_batch(batch.select(*columns), batch_id, url, table, ("kafka_offset",), driver=DERBY)
+    insert = lambda batch, batch_id: sinks.insert_batch(batch.select(*columns), batch_id, url, table, driver=DERBY)
     stream, root = jobs.stream_of(spark, messages, "jdbc-predictions")
     from fieldstream.schemas import FEATURE_INPUT
 
@@ -84,6 +84,22 @@ def test_predictions_go_to_a_database(spark, tmp_path):
     assert '"temperature":' in found.first()["features"]
 
 
+def test_a_batch_that_fails_before_its_commit_leaves_no_row(spark, tmp_path, monkeypatch):
+    url, table = f"jdbc:derby:{tmp_path}/db;create=true", "t"
+    rows = spark.createDataFrame([(1, "a"), (None, "b"), (None, "b")], "key int, value string")
+    sinks.write_jdbc(rows.limit(0).withColumn("batch_id", F.lit(0).cast("long")), url, table, driver=DERBY)
+    there = lambda: sorted((r["batch_id"], r["value"]) for r in readers.jdbc_table(spark, url, table, driver=DERBY).collect())
+    whole = sinks._transaction
+    with monkeypatch.context() as m, pytest.raises(Exception, match="NO_SUCH"):
+        m.setattr(sinks, "_transaction", lambda s, u, statements, **p: whole(s, u, [*statements[:2], "DELETE FROM NO_SUCH_TABLE"], **p))
+        sinks.insert_batch(rows, 4, url, table, driver=DERBY)
+    assert there() == []
+    for _ in range(2):  # the replay, and one more after the commit
+        sinks.insert_batch(rows, 4, url, table, driver=DERBY)
+    sinks.insert_batch(rows.limit(1), 5, url, table, driver=DERBY)
+    assert there() == [(4, "a"), (4, "b"), (4, "b"), (5, "a")]
+
+
 def test_predictions_follow_a_new_model(spark, tmp_path):
     rows = fixtures.features(spark, SF)
     from fieldstream.operators import ml
