@@ -21,7 +21,8 @@ of at most SHORT bytes are remembered per Python worker, up to a fixed number of
 entries.
 
 Defined results: a null text counts as empty; an empty text has no tokens, and
-the digests are those of the empty string. Repeated rows give repeated results.
+the digests are those of the empty string. Bytes that are no UTF-8 become the
+replacement character. Repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -221,7 +222,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc
         bpe = coder()
         for batch in batches:
             for part, texts in byte_slices(batch, "text"):
-                ids = [bpe.encode((t or b"").decode()) for t in texts]
+                ids = [bpe.encode((t or b"").decode(errors="replace")) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -250,7 +251,7 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str, id_column: str = "do
             for part, texts in byte_slices(batch, "text"):
                 n, ids_hash, data_hash = [], [], []
                 for t in texts:
-                    ids = bpe.encode((t or b"").decode())
+                    ids = bpe.encode((t or b"").decode(errors="replace"))
                     n.append(len(ids))
                     ids_hash.append(sha256(" ".join(map(bpe.text_of.__getitem__, ids)).encode()).hexdigest())
                     data_hash.append(sha256(bpe.decode(ids)).hexdigest())

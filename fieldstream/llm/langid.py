@@ -14,7 +14,8 @@ documents, and reads nothing but the text; a long text is summed up in pieces.
 
 Defined results: a null text, or one without a letter, is `und` with score 0, as
 is every text when no labelled document exists; repeated rows give repeated
-results; null ids are never held out.
+results; null ids are never held out; bytes that are no UTF-8 are n-grams as they are,
+and no letters; more than MAX_LANGUAGES languages are an error, not a cut.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ BUCKETS = 1 << 15
 PER_LANGUAGE = 1500
 #: Rows of a machine's sample on average, where it tells a language or family from many others.
 MACHINE_ROWS = 12_000
+#: Languages at most: machines of all pairs of a family go to all tasks.
+MAX_LANGUAGES = 200
 #: Bytes whose features are in memory at once.
 PIECE_BYTES = 1 << 20
 
@@ -126,10 +129,13 @@ def fit_machine(at: list[np.ndarray], x: list[np.ndarray], y: np.ndarray, epochs
     return w
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, machine_rows: int = MACHINE_ROWS, id_column: str = "doc_id", text_column: str = "text", language_column: str = "lang") -> dict:
-    """The model: machines' names and weights. Learns from rows outside fold 0 with a language."""
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, machine_rows: int = MACHINE_ROWS, id_column: str = "doc_id", text_column: str = "text", language_column: str = "lang", least: int = 1) -> dict:
+    """The model: machines' names and weights. Learns from rows outside fold 0 with a language that `least` of them have."""
     labelled = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.col(language_column).cast("string").alias("lang")).where((fold() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
+    found = labelled.groupBy("lang").count().where(F.col("count") >= least).limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages have {least} labelled documents")
+    counts = {r["lang"]: r["count"] for r in found}
     languages = sorted(counts)
     jobs = [("family", f, "") for f in sorted({family(x) for x in languages})]
     jobs = [] if len(jobs) < 2 else jobs
@@ -188,7 +194,7 @@ def predict_texts(model: dict, texts: list[bytes | None]) -> tuple[list[str], li
         pick = np.argmax(votes, axis=1)
         best[rows] = np.array(own, object)[pick]
         score[rows] = head_score[rows] * (votes[np.arange(len(rows)), pick] / (len(own) - 1) if len(own) > 1 else 1.0)
-    none = np.array([not languages or not t or not _LETTER.search(t.decode()) for t in texts])
+    none = np.array([not languages or not t or not _LETTER.search(t.decode(errors="replace")) for t in texts])
     best[none], score[none] = "und", 0.0
     return best.tolist(), score.tolist(), [None if x == "und" else family(x) for x in best]
 

@@ -172,4 +172,4 @@ def mix(docs: DataFrame, shards: int | None = None, seed: int = 7, max_repeats:
     plan = fit(settled(_keyed(docs, *keys)), shards, seed, max_repeats)
     rows = dealt(_keyed(docs, *keys, F.struct(*[docs[c] for c in docs.columns]).alias("row")), plan)
     copies = rows.select("key", "row", F.posexplode("shards").alias("copy", "shard"))
-    return copies.withColumn("order", F.xxhash64("key", "copy", F.lit(seed))).repartition(plan.shards, "shard").sortWithinPartitions("shard", "order").select("row.*")
+    return copies.withColumn("order", F.xxhash64("key", "copy", F.lit(seed))).repartitionById(plan.shards, F.col("shard")).sortWithinPartitions("shard", "order").select("row.*")

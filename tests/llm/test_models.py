@@ -266,3 +266,16 @@ def test_language_model_of_nothing(spark):
 
 def test_lm_trains_in_three_rounds():
     assert maxent_lm.ROUNDS == 3
+
+
+def test_languages_are_bounded_and_bad_bytes_have_a_result(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, f"{'der die das und' if i % 2 else 'the and of with'} word{i}", "de" if i % 2 else f"x{i % 4}") for i in range(60)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="languages"):
+        langid.fit(docs)
+    model = langid.fit(docs, least=20)
+    assert model["languages"] == ["de"]
+    bad = docs.limit(2).select(F.col("doc_id"), F.expr("CASE doc_id WHEN 0 THEN cast(x'ff80' AS string) ELSE cast(x'ff61' AS string) END AS text"))
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.predict(bad, model).collect()} == {0: "und", 1: "de"}

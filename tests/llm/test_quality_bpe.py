@@ -117,3 +117,13 @@ def test_digests(spark):
     assert rows[1]["decoded_sha256"] == sha256(b"hello world").hexdigest()
     back = bpe.decode(bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     assert sorted(bytes(r["data"]) for r in back.collect()) == [b"", b"", b"hello world"]
+
+
+def test_bpe_of_bytes_that_are_no_utf8(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), F.expr("cast(x'61ff62' AS string)").alias("text"))
+    row = bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).first()
+    assert row["decoded_sha256"] == sha256("a\ufffdb".encode()).hexdigest()
+    encoded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert len(encoded.first()["ids"]) == row["n_tokens"]

@@ -216,3 +216,9 @@ def test_repeated_rows_reach_the_target(spark):
     source = {r[0]: r[2] for r in rows}
     for s in size:
         assert abs(sum(r["taken"] for r in once if source[r["doc_id"]] == s) - float(target[s])) <= 30
+
+
+def test_a_partition_for_each_shard(spark):
+    docs = spark.createDataFrame([(i, f"word{i} " * 20, f"s{i % 5}") for i in range(600)], "doc_id long, text string, source string")
+    sizes = [r[0] for r in mixing.mix(docs, shards=16).rdd.mapPartitions(lambda rows: [(sum(1 for _ in rows),)]).collect()]
+    assert len(sizes) == 16 and min(sizes) > 0
