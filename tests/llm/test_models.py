@@ -5,6 +5,8 @@ import random
 import zlib
 from collections import Counter
 
+import pytest
+
 from fieldstream.llm import langid, licences, maxent_lm, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, score int"
