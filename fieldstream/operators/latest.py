@@ -28,6 +28,15 @@ def latest(rows: DataFrame, kind: str, as_of: str, time: str, order: tuple[str,
     return newest_of(fresh, key, (time, *order)).withColumns({"cached_at": end, "cache_ttl": F.lit(ttl)})
 
 
+def latest_as_of_newest(rows: DataFrame, kind: str, time: str, order: tuple[str, ...]) -> DataFrame:
+    """The same as of the newest time of the rows themselves, in one pass: the newest row of each key first, then those of them that are fresh."""
+    key, ttl = LATEST[kind]
+    newest = newest_of(rows.where(F.col(time).isNotNull()), key, (time, *order))
+    end = newest.agg(F.max(time).alias("cached_at"))
+    fresh = newest.join(F.broadcast(end)).where(F.col(key).isNotNull() & (F.col(time) >= F.col("cached_at") - F.make_interval(secs=F.lit(ttl))))  # one row
+    return fresh.withColumns({"cache_ttl": F.lit(ttl)})
+
+
 def newest_of(rows: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
     """The row of each key that is largest by the order, by partial aggregation."""
     return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("row")).select("row.*")

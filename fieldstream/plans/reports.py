@@ -239,7 +239,7 @@ def _latest_sql(kind: str, rows: str, time: str, columns: str, order: str) -> st
 
 
 def _latest(rows: DataFrame, kind: str, time: str, order: str) -> DataFrame:
-    return latest.latest(rows, kind, latest.newest_time(rows, time), time, (order,))
+    return latest.latest_as_of_newest(rows, kind, time, (order,))
 
 
 def _newest_key(rows: DataFrame, key: str, time: str, order: str) -> str:

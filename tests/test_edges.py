@@ -89,6 +89,15 @@ def test_latest_ties_and_ttl(spark):
     assert latest.latest(rows, "sensor", "2024-01-01 00:05:01", "t", ("offset",)).count() == 1
 
 
+def test_latest_as_of_the_newest_row(spark):
+    at = lambda s: datetime(2024, 1, 1, 0, s // 60, s % 60)
+    rows = spark.createDataFrame([("a", at(0), 1), ("a", at(0), 2), ("b", at(1), 1), ("c", None, 1), (None, at(301), 1)], "field_id string, t timestamp_ntz, offset int")
+    found = latest.latest_as_of_newest(rows, "sensor", "t", ("offset",)).collect()
+    assert [(r["field_id"], r["offset"], r["cached_at"], r["cache_ttl"]) for r in found] == [("b", 1, at(301), 300)]
+    assert {r["field_id"]: r["offset"] for r in latest.latest_as_of_newest(rows.where("field_id IS NOT NULL"), "sensor", "t", ("offset",)).collect()} == {"a": 2, "b": 1}
+    assert latest.latest_as_of_newest(rows.limit(0), "sensor", "t", ("offset",)).count() == 0
+
+
 def test_medians_of_nothing(spark):
     schema = ", ".join(f"{c} double" for c in CORE_FEATURES)
     rows = spark.createDataFrame([(None,) * 10], schema)
