@@ -68,8 +68,8 @@ def write_jdbc(rows: DataFrame, url: str, name: str, **properties: str) -> None:
     rows.write.jdbc(url, name, mode="append", properties=properties)
 
 
-def _transaction(spark: SparkSession, url: str, statements: list[str], **properties: str) -> None:
-    """Run statements on the driver as one transaction: all of them take effect, or none."""
+def transaction(spark: SparkSession, url: str, statements: list[str], **properties: str) -> list[int]:
+    """Run statements on the driver as one transaction: all of them take effect, or none; returns the rows that each touched."""
     jvm = spark._jvm
     if "driver" in properties:
         jvm.java.lang.Class.forName(properties["driver"])
@@ -81,9 +81,9 @@ def _transaction(spark: SparkSession, url: str, statements: list[str], **propert
         connection.setAutoCommit(False)
         statement = connection.createStatement()
         try:
-            for text in statements:
-                statement.executeUpdate(text)
+            touched = [statement.executeUpdate(text) for text in statements]
             connection.commit()
+            return touched
         except Exception:
             connection.rollback()
             raise
@@ -104,7 +104,7 @@ def insert_batch(rows: DataFrame, batch_id: int, url: str, name: str, **properti
     rows.withColumn("batch_id", F.lit(batch_id).cast("long")).write.jdbc(url, staging, mode="overwrite", properties=properties)
     own = ", ".join(columns)
     move = [f'DELETE FROM {name} WHERE "batch_id" = {batch_id}', f"INSERT INTO {name} ({own}) SELECT {own} FROM {staging}", f"DROP TABLE {staging}"]
-    _transaction(rows.sparkSession, url, move, **properties)
+    transaction(rows.sparkSession, url, move, **properties)
 
 
 def alert_rows(rows: DataFrame) -> DataFrame:

@@ -89,9 +89,9 @@ def test_a_batch_that_fails_before_its_commit_leaves_no_row(spark, tmp_path, mon
     rows = spark.createDataFrame([(1, "a"), (None, "b"), (None, "b")], "key int, value string")
     sinks.write_jdbc(rows.limit(0).withColumn("batch_id", F.lit(0).cast("long")), url, table, driver=DERBY)
     there = lambda: sorted((r["batch_id"], r["value"]) for r in readers.jdbc_table(spark, url, table, driver=DERBY).collect())
-    whole = sinks._transaction
+    whole = sinks.transaction
     with monkeypatch.context() as m, pytest.raises(Exception, match="NO_SUCH"):
-        m.setattr(sinks, "_transaction", lambda s, u, statements, **p: whole(s, u, [*statements[:2], "DELETE FROM NO_SUCH_TABLE"], **p))
+        m.setattr(sinks, "transaction", lambda s, u, statements, **p: whole(s, u, [*statements[:2], "DELETE FROM NO_SUCH_TABLE"], **p))
         sinks.insert_batch(rows, 4, url, table, driver=DERBY)
     assert there() == []
     for _ in range(2):  # the replay, and one more after the commit
