@@ -12,13 +12,15 @@ The draws of all sources are dealt to output shards of equal numbers of blocks:
 a tree halves the shards and, at each node, a multivariate hypergeometric draw
 gives one half its exact quota of each source's blocks. A leaf's quota becomes a
 run of the source's permuted blocks, disjoint from those of other shards, and
-the shard is shuffled locally.
+the shard is shuffled locally. A document's copies are the draws of its block; only
+the last draw of a source ends within its block, at the cut.
 
-Only counts per (source, block) are shuffled, and the narrow rows of the one block
-of each source in which its target is reached; there a hash value, the cut, is
-found. Every document then knows its copies from the cut of its source, without
-meeting others; only rows of exactly that hash are counted out. A few numbers a
-source go through the driver and to all tasks; their number is checked.
+Counts per (source, block) are shuffled, and the narrow rows of the one block of
+each source in which its target is reached; there a hash value, the cut, is found.
+A few numbers a source go through the driver and to all tasks; their number is
+checked. Tasks draw the leaves, so shards are as many as the size asks for; documents
+meet the table of drawn blocks, which is sent to them while it is small and else
+joined by source and block.
 
 Defined results: a null text has size 0; such documents follow their block; an
 empty table gives no rows; equal rows are separate documents, which of them is
@@ -28,11 +30,12 @@ permuted by their texts; document columns of any name pass through `mix` unchang
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -42,8 +45,10 @@ from .common import settled
 LEAST_BITS, BLOCK_WORDS = 10, 1_000_000
 #: Sources at most, some hundred bytes each on the driver, and draws of blocks (a limit of the hypergeometric sampler).
 MAX_SOURCES, MAX_DRAWS = 100_000, 1_000_000_000
-#: Words of an output shard, the fewest shards, and the most entries of the table of quotas, 8 bytes each.
-SHARD_WORDS, LEAST_SHARDS, MAX_QUOTAS = 10_000_000, 16, 1 << 22
+#: Words of an output shard, and the fewest shards.
+SHARD_WORDS, LEAST_SHARDS = 10_000_000, 16
+#: Draws whose table is sent to all tasks, about 100 bytes each (more are joined by a shuffle), and draws that a task of the tree walks to.
+SENT_DRAWS, PART_DRAWS = 1 << 18, 1_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 _KEY_BITS = 53
 
@@ -63,27 +68,43 @@ def targets(sizes: list[int], weights: list[int], max_repeats: int = 3) -> list[
     return out.tolist()
 
 
-def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
-    """Quotas by shard (a row each) of blocks by source, by recursive multivariate hypergeometric halving."""
-    if shards == 1:
-        return quotas[None, :]
-    left = shards // 2
-    half = rng.multivariate_hypergeometric(quotas, int(quotas.sum()) * left // shards, method="marginals") if quotas.sum() else quotas
-    return np.vstack([split_quotas(half, left, rng), split_quotas(quotas - half, shards - left, rng)])
+def runs(quotas: np.ndarray, shards: int, seed: int, low: int = 0, high: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """The leaves of the tree from shard low to before high: (shard, sources, first draw of each, number of its draws).
+
+    A node halves its shards; a multivariate hypergeometric draw, fixed by seed and node,
+    gives the left half its quota of each source. Whoever needs some leaves walks to them
+    alone, holding one node a level.
+    """
+    some = np.flatnonzero(quotas)
+    nodes = [(0, shards, some, np.asarray(quotas, np.int64)[some], np.zeros(len(some), np.int64))]
+    while nodes:
+        at, n, nth, quota, first = nodes.pop()
+        if not len(nth) or at + n <= low or (high is not None and at >= high):
+            continue
+        if n == 1:
+            yield at, nth, first, quota
+            continue
+        left = n // 2
+        half = np.random.default_rng([seed, at, n]).multivariate_hypergeometric(quota, int(quota.sum()) * left // n, method="marginals")
+        for start, size, part, begin in ((at + left, n - left, quota - half, first + half), (at, left, half, first)):
+            kept = part > 0
+            nodes.append((start, size, nth[kept], part[kept], begin[kept]))
 
 
 @dataclass
 class Plan:
-    """What each source (a position in the arrays) contributes, and the shard at which each run of its draws ends."""
+    """What each source (a position in the lists) contributes: its quota of block draws, and in the last block the documents before a cut."""
 
     sources: list[str | None]
     sizes: list[int]
     targets: list[float]
     whole: list[int]
     bits: list[int]
-    cuts: list[tuple[int, int]]  # the key before which documents are taken once more, and the words before that key
-    ends: np.ndarray  # a row a shard
+    edges: list[int]  # the last block of the last pass, -1 where passes are whole
+    cuts: list[tuple[int, int]]  # the key before which documents of that block are taken, and the words before that key
+    quotas: np.ndarray
     shards: int
+    seed: int
 
 
 def _keyed(docs: DataFrame, seed: int, id_column: str, text_column: str, source_column: str, *more: Column) -> DataFrame:
@@ -127,37 +148,55 @@ def fit(rows: DataFrame, shards: int | None = None, seed: int = 7, max_repeats:
     left_out = F.col("at") + F.col("size") / 2 >= F.col("rest")
     cut_of = {r["source"]: (r["c"]["key"], r["c"]["unit"]) for r in at.where(left_out).groupBy("source").agg(F.min(F.struct("key", "unit")).alias("c")).collect()}
 
-    none = lambda s, b: (block_of[s] + 1 << _KEY_BITS - b, 0) if s in block_of else (-1, 0)
-    cuts = [cut_of.get(s) or none(s, b) for s, b in zip(sources, bits, strict=True)]
-    quotas = np.array([(w << b) + (block_of[s] + 1 if s in block_of else 0) for s, w, b in zip(sources, whole, bits, strict=True)], np.int64)
+    edge = [block_of.get(x, -1) for x in sources]
+    cuts = [cut_of.get(x) or (e + 1 << _KEY_BITS - b if e >= 0 else -1, 0) for x, e, b in zip(sources, edge, bits, strict=True)]
+    quotas = np.array([(w << b) + e + 1 for w, e, b in zip(whole, edge, bits, strict=True)], np.int64)
     if quotas.sum() >= MAX_DRAWS:
         raise ValueError(f"more than {MAX_DRAWS} draws of blocks")
-    if shards is None:
-        shards = max(LEAST_SHARDS, min(sum(sizes) // SHARD_WORDS, MAX_QUOTAS // max(1, len(sources))))
-    ends = np.cumsum(split_quotas(quotas, shards, np.random.default_rng(seed)), axis=0) if len(sources) else np.zeros((shards, 0), np.int64)
-    return Plan(sources, sizes, target, whole, bits, cuts, ends, shards)
+    return Plan(sources, sizes, target, whole, bits, edge, cuts, quotas, shards or max(LEAST_SHARDS, sum(sizes) // SHARD_WORDS), seed)
+
+
+def drawn(spark: SparkSession, plan: Plan) -> DataFrame:
+    """What the leaves draw: (draw_nth, draw_block, shards), the shards of a source's block in the order of its draws.
+
+    Draw d of a source is block d mod 2^bits of its permuted blocks. Tasks walk to ranges of leaves.
+    """
+    parts = int(max(1, min(plan.shards, plan.quotas.sum() // PART_DRAWS)))
+    sent = spark.sparkContext.broadcast((plan.quotas, np.array(plan.bits, np.int64), plan.shards, plan.seed))
+
+    def walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        quotas, bits, shards, seed = sent.value
+        for part in (int(p) for batch in batches for p in batch["id"]):
+            held, n = [], 0
+            for shard, nth, first, quota in runs(quotas, shards, seed, shards * part // parts, shards * (part + 1) // parts):
+                held.append(pd.DataFrame({"nth": nth, "bits": bits[nth], "first": first, "n": quota, "shard": shard}))
+                n += len(nth)
+                if n > 100_000:
+                    yield pd.concat(held)
+                    held, n = [], 0
+            if held:
+                yield pd.concat(held)
+
+    leaves = spark.range(0, parts, 1, parts).mapInPandas(walked, "nth int, bits int, first long, n long, shard int")
+    draws = leaves.select("nth", "bits", "shard", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("draw"))
+    block = F.expr("draw & (shiftleft(1L, bits) - 1)")
+    return draws.groupBy(F.col("nth").alias("draw_nth"), block.alias("draw_block")).agg(F.sort_array(F.collect_list(F.struct("draw", "shard")))["shard"].alias("shards"))
 
 
 def dealt(rows: DataFrame, plan: Plan) -> DataFrame:
-    """Rows (with source, size, key) with source_size, target, copies, taken and the shard of each copy."""
-    columns = {"nth": range(len(plan.sources)), "source_size": plan.sizes, "target": list(map(float, plan.targets)), "whole": plan.whole, "bits": plan.bits, "cut": [c[0] for c in plan.cuts], "unit": [c[1] for c in plan.cuts]}
-    full = _with(rows, columns, plan.sources, "nth int, source_size long, target double, whole int, bits int, cut long, unit long")
-    full = full.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    plain = full.where("key <> cut").withColumn("more", F.col("key") < F.col("cut"))
+    """Rows (with source, size, key) with source_size, target, copies, taken and the shard of each copy: the draws of its block, without the last where the cut is before it."""
+    columns = {"nth": range(len(plan.sources)), "source_size": plan.sizes, "target": list(map(float, plan.targets)), "whole": plan.whole, "bits": plan.bits, "edge": plan.edges, "cut": [c[0] for c in plan.cuts], "unit": [c[1] for c in plan.cuts]}
+    full = _with(rows, columns, plan.sources, "nth int, source_size long, target double, whole int, bits int, edge long, cut long, unit long").withColumn("block", _block())
+    cut_here = (F.col("block") == F.col("edge")) & (F.col("key") == F.col("cut"))
+    plain = full.where(~cut_here).withColumn("left_out", (F.col("block") == F.col("edge")) & (F.col("key") > F.col("cut")))
     before = F.sum("size").over(Window.partitionBy("source").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    at_cut = full.where("key = cut").withColumn("more", F.col("unit") + before + F.col("size") / 2 < F.col("rest"))
-    sent = rows.sparkSession.sparkContext.broadcast((plan.ends.T.ravel() + (np.repeat(np.arange(len(plan.sources)), plan.shards) << 32), np.array(plan.bits, np.int64), plan.shards))
-
-    @F.pandas_udf("array<int>")
-    def shards_of(nth: pd.Series, block: pd.Series, copies: pd.Series) -> pd.Series:
-        ends, bits, shards = sent.value
-        n, b, c = nth.to_numpy(np.int64), block.to_numpy(np.int64), copies.to_numpy(np.int64)
-        draws = b[:, None] + (np.arange(c.max(initial=0))[None, :] << bits[n][:, None])
-        found = np.minimum(np.searchsorted(ends, draws + (n[:, None] << 32), side="right") - n[:, None] * shards, shards - 1)
-        return pd.Series([row[:k] for row, k in zip(found, c.tolist(), strict=True)])
-
-    out = plain.unionByName(at_cut).withColumn("copies", (F.col("whole") + F.col("more").cast("int")).cast("int"))
-    return out.withColumns({"taken": F.col("copies") * F.col("size"), "shards": shards_of("nth", _block(), "copies")}).drop(*columns.keys() - {"source_size", "target"}, "rest", "more")
+    at_cut = full.where(cut_here).withColumn("left_out", F.col("unit") + before + F.col("size") / 2 >= F.col("target") - F.col("whole") * F.col("source_size"))
+    draws = drawn(rows.sparkSession, plan)
+    draws = F.broadcast(draws) if plan.quotas.sum() <= SENT_DRAWS else draws
+    joined = plain.unionByName(at_cut).join(draws, (F.col("nth") == F.col("draw_nth")) & (F.col("block") == F.col("draw_block")), "left")
+    shards = F.coalesce("shards", F.array().cast("array<int>"))
+    found = joined.withColumn("shards", F.slice(shards, 1, F.size(shards) - F.col("left_out").cast("int"))).withColumn("copies", F.size("shards"))
+    return found.withColumn("taken", F.col("copies") * F.col("size")).drop(*columns.keys() - {"source_size", "target"}, "block", "left_out", "draw_nth", "draw_block")
 
 
 def decisions(docs: DataFrame, shards: int | None = None, seed: int = 7, max_repeats: int = 3, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:

@@ -134,9 +134,47 @@ def test_targets_stop_at_caps():
 
 def test_quotas_are_split_exactly():
     quotas = np.array([7, 0, 130, 1], np.int64)
-    parts = mixing.split_quotas(quotas, 8, np.random.default_rng(1))
-    assert parts.shape == (8, 4) and (parts.sum(axis=0) == quotas).all() and (parts >= 0).all()
-    assert parts.sum(axis=1).max() - parts.sum(axis=1).min() <= 3
+    parts, ends = np.zeros((8, 4), np.int64), np.zeros(4, np.int64)
+    for shard, nth, first, n in mixing.runs(quotas, 8, 1):
+        assert (first == ends[nth]).all() and (n > 0).all()
+        parts[shard, nth] = n
+        ends[nth] += n
+    assert (ends == quotas).all() and parts.sum(axis=1).max() - parts.sum(axis=1).min() <= 3
+    whole = [(s, *map(np.ndarray.tolist, r)) for s, *r in mixing.runs(quotas, 8, 1)]
+    some = [(s, *map(np.ndarray.tolist, r)) for low, high in ((0, 3), (3, 4), (4, 8)) for s, *r in mixing.runs(quotas, 8, 1, low, high)]
+    assert some == whole and not list(mixing.runs(np.zeros(3, np.int64), 4, 1))
+
+
+def test_draws_name_the_copies(spark, monkeypatch):
+    """Copies are the draws of a document's block by the tree's leaves, but for the cut in the last one; also where the draws are joined and walked to in parts."""
+    rows = mixture_rows(5)
+    docs = spark.createDataFrame(rows, DOCS)
+    keyed = mixing._keyed(docs, 7, "doc_id", "text", "source").cache()
+    plan = mixing.fit(keyed, shards=11)
+    named = {}
+    for shard, nth, first, n in mixing.runs(plan.quotas, 11, 7):
+        for s, f, k in zip(nth.tolist(), first.tolist(), n.tolist(), strict=True):
+            for d in range(f, f + k):
+                named.setdefault((s, d % 2 ** plan.bits[s]), []).append((d, shard))
+    shards_of = {k: [shard for _, shard in sorted(v)] for k, v in named.items()}
+    sent = sorted(map(str, mixing.dealt(keyed, plan).collect()))
+    for r in mixing.dealt(keyed, plan).collect():
+        s = plan.sources.index(r["source"])
+        block = r["key"] >> 53 - plan.bits[s]
+        want = shards_of.get((s, block), [])
+        assert r["shards"] == want or (block == plan.edges[s] and r["key"] >= plan.cuts[s][0] and r["shards"] == want[:-1])
+        assert r["copies"] == len(r["shards"]) and r["taken"] == r["copies"] * r["size"]
+    monkeypatch.setattr(mixing, "SENT_DRAWS", 0)
+    monkeypatch.setattr(mixing, "PART_DRAWS", 500)
+    assert sorted(map(str, mixing.dealt(keyed, plan).collect())) == sent
+
+
+def test_shards_follow_the_size_for_any_number_of_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 30)
+    docs = spark.createDataFrame([(i, f"word{i} " * 5, f"s{i}") for i in range(400)], "doc_id long, text string, source string")
+    plan = mixing.fit(mixing._keyed(docs, 7, "doc_id", "text", "source"))
+    assert plan.shards == 400 * 5 // 30
+    assert sum(r["copies"] for r in mixing.decisions(docs).collect()) > 300
 
 
 DOCS = "doc_id long, text string, source string, copies int"
