@@ -19,10 +19,10 @@ from .tables import PREDICTIONS_CTE, SCORER, prediction_table
 _SENSOR_TOPIC, _WEATHER_TOPIC, _ALERT_TOPIC, _ANOMALY_TOPIC = "sensor_valid", "weather_valid", "alerts", "anomalies"
 
 
-def _bronze(spark: SparkSession, messages: DataFrame, decode, name: str) -> str:
-    """The raw layer that a stream of the messages leaves; returns its root."""
+def _bronze(spark: SparkSession, messages: DataFrame, decode, name: str, keys: tuple[str, ...] | None = ("year", "month")) -> str:
+    """The raw layer that a stream of the messages leaves, by default by month, as it holds all days at once; returns its root."""
     stream, root = jobs.stream_of(spark, messages, name)
-    jobs.drained(jobs.bronze_job(stream, decode, f"{root}/bronze", f"{root}/checkpoint/bronze", jobs.NOW, keys=("year", "month")))
+    jobs.drained(jobs.bronze_job(stream, decode, f"{root}/bronze", f"{root}/checkpoint/bronze", jobs.NOW, keys=keys))
     return root
 
 
@@ -45,7 +45,8 @@ def _topic(spark: SparkSession, root: str, topic: str, schema: str, key: str = "
 
 @query(f"WITH s AS ({fixtures.sql('sensor')}) SELECT event_id AS kafka_offset, field_id, temperature, CASE WHEN event_id % 3 < 2 THEN CAST(hour(event_ts) AS INTEGER) END AS hour FROM s")
 def stream_bronze_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = _bronze(spark, fixtures.sensor_messages(spark, sf_dir), bronze.sensor, "bronze")
+    """The raw layer in its production layout, a folder an hour."""
+    root = _bronze(spark, fixtures.sensor_messages(spark, sf_dir), bronze.sensor, "bronze", keys=None)
     out = spark.read.schema("kafka_offset long, field_id string, temperature double, hour int").json(f"{root}/bronze")
     return out.select("kafka_offset", "field_id", "temperature", "hour")
 
