@@ -105,7 +105,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; new parts of a run of texts are encoded together."""
         parts = [parts_of(t) for t in texts]
-        new = set(chain.from_iterable(parts)) - self.known.keys()
+        new = set(chain.from_iterable(parts)).difference(self.known)  # a difference from its keys would walk all that is known
         kept = [p for p in new if len(p) <= REMEMBERED_CHARS]
         if len(self.known) + len(kept) > REMEMBERED:
             self.known = {"": b""}
