@@ -23,10 +23,12 @@ def kafka_options(topic: str, servers: str | None, starting: str = "earliest", p
 
 
 def message_stream(spark: SparkSession, topic: str, fmt: str = "kafka", servers: str | None = None, path: str | None = None, starting: str = "earliest", per_trigger: int | None = None) -> DataFrame:
-    """A stream of message envelopes of one topic; of a file format, whose batches are files, from any folder below path."""
+    """A stream of message envelopes of one topic; of a file format, whose batches are files, from any folder below path. Files are always read from the earliest: another `starting` is refused there."""
     reader = spark.readStream.format(fmt)
     if fmt == "kafka":
         return reader.options(**kafka_options(topic, servers, starting, per_trigger)).load()
+    if starting != "earliest":
+        raise ValueError(f"a stream of {fmt} files has no start at {starting!r}")
     reader = reader.schema(ENVELOPE).option("recursiveFileLookup", "true")
     return (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).load(path).where(F.col("topic") == topic)
 

@@ -143,3 +143,5 @@ def test_message_files_and_stream(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("m").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("m").count() == 2
+    with pytest.raises(ValueError, match="no start at"):  # never ignored without notice
+        readers.message_stream(spark, "t", "parquet", path=f"{tmp_path}/m", starting="latest")
