@@ -16,7 +16,8 @@ Defined results: a vector that is null or holds a null or non-finite component,
 and a row without id, takes no part; shorter vectors count as padded with
 zeros; a query never returns rows of its own id; equal rows of other ids are
 results of their own; equal query rows are one query; ties go to the smaller
-id; an empty table gives no rows. Sums are exact as 64-bit integers.
+id; an empty table gives no rows. Sums are exact as 64-bit integers;
+vectors so large that a sum or bound might not fit these are an error, never a wrapped sum.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from .common import settled
 SLAB_ROWS, BLOCK_ROWS = 16_384, 256
 #: Bytes of query vectors sent at once.
 QUERY_BYTES = 16 << 20
+#: Beyond this, a sum or the bound of a block might not fit 64 bits.
+MAX_SUM = float(1 << 63)
 
 RESULT_SCHEMA = "query_id long, vec_id long, score long"
 
@@ -120,8 +123,11 @@ def _passes(vectors: DataFrame, is_query: Column, k: int, id_column: str, vector
     """The results of all slabs for all chunks of queries, as rows of RESULT_SCHEMA or counts."""
     spark = vectors.sparkSession
     rows = settled(integer_vectors(vectors, id_column, vector_column, scale))
-    total, width, n_queries = rows.agg(F.count("*"), F.coalesce(F.max(F.size("terms")), F.lit(0)), F.count_if(is_query)).first()
+    largest = F.max(F.array_max(F.transform("terms", lambda x: F.abs(x.cast("double")))))  # as doubles, since floors beyond a long stop at its ends
+    total, width, n_queries, largest = rows.agg(F.count("*"), F.coalesce(F.max(F.size("terms")), F.lit(0)), F.count_if(is_query), F.coalesce(largest, F.lit(0.0))).first()
     slabs, width = max(1, -(-total // SLAB_ROWS)), max(1, width)
+    if largest * largest * width >= MAX_SUM:
+        raise ValueError(f"sums of {width} products of terms up to {largest:.0f} may not fit a long")
     chunks = max(1, -(-n_queries * width * 8 // query_bytes))
     dealt = rows.withColumn("slab", F.pmod(F.xxhash64("vec_id", "terms"), F.lit(slabs)))
     queries = rows.where(is_query).dropDuplicates()

@@ -178,3 +178,30 @@ def test_pruned_blocks_cannot_matter():
         best = sorted((-int(queries[q] @ rows[j]), j) for j in range(1200))[:10]
         assert sorted(zip((-scores[at == q]).tolist(), ids[at == q].tolist(), strict=True)) == best
     assert scored < 5 * 5  # blocks of small rows are never scored
+
+
+def test_sums_beyond_64_bits_are_refused(spark):
+    large = [(i, [1e9 + i] * 8) for i in range(4)]
+    fits, too_large, beyond = ([(i, [x * f for x in v]) for i, v in large] for f in (1e-2, 1.0, 1e30))
+    frame = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = topk.search(frame(fits), F.col("vec_id") == 0, k=3).collect()
+    terms = {i: np.floor(64 * np.array(v)).astype(int).astype(object) for i, v in fits}
+    assert [(r["vec_id"], r["score"]) for r in sorted(found, key=lambda r: r["rank"])] == sorted(((j, int((terms[0] * terms[j]).sum())) for j in (1, 2, 3)), key=lambda x: (-x[1], x[0]))
+    for rows in (too_large, beyond):
+        with pytest.raises(ValueError, match="may not fit"):
+            topk.search(frame(rows), F.col("vec_id") == 0, k=3)
+
+
+def test_most_blocks_of_clustered_slab_are_pruned():
+    """A full slab of vectors about 64 centres: their order puts a cluster together, so bounds tell blocks apart; results stay those of brute force."""
+    rng = np.random.default_rng(5)
+    centres = rng.integers(-60, 61, (64, 16))
+    rows = centres[rng.integers(0, 64, topk.SLAB_ROWS)] + rng.integers(-2, 3, (topk.SLAB_ROWS, 16))
+    queries = rows[:40]
+    at, ids, scores, scored = topk.search_slab(queries, np.arange(40), rows, np.arange(len(rows)), 20)
+    for q in range(40):
+        s = rows @ queries[q]
+        best = sorted((-int(s[j]), j) for j in np.argsort(-s, kind="stable")[:400] if j != q)[:20]
+        assert sorted(zip((-scores[at == q]).tolist(), ids[at == q].tolist(), strict=True)) == best
+    blocks = 40 * topk.SLAB_ROWS // topk.BLOCK_ROWS
+    assert scored < blocks / 4, f"{scored} of {blocks}"
