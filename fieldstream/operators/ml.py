@@ -84,6 +84,18 @@ def train(rows: DataFrame) -> PipelineModel:
     return Pipeline(stages=[*_scaling(), KMeans(featuresCol="scaled_features", predictionCol="cluster", **KMEANS)]).fit(_doubles(rows).select(*CORE_FEATURES))
 
 
+def training_cost(model: PipelineModel, rows: DataFrame) -> float:
+    """The sum of squared distances of the rows, scaled by the model, to its centres.
+
+    The summary of KMeans has it for the centres before their last move, so it is
+    no cost of the model that is saved.
+    """
+    centres = F.array(*[F.array(*map(F.lit, map(float, c))) for c in model.stages[2].clusterCenters()])
+    squares = F.zip_with(vector_to_array("scaled_features"), centres[F.col("cluster")], lambda a, b: (a - b) * (a - b))
+    found = model.transform(_doubles(rows).select(*CORE_FEATURES)).agg(F.sum(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)).alias("cost"))
+    return found.first()["cost"]
+
+
 def model_record(history: DataFrame, version: str, updated_at: str, days_of_data: int, cost: float, time: str = "processing_timestamp") -> DataFrame:
     """The registry row of a model: version, training time, features, rows and range of its data, parameters and metrics."""
     return train_range(history, time).select(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldstream.functions.times import normalised_image_time, parse_timestamp, utc
 from fieldstream.operators import alerts, bronze, gold, latest, ml, reports, silver
+from fieldstream.plans import models
 from fieldstream.schemas import CORE_FEATURES
 from fieldstream.sources import readers, sinks
 
@@ -145,3 +146,9 @@ def test_message_files_and_stream(spark, tmp_path):
     assert spark.table("m").count() == 2
     with pytest.raises(ValueError, match="no start at"):  # never ignored without notice
         readers.message_stream(spark, "t", "parquet", path=f"{tmp_path}/m", starting="latest")
+
+
+def test_saved_cost_is_that_of_the_saved_centres(spark):
+    """On these rows training stops after its last allowed step, before the centres stand still."""
+    found = models.ml_train_invariants(spark, "/root/testdata/sf0.1").first()
+    assert found.asDict() == {"n_rows": 100_000, "n_not_nearest": 0, "cost_agrees": True, "n_centres_at_means": 3}
