@@ -11,7 +11,6 @@ boolean nor object; true and false count as the numbers 1 and 0; range ends are
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -66,9 +65,9 @@ MEMBERS = {
 _TYPES = {"text": "^STRING", "filled": "^STRING", "number": "^(BIGINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)", "boolean": "^BOOLEAN", "object": "^OBJECT"}
 
 
-def _once(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once, however often body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Rows with further columns that are computed once a row, however often later columns and filters name them: those do not pass a generator."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
 def _rules(member: Member, value: Column, kind: Column) -> list[tuple[str, Column]]:
@@ -92,45 +91,34 @@ def rules(kind: str) -> list[str]:
     return ["no JSON object", *[reason for m in MEMBERS[kind] for reason, _ in _rules(m, none, F.lit(None).cast("string"))]]
 
 
-def _bits(member: Member, first: int) -> Callable[[Column], Column]:
-    """The failed rules of a member's value as bits from `first` on."""
-
-    def of_type(value: Column, kind: Column) -> Column:
-        bits = [F.when(fails, F.lit(1 << first + i).cast("long")).otherwise(0) for i, (_, fails) in enumerate(_rules(member, value, kind))]
-        return sum(bits, F.lit(0).cast("long"))
-
-    return lambda value: _once(F.schema_of_variant(value), lambda kind: of_type(value, kind))
-
-
-def failed(kind: str, message: Column) -> Column:
-    """The failed rules of a message, a variant that is null where the text is no JSON, as a number; 0 is a valid message."""
-    out, first, none = F.lit(0).cast("long"), 1, F.lit(None)
-    for member in MEMBERS[kind]:
-        out += _once(F.try_variant_get(message, f"$.{member.name}", "variant"), _bits(member, first))
-        first += len(_rules(member, none.cast("variant"), none.cast("string")))
-    whole = F.coalesce(F.schema_of_variant(message).startswith("OBJECT"), F.lit(False))
-    return F.when(whole, out).otherwise(F.lit(1).cast("long"))
+def _judged(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows of `message`, a variant that is null where the text is no JSON, with their failed rules as a number; 0 is a valid message."""
+    members = MEMBERS[kind]
+    values = _once(rows, **{f"value_{i}": F.try_variant_get("message", f"$.{m.name}", "variant") for i, m in enumerate(members)})
+    typed = _once(values, whole=F.schema_of_variant("message"), **{f"kind_{i}": F.schema_of_variant(f"value_{i}") for i in range(len(members))})
+    broken = [fails for i, m in enumerate(members) for _, fails in _rules(m, F.col(f"value_{i}"), F.col(f"kind_{i}"))]
+    bits = [F.when(fails, F.lit(1 << i).cast("long")).otherwise(0) for i, fails in enumerate(broken, 1)]
+    whole = F.coalesce(F.col("whole").startswith("OBJECT"), F.lit(False))
+    return _once(typed, failed=F.when(whole, sum(bits, F.lit(0).cast("long"))).otherwise(F.lit(1).cast("long")))
 
 
 def reasons(kind: str, mask: Column | str) -> Column:
-    """The reasons that a number of failed rules stands for, in the order of the rules."""
-    names = F.array(*map(F.lit, rules(kind)))
-    return F.filter(names, lambda _, i: F.call_function("bit_get", F.col(mask) if isinstance(mask, str) else mask, i) == 1)
+    """The reasons that a number of failed rules stands for, in the order of the rules.
+
+    The number is named outside of any lambda, once a rule, as the optimizer would
+    put a message's whole judgement into a lambda and so do it anew for each rule.
+    """
+    number = F.col(mask) if isinstance(mask, str) else mask
+    return F.array_compact(F.array(*[F.when(number.bitwiseAND(F.lit(1 << i).cast("long")) != 0, reason) for i, reason in enumerate(rules(kind))]))
 
 
 def checked(messages: DataFrame, kind: str) -> DataFrame:
     """Message envelopes as rows (key, message_time, kafka_partition, kafka_offset, value, failed): the time is the message's own or, where it has none, the broker's."""
     key, _ = LATEST[kind]
-    members = lambda v: F.struct(F.try_variant_get(v, f"$.{key}", "string").alias("key"), F.try_variant_get(v, f"$.{LATEST_TIME[kind]}", "string").alias("time"), failed(kind, v).alias("failed"))
-    rows = messages.select("*", F.col("value").cast("string").alias("text")).withColumn("m", _once(F.try_parse_json("text"), members))
-    return rows.select(
-        "m.key",
-        F.coalesce(F.col("m.time").try_cast("timestamp"), F.col("timestamp")).alias("message_time"),
-        F.col("partition").alias("kafka_partition"),
-        F.col("offset").alias("kafka_offset"),
-        F.col("text").alias("value"),
-        "m.failed",
-    )
+    rows = messages.select(F.col("partition").alias("kafka_partition"), F.col("offset").alias("kafka_offset"), "timestamp", F.col("value").cast("string").alias("value"))
+    judged = _judged(_once(rows, message=F.try_parse_json("value")), kind)
+    time = F.try_variant_get("message", f"$.{LATEST_TIME[kind]}", "string").try_cast("timestamp")
+    return judged.select(F.try_variant_get("message", f"$.{key}", "string").alias("key"), F.coalesce(time, F.col("timestamp")).alias("message_time"), "kafka_partition", "kafka_offset", "value", "failed")
 
 
 def rejects(rows: DataFrame, kind: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldstream.functions.times import normalised_image_time, parse_timestamp, utc
-from fieldstream.operators import alerts, bronze, gold, latest, ml, reports, silver
+from fieldstream.operators import alerts, bronze, cache_rules, gold, latest, ml, reports, silver
 from fieldstream.plans import models
 from fieldstream.schemas import CORE_FEATURES
 from fieldstream.sources import readers, sinks
@@ -152,3 +152,11 @@ def test_saved_cost_is_that_of_the_saved_centres(spark):
     """On these rows training stops after its last allowed step, before the centres stand still."""
     found = models.ml_train_invariants(spark, "/root/testdata/sf0.1").first()
     assert found.asDict() == {"n_rows": 100_000, "n_not_nearest": 0, "cost_agrees": True, "n_centres_at_means": 3}
+
+
+@pytest.mark.parametrize("kind", ["sensor", "prediction"])
+def test_a_message_is_judged_once(spark, kind):
+    """Neither the filter of refused messages nor their reasons parse a message anew."""
+    refused = cache_rules.rejects(cache_rules.checked(envelope(spark, "{}"), kind), kind).select("kafka_offset", "reasons")
+    plan = refused._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("parsejson") + plan.count("parse_json") == 1
