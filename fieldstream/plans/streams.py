@@ -19,10 +19,10 @@ from .tables import PREDICTIONS_CTE, SCORER, prediction_table
 _SENSOR_TOPIC, _WEATHER_TOPIC, _ALERT_TOPIC, _ANOMALY_TOPIC = "sensor_valid", "weather_valid", "alerts", "anomalies"
 
 
-def _bronze(spark: SparkSession, messages: DataFrame, decode, name: str, keys: tuple[str, ...] | None = ("year", "month")) -> str:
+def _bronze(spark: SparkSession, messages: DataFrame, decode, name: str, keys: tuple[str, ...] | None = ("year", "month"), gather: int | None = None) -> str:
     """The raw layer that a stream of the messages leaves, by default by month, as it holds all days at once; returns its root."""
     stream, root = jobs.stream_of(spark, messages, name)
-    jobs.drained(jobs.bronze_job(stream, decode, f"{root}/bronze", f"{root}/checkpoint/bronze", jobs.NOW, keys=keys))
+    jobs.drained(jobs.bronze_job(stream, decode, f"{root}/bronze", f"{root}/checkpoint/bronze", jobs.NOW, keys=keys, gather=gather))
     return root
 
 
@@ -46,7 +46,7 @@ def _topic(spark: SparkSession, root: str, topic: str, schema: str, key: str = "
 @query(f"WITH s AS ({fixtures.sql('sensor')}) SELECT event_id AS kafka_offset, field_id, temperature, CASE WHEN event_id % 3 < 2 THEN CAST(hour(event_ts) AS INTEGER) END AS hour FROM s")
 def stream_bronze_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw layer in its production layout, a folder an hour."""
-    root = _bronze(spark, fixtures.sensor_messages(spark, sf_dir), bronze.sensor, "bronze", keys=None)
+    root = _bronze(spark, fixtures.sensor_messages(spark, sf_dir), bronze.sensor, "bronze", keys=None, gather=1)
     out = spark.read.schema("kafka_offset long, field_id string, temperature double, hour int").json(f"{root}/bronze")
     return out.select("kafka_offset", "field_id", "temperature", "hour")
 
@@ -133,7 +133,7 @@ def feature_stream(spark: SparkSession, sf_dir: str, times: tuple[str, ...] = (A
     """A periodic feature job over what the streams have written, at the given times; returns its root."""
     sensors, weather = _silver(spark, sf_dir, "sensor"), _silver(spark, sf_dir, "weather")
     ticks = spark.createDataFrame([(t,) for t in times], "t string").select(F.col("t").cast("timestamp").alias("timestamp")).coalesce(1)
-    clock, root = jobs.stream_of(spark, ticks, "features", per_trigger=None)
+    clock, root = jobs.stream_of(spark, ticks, "features", batches=None)
     found = features_at(spark, sensors, weather, fixtures.fields(spark, sf_dir))
     jobs.drained(jobs.feature_job(clock, found, f"{root}/snapshots", f"{root}/checkpoint", jobs.file_broker(f"{root}/topic", "gold_features"), jobs.NOW))
     return root
@@ -215,7 +215,7 @@ def stream_anomaly_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_gold_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows that the watermark has closed. All files are one batch, so that no reading comes after the watermark and is dropped."""
-    rows, root = jobs.stream_of(spark, silver.sensor(fixtures.sensor(spark, sf_dir)), "gold", per_trigger=None)
+    rows, root = jobs.stream_of(spark, silver.sensor(fixtures.sensor(spark, sf_dir)), "gold", batches=None)
     jobs.drained(jobs.gold_job(rows, ("field_id", "location"), gold.sensor_aggregates(), f"{root}/out", f"{root}/checkpoint", trigger=jobs.NOW))
     out = spark.read.parquet(f"{root}/out").withColumn("window_start", utc("window_start"))
     return rounded(out.select("window_start", "field_id", "location", "sensor_readings_count", "sensor_avg_temperature"))

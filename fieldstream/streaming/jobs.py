@@ -54,9 +54,16 @@ def file_broker(path: str, topic: str) -> Sink:
     return publish
 
 
-def bronze_job(messages: DataFrame, decode: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, trigger: dict | None = None, keys: tuple[str, ...] | None = None) -> StreamingQuery:
-    """Messages to raw-layer JSON, partitioned by hour or by other keys (a backfill of many days by day)."""
-    return sinks.file_stream(decode(messages), path, checkpoint, "bronze", "json", _trigger("bronze", trigger), keys).start()
+def bronze_job(messages: DataFrame, decode: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, trigger: dict | None = None, keys: tuple[str, ...] | None = None, gather: int | None = None) -> StreamingQuery:
+    """Messages to raw-layer JSON, partitioned by hour or by other keys (a backfill of many days by day).
+
+    gather is for backfills: a folder's rows of a batch meet in so many tasks at
+    most, so that files do not multiply by the batch's tasks.
+    """
+    rows = decode(messages)
+    if gather:
+        rows = rows.repartition(*(keys or sinks.PARTITIONS["bronze"]), F.pmod(F.col("kafka_offset"), F.lit(gather)))
+    return sinks.file_stream(rows, path, checkpoint, "bronze", "json", _trigger("bronze", trigger), keys).start()
 
 
 def image_job(messages: DataFrame, path: str, images: str, checkpoint: str, trigger: dict | None = None, keys: tuple[str, ...] = sinks.PARTITIONS["bronze"]) -> StreamingQuery:
@@ -224,12 +231,26 @@ def latest_table(spark: SparkSession, checkpoint: str, kind: str, ttl: int | Non
 # ---- streams of tables ----------------------------------------------------------------
 
 
-def stream_of(spark: SparkSession, rows: DataFrame, name: str, per_trigger: int | None = 2) -> tuple[DataFrame, str]:
-    """Rows written as files and read back as a stream, and the root of their folder."""
+#: Messages of a file that spread gives, in bytes.
+FILE_BYTES = 32 << 20
+
+
+def spread(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Rows dealt evenly to partitions, and their number: none holds much more than FILE_BYTES of messages (of rows without `value`: 256 bytes each), all cores have work, and small tables still give four."""
+    size = F.octet_length("value") if "value" in rows.columns else F.lit(256)
+    n_bytes = rows.agg(F.sum(size.cast("long")).alias("n")).first()["n"] or 0
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    n = max(4, min(2 * cores, n_bytes >> 20), -(-n_bytes // FILE_BYTES))
+    return rows.repartition(n), n
+
+
+def stream_of(spark: SparkSession, rows: DataFrame, name: str, batches: int | None = 2) -> tuple[DataFrame, str]:
+    """Rows written as files and read back as a stream of so many micro-batches (None: of one), and the root of their folder."""
     root = sinks.work_dir(spark, name)
-    rows.repartition(max(4, rows.rdd.getNumPartitions())).write.parquet(f"{root}/in")
+    dealt, n = spread(rows)
+    dealt.write.parquet(f"{root}/in")
     reader = spark.readStream.schema(rows.schema)
-    return (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).parquet(f"{root}/in"), root
+    return (reader.option("maxFilesPerTrigger", -(-n // batches)) if batches else reader).parquet(f"{root}/in"), root
 
 
 def drained(query: StreamingQuery) -> None:

@@ -8,7 +8,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from fieldstream.operators import alerts, cache_rules, gold, silver
+from fieldstream.operators import alerts, bronze, cache_rules, gold, silver
 from fieldstream.plans import models, streams
 from fieldstream.plans.registry import AS_OF, MINUTES
 from fieldstream.plans.tables import SCORER
@@ -182,3 +182,20 @@ def test_local_folders_only_where_all_is_local(master, refused):
 def test_kafka_options():
     assert readers.kafka_options("t", "host:9092", "latest", 500) == {"subscribe": "t", "kafka.bootstrap.servers": "host:9092", "startingOffsets": "latest", "failOnDataLoss": "false", "maxOffsetsPerTrigger": "500"}
     assert "maxOffsetsPerTrigger" not in readers.kafka_options("t", "host:9092") and SCORER.version
+
+
+def test_files_of_a_stream_grow_in_number_not_in_size(spark, monkeypatch):
+    monkeypatch.setattr(jobs, "FILE_BYTES", 20_000)
+    messages = fixtures.satellite_messages(spark, SF)
+    whole = messages.agg(F.sum(F.octet_length("value")).alias("n"), F.max(F.octet_length("value")).alias("most")).first()
+    stream, root = jobs.stream_of(spark, messages, "sized")
+    by_file = spark.read.parquet(f"{root}/in").groupBy(F.input_file_name().alias("f")).agg(F.sum(F.octet_length("value")).alias("n")).agg(F.count("*").alias("files"), F.max("n").alias("most"), F.sum("n").alias("n")).first()
+    assert by_file["files"] >= whole["n"] // 20_000 > 4 and by_file["n"] == whole["n"]
+    assert by_file["most"] < whole["n"] / 4
+
+
+def test_a_backfill_gathers_the_rows_of_a_folder(spark):
+    stream, root = jobs.stream_of(spark, fixtures.sensor_messages(spark, SF), "gathered", batches=1)
+    jobs.drained(jobs.bronze_job(stream, bronze.sensor, f"{root}/bronze", f"{root}/checkpoint", jobs.NOW, gather=1))
+    files = spark.read.schema("kafka_offset long").json(f"{root}/bronze").inputFiles()
+    assert len(files) == len({f.rpartition("/")[0] for f in files})
