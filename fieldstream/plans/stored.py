@@ -23,10 +23,11 @@ _START = "2024-01-20 00:00:00"
 def alert_store(spark: SparkSession, sf_dir: str, batches: int = 6) -> Stored:
     """The alert table, written in batches of consecutive times; the last batch comes twice."""
     table = Stored(spark, sinks.work_dir(spark, "alerts"), "alert_timestamp")
-    rows = alert_table(spark, sf_dir)
+    rows = alert_table(spark, sf_dir).persist()  # each batch reads it
     part = F.least(F.floor((F.dayofmonth("alert_timestamp") - 1) * batches / 30), F.lit(batches - 1))
     for n in [*range(batches), batches - 1]:
         table.append(rows.where(part == n), n)
+    rows.unpersist()
     return table
 
 
@@ -107,9 +108,10 @@ def silver_store(spark: SparkSession, sf_dir: str) -> Stored:
     table = Stored(spark, f"{root}/silver", "timestamp_parsed")
     messages = fixtures.sensor_messages(spark, sf_dir)
     for half in range(2):
-        messages.where(F.col("offset") % 2 == half).coalesce(4).write.mode("append").parquet(f"{root}/in")
-        stream = readers.message_stream(spark, "sensor_data", "parquet", path=f"{root}/in", per_trigger=2)
-        jobs.drained(jobs.bronze_job(stream, bronze.sensor, f"{root}/bronze", f"{root}/checkpoint/bronze", jobs.NOW, keys=("year", "month", "day")))
+        dealt, n = jobs.spread(messages.where(F.col("offset") % 2 == half))
+        dealt.write.mode("append").parquet(f"{root}/in")
+        stream = readers.message_stream(spark, "sensor_data", "parquet", path=f"{root}/in", per_trigger=-(-n // 2))
+        jobs.drained(jobs.bronze_job(stream, bronze.sensor, f"{root}/bronze", f"{root}/checkpoint/bronze", jobs.NOW, keys=("year", "month", "day"), gather=4))
         rows = readers.json_stream(spark, f"{root}/bronze", f"{SENSOR_RAW}, kafka_offset bigint")
         jobs.drained(jobs.silver_job(rows, silver.sensor, silver.SENSOR_MESSAGE, "sensor", jobs.stored_table(table), f"{root}/checkpoint/silver", trigger=jobs.NOW))
         if not half:
