@@ -25,8 +25,10 @@ def decode(messages: DataFrame, schema: str) -> DataFrame:
 
 def with_time_parts(rows: DataFrame, text: str = "timestamp") -> DataFrame:
     """year, month, day and hour (UTC) of the event time, null where it doesn't parse."""
-    t = utc(parse_timestamp(F.col(text)))
-    return rows.withColumns({"year": F.year(t), "month": F.month(t), "day": F.dayofmonth(t), "hour": F.hour(t)})
+    t = F.col("_time")
+    parts = [part(t).alias(name) for name, part in (("year", F.year), ("month", F.month), ("day", F.dayofmonth), ("hour", F.hour))]
+    timed = rows.select("*", F.inline(F.array(F.struct(utc(parse_timestamp(F.col(text))).alias("_time")))))  # behind a generator: parsed once a row
+    return timed.select(*[F.col(f"`{c}`") for c in rows.columns], *parts)
 
 
 def sensor(messages: DataFrame) -> DataFrame:

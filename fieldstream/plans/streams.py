@@ -19,9 +19,14 @@ from .tables import PREDICTIONS_CTE, SCORER, prediction_table
 _SENSOR_TOPIC, _WEATHER_TOPIC, _ALERT_TOPIC, _ANOMALY_TOPIC = "sensor_valid", "weather_valid", "alerts", "anomalies"
 
 
-def _bronze(spark: SparkSession, messages: DataFrame, decode, name: str, keys: tuple[str, ...] | None = ("year", "month"), gather: int | None = None) -> str:
-    """The raw layer that a stream of the messages leaves, by default by month, as it holds all days at once; returns its root."""
-    stream, root = jobs.stream_of(spark, messages, name)
+def _parts(spark: SparkSession, sf_dir: str, row_bytes: int = 256) -> int:
+    """Partitions for messages of so many bytes of the events, whose rows are only counted."""
+    return jobs.n_files(spark, row_bytes * readers.table(spark, sf_dir, "events").count())
+
+
+def _bronze(spark: SparkSession, messages: DataFrame, decode, name: str, dealt: int, keys: tuple[str, ...] | None = ("year", "month"), gather: int | None = None) -> str:
+    """The raw layer that a stream of the messages, dealt to so many partitions, leaves, by default by month, as it holds all days at once; returns its root."""
+    stream, root = jobs.stream_of(spark, messages, name, dealt=dealt)
     jobs.drained(jobs.bronze_job(stream, decode, f"{root}/bronze", f"{root}/checkpoint/bronze", jobs.NOW, keys=keys, gather=gather))
     return root
 
@@ -32,7 +37,8 @@ def _silver(spark: SparkSession, sf_dir: str, kind: str) -> str:
         "sensor": (fixtures.sensor_messages, bronze.sensor, SENSOR_RAW, silver.sensor, silver.SENSOR_MESSAGE, _SENSOR_TOPIC),
         "weather": (fixtures.weather_messages, bronze.weather, WEATHER_RAW, silver.weather, silver.WEATHER_MESSAGE, _WEATHER_TOPIC),
     }[kind]
-    root = _bronze(spark, messages(spark, sf_dir), decode, f"silver-{kind}")
+    n = _parts(spark, sf_dir)
+    root = _bronze(spark, messages(spark, sf_dir, n), decode, f"silver-{kind}", n)
     rows = readers.json_stream(spark, f"{root}/bronze", f"{raw}, kafka_offset bigint")
     minutes = (f"{root}/panes", {"sensor": panes.SENSOR, "weather": panes.WEATHER}[kind])
     jobs.drained(jobs.silver_job(rows, refine, members, kind, f"{root}/silver", f"{root}/checkpoint/silver", jobs.file_broker(f"{root}/topic", topic), jobs.NOW, minutes))
@@ -46,7 +52,8 @@ def _topic(spark: SparkSession, root: str, topic: str, schema: str, key: str = "
 @query(f"WITH s AS ({fixtures.sql('sensor')}) SELECT event_id AS kafka_offset, field_id, temperature, CASE WHEN event_id % 3 < 2 THEN CAST(hour(event_ts) AS INTEGER) END AS hour FROM s")
 def stream_bronze_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw layer in its production layout, a folder an hour."""
-    root = _bronze(spark, fixtures.sensor_messages(spark, sf_dir), bronze.sensor, "bronze", keys=None, gather=1)
+    n = _parts(spark, sf_dir)
+    root = _bronze(spark, fixtures.sensor_messages(spark, sf_dir, n), bronze.sensor, "bronze", n, keys=None, gather=1)
     out = spark.read.schema("kafka_offset long, field_id string, temperature double, hour int").json(f"{root}/bronze")
     return out.select("kafka_offset", "field_id", "temperature", "hour")
 
@@ -189,7 +196,8 @@ def stream_alert_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _predictions(spark: SparkSession, sf_dir: str) -> str:
     """Feature messages scored to a table and, if anomalies, to a topic; returns the root."""
-    stream, root = jobs.stream_of(spark, fixtures.feature_messages(spark, sf_dir), "predictions")
+    n = _parts(spark, sf_dir, 512)
+    stream, root = jobs.stream_of(spark, fixtures.feature_messages(spark, sf_dir, n), "predictions", dealt=n)
     rows = readers.decoded(stream, FEATURE_INPUT)
     jobs.drained(jobs.prediction_job(rows, lambda: SCORER, jobs.file_table(f"{root}/out"), f"{root}/checkpoint", jobs.file_broker(f"{root}/topic", _ANOMALY_TOPIC), jobs.NOW))
     return root

@@ -1,7 +1,8 @@
 """Field-monitoring rows derived from the `events` and `documents` tables.
 
 Each projection is arithmetic on integer keys in SQL that both Spark and other
-engines run as is, so that queries can be checked against an oracle.
+engines run as is, so that queries can be checked against an oracle. With `parts`
+the table's narrow rows are dealt to so many partitions before anything is made of them.
 """
 
 from __future__ import annotations
@@ -78,13 +79,13 @@ def sql(name: str) -> str:
     return "SELECT " + ", ".join(f"{e} AS {n}" for n, e in columns) + f" FROM {source}"
 
 
-def sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sensor(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
     """Sensor readings with a text `timestamp`, of which a third is no time."""
-    return _projected(table(spark, sf_dir, "events"), SENSOR).withColumn("timestamp", F.expr(_TEXT_TIME))
+    return _projected(table(spark, sf_dir, "events", parts), SENSOR).withColumn("timestamp", F.expr(_TEXT_TIME))
 
 
-def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _projected(table(spark, sf_dir, "events"), WEATHER).withColumn("timestamp", F.expr(_TEXT_TIME))
+def weather(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    return _projected(table(spark, sf_dir, "events", parts), WEATHER).withColumn("timestamp", F.expr(_TEXT_TIME))
 
 
 def satellite(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,8 +95,8 @@ def satellite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(*[F.expr(e).alias(n) for n, e in SATELLITE], size, F.expr(_IMAGE_TIME).alias("timestamp"), F.concat(F.lit("satellite-images/"), F.col("doc_id").cast("string")).alias("image_path"))
 
 
-def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _projected(table(spark, sf_dir, "events"), FEATURES)
+def features(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    return _projected(table(spark, sf_dir, "events", parts), FEATURES)
 
 
 def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,19 +110,19 @@ def _envelope(rows: DataFrame, topic: str, members: tuple[str, ...], time: str =
     return rows.select(value.alias("value"), F.lit(topic).alias("topic"), (F.col("event_id") % 3).cast("int").alias("partition"), F.col("event_id").alias("offset"), F.col("event_ts").cast("timestamp").alias("timestamp"))
 
 
-def sensor_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sensor_messages(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
     """Sensor readings as messages; a third of them has no readable time."""
-    return _envelope(_projected(table(spark, sf_dir, "events"), SENSOR), "sensor_data", ("field_id", "location", "latitude", "longitude", "temperature", "humidity", "soil_ph"))
+    return _envelope(_projected(table(spark, sf_dir, "events", parts), SENSOR), "sensor_data", ("field_id", "location", "latitude", "longitude", "temperature", "humidity", "soil_ph"))
 
 
-def weather_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _projected(table(spark, sf_dir, "events"), WEATHER)
+def weather_messages(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    rows = _projected(table(spark, sf_dir, "events", parts), WEATHER)
     return _envelope(rows, "weather_data", ("location", "lat", "lon", "temp_c", "humidity", "wind_kph", "condition", "uv", "precip_mm"))
 
 
-def feature_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def feature_messages(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
     """Feature rows as messages."""
-    rows = features(spark, sf_dir)
+    rows = features(spark, sf_dir, parts)
     members = [c for c in rows.columns if c not in ("id", "prediction_ts")]
     value = F.to_json(F.struct(*members, F.col("prediction_ts").cast("timestamp").alias("processing_timestamp"))).cast("binary")
     return rows.select(value.alias("value"), F.lit("gold_features").alias("topic"), (F.col("id") % 3).cast("int").alias("partition"), F.col("id").alias("offset"), F.col("prediction_ts").cast("timestamp").alias("timestamp"))

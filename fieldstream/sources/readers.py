@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from ..schemas import ENVELOPE
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, parts: int | None = None) -> DataFrame:
+    """A table, dealt to so many partitions where given: a compressed file of many rows is one or few tasks."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return rows if parts is None else rows.repartition(parts)
 
 
 def kafka_options(topic: str, servers: str | None, starting: str = "earliest", per_trigger: int | None = None) -> dict[str, str]:

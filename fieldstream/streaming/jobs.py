@@ -58,11 +58,13 @@ def bronze_job(messages: DataFrame, decode: Callable[[DataFrame], DataFrame], pa
     """Messages to raw-layer JSON, partitioned by hour or by other keys (a backfill of many days by day).
 
     gather is for backfills: a folder's rows of a batch meet in so many tasks at
-    most, so that files do not multiply by the batch's tasks.
+    most, so that files do not multiply by the batch's tasks. A folder larger than
+    a partition should be, as that of messages without time, is split by its size.
     """
     rows = decode(messages)
     if gather:
-        rows = rows.repartition(*(keys or sinks.PARTITIONS["bronze"]), F.pmod(F.col("kafka_offset"), F.lit(gather)))
+        piece = F.pmod(F.col("kafka_offset"), F.lit(gather))
+        rows = rows.withColumn("_piece", piece).hint("rebalance", *map(F.col, (*(keys or sinks.PARTITIONS["bronze"]), "_piece"))).drop("_piece")
     return sinks.file_stream(rows, path, checkpoint, "bronze", "json", _trigger("bronze", trigger), keys).start()
 
 
@@ -235,20 +237,28 @@ def latest_table(spark: SparkSession, checkpoint: str, kind: str, ttl: int | Non
 FILE_BYTES = 32 << 20
 
 
+def n_files(spark: SparkSession, n_bytes: int) -> int:
+    """Files for so many bytes of messages: none holds much more than FILE_BYTES, all cores have work, and small tables still give four."""
+    return max(4, min(2 * spark.sparkContext.defaultParallelism, n_bytes >> 20), -(-n_bytes // FILE_BYTES))
+
+
 def spread(rows: DataFrame) -> tuple[DataFrame, int]:
-    """Rows dealt evenly to partitions, and their number: none holds much more than FILE_BYTES of messages (of rows without `value`: 256 bytes each), all cores have work, and small tables still give four."""
+    """Rows dealt evenly to partitions, and their number: that of files for the bytes of their messages (of rows without `value`: 256 bytes each)."""
     size = F.octet_length("value") if "value" in rows.columns else F.lit(256)
     n_bytes = rows.agg(F.sum(size.cast("long")).alias("n")).first()["n"] or 0
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    n = max(4, min(2 * cores, n_bytes >> 20), -(-n_bytes // FILE_BYTES))
+    n = n_files(rows.sparkSession, n_bytes)
     return rows.repartition(n), n
 
 
-def stream_of(spark: SparkSession, rows: DataFrame, name: str, batches: int | None = 2) -> tuple[DataFrame, str]:
-    """Rows written as files and read back as a stream of so many micro-batches (None: of one), and the root of their folder."""
+def stream_of(spark: SparkSession, rows: DataFrame, name: str, batches: int | None = 2, dealt: int | None = None) -> tuple[DataFrame, str]:
+    """Rows written as files and read back as a stream of so many micro-batches (None: of one), and the root of their folder.
+
+    Rows that are dealt evenly to so many partitions already are written as they
+    are; others are made once for their size and once more to be dealt.
+    """
     root = sinks.work_dir(spark, name)
-    dealt, n = spread(rows)
-    dealt.write.parquet(f"{root}/in")
+    rows, n = spread(rows) if dealt is None else (rows, dealt)
+    rows.write.parquet(f"{root}/in")
     reader = spark.readStream.schema(rows.schema)
     return (reader.option("maxFilesPerTrigger", -(-n // batches)) if batches else reader).parquet(f"{root}/in"), root
 

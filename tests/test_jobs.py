@@ -8,6 +8,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+from fieldstream.functions.times import parse_timestamp
 from fieldstream.operators import alerts, bronze, cache_rules, gold, silver
 from fieldstream.plans import models, streams
 from fieldstream.plans.registry import AS_OF, MINUTES
@@ -199,3 +200,41 @@ def test_a_backfill_gathers_the_rows_of_a_folder(spark):
     jobs.drained(jobs.bronze_job(stream, bronze.sensor, f"{root}/bronze", f"{root}/checkpoint", jobs.NOW, gather=1))
     files = spark.read.schema("kafka_offset long").json(f"{root}/bronze").inputFiles()
     assert len(files) == len({f.rpartition("/")[0] for f in files})
+
+
+def test_a_large_folder_of_a_backfill_is_split_by_size(spark, tmp_path):
+    """A third of the messages has no time: that folder is no single task's, while small ones stay whole."""
+    rows = fixtures.sensor_messages(spark, SF)
+    rows.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(40)))).drop("i").repartition(8).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        jobs.drained(jobs.bronze_job(stream, bronze.sensor, f"{tmp_path}/bronze", f"{tmp_path}/checkpoint", jobs.NOW, gather=1))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    out = spark.read.schema("kafka_offset long").json(f"{tmp_path}/bronze")
+    assert out.count() == 40 * rows.count()
+    assert sum("__HIVE_DEFAULT_PARTITION__" in f for f in out.inputFiles()) > 1
+
+
+def test_messages_are_made_by_many_tasks_and_once(spark):
+    rows = fixtures.sensor_messages(spark, SF, 6)
+    assert rows.rdd.getNumPartitions() == 6 and sorted(rows.collect()) == sorted(fixtures.sensor_messages(spark, SF).collect())
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(topic):
+        made.add(1)
+        return topic
+
+    stream, root = jobs.stream_of(spark, rows.withColumn("topic", counted("topic")), "once", dealt=6)
+    assert made.value == rows.count() and len(spark.read.parquet(f"{root}/in").inputFiles()) == 6
+
+
+def test_one_pattern_reads_what_two_did(spark):
+    texts = ["2024-01-01T00:00:00.123456Z", "2024-01-01T00:00:00.123456+05:30", "2024-01-01T00:00:00Z", "2024-01-01T00:00:00-01:00", "2024-01-01T00:00:00.1Z", "2024-01-01T00:00:00.1234567Z", "2024-01-01T00:00:00.Z", "2024-01-01T00:00:00", "2024-01-01T00:00:00.123456", "2024-01-01 00:00:00Z", "2024-02-30T00:00:00Z", "2024-01-01T24:00:00Z", "2024-01-01t00:00:00z", " 2024-01-01T00:00:00Z", "2024-01-01T00:00:00Z.5", "2024-01-01T00:00:00+0100", "+12024-01-01T00:00:00Z", "not-a-time", "", ".", None]
+    two = F.coalesce(*[F.try_to_timestamp("t", F.lit(p)) for p in ("yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "yyyy-MM-dd'T'HH:mm:ssXXX")])
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", two.alias("two"), parse_timestamp(F.col("t")).alias("one"))
+    assert rows.where("NOT one <=> two").collect() == [] and rows.where("one IS NOT NULL").count() >= 4
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("gettimestamp") == 3
