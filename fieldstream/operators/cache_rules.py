@@ -121,6 +121,10 @@ def checked(messages: DataFrame, kind: str) -> DataFrame:
     return judged.select(F.try_variant_get("message", f"$.{key}", "string").alias("key"), F.coalesce(time, F.col("timestamp")).alias("message_time"), "kafka_partition", "kafka_offset", "value", "failed")
 
 
+def with_reasons(refused: DataFrame, kind: str) -> DataFrame:
+    return refused.withColumn("reasons", reasons(kind, "failed"))
+
+
 def rejects(rows: DataFrame, kind: str) -> DataFrame:
     """Refused messages with their reasons."""
-    return rows.where("failed <> 0").withColumn("reasons", reasons(kind, "failed"))
+    return with_reasons(rows.where("failed <> 0"), kind)

@@ -233,18 +233,23 @@ def stream_gold_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TTL = 36 * 3600
 
 
-def _cached(spark: SparkSession, messages: DataFrame, kind: str) -> str:
+#: Bytes of a message of these queries, about.
+_ROW_BYTES = 512
+
+
+def _cached(spark: SparkSession, sf_dir: str, messages: Callable[[SparkSession, str, int], DataFrame], kind: str) -> str:
     """A latest_job over the messages, run to its end; returns its root."""
-    stream, root = jobs.stream_of(spark, messages, f"latest-{kind}")
+    n = _parts(spark, sf_dir, _ROW_BYTES)
+    stream, root = jobs.stream_of(spark, messages(spark, sf_dir, n), f"latest-{kind}", dealt=n)
     jobs.drained(jobs.latest_job(stream, kind, f"{root}/checkpoint", jobs.file_table(f"{root}/rejects"), trigger=jobs.NOW, ttl=_TTL))
     return root
 
 
-def _latest(spark: SparkSession, messages: DataFrame, kind: str) -> DataFrame:
-    """The latest value of each key of a topic, as of its newest valid message."""
-    root = _cached(spark, messages, kind)
-    valid = cache_rules.checked(messages, kind).where("failed = 0").select(utc("message_time").alias("t"))
-    found = jobs.latest_table(spark, f"{root}/checkpoint", kind, _TTL, F.lit(latest.newest_time(valid, "t")).cast("timestamp"))
+def _latest(spark: SparkSession, sf_dir: str, messages: Callable[[SparkSession, str, int], DataFrame], kind: str) -> DataFrame:
+    """The latest value of each key of a topic, as of its newest valid message, which is the newest that the state holds."""
+    root = _cached(spark, sf_dir, messages, kind)
+    held = jobs.latest_table(spark, f"{root}/checkpoint", kind, _TTL).select(utc("message_time").alias("t"))
+    found = jobs.latest_table(spark, f"{root}/checkpoint", kind, _TTL, F.lit(latest.newest_time(held, "t")).cast("timestamp"))
     return found.select("key", utc("message_time").alias("message_time"), "cache_ttl")
 
 
@@ -259,30 +264,30 @@ def _as_messages(rows: DataFrame, topic: str, offset: str) -> DataFrame:
     return rows.select(value, F.lit(topic).alias("topic"), F.lit(0).alias("partition"), F.col(offset).cast("long").alias("offset"), F.current_timestamp().alias("timestamp"))
 
 
-def _sensor_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sensor_readings(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
     """Messages of all readings that are complete and have a time; those that are out of range must not be kept."""
-    rows = silver.sensor_flagged(fixtures.sensor(spark, sf_dir)).select("event_id", *silver.SENSOR_MESSAGE, F.col("timestamp_parsed").alias("timestamp"))
+    rows = silver.sensor_flagged(fixtures.sensor(spark, sf_dir, parts)).select("event_id", *silver.SENSOR_MESSAGE, F.col("timestamp_parsed").alias("timestamp"))
     return _as_messages(rows, _SENSOR_TOPIC, "event_id")
 
 
-def _weather_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = silver.weather_flagged(fixtures.weather(spark, sf_dir)).select("event_id", *silver.WEATHER_MESSAGE, F.col("timestamp_parsed").alias("timestamp"))
+def _weather_readings(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    rows = silver.weather_flagged(fixtures.weather(spark, sf_dir, parts)).select("event_id", *silver.WEATHER_MESSAGE, F.col("timestamp_parsed").alias("timestamp"))
     return _as_messages(rows, _WEATHER_TOPIC, "event_id")
 
 
-def _alert_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _alert_messages(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
     """Alerts of which every 20th has an empty zone, every 21st no message, and every 22nd a number as its status."""
     e = F.col("event_id")
-    rows = alerts.sensor(silver.sensor(fixtures.sensor(spark, sf_dir)), "event_id").withColumns({"zone_id": F.when(e % 20 == 0, "").otherwise(F.col("zone_id")), "message": F.when(e % 21 != 0, F.col("message"))})
+    rows = alerts.sensor(silver.sensor(fixtures.sensor(spark, sf_dir, parts)), "event_id").withColumns({"zone_id": F.when(e % 20 == 0, "").otherwise(F.col("zone_id")), "message": F.when(e % 21 != 0, F.col("message"))})
     messages = _as_messages(rows, _ALERT_TOPIC, "event_id")
     numbered = F.regexp_replace(F.col("value").cast("string"), '"status":"ACTIVE"', '"status":1').cast("binary")
     return messages.withColumn("value", F.when(F.col("offset") % 22 == 0, numbered).otherwise(F.col("value")))
 
 
-def _prediction_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _prediction_messages(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
     """Predictions of which every 25th has no location, every 26th a text for a boolean, and every 27th is cut short."""
     columns = ("id", "field_id", "location", "anomaly_score", "is_anomaly", "severity", "recommendations", "model_version")
-    rows = prediction_table(spark, sf_dir).select(*columns, F.col("prediction_timestamp").cast("timestamp").alias("prediction_timestamp"), F.struct("temp_differential").alias("features"))
+    rows = prediction_table(spark, sf_dir, parts).select(*columns, F.col("prediction_timestamp").cast("timestamp").alias("prediction_timestamp"), F.struct("temp_differential").alias("features"))
     messages = _as_messages(rows.withColumn("location", F.when(F.col("id") % 25 != 0, F.col("location"))), _ANOMALY_TOPIC, "id")
     text, at = F.col("value").cast("string"), F.col("offset")
     odd = F.when(at % 27 == 0, F.substring(text, 1, 40)).when(at % 26 == 0, F.regexp_replace(text, '"is_anomaly":(true|false)', '"is_anomaly":"$1"')).otherwise(text)
@@ -295,28 +300,28 @@ _PREDICTIONS_OK = "p AS (SELECT * FROM predictions WHERE id % 25 <> 0 AND id % 2
 
 @query(f"WITH {SENSOR_CTE} " + _latest_sql("s_ok", "sensor", "timestamp_parsed"))
 def stream_latest_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _latest(spark, _sensor_readings(spark, sf_dir), "sensor")
+    return _latest(spark, sf_dir, _sensor_readings, "sensor")
 
 
 @query(f"WITH {WEATHER_CTE} " + _latest_sql("w_ok", "weather", "timestamp_parsed"))
 def stream_latest_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _latest(spark, _weather_readings(spark, sf_dir), "weather")
+    return _latest(spark, sf_dir, _weather_readings, "weather")
 
 
 @query(f"WITH {SENSOR_CTE}, {_ALERTS_OK} " + _latest_sql("a", "alert", "alert_timestamp"))
 def stream_latest_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _latest(spark, _alert_messages(spark, sf_dir), "alert")
+    return _latest(spark, sf_dir, _alert_messages, "alert")
 
 
 @query(f"WITH {PREDICTIONS_CTE}, {_PREDICTIONS_OK} " + _latest_sql("p", "prediction", "prediction_timestamp"))
 def stream_latest_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _latest(spark, _prediction_messages(spark, sf_dir), "prediction")
+    return _latest(spark, sf_dir, _prediction_messages, "prediction")
 
 
 @query(f"WITH {SENSOR_CTE} SELECT count(*) AS n_keys, min(field_id) AS first_key, max(field_id) AS last_key FROM (SELECT DISTINCT field_id FROM s_ok)")
 def stream_latest_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scan of the keys that the state holds."""
-    found = jobs.latest_table(spark, f"{_cached(spark, _sensor_readings(spark, sf_dir), 'sensor')}/checkpoint", "sensor", _TTL)
+    found = jobs.latest_table(spark, f"{_cached(spark, sf_dir, _sensor_readings, 'sensor')}/checkpoint", "sensor", _TTL)
     return found.agg(F.count("*").alias("n_keys"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
 
 
@@ -358,7 +363,7 @@ _ALERT_CASES = (("zone_id is empty", "event_id % 20 = 0"), ("message is missing"
 @query(f"WITH {SENSOR_CTE}, a AS ({SENSOR_ALERT_SQL}) " + _reasons_sql(_ALERT_CASES, "a", "event_id"))
 def cache_rejects_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the stream of latest alerts has refused, from its table of rejects."""
-    root = _cached(spark, _alert_messages(spark, sf_dir), "alert")
+    root = _cached(spark, sf_dir, _alert_messages, "alert")
     return _refused(spark.read.parquet(f"{root}/rejects"))
 
 
@@ -367,5 +372,5 @@ _PREDICTION_CASES = (("no JSON object", "id % 27 = 0"), ("location is missing",
 
 @query(f"WITH {PREDICTIONS_CTE} " + _reasons_sql(_PREDICTION_CASES, "predictions", "id"))
 def cache_rejects_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = _cached(spark, _prediction_messages(spark, sf_dir), "prediction")
+    root = _cached(spark, sf_dir, _prediction_messages, "prediction")
     return _refused(spark.read.parquet(f"{root}/rejects"))

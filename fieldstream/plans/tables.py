@@ -34,9 +34,9 @@ def alert_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(alerts.sensor(silver_sensor_rows(spark, sf_dir), "event_id"), 0).unionByName(_table(alerts.weather(silver_weather_rows(spark, sf_dir), "event_id"), 1))
 
 
-def prediction_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def prediction_table(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
     """Scores of the feature rows by the fixed model."""
-    return ml.scored(fixtures.features(spark, sf_dir), SCORER, F.col("prediction_ts"))
+    return ml.scored(fixtures.features(spark, sf_dir, parts), SCORER, F.col("prediction_ts"))
 
 
 def _distance_sql(centroid: tuple[float, ...]) -> str:

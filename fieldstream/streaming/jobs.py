@@ -197,9 +197,9 @@ def latest_job(messages: DataFrame, kind: str, checkpoint: str, rejects: Sink |
     batch, so NOW takes all messages as one.
     """
     _, own_ttl = LATEST[kind]
-    rows = cache_rules.checked(messages, kind)
-    refused = cache_rules.rejects(rows, kind)
-    kept = state.changes(rows.where("failed = 0"), own_ttl if ttl is None else ttl)
+    rows = state.reduced(cache_rules.checked(messages, kind))
+    refused = cache_rules.with_reasons(rows.where("NOT valid").drop("valid"), kind)
+    kept = state.changes(rows.where("valid"), own_ttl if ttl is None else ttl)
     both = kept.withColumns({"failed": F.lit(0).cast("long"), "reasons": F.array().cast("array<string>")}).unionByName(refused)
 
     def split(batch: DataFrame, batch_id: int) -> None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
@@ -43,10 +45,35 @@ class Newest(StatefulProcessor):
         pass
 
 
+def _reduced(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each frame the refused rows, and of each key the valid row of largest place; rows that are valid but have no key or time go."""
+    order = [("key", "ascending"), *((c, "descending") for c in PLACE)]
+    for frame in frames:
+        refused = pc.not_equal(frame["failed"], 0)
+        yield frame.filter(refused)
+        usable = pc.and_(pc.invert(refused), pc.and_(frame["key"].is_valid(), frame["message_time"].is_valid()))
+        kept = frame.filter(usable)
+        if kept.num_rows:
+            at = pc.sort_indices(pa.Table.from_batches([kept.select(["key", *PLACE])]), sort_keys=order)
+            keys = kept["key"].take(at)
+            first = pa.concat_arrays([pa.array([True]), pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1))])
+            yield kept.take(at.filter(first))
+
+
+def reduced(rows: DataFrame) -> DataFrame:
+    """Judged rows without those that another row of their key and frame makes stale, so that a key's rows are few before they meet in its task, with `valid`.
+
+    They are few enough to be exchanged once more: a plan that names them twice, by
+    `valid` alone, reuses that exchange and so judges once. A filter on a generator's
+    column stays above it, where one on `failed` would move below the exchange.
+    """
+    few = rows.mapInArrow(_reduced, rows.schema).repartition("kafka_partition", "kafka_offset")
+    return few.select("*", F.inline(F.array(F.struct((F.col("failed") == 0).alias("valid")))))
+
+
 def changes(rows: DataFrame, ttl_seconds: int) -> DataFrame:
-    """The stream of changes (CHANGE) of each key's latest value; rows without key or time are left out."""
-    usable = rows.where(F.col("key").isNotNull() & F.col("message_time").isNotNull()).select("key", *_COLUMNS)
-    return usable.groupBy("key").transformWithStateInPandas(Newest(ttl_seconds), CHANGE, "update", "processingTime")
+    """The stream of changes (CHANGE) of each key's latest value, of valid rows with key and time as `reduced` leaves them."""
+    return rows.select("key", *_COLUMNS).groupBy("key").transformWithStateInPandas(Newest(ttl_seconds), CHANGE, "update", "processingTime")
 
 
 def held(spark: SparkSession, checkpoint: str, now: Column | None = None, operator: int = 0) -> DataFrame:

@@ -238,3 +238,26 @@ def test_one_pattern_reads_what_two_did(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", two.alias("two"), parse_timestamp(F.col("t")).alias("one"))
     assert rows.where("NOT one <=> two").collect() == [] and rows.where("one IS NOT NULL").count() >= 4
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("gettimestamp") == 3
+
+
+def test_latest_values_are_reduced_before_they_meet_and_judged_once(spark, tmp_path):
+    rows = [reading(f"f{i % 3}", i * 7 % 60, i) for i in range(900)] + [reading("", 1, 901), reading("f0", 1, 902, humidity=101)]
+    spark.createDataFrame(rows, ENVELOPE).coalesce(2).write.parquet(f"{tmp_path}/in")
+    messages = readers.messages(spark, "t", "parquet", f"{tmp_path}/in")
+    left = state.reduced(cache_rules.checked(messages, "sensor")).collect()
+    assert sorted(r["kafka_offset"] for r in left if not r["valid"]) == [901, 902] and len([r for r in left if r["valid"]]) <= 6
+    query = jobs.latest_job(readers.message_stream(spark, "t", "parquet", path=f"{tmp_path}/in"), "sensor", f"{tmp_path}/checkpoint", jobs.file_table(f"{tmp_path}/rejects"), trigger=jobs.NOW, ttl=3600)
+    jobs.drained(query)
+    best = {f"f{k}": max(((i * 7 % 60, i) for i in range(k, 900, 3)))[1] for k in range(3)}
+    assert {r["key"]: r["kafka_offset"] for r in jobs.latest_table(spark, f"{tmp_path}/checkpoint", "sensor", 3600).collect()} == best
+    assert spark.read.parquet(f"{tmp_path}/rejects").count() == 2
+    assert "ReusedExchange" in query._jsq.explainInternal(False)
+
+
+def test_reduced_takes_empty_frames_and_rows_without_key(spark):
+    schema = "key string, message_time timestamp, kafka_partition int, kafka_offset bigint, value string, failed bigint"
+    at = datetime(2024, 1, 1)
+    rows = [(None, at, 0, 1, "v", 0), ("a", None, 0, 2, "v", 0), ("a", at, 1, 3, "v", 0), ("a", at, 0, 9, "v", 0), (None, None, 0, 5, "v", 4)]
+    left = state.reduced(spark.createDataFrame(rows, schema).coalesce(1)).collect()
+    assert sorted((r["kafka_offset"], r["valid"]) for r in left) == [(3, True), (5, False)]
+    assert state.reduced(spark.createDataFrame([], schema)).count() == 0
