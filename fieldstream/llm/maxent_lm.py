@@ -77,6 +77,9 @@ def tokens(text: bytes | None) -> list[bytes]:
 _NUMBERED = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("ids", pa.binary()), ("local", pa.int32()), ("token", pa.binary()), ("n", pa.int64())])
 _NUMBERED_SCHEMA = "chunk long, doc_ids array<long>, held_out array<boolean>, sizes array<int>, ids binary, local int, token binary, n long"
 _ENCODED_SCHEMA = "doc_ids array<long>, held_out array<boolean>, sizes array<int>, ids binary, codes binary, known array<long>, log_sum array<double>, tokens long, distinct long, top_codes array<long>, top_counts array<long>, shared_mass array<double>"
+#: Pieces of a weight table in which tasks give it back, and their rows.
+_PARTS = 8
+_PART_SCHEMA = "part int, tokens double, weights binary"
 _ZSTD = pa.Codec("zstd")
 
 
@@ -126,6 +129,9 @@ def numbered(docs: DataFrame) -> DataFrame:
                     give_back()
         if rows:
             yield from close()
+        number.clear()
+        rows.clear()
+        give_back()
 
     return docs.mapInArrow(run, _NUMBERED_SCHEMA)
 
@@ -153,6 +159,15 @@ class Model:
         with_two = (one * np.uint32(_MULTIPLY[0])) ^ (two * np.uint32(_MULTIPLY[1]) + np.uint32(0x9E3779B9))
         return [(one + np.uint32(1)) * np.uint32(_MULTIPLY[0]), with_two * np.uint32(_MULTIPLY[2]), (two + np.uint32(7)) * np.uint32(_MULTIPLY[2]), (three + np.uint32(13)) * np.uint32(_MULTIPLY[3])]
 
+    def steps(self, codes: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+        """Mini-batches of the codes of texts one after another, with their features; only one at a time is held."""
+        starts = np.cumsum(sizes) - sizes
+        for k in range(0, len(codes), STEP_TOKENS):
+            low = max(0, k - 3)  # the history of the first place
+            words = codes[low : k + STEP_TOKENS].astype(np.uint32) & np.uint32(0x3FFF)
+            inner = starts[np.searchsorted(starts, low, side="right") : np.searchsorted(starts, low + len(words))] - low
+            yield codes[k : k + STEP_TOKENS], [h[k - low :] for h in self.features(words, np.append(0, inner))]
+
     def forward(self, hashed: list[np.ndarray], group: np.ndarray) -> tuple[list, list, np.ndarray, np.ndarray]:
         """Rows of both weight tables, and the probabilities of classes and of the groups of the true class."""
         cls = (group // GROUPS).astype(np.intp)
@@ -210,7 +225,7 @@ def _encoded(chunk, words):
     own_code, own_count = code[own], counts[own]
     most = np.lexsort((own_code, -own_count))[: 4 * _SINGLES]
     mass = np.bincount((own_code >> 14) % _SHARED, own_count + 0.5, _SHARED)
-    return pa.table(
+    out = pa.table(
         {
             "doc_ids": chunk.column("doc_ids"),
             "held_out": chunk.column("held_out"),
@@ -226,6 +241,8 @@ def _encoded(chunk, words):
             "shared_mass": pa.array([mass], pa.list_(pa.float64())),
         }
     )
+    give_back()
+    return out
 
 
 def _masses(encoded: DataFrame) -> tuple[int, int, np.ndarray, np.ndarray]:
@@ -288,13 +305,15 @@ def fit_and_encode(docs: DataFrame, id_column: str = "doc_id", text_column: str
     model = Model(mass)
     for turn in range(ROUNDS if total else 0):
         sent = spark.sparkContext.broadcast((model, singles))  # fixed size, about 5 MB
-        changes = encoded.select("held_out", "sizes", "ids", "codes").mapInArrow(_train(sent, turn, RATE / (1 + turn)), "tokens double, class_weights binary, group_weights binary")
+        changes = encoded.select("held_out", "sizes", "ids", "codes").mapInArrow(_train(sent, turn, RATE / (1 + turn)), _PART_SCHEMA)
         model.class_weights, model.group_weights = _averaged(changes, model)
         sent.unpersist()
     return encoded, model, singles, total, distinct
 
 
 def _train(sent, turn: int, rate: float):
+    """Rows of a task's weights, each table in _PARTS pieces: cut here, as a second Python step would double the workers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared, singles = sent.value
         own = Model(shared.mass)
@@ -307,41 +326,35 @@ def _train(sent, turn: int, rate: float):
                 codes, sizes = codes[np.repeat(use, sizes)], sizes[use]
                 if not len(codes):
                     continue
-                hashed = own.features(codes.astype(np.uint32) & np.uint32(0x3FFF), np.cumsum(sizes) - sizes)
-                for k in range(0, len(codes), STEP_TOKENS):
-                    own.step(codes[k : k + STEP_TOKENS], [h[k : k + STEP_TOKENS] for h in hashed], rate)
+                for step_codes, hashed in own.steps(codes, sizes):
+                    own.step(step_codes, hashed, rate)
                 seen += len(codes)
+            give_back()
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([own.class_weights.astype(np.float16).tobytes()], pa.binary()), pa.array([own.group_weights.astype(np.float16).tobytes()], pa.binary())], names=["tokens", "class_weights", "group_weights"])
+            tables = [own.class_weights.astype(np.float16).tobytes(), own.group_weights.astype(np.float16).tobytes()]
+            pieces = [x[k * len(x) // _PARTS : (k + 1) * len(x) // _PARTS] for x in tables for k in range(_PARTS)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(2 * _PARTS), pa.int32()), pa.array([float(seen)] * 2 * _PARTS), pa.array(pieces, pa.binary())], names=["part", "tokens", "weights"])
 
     return run
 
 
 def _averaged(changes: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Token-weighted averages of the tasks' weights, added up by table part in a shuffle."""
-    parts = 8
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for n, a, b in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                pieces = [x[k * len(x) // parts : (k + 1) * len(x) // parts] for x in (a, b) for k in range(parts)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(2 * parts), pa.int32()), pa.array([n] * 2 * parts), pa.array(pieces, pa.binary())], names=["part", "tokens", "weights"])
-
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list] = {}
         for batch in batches:
-            for part, n, w in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for part, n, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 mine = sums.setdefault(part, [0.0, 0.0])
                 mine[0] += n
-                mine[1] = mine[1] + n * np.frombuffer(w, np.float16).astype(np.float64)
+                mine[1] = mine[1] + n * np.frombuffer(w.as_buffer(), np.float16).astype(np.float64)
         for part, (n, w) in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n]), pa.array([(w / n).astype(np.float32).tobytes()], pa.binary())], names=["part", "tokens", "weights"])
 
-    rows = changes.mapInArrow(cut, "part int, tokens double, weights binary").repartition(2 * parts, "part").mapInArrow(add, "part int, tokens double, weights binary").collect()  # a fixed size
+    rows = changes.repartition(2 * _PARTS, "part").mapInArrow(add, _PART_SCHEMA).collect()  # a fixed size
     by_part = {r["part"]: np.frombuffer(r["weights"], np.float32) for r in rows}
     if not by_part:
         return model.class_weights, model.group_weights
-    return np.concatenate([by_part[k] for k in range(parts)]).reshape(CLASS_BUCKETS, CLASSES), np.concatenate([by_part[parts + k] for k in range(parts)]).reshape(-1, GROUPS)
+    return np.concatenate([by_part[k] for k in range(_PARTS)]).reshape(CLASS_BUCKETS, CLASSES), np.concatenate([by_part[_PARTS + k] for k in range(_PARTS)]).reshape(-1, GROUPS)
 
 
 def scored(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", held_out_fold: int = 1) -> DataFrame:
@@ -356,13 +369,13 @@ def scored(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
             for i in range(batch.num_rows):
                 codes, sizes, _ = _documents(batch, i, singles)
                 starts = np.cumsum(sizes) - sizes
-                hashed = model.features(codes.astype(np.uint32) & np.uint32(0x3FFF), starts)
-                place = np.concatenate([model.score(codes[k : k + STEP_TOKENS], [h[k : k + STEP_TOKENS] for h in hashed]) for k in range(0, len(codes), STEP_TOKENS)])
+                place = np.concatenate([model.score(*step) for step in model.steps(codes, sizes)])
                 log_sum = np.asarray(batch.column("log_sum")[i].values)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_ids")[i].values, batch.column("held_out")[i].values, pa.array(sizes, pa.int64()), batch.column("known")[i].values, pa.array(log_sum), pa.array(np.add.reduceat(place, starts) + log_sum)],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "log_sum", "score"],
                 )
+            give_back()
 
     found = encoded.select("doc_ids", "held_out", "sizes", "ids", "codes", "known", "log_sum").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, log_sum double, score double")
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("log_sum") - F.col("n_tokens") * norm).alias("base_score"), "score")

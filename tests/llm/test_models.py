@@ -261,6 +261,42 @@ def test_language_model_is_normalised():
     assert abs(total - 1) < 1e-4
 
 
+def test_language_model_holds_one_mini_batch_of_features(monkeypatch):
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(maxent_lm, "ROUNDS", 1)
+    rng = np.random.default_rng(5)
+    sizes = np.append(rng.integers(1, 900, 3000), [1, 1, 20_000]).astype(np.int32)
+    ids = rng.integers(0, 5000, int(sizes.sum()))
+    table = rng.integers(1, 1 << 32, 5000).astype(np.uint32)
+    model = maxent_lm.Model(np.ones(256))
+    codes = maxent_lm.coded(table, np.zeros(0, np.int64))[ids]
+    whole = model.features(codes.astype(np.uint32) & np.uint32(0x3FFF), np.cumsum(sizes) - sizes)
+    steps = list(model.steps(codes, sizes))
+    assert (np.concatenate([c for c, _ in steps]) == codes).all() and max(len(c) for c, _ in steps) <= maxent_lm.STEP_TOKENS
+    assert all((np.concatenate([h[i] for _, h in steps]) == whole[i]).all() for i in range(maxent_lm.FEATURES))
+
+    chunk = pa.RecordBatch.from_arrays([pa.array([[False] * len(sizes)]), pa.array([sizes], pa.list_(pa.int32())), pa.array([maxent_lm.packed(ids)], pa.binary()), pa.array([maxent_lm.packed(table)], pa.binary())], names=["held_out", "sizes", "ids", "codes"])
+    run = maxent_lm._train(SimpleNamespace(value=(model, np.zeros(0, np.int64))), 0, 0.1)
+    tracemalloc.start()
+    (found,) = run(iter([chunk]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.num_rows == 2 * maxent_lm._PARTS and peak < 25 * len(codes)  # ids, codes and weights, but no features of the whole chunk
+
+
+def test_language_model_trains_in_one_python_step(spark, monkeypatch):
+    seen = []
+    averaged = maxent_lm._averaged
+    monkeypatch.setattr(maxent_lm, "_averaged", lambda changes, model: seen.append(changes._jdf.queryExecution().executedPlan().toString()) or averaged(changes, model))
+    assert maxent_lm.scored(spark.createDataFrame([(i, "a b c", None, None, 1) for i in range(9)], DOCS)).count() == 9
+    assert len(seen) == maxent_lm.ROUNDS and all(p.count("MapInArrow") == 1 and "weights" in p and "part#" in p for p in seen)  # rows of pieces come from the step that trains
+
+
 def test_language_model_of_nothing(spark):
     docs = spark.createDataFrame([], DOCS)
     assert maxent_lm.scored(docs).count() == 0
