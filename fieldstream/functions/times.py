@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LOCAL_ZONE = "Europe/Rome"
@@ -12,8 +12,14 @@ _INSTANT = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX"
 
 
 def parse_timestamp(text: Column | str) -> Column:
-    """Microseconds with offset, else seconds with offset, else null; one pattern, as each that fails costs an exception."""
-    return F.try_to_timestamp(text, F.lit(_INSTANT))
+    """Microseconds with offset, else seconds with offset, else null; one pattern, as each that fails costs an exception, and none is tried on text without the colon that it needs."""
+    t = F.col(text) if isinstance(text, str) else text
+    return F.when(F.contains(t, F.lit(":")), F.try_to_timestamp(t, F.lit(_INSTANT)))
+
+
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Rows with further columns behind a generator, which filters on them do not pass: each is computed once a row, however often it is used."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
 def utc(instant: Column | str) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import SENSOR_COORDINATES, SENSOR_RANGES, WEATHER_COORDINATES, WEATHER_RANGES, all_of, image_flags, range_flags
-from ..functions.times import calendar_parts, parse_timestamp
+from ..functions.times import calendar_parts, once, parse_timestamp
 
 # Required columns and members of validated messages, in order.
 SENSOR_REQUIRED = ("temperature", "humidity", "soil_ph", "field_id", "location", "timestamp")
@@ -31,7 +31,7 @@ def complete(rows: DataFrame, required: tuple[str, ...]) -> DataFrame:
 
 def _timed(rows: DataFrame, parsed: Column) -> DataFrame:
     """Rows whose time parses, with it and its calendar parts."""
-    return rows.withColumn("timestamp_parsed", parsed).where(F.col("timestamp_parsed").isNotNull()).withColumns(calendar_parts("timestamp_parsed"))
+    return once(rows, timestamp_parsed=parsed).where(F.col("timestamp_parsed").isNotNull()).withColumns(calendar_parts("timestamp_parsed"))
 
 
 def sensor_flagged(rows: DataFrame) -> DataFrame:

@@ -50,9 +50,13 @@ def json_stream(spark: SparkSession, path: str, schema: str, per_trigger: int |
 
 
 def decoded(messages: DataFrame, schema: str, key: str = "field_id") -> DataFrame:
-    """Rows of a message stream's JSON, without those that have no key, and their place (kafka_partition, kafka_offset)."""
-    rows = messages.select(F.from_json(F.col("value").cast("string"), schema).alias("d"), F.col("partition").alias("kafka_partition"), F.col("offset").alias("kafka_offset"))
-    return rows.select("d.*", "kafka_partition", "kafka_offset").where(F.col(key).isNotNull())
+    """Rows of a message stream's JSON, without those that have no key, and their place (kafka_partition, kafka_offset).
+
+    The JSON is read behind a generator: filters on its members would each read it anew.
+    """
+    d = F.from_json(F.col("value").cast("string"), schema)
+    rows = messages.select(F.inline(F.array(d)), F.col("partition").alias("kafka_partition"), F.col("offset").alias("kafka_offset"))
+    return rows.where(F.col(key).isNotNull())
 
 
 def parquet_history(spark: SparkSession, root: str, start: str | None = None, end: str | None = None, partition: str = "window_end") -> DataFrame:

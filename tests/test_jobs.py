@@ -13,6 +13,7 @@ from fieldstream.operators import alerts, bronze, cache_rules, gold, silver
 from fieldstream.plans import models, streams
 from fieldstream.plans.registry import AS_OF, MINUTES
 from fieldstream.plans.tables import SCORER
+from fieldstream.schemas import ENVELOPE, SENSOR_RAW, SENSOR_VALID
 from fieldstream.sources import fixtures, readers, sinks
 from fieldstream.streaming import jobs, state
 
@@ -261,3 +262,23 @@ def test_reduced_takes_empty_frames_and_rows_without_key(spark):
     left = state.reduced(spark.createDataFrame(rows, schema).coalesce(1)).collect()
     assert sorted((r["kafka_offset"], r["valid"]) for r in left) == [(3, True), (5, False)]
     assert state.reduced(spark.createDataFrame([], schema)).count() == 0
+
+
+def _optimized(rows):
+    return rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_messages_are_read_once_a_row(spark):
+    """Filters on members of the JSON, as those of alerts, must not each read it anew."""
+    messages = spark.createDataFrame([], ENVELOPE)
+    assert _optimized(alerts.sensor(readers.decoded(messages, SENSOR_VALID), time="timestamp")).count("from_json(") == 1
+    rows = spark.createDataFrame([], f"{SENSOR_RAW}, kafka_offset bigint")
+    assert _optimized(silver.sensor(rows)).count("gettimestamp(") == 1
+
+
+def test_text_without_time_needs_no_exception(spark):
+    texts = ["2024-01-01T00:00:00+00:00", "2024-01-01t00:00:00z", "2024-01-01T00:00:00.123456Z", "2024-01-01", "", None, ":", "+12024-01-01T00:00:00Z", "2024-02-30T00:00:00Z", "not-a-time"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    found = rows.select(parse_timestamp("t").cast("string").alias("a"), F.try_to_timestamp("t", F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX")).cast("string").alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in found) and sum(r["a"] is not None for r in found) == 4
+    assert "contains(" in _optimized(rows.select(parse_timestamp("t"))).lower()
