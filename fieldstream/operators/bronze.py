@@ -9,25 +9,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.times import normalised_image_time, parse_timestamp, utc
+from ..functions.rules import any_of
+from ..functions.times import normalised_image_time, once, parse_timestamp, utc
 from ..schemas import SATELLITE_RAW, SENSOR_RAW, WEATHER_RAW
 
 _BOX = ("bbox_min_lon", "bbox_min_lat", "bbox_max_lon", "bbox_max_lat")
 
 
 def decode(messages: DataFrame, schema: str) -> DataFrame:
-    """Flatten the JSON in `value` and keep topic, partition, offset and time of the message."""
+    """Flatten the JSON in `value` and keep topic, partition, offset and time of the message.
+
+    A text of which fields were read without any fault is JSON, unless it holds one of
+    the numbers that only the reader of fields knows; only others are read once more.
+    """
     text = F.col("value").cast("string")
     meta = [F.col(c).alias(f"kafka_{c}") for c in ("topic", "partition", "offset", "timestamp")]
-    data = messages.select(text.alias("raw_value"), F.from_json(text, schema).alias("data"), F.get_json_object(text, "$").isNotNull().alias("parse_ok"), *meta)
-    return data.select("data.*", "kafka_topic", "kafka_partition", "kafka_offset", "kafka_timestamp", "raw_value", "parse_ok")
+    fields = F.from_json(text, f"{schema}, _fault string", {"columnNameOfCorruptRecord": "_fault"})
+    data = messages.select(text.alias("raw_value"), F.inline(F.array(fields)), *meta)  # behind a generator: read once a row
+    names = [c for c in data.columns if c not in ("raw_value", "_fault") and not c.startswith("kafka_")]
+    raw = F.col("raw_value")
+    sound = F.col("_fault").isNull() & any_of(F.col(c).isNotNull() for c in names) & ~any_of(F.contains(raw, F.lit(x)) for x in ("NaN", "Inf", "INF"))
+    ok = F.when(sound, F.lit(True)).otherwise(F.get_json_object(raw, "$").isNotNull())
+    return data.select(*names, "kafka_topic", "kafka_partition", "kafka_offset", "kafka_timestamp", "raw_value", ok.alias("parse_ok"))
 
 
 def with_time_parts(rows: DataFrame, text: str = "timestamp") -> DataFrame:
     """year, month, day and hour (UTC) of the event time, null where it doesn't parse."""
     t = F.col("_time")
     parts = [part(t).alias(name) for name, part in (("year", F.year), ("month", F.month), ("day", F.dayofmonth), ("hour", F.hour))]
-    timed = rows.select("*", F.inline(F.array(F.struct(utc(parse_timestamp(F.col(text))).alias("_time")))))  # behind a generator: parsed once a row
+    timed = once(rows, _time=utc(parse_timestamp(F.col(text))))
     return timed.select(*[F.col(f"`{c}`") for c in rows.columns], *parts)
 
 

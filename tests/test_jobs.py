@@ -272,10 +272,26 @@ def test_messages_are_read_once_a_row(spark):
     """Filters on members of the JSON, as those of alerts, must not each read it anew."""
     messages = spark.createDataFrame([], ENVELOPE)
     assert _optimized(alerts.sensor(readers.decoded(messages, SENSOR_VALID), time="timestamp")).count("from_json(") == 1
+    plan = _optimized(bronze.sensor(messages))
+    assert plan.count("from_json(") == 1 and plan.count("get_json_object(") == 1 and "CASE WHEN" in plan.split("get_json_object(")[0].splitlines()[-1]
     rows = spark.createDataFrame([], f"{SENSOR_RAW}, kafka_offset bigint")
     assert _optimized(silver.sensor(rows)).count("gettimestamp(") == 1
 
 
+def test_parse_ok_is_that_of_the_whole_text(spark):
+    """The same as reading every text as JSON, also where fields are read from a faulty one."""
+    g = '"timestamp":"2024-01-01T00:00:00+00:00","field_id":"f"'
+    ends = ["", ',"temperature":1x', ',"temperature":NaN', ',"q":NaN', ',"temperature":-Infinity', ',"temperature":"NaN"', ',"temperature":"a"', ',"location":"a\\x"', ',"q":"a\\x"', ',"q":"a\nb"', ',"location":"a\nb"', ',"q":[1,2', ',"q":01', ',"q":1e999', ",", ',"q":' + "9" * 1200, ',"q":tru', ',"_fault":"z"', ',"location":{"a":1}']
+    texts = [None, "", "x", "null", "1", "[]", "{}", "[1]", "{" + g, "{" + g + "} tail", "[{" + g + "}]", "[{" + g + "},{" + g + "]", "{'timestamp':'t'}", '{"timestamp":null}', '{"q":1}', *["{" + g + e + "}" for e in ends]]
+    rows = [(None if t is None else bytearray(t.encode()), "t", 0, i, None) for i, t in enumerate(texts)] + [(bytearray(b'{"timestamp":"\xff"}'), "t", 0, len(texts), None)]
+    text = F.col("value").cast("string")
+    messages = spark.createDataFrame(rows, ENVELOPE)
+    want = messages.select("offset", text.alias("raw_value"), F.get_json_object(text, "$").isNotNull().alias("parse_ok"), F.from_json(text, SENSOR_RAW).alias("d")).select("offset", "raw_value", "parse_ok", "d.*")
+    found = bronze.decode(messages, SENSOR_RAW).withColumnRenamed("kafka_offset", "offset").select(*want.columns)
+    assert repr(sorted(found.collect(), key=lambda r: r["offset"])) == repr(sorted(want.collect(), key=lambda r: r["offset"]))
+    assert 5 < found.where("parse_ok").count() < len(rows) - 5
+
+
 def test_text_without_time_needs_no_exception(spark):
     texts = ["2024-01-01T00:00:00+00:00", "2024-01-01t00:00:00z", "2024-01-01T00:00:00.123456Z", "2024-01-01", "", None, ":", "+12024-01-01T00:00:00Z", "2024-02-30T00:00:00Z", "not-a-time"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
